@@ -1,8 +1,8 @@
 """Operators for training-data pipelines. Nothing else in the library imports this subpackage."""
 
-from . import packing
+from . import language_id, packing, shingle_join
 
-MODULES = (packing,)
+MODULES = (language_id, packing, shingle_join)
 
 
 def queries():
