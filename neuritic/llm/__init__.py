@@ -1,8 +1,8 @@
 """Operators for training-data pipelines. Nothing else in the library imports this subpackage."""
 
-from . import language_id, packing, shingle_join
+from . import html_text, language_id, packing, shingle_join, topk
 
-MODULES = (language_id, packing, shingle_join)
+MODULES = (language_id, packing, shingle_join, html_text, topk)
 
 
 def queries():
