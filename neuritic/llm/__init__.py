@@ -1,8 +1,8 @@
 """Operators for training-data pipelines. Nothing else in the library imports this subpackage."""
 
-from . import html_text, language_id, packing, shingle_join, topk
+from . import html_text, language_id, mixing, packing, shingle_join, topk
 
-MODULES = (language_id, packing, shingle_join, html_text, topk)
+MODULES = (language_id, packing, shingle_join, html_text, topk, mixing)
 
 
 def queries():
