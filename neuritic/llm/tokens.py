@@ -15,7 +15,8 @@ from itertools import chain
 import numpy as np
 
 _LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
-_ODD = re.compile(rf"\s\s|'|[^\x00-\x7f{_LETTER}]")
+_ROW = re.compile(r"\s\s")
+_FAR = re.compile(rf"[^\x00-\x7f{_LETTER}]")
 _RUNS = re.compile(rf" ?[{_LETTER}]+| ?[^{_LETTER} ]+| ")
 #: Runs that a worker remembers at once; a full memory is emptied, which changes no result.
 MEMORY = 1_200_000
@@ -71,7 +72,7 @@ class Encoder:
         for t in texts:
             if not t:
                 group.append(np.zeros(0, dtype=np.uint32))
-            elif _ODD.search(t):
+            elif "'" in t or _ROW.search(t) or not t.isascii() and _FAR.search(t):
                 group.append(np.array(self.tok.encode(t, add_special_tokens=False).ids, dtype=np.uint32))
             else:
                 words = _RUNS.findall(t)
@@ -89,14 +90,14 @@ class Encoder:
             new = list(set(chain.from_iterable(g for g in group if isinstance(g, list))))
         if new:
             self._learn(new)
-        out = []
-        for g in group:
-            if isinstance(g, list):
-                k = np.fromiter(map(self.place.__getitem__, g), dtype=np.int64, count=len(g))
-                size, ends = self.size[k], np.cumsum(self.size[k])
-                g = self.flat[np.repeat(self.start[k] - ends + size, size) + np.arange(ends[-1])].astype(np.uint32)
-            out.append(g)
-        return out
+        runs = [g for g in group if isinstance(g, list)]
+        k = np.fromiter(map(self.place.__getitem__, chain.from_iterable(runs)), dtype=np.int32, count=sum(map(len, runs)))
+        size = self.size[k]
+        ends = np.cumsum(size)
+        flat = self.flat[np.repeat(self.start[k] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)].astype(np.uint32)
+        cuts = ends[np.cumsum([len(r) for r in runs])[:-1] - 1] if runs else []
+        joined = iter(np.split(flat, cuts))
+        return [next(joined) if isinstance(g, list) else g for g in group]
 
 
 _ENCODERS: dict[str, Encoder] = {}
