@@ -1,8 +1,18 @@
 """Operators for training-data pipelines. Nothing else in the library imports this subpackage."""
 
-from . import html_text, language_id, mixing, packing, shingle_join, topk
+from . import (
+    hmm_lm,
+    html_text,
+    language_id,
+    license_scan,
+    mixing,
+    packing,
+    shingle_join,
+    token_store,
+    topk,
+)
 
-MODULES = (language_id, packing, shingle_join, html_text, topk, mixing)
+MODULES = (language_id, packing, shingle_join, html_text, hmm_lm, topk, mixing, token_store, license_scan)
 
 
 def queries():
