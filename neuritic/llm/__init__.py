@@ -5,6 +5,7 @@ from . import (
     html_text,
     language_id,
     license_scan,
+    media,
     mixing,
     packing,
     shingle_join,
@@ -12,7 +13,7 @@ from . import (
     topk,
 )
 
-MODULES = (language_id, packing, shingle_join, html_text, hmm_lm, topk, mixing, token_store, license_scan)
+MODULES = (language_id, packing, shingle_join, html_text, hmm_lm, topk, mixing, token_store, media, license_scan)
 
 
 def queries():
