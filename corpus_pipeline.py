@@ -42,7 +42,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents with their places in sequences."""
-    return pack(docs)
+    return pack(docs, memory=300_000)  # workers also hold what earlier stages left
 
 
 STAGES = [("language_id", language_id), ("near_duplicates", near_duplicates), ("mixing", mixed), ("packing", packing)]

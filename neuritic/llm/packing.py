@@ -89,13 +89,13 @@ PIECES = T.StructType(
 )
 
 
-def tokenized(docs: DataFrame, seq_len: int, path: str) -> DataFrame:
+def tokenized(docs: DataFrame, seq_len: int, path: str, memory: int = tokens.MEMORY) -> DataFrame:
     """Per document: its number of ids, the length of its short piece (0: none), and the crc32 of every piece in order."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zlib
 
-        enc = tokens.encoder(path)
+        enc = tokens.encoder(path, memory)
         for pdf in batches:
             n_ids, tails, crcs = [], [], []
             for ids in enc.encode(pdf["text"]):
@@ -110,12 +110,15 @@ def tokenized(docs: DataFrame, seq_len: int, path: str) -> DataFrame:
     return pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, PIECES)
 
 
-def pack(docs: DataFrame, seq_len: int = 2048, path: str | None = None, salts: int = 256) -> DataFrame:
-    """One row per piece of each document: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+def pack(docs: DataFrame, seq_len: int = 2048, path: str | None = None, salts: int = 256, memory: int = tokens.MEMORY) -> DataFrame:
+    """One row per piece of each document: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    memory: distinct runs of characters that a Python worker remembers; it changes speed only.
+    """
     spark = docs.sparkSession
     arrow_batches(spark, 500)
     path = path or tokens.tokenizer_path()
-    pieces = stored(tokenized(docs, seq_len, path), "pieces").withColumn("full", F.floor(F.col("n_ids") / seq_len))
+    pieces = stored(tokenized(docs, seq_len, path, memory), "pieces").withColumn("full", F.floor(F.col("n_ids") / seq_len))
     # ranks within each length, by salt; the sums by (length, salt) are a table of bounded size
     pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_ids", F.element_at("crcs", 1)), F.lit(salts)))
     sums = pieces.groupBy("tail", "salt").agg(F.count(F.lit(1)).alias("n"), F.sum("full").alias("n_full"))

@@ -19,7 +19,7 @@ _ROW = re.compile(r"\s\s")
 _FAR = re.compile(rf"[^\x00-\x7f{_LETTER}]")
 _RUNS = re.compile(rf" ?[{_LETTER}]+| ?[^{_LETTER} ]+| ")
 #: Runs that a worker remembers at once; a full memory is emptied, which changes no result.
-MEMORY = 1_200_000
+MEMORY = 800_000
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -31,9 +31,10 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 class Encoder:
     """encode(texts) gives one uint32 array per text; null texts are empty."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memory: int = MEMORY):
         import os
 
+        self.memory = memory
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -45,8 +46,8 @@ class Encoder:
         self.place: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, dtype=np.uint16)
         self.used = 0
-        self.start = np.zeros(1 << 16, dtype=np.int64)
-        self.size = np.zeros(1 << 16, dtype=np.int64)
+        self.start = np.zeros(1 << 16, dtype=np.int32)
+        self.size = np.zeros(1 << 16, dtype=np.int32)
 
     def _learn(self, words: list[str]) -> None:
         for lo in range(0, len(words), 20_000):
@@ -85,7 +86,7 @@ class Encoder:
 
     def _join(self, group: list) -> list[np.ndarray]:
         new = list(set(chain.from_iterable(g for g in group if isinstance(g, list))).difference(self.place))
-        if len(self.place) + len(new) > MEMORY:
+        if len(self.place) + len(new) > self.memory:
             self._forget()
             new = list(set(chain.from_iterable(g for g in group if isinstance(g, list))))
         if new:
@@ -93,18 +94,18 @@ class Encoder:
         runs = [g for g in group if isinstance(g, list)]
         k = np.fromiter(map(self.place.__getitem__, chain.from_iterable(runs)), dtype=np.int32, count=sum(map(len, runs)))
         size = self.size[k]
-        ends = np.cumsum(size)
+        ends = np.cumsum(size, dtype=np.int64)
         flat = self.flat[np.repeat(self.start[k] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)].astype(np.uint32)
         cuts = ends[np.cumsum([len(r) for r in runs])[:-1] - 1] if runs else []
         joined = iter(np.split(flat, cuts))
         return [next(joined) if isinstance(g, list) else g for g in group]
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, memory: int = MEMORY) -> Encoder:
     """One for each path and Python worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    if (path, memory) not in _ENCODERS:
+        _ENCODERS[path, memory] = Encoder(path, memory)
+    return _ENCODERS[path, memory]
