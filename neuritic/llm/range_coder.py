@@ -3,8 +3,9 @@
 Each block is coded on its own: its model starts afresh, and a checksum of its ids goes with it. An id is first
 guessed from the two ids before it and from the one before it (the id that last followed them, with a confidence);
 whether a guess holds is a bit whose probability mixes, with learned weights, what the order-2 confidence, the order-1
-confidence and the recent luck of guesses say. Ids that no guess hits are spelled in sixteen bits under an adaptive
-order-0 tree. All arithmetic is in integers, so blocks can be read on any machine.
+confidence and the recent luck of guesses say. Ids that no guess hits are spelled as four digits of four bits under adaptive order-0
+distributions, each in the context of the digits before it. All arithmetic is in integers, so blocks can be read on
+any machine.
 
 Blocks lie side by side as lanes of numpy arrays: one step codes the next id of every block.
 """
@@ -21,9 +22,14 @@ MAGIC = b"NCM1"
 BLOCK = 4096
 _HEAD = struct.Struct("<4sIII")  # magic, ids, crc32 of the ids as little-endian 32-bit numbers, bytes of payload
 _SLOTS = 1024
-_TREE = 256 + 32 * 256
+#: Rows of an order-0 model: contexts of the first to the fourth digit.
+_FIRST = (0, 1, 17, 273)
+_TREE = 529
+_RATE = 4
 _LOW = np.uint64(0xFFFFFFFF)
-_32, _12 = np.uint64(32), np.uint64(12)
+_32, _12, _15 = np.uint64(32), np.uint64(12), np.uint64(15)
+#: Where the lower bounds of a digit's distribution move when a digit is seen.
+_TOWARDS = np.array([[i if i <= s else 32752 + i for i in range(16)] for s in range(16)], dtype=np.int16)
 
 
 def _squash_table() -> np.ndarray:
@@ -46,7 +52,7 @@ class _Lanes:
         if source is not None:
             self.code = source[:, 0].astype(np.uint64) << _32 | source[:, 1].astype(np.uint64)
             self.at += 2
-        self.tree = np.full(n * _TREE, 2048, dtype=np.uint16)
+        self.tree = np.tile(np.arange(0, 32768, 2048, dtype=np.int16), (n * _TREE, 1))
         self.guess = [np.zeros(n * _SLOTS, dtype=np.uint16) for _ in range(2)]  # after one id, after two
         self.sure = [np.zeros(n * _SLOTS, dtype=np.uint8) for _ in range(2)]
         self.p = [np.full(n * 16, 1024, dtype=np.int64) for _ in range(3)]
@@ -118,22 +124,26 @@ class _Lanes:
             lo, rg, c = low[m], rng[m], None if code is None else code[m]
             want = None if ids is None else ids[m]
             base = m * _TREE
-            top = None
-            for half in (8, 0):
-                node = np.ones(len(m), dtype=np.int64)
-                for k in range(7, -1, -1):
-                    at = base + node
-                    p = self.tree[at].astype(np.int64)
-                    lo, rg, b = self._bit(m, lo, rg, c, np.clip(p, 64, 4032), None if want is None else (want >> (half + k) & 1).astype(bool))
-                    self.tree[at] = p + ((b.astype(np.int64) * 4095 - p) >> 4)
-                    node = node * 2 + b
-                    if k % 4 == 0:
-                        lo, rg, c = self._shift(m, lo, rg, c)
-                if half:
-                    top = node - 256
-                    base = m * _TREE + 256 + (top % 32) * 256
+            every = np.arange(len(m))
+            digits: list[np.ndarray] = []
+            for k in range(4):
+                context = 0 if k == 0 else digits[-1] if k == 1 else digits[-2] * 16 + digits[-1]
+                row = base + _FIRST[k] + context
+                bounds = self.tree[row]
+                r = rg >> _15
+                if want is None:
+                    v = np.minimum((c - lo) // r, np.uint64(32767)).astype(np.int16)
+                    d = (bounds <= v[:, None]).sum(axis=1) - 1
                 else:
-                    out[m] = top * 256 + node - 256
+                    d = want >> (12 - 4 * k) & 15
+                below = bounds[every, d].astype(np.uint64)
+                above = np.where(d < 15, bounds[every, np.minimum(d + 1, 15)].astype(np.uint64), np.uint64(32768))
+                lo, rg = lo + r * below, r * (above - below)
+                self.tree[row] = bounds + ((_TOWARDS[d] - bounds) >> _RATE)
+                digits.append(d)
+                if k % 2:
+                    lo, rg, c = self._shift(m, lo, rg, c)
+            out[m] = ((digits[0] * 16 + digits[1]) * 16 + digits[2]) * 16 + digits[3]
             low[m], rng[m] = lo, rg
             if code is not None:
                 code[m] = c
@@ -157,14 +167,14 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
         raise ValueError("ids must be below 65536")
     n = -(-len(ids) // block)
     lanes = _Lanes(n, block // 2 + 16)
-    grid = np.zeros((n, block), dtype=np.int64)
+    grid = np.zeros((n, block), dtype=np.uint16)
     grid.ravel()[: len(ids)] = ids
     tail = len(ids) - (n - 1) * block if n else 0
     for t in range(block if n else 0):
         active = n if t < tail else n - 1
         if not active:
             break
-        lanes.step(active, grid[:active, t].copy())
+        lanes.step(active, grid[:active, t].astype(np.int64))
     out = []
     for k in range(n):
         end = int(lanes.at[k])
