@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from neuritic.llm.common import arrow_batches, stored
+from neuritic.llm.common import arrow_batches, numbered, stored
 from neuritic.llm.language_id import UND, learnable, predictor, train
 from neuritic.llm.mixing import mix, shuffled
 from neuritic.llm.packing import pack
@@ -18,26 +18,34 @@ from neuritic.llm.shingle_join import similar
 MIN_LANG_SCORE = 0.2
 
 
+def _column(docs: DataFrame, name: str):
+    """The column of this name in numbered(docs)."""
+    return F.col(f"_d{docs.columns.index(name)}")
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with a language: texts that are null or without a letter go, and those of no language to speak of."""
     arrow_batches(spark, 500)
     predict = predictor(spark, train(docs, learn=learnable()))
-    told = docs.select("*", predict(F.col("text").cast("string")).alias("_told"))
-    return told.filter((F.col("_told.lang_pred") != UND) & (F.col("_told.score") >= MIN_LANG_SCORE)).drop("_told")
+    told = numbered(docs).withColumn("_told", predict(_column(docs, "text").cast("string")))
+    kept = told.filter((F.col("_told.lang_pred") != UND) & (F.col("_told.score") >= MIN_LANG_SCORE))
+    return kept.drop("_told").toDF(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group that links of similarity 0.8 and more connect."""
     found = stored(similar(docs), "similar")
     keep = found.filter(F.col("doc_id").eqNullSafe(F.col("group_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
-    kept = docs.join(keep.withColumnRenamed("doc_id", "_id"), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
-    repeated = kept.filter("_n > 1").dropDuplicates(["doc_id", "text"])  # rows that stand in the table more than once
-    return kept.filter("_n = 1").unionByName(repeated).select(*(F.col(c) for c in docs.columns))
+    key, text = (f"_d{docs.columns.index(c)}" for c in ("doc_id", "text"))
+    kept = numbered(docs).join(keep.withColumnRenamed("doc_id", "_id"), _column(docs, "doc_id").cast("long").eqNullSafe(F.col("_id")))
+    repeated = kept.filter("_n > 1").dropDuplicates([key, text])  # rows that stand in the table more than once
+    return kept.filter("_n = 1").unionByName(repeated).drop("_id", "_n").toDF(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of sources: documents as often as it draws them, dealt to shards and shuffled within."""
-    return shuffled(mix(docs)).select(*(F.col(c) for c in docs.columns))
+    rows = numbered(shuffled(mix(docs)))
+    return rows.select(rows.columns[:-1]).toDF(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,6 +24,11 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     )
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """The frame with columns _d0, _d1 ..., so that no name of its own can clash; toDF(*names) undoes it."""
+    return df.toDF(*(f"_d{i}" for i in range(len(df.columns))))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *names: str) -> DataFrame:
     """Columns of one of the tables in sf_dir, read by Spark."""
     return pick(spark.read.parquet(f"{sf_dir}/{name}.parquet"), *names)

@@ -183,7 +183,8 @@ def train(docs: DataFrame, per_lang: int = 400, families: dict[str, tuple[str, .
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [(int(i), lang, v) for i, lang, t in zip(pdf["h"], pdf["lang"], pdf["text"], strict=True) if (v := vector(t)) is not None]
-            yield pd.DataFrame({"h": [r[0] for r in rows], "lang": [r[1] for r in rows], "v": [r[2].tobytes() for r in rows]})
+            if rows:
+                yield pd.DataFrame({"h": [r[0] for r in rows], "lang": [r[1] for r in rows], "v": [r[2].tobytes() for r in rows]})
 
     got = drawn.select(F.xxhash64(F.col("doc_id").cast("string")).alias("h"), "lang", F.col("text").cast("string").alias("text"))
     got = got.mapInPandas(run, "h long, lang string, v binary").toPandas()  # a few MB a language

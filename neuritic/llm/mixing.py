@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import pick, stored, table, text_size
+from .common import numbered, pick, stored, table, text_size
 
 #: Blocks summed up together when the end of a source's draws is looked for.
 CHUNK = 1024
@@ -90,12 +90,12 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, most: f
     rows = pick(docs, "doc_id", "text", "source").select(source.alias("source"), size.alias("size"), F.xxhash64(F.lit(seed), "doc_id", "size").alias("h"))
     rows = stored(rows, "sizes")
     found = sorted(rows.groupBy("source").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n")).collect(), key=lambda r: (r["source"] is None, r["source"] or ""))
-    names, sums = [r["source"] for r in found], [int(r["s"]) for r in found]
-    given = [float((weights or {}).get(n, 1.0)) if weights else float(k % 3 + 1) for k, n in enumerate(names)]
+    sources_, sums = [r["source"] for r in found], [int(r["s"]) for r in found]
+    given = [float((weights or {}).get(n, 1.0)) if weights else float(k % 3 + 1) for k, n in enumerate(sources_)]
     goal = targets(sums, given, most)
     blocks = [max(1, -(-int(r["n"]) // block_docs)) for r in found]
     table_rows = []
-    for k, name in enumerate(names):
+    for k, name in enumerate(sources_):
         whole = int(goal[k] // sums[k]) if sums[k] else 0
         table_rows.append((k, name, sums[k], goal[k], blocks[k], _coprime(blocks[k], 7919 + 31 * k + seed), whole, int(round(goal[k] - whole * sums[k]))))
     schema = "k int, source string, source_size long, target double, blocks long, step long, whole int, rest long"
@@ -137,8 +137,10 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, most: f
     upper = np.cumsum(split(quotas, shards, seed), axis=1)
     limits = spark.createDataFrame([(*r, drawn.get(r[0], 0) - 1, upper[r[0]].tolist()) for r in table_rows], schema + ", last long, upper array<long>")
 
-    out = docs.withColumn("_size", text_size("text")).withColumn("_h", F.xxhash64(F.lit(seed), "doc_id", "_size"))
-    out = out.join(limits.select(*(F.col(c).alias(f"_m_{c}") for c in limits.columns)), F.col("source").cast("string").eqNullSafe(F.col("_m_source")), "left")
+    names, out = docs.columns, numbered(docs)
+    key, text, origin = (F.col(f"_d{names.index(c)}") if c in names else F.lit(None).cast("string") for c in ("doc_id", "text", "source"))
+    out = out.withColumn("_size", text_size(text)).withColumn("_h", F.xxhash64(F.lit(seed), key, "_size"))
+    out = out.join(limits.select(*(F.col(c).alias(f"_m_{c}") for c in limits.columns)), origin.cast("string").eqNullSafe(F.col("_m_source")), "left")
     out = out.join(ends.select(F.col("k").alias("_e_k"), F.col("h").alias("_e_h")), (F.col("_h") == F.col("_e_h")) & (F.col("_m_k") == F.col("_e_k")), "left")
     at = F.pmod(F.pmod(F.col("_h"), F.col("_m_blocks")) * F.col("_m_step"), F.col("_m_blocks"))
     more = (at < F.col("_m_last")) | ((at == F.col("_m_last")) & F.col("_e_h").isNotNull())
@@ -151,14 +153,15 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, most: f
         ),
     )
     mixed = F.struct(F.col("_size").alias("size"), F.col("_m_source_size").alias("source_size"), F.col("_m_target").alias("target"), copies.alias("copies"), draws.alias("draws"))
-    return out.select(*(docs[c] for c in docs.columns), mixed.alias("_mix"))
+    return out.select(*(f"_d{i}" for i in range(len(names))), mixed.alias("_mix")).toDF(*names, "_mix")
 
 
 def shuffled(mixed: DataFrame, shards: int = 64) -> DataFrame:
-    """The mix itself: a row for each draw, with its shard, each shard in one partition in its shuffled order."""
-    keep = [c for c in mixed.columns if c != "_mix"]
-    rows = mixed.select(*keep, F.explode("_mix.draws").alias("_d")).select(*keep, F.col("_d.shard").alias("_shard"), F.col("_d.place").alias("_place"))
-    return rows.repartition(shards, "_shard").sortWithinPartitions("_shard", "_place").drop("_place")
+    """The mix itself: a row for each draw, with its shard (the last column), each shard in one partition in its shuffled order."""
+    names = mixed.columns[:-1]
+    rows = numbered(mixed).withColumn("_d", F.explode(F.col(f"_d{len(names)}.draws"))).withColumn("_shard", F.col("_d.shard")).withColumn("_place", F.col("_d.place"))
+    rows = rows.repartition(shards, "_shard").sortWithinPartitions("_shard", "_place")
+    return rows.select(*(f"_d{i}" for i in range(len(names))), "_shard").toDF(*names, "_shard")
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -250,7 +250,8 @@ def similar(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float =
         def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 rows = [(c, p) for c, g, at in zip(pdf["cls"], pdf["grams"], pdf["paths"], strict=True) for p in _chosen(np.frombuffer(g, dtype=U), np.asarray(at, dtype=np.int64).view(U), threshold).view(np.int64)]
-                yield pd.DataFrame({"cls": [r[0] for r in rows], "path": np.array([r[1] for r in rows], dtype=np.int64)})
+                if rows:
+                    yield pd.DataFrame({"cls": [r[0] for r in rows], "path": np.array([r[1] for r in rows], dtype=np.int64)})
 
         at = big.groupBy("cls").agg(F.collect_set("path").alias("paths"))
         buckets = shared(texts_of(big).join(at, "cls").mapInPandas(split, "cls binary, path long"))
@@ -270,7 +271,8 @@ def similar(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float =
             part = np.zeros(len(pdf), dtype=bool)
             for i, j, _ in _candidates(pdf, threshold):
                 part[i] = part[j] = True
-            yield pdf.loc[part, ["cls", "path", "half", "a", "b"]]
+            if part.any():
+                yield pdf.loc[part, ["cls", "path", "half", "a", "b"]]
 
     def dealt(df: DataFrame) -> DataFrame:
         return df.repartition(*keys).sortWithinPartitions(*keys)
@@ -294,7 +296,8 @@ def similar(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float =
                     np.add.at(docs_linked, j, copies[i])
                     _spread(low, i, j)
             keep = links > 0
-            yield pd.DataFrame({"cls": cls[keep], "links": links[keep], "docs": docs_linked[keep], "low": low[keep]})
+            if keep.any():
+                yield pd.DataFrame({"cls": cls[keep], "links": links[keep], "docs": docs_linked[keep], "low": low[keep]})
 
     found = dealt(part.join(known, "cls").join(texts_of(part), "cls")).mapInPandas(verified, "cls binary, links long, docs long, low binary")
     found = stored(found, "links")

@@ -1,0 +1,517 @@
+"""Every operator against a brute-force version, a round trip or accuracy, and on awkward rows."""
+
+import math
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from neuritic.llm import (
+    hmm_lm,
+    html_text,
+    language_id,
+    license_scan,
+    media,
+    mixing,
+    packing,
+    range_coder,
+    shingle_join,
+    token_store,
+    tokens,
+    topk,
+    webp,
+)
+from neuritic.llm.components import components
+
+SF = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, path string, n long, cls string, _size long, rank int, size long"
+
+
+def rows(texts):
+    return [(i, t, "en" if (i or 0) % 2 else "de", f"s{(i or 0) % 3}" if (i or 0) % 7 else None, len(t or ""), 1.0, "p", 2, "c", 3, 4, 5) for i, t in texts]
+
+
+def frame(spark, texts):
+    """Documents with further columns whose names the operators use themselves."""
+    return spark.createDataFrame(rows(texts), SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    rng = random.Random(3)
+    words = ["alpha", "beta", "gamma", "delta", "Überall", "niño", "x", "…", "中文"]
+    long = " ".join(rng.choice(words) for _ in range(60_000))
+    texts = [(1, None), (2, ""), (3, "  \n\t "), (4, "123 !! 456"), (5, long), (6, "one two"), (6, "one two"), (None, "no id here at all, none"), (7, "tie\x0bbreak  it's 'so' \r\n done\n\n"), (8, "one two")]
+    return frame(spark, texts).cache(), texts
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet").cache()
+
+
+# ------------------------------------------------------------------ language ID
+
+
+def test_language_id_accuracy(spark):
+    got = language_id.op1_language_id(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id").toPandas()
+    held = got[got.held_out]
+    assert (held.lang == held.lang_pred).mean() > 0.98
+    assert got.score.between(0, 1).all()
+    assert (got.held_out == got.doc_id.map(lambda i: zlib.crc32(str(i).encode()) % 3 == 1)).all()
+
+
+def test_language_id_awkward(spark, awkward):
+    df, texts = awkward
+    model = language_id.train(df)
+    predict = language_id.predictor(spark, model)
+    got = df.select("doc_id", "text", predict("text").alias("p")).select("doc_id", "text", "p.*").toPandas()
+    assert len(got) == len(texts)
+    for t, lang in zip(got.text, got.lang_pred):
+        assert (lang == "und") == (t is None or not any(c.isalpha() for c in t))
+    empty = language_id.train(df.limit(0))
+    assert df.select(language_id.predictor(spark, empty)("text").alias("p")).filter("p.lang_pred != 'und'").count() == 0
+
+
+def test_language_id_windows(monkeypatch):
+    text = "Die schöne Straße, über 40 Wörter! " * 50
+    whole = language_id.counts(text)
+    monkeypatch.setattr(language_id, "WINDOW", 97)
+    assert np.array_equal(language_id.counts(text), whole)
+
+
+# ------------------------------------------------------------------ packing and tokens
+
+
+def ids_of(text):
+    tok = tokens.encoder(tokens.tokenizer_path()).tok
+    return tok.encode(text or "", add_special_tokens=False).ids
+
+
+def test_tokens_equal_the_library(docs):
+    odd = ["a  b", " x", "x ", "a\n b", "it's 'll", "", None, "é 中文 x", "<|endoftext|> a", "!!### a1 2b", "a×b ª", "a\n\nb"]
+    texts = [r.text for r in docs.select("text").collect()] + odd
+    enc = tokens.Encoder(tokens.tokenizer_path(), memory=3000)
+    for t, x in zip(texts, enc.encode(texts)):
+        assert x.tolist() == ids_of(t)
+
+
+def check_packing(got, texts, seq_len):
+    by = defaultdict(list)
+    for r in got:
+        by[r.doc_id].append(r)
+    want = Counter()
+    for i, t in texts:
+        ids = np.array([*ids_of(t), 0], dtype="<u4")
+        tail = len(ids) % seq_len
+        cuts = sorted({0, *range(tail, len(ids), seq_len), len(ids)})
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            want[i, k, a, b - a, zlib.crc32(ids[a:b].tobytes())] += 1
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+    sequences = defaultdict(list)
+    for r in got:
+        sequences[r.sequence_id].append((r.offset, r.length))
+    for parts in sequences.values():
+        at = 0
+        for o, n in sorted(parts):
+            assert o == at
+            at += n
+        assert at <= seq_len
+    return len(sequences), sum(r.length for r in got)
+
+
+def test_packing(spark, docs, awkward):
+    texts = [(r.doc_id, r.text) for r in docs.collect()]
+    n, total = check_packing(packing.pack(docs).collect(), texts, 2048)
+    assert n <= math.ceil(total / 2048) + 2
+    df, texts = awkward
+    check_packing(packing.pack(df, seq_len=64, salts=4).collect(), texts, 64)
+    assert packing.pack(df.limit(0)).count() == 0
+
+
+def test_fullest_is_best():
+    rng = np.random.default_rng(0)
+    for _ in range(60):
+        cap = int(rng.integers(5, 25))
+        counts = np.zeros(cap + 1, dtype=np.int64)
+        for x in rng.integers(1, cap + 1, 7):
+            counts[x] += 1
+        got = packing.fullest(counts, cap)
+        assert all(counts[x] >= k for x, k in got.items())
+        items = [x for x in range(cap + 1) for _ in range(counts[x])]
+        first = max(items)
+        items.remove(first)
+        sums = {0}
+        for x in items:
+            sums |= {s + x for s in sums}
+        assert sum(x * k for x, k in got.items()) == first + max(s for s in sums if s <= cap - first)
+
+
+# ------------------------------------------------------------------ near duplicates
+
+
+def links_of(texts, t=0.8):
+    sets = []
+    for _, x in texts:
+        w = [w for w in __import__("re").split("[\x20\x09-\x0d]+", (x or "").lower()) if w]
+        sets.append(frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset())
+    n = [0] * len(texts)
+    edges = []
+    for a in range(len(sets)):
+        for b in range(a):
+            if sets[a] and sets[b] and len(sets[a] & sets[b]) >= t * len(sets[a] | sets[b]) - 1e-12:
+                n[a] += 1
+                n[b] += 1
+                edges.append((a, b))
+    return n, edges
+
+
+def near_copies(seed=1, groups=6, size=30, words=80):
+    rng = random.Random(seed)
+    out, i = [], 0
+    for g in range(groups):
+        base = [f"w{rng.randrange(400)}" for _ in range(words)]
+        for _ in range(size):
+            w = list(base)
+            for _ in range(rng.randrange(0, 4)):
+                w[rng.randrange(words)] = f"n{rng.randrange(50)}"
+            out.append((i, " ".join(w)))
+            i += 1
+    return out
+
+
+@pytest.mark.parametrize("limit", [1024, 8])
+def test_jaccard_join(spark, limit):
+    texts = near_copies() + [(1000, None), (1001, ""), (1002, "a b"), (1003, "A  b"), (1003, "A  b")]
+    want, edges = links_of(texts)
+    got = shingle_join.similar(frame(spark, texts), limit=limit).collect()
+    assert sorted((r.doc_id, r.n_links) for r in got) == sorted((i, n) for (i, _), n in zip(texts, want))
+    group = {k: k for k in range(len(texts))}
+
+    def root(k):
+        while group[k] != k:
+            k = group[k]
+        return k
+
+    for a, b in edges:
+        group[root(a)] = root(b)
+    first = {}
+    for k, (i, _) in enumerate(texts):
+        r = root(k)
+        first[r] = min(first.get(r, i), i)
+    assert sorted((r.doc_id, r.group_id) for r in got) == sorted((i, first[root(k)]) for k, (i, _) in enumerate(texts))
+
+
+def test_jaccard_join_awkward(spark, awkward):
+    df, texts = awkward
+    got = sorted((r.doc_id or -1, r.n_links) for r in shingle_join.similar(df).collect())
+    assert got == sorted((i or -1, n) for (i, _), n in zip(texts, links_of(texts)[0]))
+    assert shingle_join.similar(df.limit(0)).count() == 0
+
+
+def test_components(spark):
+    rng = random.Random(2)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(500, 560)] + [(None, 3), (7, 7)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a int, b int"), "a", "b").collect()}
+    up = {}
+
+    def root(k):
+        while up.setdefault(k, k) != k:
+            k = up[k]
+        return k
+
+    for a, b in edges:
+        if a is not None and a != b:
+            x, y = sorted((root(a), root(b)))
+            up[y] = x
+    assert got == {k: root(k) for k in up}
+
+
+# ------------------------------------------------------------------ pages
+
+
+def test_html(spark):
+    page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><div id=hd class="header">Site</div>
+    <nav><ul><li><a href=x>Home</a></ul></nav><div class="wrap"><div class="post12 body"><h1>Head &lt;x&gt;</h1><!-- <p>no --><p>Hello   <b>wor</b>ld&nbsp;ok
+    <p>Second<br>para<span class="ad">BUY</span> end &amp;amp; more<ul><li>one<li>two</ul><form>name <input></form></div><div class="comments"><p>Nice post, a very long comment here that goes on and on and on</div></div><footer>f"""
+    texts = [(1, "http://a.example/1", page), (2, "http://a.example/2", None), (3, None, ""), (3, None, ""), (4, "http://b.example/", "just text & no tags < 3"), (None, "x", "<p>" + "word " * 50_000)]
+    df = spark.createDataFrame([(*t, "x", 1.0, "h") for t in texts], "page_id long, url string, html string, path string, score double, host string")
+    got = {r.page_id: r for r in html_text.extract(df).collect()}
+    assert got[1].text == "Head <x>\n\nHello world ok\n\nSecond para end &amp; more\n\none\n\ntwo"
+    assert got[2].text == got[3].text == "" and got[4].text == "just text & no tags < 3"
+    assert got[None].n_chars == 50_000 * 5 - 1
+    assert html_text.extract(df.limit(0)).count() == 0
+
+
+def test_html_votes(spark):
+    page = "<body><div class='{a}'><p>{x}</div><div class='{b}'><p>{y}</div></body>"
+    pages = [(k, "http://h/", page.format(a="story", x="long text " * 30, b="box", y="short")) for k in range(5)]
+    pages.append((9, "http://h/", page.format(a="story", x="tiny", b="box", y="a longer piece of text that isn't the story " * 5)))
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[9] == "tiny"
+
+
+# ------------------------------------------------------------------ language model
+
+
+def test_hmm_counts(spark, docs, awkward):
+    for df in (docs, awkward[0]):
+        texts = [(r.doc_id, r.text) for r in df.collect()]
+        toks = [(i, [*(t or "").encode().lower().split(), None]) for i, t in texts]
+        held = [zlib.crc32(str(i if i is not None else "").encode()) % 7 == 2 for i, _ in toks]
+        c = Counter(w for (_, ws), h in zip(toks, held) if not h for w in ws)
+        n, v = sum(c.values()), len(c)
+        want = sorted((i or -1, h, len(ws), sum(c[w] > 0 for w in ws), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws), 6)) for (i, ws), h in zip(toks, held))
+        got = hmm_lm.score(df).collect()
+        assert sorted((r.doc_id or -1, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
+        assert all(math.isfinite(r.score) and r.score <= 0 for r in got)
+    assert sum(r.score for r in got) > -math.inf
+    assert hmm_lm.score(docs.limit(0)).count() == 0
+
+
+def test_hmm_beats_single_words(spark):
+    got = hmm_lm.op5_hmm_score(spark, SF).filter("held_out").toPandas()
+    assert got.score.sum() > got.base_score.sum()
+
+
+def test_forward_and_expected_counts():
+    rng = np.random.default_rng(1)
+    m = hmm_lm.Model(rng.dirichlet([1] * 3), rng.dirichlet([1] * 3, 3), rng.dirichlet([1] * 4, 3).T)
+    seqs = [rng.integers(0, 4, n).astype("<u2") for n in (1, 5, 3, 5)]
+    lanes = hmm_lm.Lanes(seqs)
+    logs = lanes.forward(m)
+    first, step, emit = lanes.expected(m)
+    import itertools
+
+    want, f0, s0, e0 = [], np.zeros(3), np.zeros((3, 3)), np.zeros((4, 3))
+    for s in seqs:
+        total, parts = 0.0, []
+        for path in itertools.product(range(3), repeat=len(s)):
+            p = m.pi[path[0]] * m.e[s[0], path[0]]
+            for t in range(1, len(s)):
+                p *= m.a[path[t - 1], path[t]] * m.e[s[t], path[t]]
+            total += p
+            parts.append((path, p))
+        want.append(math.log(total))
+        for path, p in parts:
+            f0[path[0]] += p / total
+            for t in range(len(s)):
+                e0[s[t], path[t]] += p / total
+                if t:
+                    s0[path[t - 1], path[t]] += p / total
+    assert np.allclose(logs, want) and np.allclose(first, f0, atol=1e-4) and np.allclose(step, s0, atol=1e-4) and np.allclose(emit, e0, atol=1e-4)
+
+
+# ------------------------------------------------------------------ top-k
+
+
+def test_topk(spark):
+    rng = np.random.default_rng(4)
+    vectors = [(int(i), [float(x) for x in rng.normal(0, 0.3, 16)]) for i in range(700)]
+    vectors += [(700, None), (701, []), (702, [1.0, None]), (703, [float("nan")] * 16), (704, [float("inf")] * 16), (None, [1.0] * 16), (705, [0.5] * 16), (706, [0.5] * 16), (706, [0.5] * 16), (750, [0.5] * 9)]
+    df = spark.createDataFrame([(*v, 1, 2) for v in vectors], "vec_id long, embedding array<double>, score int, rank int")
+    got = [tuple(r) for r in topk.top_k(df, group_rows=200, query_rows=6).select("query_id", "rank", "vec_id", "score").collect()]
+    whole = [(i, [math.floor(256 * x) for x in v]) for i, v in vectors if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    want = []
+    for i, q in whole:
+        if i % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in whole if j != i)[:5]
+            want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(best)]
+    assert sorted(got) == sorted(want)
+    assert topk.top_k(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("scale", [3, 3_000, 3_000_000_000])
+def test_search_is_exact(scale):
+    rng = np.random.default_rng(5)
+    x, q = rng.integers(-scale, scale, (300, 8)), rng.integers(-scale, scale, (7, 8))
+    got = topk.search(np.arange(1000, 1007), q // (1 if scale < 10**6 else 10), np.arange(300), x, 4, block=64)
+    q = q // (1 if scale < 10**6 else 10)
+    for k in range(7):
+        s = x @ q[k]
+        want = sorted(range(300), key=lambda j: (-s[j], j))[:4]
+        assert got[got.query_id == 1000 + k].vec_id.tolist() == want
+
+
+# ------------------------------------------------------------------ mixing
+
+
+def test_mixing(spark, docs, awkward):
+    for df in (docs, awkward[0]):
+        out = mixing.mix(df, shards=8, block_docs=16)
+        assert out.columns[:-1] == df.columns
+        got = out.select("doc_id", "text", "source", "_mix.*").collect()
+        assert len(got) == df.count()
+        sizes = defaultdict(int)
+        for r in got:
+            assert r["size"] == len((r.text or "").encode().split())
+            sizes[r.source] += r["size"]
+        names = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
+        want = dict(zip(names, mixing.targets([sizes[s] for s in names], [k % 3 + 1.0 for k in range(len(names))])))
+        taken = defaultdict(int)
+        for r in got:
+            assert r.source_size == sizes[r.source] and abs(r.target - want[r.source]) < 1e-6 and 0 <= r.copies <= 3 and len(r.draws) == r.copies
+            assert all(0 <= d.shard < 8 for d in r.draws)
+            taken[r.source] += r["size"] * r.copies
+        for s in names:
+            most = max((r["size"] for r in got if r.source == s), default=0)
+            assert abs(taken[s] - want[s]) <= most + 1
+        again = mixing.mix(df.repartition(5), shards=8, block_docs=16).select("doc_id", "text", "source", "_mix.*").collect()
+        assert sorted(map(str, got)) == sorted(map(str, again))
+        rows_out = mixing.shuffled(out, 8)
+        assert rows_out.count() == sum(r.copies for r in got)
+    assert mixing.mix(docs.limit(0)).count() == 0
+
+
+def test_targets():
+    assert mixing.targets([100, 100, 100], [1, 2, 3]) == [50, 100, 150]
+    got = mixing.targets([10, 1000, 0], [5, 1, 1])
+    assert got == [30, 980, 0] and sum(got) == 1010
+
+
+def test_split_is_exact():
+    q = np.array([7, 0, 1000, 33])
+    s = mixing.split(q, 13, seed=4)
+    assert (s.sum(axis=1) == q).all() and s.min() >= 0 and s.sum(axis=0).max() - s.sum(axis=0).min() <= 1
+    assert (s == mixing.split(q, 13, seed=4)).all()
+
+
+# ------------------------------------------------------------------ token store
+
+
+def test_range_coder():
+    rng = np.random.default_rng(0)
+    for x in ([], [5], [0] * 5000, rng.integers(0, 65536, 9000), rng.integers(0, 3, 4097), [65535] * 3, np.tile(rng.integers(0, 50000, 50), 200)):
+        x = np.array(x, dtype=np.uint32)
+        blocks = range_coder.encode(x, 1000)
+        got = range_coder.decode(blocks[::-1])[::-1]
+        assert np.array_equal(np.concatenate(got) if got else x, x)
+    bad = bytearray(blocks[0])
+    bad[-9] ^= 1
+    with pytest.raises(ValueError):
+        range_coder.decode([bytes(bad)])
+    with pytest.raises(ValueError):
+        range_coder.encode(np.array([70000]))
+
+
+def test_token_store(spark, docs, awkward):
+    for df in (docs, awkward[0]):
+        texts = [(r.doc_id, r.text) for r in df.collect()]
+        got = sorted((tuple(r) for r in token_store.read(token_store.write(df, segment_ids=20_000)).collect()), key=lambda r: r[1])
+        at, left = 0, Counter()
+        for i, t in texts:
+            ids = np.array([*ids_of(t), 0], dtype="<u4")
+            left[i, len(ids), zlib.crc32(ids.tobytes())] += 1
+        last = -1
+        for i, start, n, crc in got:
+            assert start == at and (-1 if i is None else i) >= last
+            left[i, n, crc] -= 1
+            at, last = at + n, -1 if i is None else i
+        assert not +left and len(got) == len(texts)
+    assert token_store.read(token_store.write(docs.limit(0))).count() == 0
+
+
+# ------------------------------------------------------------------ media
+
+
+def images():
+    rng = np.random.default_rng(1)
+    photo = (np.add.outer(np.arange(17), np.arange(23))[..., None] * np.array([3, 5, 7, 0]) + rng.integers(0, 6, (17, 23, 4))).astype(np.uint8)
+    yield np.ascontiguousarray(photo).view(np.uint32)[..., 0]
+    for colours, shape in ((2, (5, 13)), (3, (5, 14)), (5, (9, 31)), (200, (20, 20))):
+        yield rng.choice(rng.integers(0, 1 << 32, colours, dtype=np.uint64).astype(np.uint32), shape)
+    yield np.full((3, 700), 7, dtype=np.uint32)
+
+
+@pytest.mark.parametrize("transforms", [(), (0,), (1,), (2,), (3,), (0, 1), (1, 2, 0), (3, 0)])
+def test_webp_round_trip(transforms):
+    for p in images():
+        if 3 in transforms and len(np.unique(p)) > 256:
+            continue
+        for cache in (0, 1, 6):
+            assert np.array_equal(webp.read(webp.write(p, transforms=transforms, cache_bits=cache)), p)
+
+
+def test_webp_refuses_damage():
+    with pytest.raises(ValueError):
+        webp.read(b"RIFFxxxxWEBPVP8L")
+    good = webp.write(next(images()))
+    with pytest.raises(ValueError):
+        webp.read(good.replace(b"VP8L", b"VP8X"))
+
+
+def test_media(spark, awkward, docs):
+    import hashlib
+
+    for df in (awkward[0], docs):
+        texts = Counter()
+        for r in df.collect():
+            raw = (r.text or "").encode()
+            p = media.fill(raw)
+            texts[r.doc_id, len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:])] += 1
+        stored = media.store(df)
+        got = media.features(stored).collect()
+        assert Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in got) == texts
+        assert all(len(r.feature) == 16 for r in got)
+    assert media.features(media.store(df.limit(0))).count() == 0
+
+
+def test_media_of_many_rows(monkeypatch):
+    monkeypatch.setattr(webp, "ROWS", 3)
+    p = [media.fill(("text %d " % k).encode() * 300) for k in range(6)]
+    assert webp.read_many(webp.write_many(p)) == p
+    assert webp.read_many([webp.write(np.full((2, 192), 0xFF010203, dtype=np.uint32), transforms=(0, 2))]) == [b"\x01\x02\x03" * 384]
+
+
+# ------------------------------------------------------------------ licences
+
+
+def test_license_scan(spark, docs):
+    lines = {
+        "Licensed under the Apache License, Version 2.0.": "apache", "Released under the MIT License.": "mit", "Licensed under CC BY-NC 4.0.": "cc-by-nc",
+        "This work is licensed under the GNU General Public License, version 3.": "gpl", "All rights reserved.": "proprietary", "SPDX-License-Identifier: BSD-3-Clause": "bsd",
+        "His fishing licence was renewed yesterday in town.": "unknown", "The apache helicopter": "unknown", "Nothing to see here": None, "mit der Zeit": None,
+    }
+    texts = [(k, f"First line.\n{line}\nLast line.") for k, line in enumerate(lines)] + [(90, None), (91, ""), (None, "Released under the MIT License."), (None, "Released under the MIT License."), (92, "word " * 50_000 + "\nReleased under the MIT License.")]
+    got = license_scan.scan(frame(spark, texts))
+    assert not any(k in got._jdf.queryExecution().executedPlan().toString() for k in ("Python", "Pandas", "Arrow"))
+    found = Counter((r.doc_id, r.paragraph, r.family) for r in got.collect())
+    want = Counter((k, 1, f) for k, f in enumerate(lines.values()) if f) + Counter({(None, 0, "mit"): 2, (92, 1, "mit"): 1})
+    assert found == want
+    assert license_scan.scan(docs.limit(0)).count() == 0
+
+
+# ------------------------------------------------------------------ pipeline
+
+
+def test_pipeline_stages(spark, docs, awkward):
+    df = docs
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["language_id"](spark, df, SF)
+    assert kept.columns == df.columns and kept.count() == df.count()
+    unique = stages["near_duplicates"](spark, kept, SF)
+    texts = [(r.doc_id, r.text) for r in kept.collect()]
+    want = {r.doc_id for r in shingle_join.similar(kept).collect() if r.doc_id == r.group_id}
+    n, edges = links_of(texts)
+    alone = {texts[k][0] for k in range(len(texts)) if n[k] == 0}
+    got = {r.doc_id for r in unique.collect()}
+    assert unique.columns == df.columns and got == want and alone <= got
+    left = [t for t in texts if t[0] in got]
+    assert not links_of(left)[1]
+    mixed = stages["mixing"](spark, unique, SF)
+    assert mixed.columns == df.columns and {r.doc_id for r in mixed.collect()} <= got
+    assert stages["packing"](spark, mixed, SF).agg({"length": "sum"}).first()[0] > 0
+    odd, texts = awkward
+    out = stages["near_duplicates"](spark, odd, SF)
+    assert out.columns == odd.columns and sorted(r.doc_id or -1 for r in out.collect()) == [-1, 1, 2, 3, 4, 5, 6, 7]
+    for name in ("language_id", "mixing", "packing"):
+        stages[name](spark, odd, SF).count()
+        stages[name](spark, odd.limit(0), SF).count()
+    assert stages["near_duplicates"](spark, odd.limit(0), SF).count() == 0
+
+
+def test_pipeline_run(spark):
+    assert corpus_pipeline.run(spark, SF).count() > 0
