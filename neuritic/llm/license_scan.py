@@ -144,7 +144,7 @@ OTHERS = [
     "The author explains copyright and patents to students.",
 ]
 #: What makes a word an anchor, as patterns for the start of a word.
-ANCHORS = ("licen[cs]", "copyright", "gpl", "lgpl", "agpl", "mpl", "apache", "creative", "commons", "cc-by", "cc0", "warrant", "redistribut", "permission", "spdx", "bsd", "mozilla", "rights", "domain", "unencumbered", "cc", "proprietary")
+ANCHORS = ("licen[cs]", "copyright", "gpl", "lgpl", "agpl", "mpl", "gnu", "affero", "apache", "creative", "commons", "cc-by", "cc0", "warrant", "redistribut", "permission", "spdx", "bsd", "mozilla", "rights", "domain", "unencumbered", "cc", "proprietary")
 _GATE = r"(?i)(?:^|[^a-z0-9])(?:" + "|".join(ANCHORS) + ")"
 _TOKEN = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 _ANCHOR = r"(?:^| )(?:" + "|".join(ANCHORS) + ")"
@@ -196,7 +196,7 @@ def _fitted(app: str) -> tuple[list[str], list[float], list[tuple]]:
     label = F.element_at(F.create_map(*(F.lit(x) for k, f in enumerate(families) for x in (f, float(k)))), F.col("family"))
     vocabulary = CountVectorizer(inputCol="grams", outputCol="features", binary=True).fit(data)
     data = vocabulary.transform(data).withColumn("label", label).select("features", "label", "fold").cache()
-    learner = LogisticRegression(family="multinomial", regParam=0.002, elasticNetParam=0.2, maxIter=60, standardization=False)
+    learner = LogisticRegression(family="multinomial", regParam=0.0005, elasticNetParam=0.1, maxIter=80, standardization=False)
     out = learner.fit(data.filter("fold != 0")).transform(data.filter("fold = 0")).select("label", vector_to_array("rawPrediction").alias("raw")).collect()
 
     def loss(t: float) -> float:
