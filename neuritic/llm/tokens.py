@@ -19,7 +19,7 @@ _ROW = re.compile(r"\s\s")
 _FAR = re.compile(rf"[^\x00-\x7f{_LETTER}]")
 _RUNS = re.compile(rf" ?[{_LETTER}]+| ?[^{_LETTER} ]+| ")
 #: Runs that a worker remembers at once; a full memory is emptied, which changes no result.
-MEMORY = 800_000
+MEMORY = 1_200_000
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
