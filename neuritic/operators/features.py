@@ -355,3 +355,23 @@ def neurom_branches(topo: DataFrame) -> DataFrame:
         "cell_id", "branch", "path_len", F.col("h.radial").alias("radial_head"), F.col("t.radial").alias("radial_tail"), "radial_max", "z_above", "mean_radius", "min_radius", "max_radius", F.col("h.radius").alias("head_radius"), F.col("t.radius").alias("tail_radius"),
         ((F.col("h.radius") - F.col("t.radius")) / F.greatest(F.lit(1e-6), F.col("h.radius"))).alias("taper"), F.col("t.sub_size").alias("subtree_nodes"), F.col("t.sub_forks").alias("subtree_bifs"), F.col("t.sub_cable").alias("subtree_length"),
     )
+
+
+def sholl_vector(topo: DataFrame, radii: tuple = SHOLL_RADII) -> DataFrame:
+    """By primary subtree: crossings at each radius, their peak and where it is, counts, distances, length, longest way to a
+    tip, the size of the first axis' parts, and heights."""
+    c = sholl_crossings(topo, radii)
+    wide = c.groupBy(*TREE).agg(*(F.max(F.when(F.col("radius") == r, F.col("crossings"))).alias(f"crossings_{r}") for r in radii), F.max("crossings").alias("max_crossings"), F.max_by("radius", F.struct("crossings", -F.col("radius"))).alias("peak_radius"))
+    t = with_soma(topo).filter("primary_root IS NOT NULL")
+    g = t.groupBy(*TREE).agg(F.count(F.lit(1)).alias("n_nodes"), F.count_if(F.col("n_children") >= 2).alias("n_bifs"), F.max("radial").alias("max_radial"), F.avg("radius").alias("mean_radius"), F.sum("edge").alias("total_length"), F.max("path").alias("max_path"), F.max("dz").alias("z_max"), F.min("dz").alias("z_min"))
+    one = t.select(F.struct("cell_id", "primary_root").alias("cell_id"), "x", "y", "z")
+    axis = principal_axis(one.withColumn("cell_id", F.to_json("cell_id"))).select("cell_id", *(F.abs(a).alias(f"pc1_{a[1]}") for a in ("ax", "ay", "az")))
+    key = F.to_json(F.struct("cell_id", "primary_root"))
+    return g.join(wide, TREE).withColumn("_k", key).join(axis.withColumnRenamed("cell_id", "_k"), "_k").drop("_k")
+
+
+def lmeasure_vector(topo: DataFrame) -> DataFrame:
+    """By primary subtree: totals, asymmetry of forks, mean contraction and taper of branches, and the root's radius."""
+    b = branch_geometry(topo).groupBy(*TREE).agg(F.avg("persistence").alias("mean_contraction"), F.avg("taper_ratio").alias("mean_taper"))
+    root = topo.filter("id = primary_root").select(*TREE, F.col("radius").alias("root_radius"), "parent_radius")
+    return lmeasure_totals(topo).join(partition_asymmetry(topo), TREE, "left").join(b, TREE, "left").join(root, TREE).na.fill(0.0)

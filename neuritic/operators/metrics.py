@@ -170,3 +170,37 @@ def error_drivers(errors: DataFrame, features: list[str], medians: DataFrame, to
     d = long.join(a, ["gt", "feature"]).join(b, ["pred", "feature"]).withColumn("delta", (F.abs(F.col("v") - F.col("mg")) - F.abs(F.col("v") - F.col("mp"))) / F.col("scale")).filter("delta > 0")
     n = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("delta"), "feature"))
     return d.withColumn("n", n).filter(F.col("n") <= top).select("path", "n", "feature", "delta")
+
+
+def binary(rows: DataFrame, keys: list[str], weight: str = "w", positive: int = 2, gt: str = "type", pred: str = "pred") -> DataFrame:
+    """keys: accuracy, and the weighted recall of the positive label (axon) and of the others."""
+    g, p = F.col(gt) == positive, F.col(pred) == positive
+    w = F.col(weight)
+
+    def recall(of: Column) -> Column:
+        return F.sum(F.when(of & (g == p), w).otherwise(0)) / F.greatest(F.sum(F.when(of, w).otherwise(0)), F.lit(1))
+
+    return rows.groupBy(*keys).agg(F.avg((g == p).cast("double")).alias("accuracy"), recall(g).alias("axon_recall"), recall(~g).alias("dendrite_recall"))
+
+
+def graph_metrics(rows: DataFrame, keys: list[str], gt: str = "gt", pred: str = "pred", ignore: int = -100) -> DataFrame:
+    """One row: macro F1 over labels 0 and 1 of all vertices, each label's F1, and the mean macro F1 over graphs with labels."""
+    known = rows.filter(F.col(gt) != ignore)
+
+    def f1(by: list[str]) -> DataFrame:
+        t = known.groupBy(*by).agg(*(F.count_if((F.col(gt) == a) & (F.col(pred) == b)).alias(f"n{a}{b}") for a in (0, 1) for b in (0, 1)))
+
+        def one(tp: str, fp: str, fn: str) -> Column:
+            total = 2 * F.col(tp) + F.col(fp) + F.col(fn)
+            return F.when(total > 0, 2 * F.col(tp) / total).otherwise(0.0)
+
+        return t.withColumn("f0", one("n00", "n10", "n01")).withColumn("f1", one("n11", "n01", "n10")).withColumn("macro", (F.col("f0") + F.col("f1")) / 2)
+
+    per = f1(keys).agg(F.avg("macro").alias("graph_mean_macro_f1"))
+    return f1([]).select(F.col("macro").alias("macro_f1"), F.col("f0").alias("f1_0"), F.col("f1").alias("f1_1")).crossJoin(per)  # one row each
+
+
+def false_rate(rows: DataFrame, keys: list[str], label: int = 4, gt: str = "type", pred: str = "pred") -> DataFrame:
+    """One row: cells that truly lack the label, those of them where it is predicted, and their share."""
+    cells = rows.groupBy(*keys).agg(F.max((F.col(gt) == label).cast("int")).alias("has"), F.max((F.col(pred) == label).cast("int")).alias("said")).filter("has = 0")
+    return cells.agg(F.count(F.lit(1)).alias("n_cells"), F.coalesce(F.sum("said"), F.lit(0)).alias("n_false"), F.coalesce(F.avg("said"), F.lit(0.0)).alias("rate"))

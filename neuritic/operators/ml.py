@@ -116,3 +116,36 @@ def sage_layer(vertices: DataFrame, edges: DataFrame, keys: list[str], own: np.n
         return pd.Series(list(np.maximum(out, 0) if relu else out))
 
     return j.select(*keys, "id", apply("x", "mean").alias("x"))
+
+
+def train_binary(rows: DataFrame, features: list[str], label: str = "label", dendrite_weight: float = 2.0, trees: int = 100):
+    """A forest for axon (1) against dendrites (0), which weigh more."""
+    w = rows.withColumn("_w", F.when(F.col(label) == 0, dendrite_weight).otherwise(1.0))
+    return train_labels(w, features, label, "_w", trees)
+
+
+def calibrated(rows: DataFrame, features: list[str], classes: int, label: str = "label", k: int = 3, trees: int = 100):
+    """A forest on all rows and, for each class, an isotonic fit of its probability on predictions for folds left out.
+
+    Returns (forest, fits); predict_calibrated applies both. rows: fold and label.
+    """
+    from functools import reduce
+
+    from pyspark.ml.regression import IsotonicRegression
+
+    out = [predict_labels(train_labels(rows.filter(F.col("fold") != i), features, label, trees=trees), rows.filter(F.col("fold") == i), features).select(label, "probability") for i in range(k)]
+    held = reduce(DataFrame.unionByName, out).persist()
+    fits = [IsotonicRegression(featuresCol="p", labelCol="y").fit(held.select(F.coalesce(F.get("probability", c), F.lit(0.0)).alias("p"), (F.col(label) == c).cast("double").alias("y"))) for c in range(classes)]
+    held.unpersist()
+    return train_labels(rows, features, label, trees=trees), fits
+
+
+def predict_calibrated(model, fits: list, rows: DataFrame, features: list[str]) -> DataFrame:
+    """Adds probability (calibrated, summing to 1) and prediction."""
+    out = predict_labels(model, rows, features)
+    for c, fit in enumerate(fits):
+        out = fit.setFeaturesCol("_p").setPredictionCol(f"_q{c}").transform(out.withColumn("_p", F.coalesce(F.get("probability", F.lit(c)), F.lit(0.0)))).drop("_p")
+    total = sum(F.col(f"_q{c}") for c in range(len(fits)))
+    p = F.array(*(F.when(total > 0, F.col(f"_q{c}") / total).otherwise(1.0 / len(fits)) for c in range(len(fits))))
+    out = out.withColumn("probability", p).drop(*(f"_q{c}" for c in range(len(fits))))
+    return out.withColumn("prediction", (F.array_position("probability", F.array_max("probability")) - 1).cast("double"))

@@ -74,3 +74,13 @@ def folds(files: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
 def by_source(files: DataFrame) -> DataFrame:
     """Files with the source that their name begins with."""
     return files.withColumn("source", source_of(F.col("file_name")))
+
+
+def without_label(cells: DataFrame, cell_type: str = "pyramidal", label: int = 4) -> DataFrame:
+    """Cells of a type whose labels lack one. cells: cell_type, types."""
+    return cells.filter((F.col("cell_type") == cell_type) & ~F.array_contains("types", label))
+
+
+def branch_labels(branches: DataFrame, basal: int = 3, apical: int = 4, ignore: int = -100) -> DataFrame:
+    """Branches with y for a graph model: 0 basal, 1 apical, `ignore` for the rest."""
+    return branches.withColumn("y", F.when(F.col("gt") == basal, 0).when(F.col("gt") == apical, 1).otherwise(ignore))

@@ -432,6 +432,42 @@ def _(spark, sf):
     return metrics.per_label(metrics.confusion(rows, ["g"], "quality", "toxic"), ["g"], (0, 1))
 
 
+@query("binary_metrics", "cell_type:s accuracy:d axon_recall:d dendrite_recall:d", f"SELECT cell_type, avg(CASE WHEN (type = 2) = (pred = 2) THEN 1.0 ELSE 0.0 END) AS accuracy, sum(CASE WHEN type = 2 AND pred = 2 THEN radius ELSE 0 END) / greatest(sum(CASE WHEN type = 2 THEN radius ELSE 0 END), 1) AS axon_recall, sum(CASE WHEN type <> 2 AND pred <> 2 THEN radius ELSE 0 END) / greatest(sum(CASE WHEN type <> 2 THEN radius ELSE 0 END), 1) AS dendrite_recall FROM ({PRED}) p GROUP BY 1")
+def _(spark, sf):
+    return metrics.binary(pred(spark, sf), ["cell_type"], "radius")
+
+
+_G = f"(SELECT cell_id, CASE type WHEN 3 THEN 0 WHEN 4 THEN 1 ELSE -100 END AS g, CASE pred WHEN 4 THEN 1 ELSE 0 END AS p FROM ({PRED}) p)"
+
+
+@query("graph_metrics", "macro_f1:d f1_0:d f1_1:d graph_mean_macro_f1:d", f"SELECT (f0 + f1) / 2 AS macro_f1, f0 AS f1_0, f1 AS f1_1, (SELECT avg((f0 + f1) / 2) FROM (SELECT cell_id, coalesce(2.0 * sum(CAST(g = 0 AND p = 0 AS INT)) / nullif(2 * sum(CAST(g = 0 AND p = 0 AS INT)) + sum(CAST(g <> p AS INT)), 0), 0) AS f0, coalesce(2.0 * sum(CAST(g = 1 AND p = 1 AS INT)) / nullif(2 * sum(CAST(g = 1 AND p = 1 AS INT)) + sum(CAST(g <> p AS INT)), 0), 0) AS f1 FROM {_G} a WHERE g <> -100 GROUP BY 1) b) AS graph_mean_macro_f1 FROM (SELECT coalesce(2.0 * sum(CAST(g = 0 AND p = 0 AS INT)) / nullif(2 * sum(CAST(g = 0 AND p = 0 AS INT)) + sum(CAST(g <> p AS INT)), 0), 0) AS f0, coalesce(2.0 * sum(CAST(g = 1 AND p = 1 AS INT)) / nullif(2 * sum(CAST(g = 1 AND p = 1 AS INT)) + sum(CAST(g <> p AS INT)), 0), 0) AS f1 FROM {_G} c WHERE g <> -100) d")
+def _(spark, sf):
+    n = prep.branch_labels(pred(spark, sf).withColumn("gt", F.col("type"))).select("cell_id", F.col("y").alias("gt"), (F.col("pred") == 4).cast("int").alias("pred"))
+    return metrics.graph_metrics(n, ["cell_id"])
+
+
+@query("false_apical_rate", "n_cells:l n_false:l rate:d", f"SELECT count(*) AS n_cells, coalesce(sum(said), 0) AS n_false, coalesce(avg(said), 0) AS rate FROM (SELECT cell_id, max(CAST(type = 4 AND seq % 3 = 0 AS INT)) AS has, max(CAST(pred = 4 AND seq % 5 = 0 AS INT)) AS said FROM ({PRED}) p GROUP BY 1) q WHERE has = 0")
+def _(spark, sf):
+    p = pred(spark, sf).withColumn("type", F.when(F.col("seq") % 3 == 0, F.col("type")).otherwise(2)).withColumn("pred", F.when(F.col("seq") % 5 == 0, F.col("pred")).otherwise(2))
+    return metrics.false_rate(p, ["cell_id"])
+
+
+@query("no_apical_pyramidal", "cell_id:l", f"SELECT cell_id FROM ({NODES}) n WHERE cell_type = 'pyramidal' GROUP BY 1 HAVING NOT bool_or(type = 4 AND seq % 9 = 0)")
+def _(spark, sf):
+    n = nodes(spark, sf).withColumn("type", F.when((F.col("type") == 4) & (F.col("seq") % 9 != 0), 3).otherwise(F.col("type")))
+    return prep.without_label(swc.type_sets(n).join(n.select("cell_id", "cell_type").distinct(), "cell_id"))
+
+
+@query("sholl_vector", "cell_id:l primary_root:l crossings_50:l peak_radius:l total_length:d z_max:d", "SELECT a.cell_id, a.primary_root, b.c50 AS crossings_50, b.peak AS peak_radius, a.total_length, a.z_max FROM (SELECT cell_id, primary_root, sum(edge) AS total_length, max(dz) AS z_max FROM topo WHERE primary_root IS NOT NULL GROUP BY 1, 2) a JOIN (SELECT cell_id, primary_root, max(CASE WHEN radius = 50 THEN n END) AS c50, arg_max(radius, n * 10000 - radius) AS peak FROM (SELECT e.cell_id, e.primary_root, r.radius, count(*) FILTER (WHERE e.lo < r.radius AND r.radius <= e.hi) AS n FROM (SELECT t.cell_id, t.primary_root, least(t.radial, p.radial) AS lo, greatest(t.radial, p.radial) AS hi FROM topo t JOIN topo p ON p.cell_id = t.cell_id AND p.id = t.parent WHERE t.primary_root IS NOT NULL) e CROSS JOIN (SELECT unnest([10,25,50,100,200,400,800]) AS radius) r GROUP BY 1, 2, 3) c GROUP BY 1, 2) b ON a.cell_id = b.cell_id AND a.primary_root = b.primary_root", TREE)
+def _(spark, sf):
+    return features.sholl_vector(topo(spark, sf))
+
+
+@query("lmeasure_vector", "cell_id:l primary_root:l mean_contraction:d root_radius:d mean_asymmetry:d")
+def _(spark, sf):
+    return features.lmeasure_vector(topo(spark, sf))
+
+
 # ---------------------------------------------------------------- rules and quality control
 
 _LEGAL = "(CASE WHEN cell_type = 'pyramidal' THEN [2,3,4] ELSE [2,3] END)"

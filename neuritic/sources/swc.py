@@ -24,13 +24,18 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     return rows.select("cell_id", "seq", *named).dropna()
 
 
+def file_path() -> Column:
+    """The path of the file that a row is from, with its characters as they are."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
 def read_swc(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
     """Nodes of all files below a path, with cell_id (the file's path), cell_type (class folder) and their order in the file.
 
     Files are split into lines inside the tasks that read them; a file is one cell.
     """
     files = spark.read.option("recursiveFileLookup", recursive).option("pathGlobFilter", "*.swc").text(path, wholetext=True)
-    files = files.select(F.col("_metadata.file_path").alias("cell_id"), "value")
+    files = files.select(file_path().alias("cell_id"), "value")
     lines = files.select("cell_id", F.posexplode(F.split("value", "\r\n|\n|\r")).alias("seq", "line"))
     return parse_lines(lines).withColumn("cell_type", class_folder(F.col("cell_id"))).withColumn("batch", batch_folder(F.col("cell_id")))
 

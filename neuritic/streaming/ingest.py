@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.swc import class_folder, parse_lines
+from ..sources.swc import class_folder, file_path, parse_lines
 from ..sources.tables import upsert
 
 
 def stream_nodes(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
     """A streaming frame of the nodes of all files that come up below a path."""
     files = spark.readStream.format("text").schema("value string").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.swc").option("maxFilesPerTrigger", max_files).load(path)
-    files = files.select(F.col("_metadata.file_path").alias("cell_id"), "value")
+    files = files.select(file_path().alias("cell_id"), "value")
     lines = files.select("cell_id", F.posexplode(F.split("value", "\r\n|\n|\r")).alias("seq", "line"))
     return parse_lines(lines).withColumn("cell_type", class_folder(F.col("cell_id")))
 
