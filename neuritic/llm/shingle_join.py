@@ -345,4 +345,23 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op3_ngram_jaccard_join": op3_ngram_jaccard_join}
-ORACLE = {}
+ORACLE = {
+    "op3_ngram_jaccard_join": r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT rid, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) END AS g FROM w
+), c AS (
+  SELECT row_number() OVER () AS cid, g, min(doc_id) AS class_id, count(*) AS n_copies FROM s WHERE len(g) > 0 GROUP BY g
+), e AS (SELECT cid, len(g) AS k, unnest(g) AS t FROM c
+), l AS (
+  SELECT a.cid AS a, b.cid AS b FROM e a JOIN e b ON a.t = b.t AND a.cid <> b.cid GROUP BY a.cid, b.cid, a.k, b.k HAVING 9 * count(*) >= 4 * (a.k + b.k)
+), n AS (SELECT l.a AS cid, sum(c.n_copies) AS links FROM l JOIN c ON c.cid = l.b GROUP BY 1
+), r AS (SELECT cid, cid AS m FROM c UNION SELECT r.cid, l.b FROM r JOIN l ON l.a = r.m
+), g AS (SELECT r.cid, min(c.class_id) AS group_id FROM r JOIN c ON c.cid = r.m GROUP BY 1)
+SELECT s.doc_id, coalesce(c.class_id, s.doc_id) AS class_id, CAST(coalesce(c.n_copies, 1) AS BIGINT) AS n_copies,
+  CAST(coalesce(c.n_copies, 1) - 1 + coalesce(n.links, 0) AS BIGINT) AS n_links, coalesce(g.group_id, s.doc_id) AS group_id
+FROM s LEFT JOIN c ON c.g = s.g LEFT JOIN n ON n.cid = c.cid LEFT JOIN g ON g.cid = c.cid
+"""
+}
