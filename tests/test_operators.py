@@ -235,3 +235,16 @@ def test_neighbour_mean_and_layer(spark):
     assert got == {1: [4.0, 5.0], 2: [1.0, 2.0], 3: [1.0, 2.0], 4: [0.0, 0.0]}
     out = {r.id: r.x for r in ml.sage_layer(v, e, ["g"], np.eye(2), -np.eye(2), np.zeros(2)).collect()}
     assert out == {1: [0.0, 0.0], 2: [2.0, 2.0], 3: [4.0, 4.0], 4: [0.0, 0.0]}
+
+
+@pytest.mark.parametrize("verb", ["diagnose", "filter", "clean-soma", "split"])
+def test_verbs(spark, tmp_path, verb):
+    from neuritic import __main__ as cli
+
+    for kind in ("pyramidal", "interneuron"):
+        (tmp_path / "in" / kind).mkdir(parents=True)
+        for k in range(3):
+            lines = ["1 1 0 0 0 5 -1", *(f"{i} {2 + i % 3} {i} {i * k} {i % 4} 0.5 {i - 1}" for i in range(2, 30))]
+            (tmp_path / "in" / kind / f"{kind}{k}.swc").write_text("\n".join(lines))
+    cli.run(spark, verb, str(tmp_path / "in"), str(tmp_path / "out"))
+    assert tables.read_manifest(spark, str(tmp_path / "out")).count() == 6
