@@ -34,19 +34,17 @@ def per_label(table: DataFrame, keys: list[str], labels: tuple = LABELS) -> Data
 
 def summary(table: DataFrame, keys: list[str], labels: tuple = LABELS) -> DataFrame:
     """keys, n, accuracy, and macro averages over the labels with support, with and without soma."""
-    t = table.filter(F.col("gt").isin(*labels))
-    acc = t.groupBy(*keys).agg(F.sum("n").alias("n"), (F.sum(F.when(F.col("gt") == F.col("pred"), F.col("n")).otherwise(0)) / F.sum("n")).alias("accuracy"))
-    there = per_label(table, keys, labels).filter("support > 0")
+    all_labels = per_label(table, keys, labels)
+    there, neurite = F.col("support") > 0, (F.col("support") > 0) & (F.col("label") != 1)
 
-    def mean(c: str, cond: Column | None = None) -> Column:
-        return F.coalesce(F.avg(F.col(c) if cond is None else F.when(cond, F.col(c))), F.lit(0.0))
+    def mean(c: str, cond: Column) -> Column:
+        return F.coalesce(F.avg(F.when(cond, F.col(c))), F.lit(0.0))
 
-    neurite = F.col("label") != 1
-    macro = there.groupBy(*keys).agg(
-        mean("f1").alias("macro_f1"), mean("precision").alias("macro_precision"), mean("recall").alias("macro_recall"),
+    return all_labels.groupBy(*keys).agg(
+        F.sum("support").alias("n"), (F.sum("tp") / F.sum("support")).alias("accuracy"),
+        mean("f1", there).alias("macro_f1"), mean("precision", there).alias("macro_precision"), mean("recall", there).alias("macro_recall"),
         mean("f1", neurite).alias("neurite_macro_f1"), mean("recall", neurite).alias("neurite_balanced_accuracy"),
     )
-    return acc.join(macro, keys) if keys else acc.crossJoin(macro)
 
 
 def file_scores(rows: DataFrame, keys: list[str], least_neurite: int = 50) -> DataFrame:
