@@ -66,7 +66,7 @@ def write(docs: DataFrame, path: str | None = None, segment_ids: int = SEGMENT_I
 def read(files: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the decoded files."""
     spark = files.sparkSession
-    arrow_batches(spark, 1)
+    arrow_batches(spark, 4)  # segments of up to some ten MB
     sums = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = sums.select("part", (F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("base"))  # a row for each part
     inside = F.sum("n_ids").over(Window.partitionBy("part").orderBy("segment").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_ids")
