@@ -123,6 +123,16 @@ def check_packing(got, texts, seq_len):
     return len(sequences), sum(r.length for r in got)
 
 
+def test_tokens_of_random_texts():
+    parts = [" ", " ", "a", "Bc", "é", "'s", "'", "\n", "\t", "\xa0", "中", "1", "23", ".", "!?", "…", "<|endoftext|>", "  ", "\x1c", "x" * 150, "ß", "😀"]
+    rng = random.Random(1)
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(5000)] + [None, "", "中" * 500 + " a " + "b'" * 300]
+    for memory in (tokens.MEMORY, 50):
+        enc = tokens.Encoder(tokens.tokenizer_path(), memory)
+        got = [x.tolist() for lo in range(0, len(texts), 900) for x in enc.encode(texts[lo : lo + 900])]
+        assert got == [enc.tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def test_packing(spark, docs, awkward):
     texts = [(r.doc_id, r.text) for r in docs.collect()]
     n, total = check_packing(packing.pack(docs).collect(), texts, 2048)
