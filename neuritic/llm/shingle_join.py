@@ -8,7 +8,8 @@ compared by brute force; larger ones are split again by a second sampled token;
 block by block, so that no bucket is cut short. Runs repeat until a pair at the threshold is missed with probability
 of at most 1 - recall. A pair that meets in several buckets counts in the one with the smallest path only, which both
 sets can tell from their lists of buckets, so pairs are never written out to remove duplicates: each bucket
-reports, for each set, the number of its similar partners and one edge towards the smallest of them.
+reports, for each set, the number of its similar partners and one edge to the smallest set that its links connect it with
+there, so all sets that the bucket's links connect stay connected.
 
 Similarity is exact: intersections of the whole sets are compared in integers.
 
@@ -286,6 +287,7 @@ def similar(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float =
             low = cls.copy()
             for g, lo, hi, pairs in _by_group(pdf, threshold):
                 common = _common([np.frombuffer(x, dtype=U) for x in g])
+                root = np.arange(len(g))
                 for i, j in pairs:
                     both = common[i - lo, j - lo]
                     ok = both >= threshold * (size[i] + size[j] - both) - 1e-9
@@ -294,7 +296,10 @@ def similar(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float =
                     np.add.at(links, j, 1)
                     np.add.at(docs_linked, i, copies[j])
                     np.add.at(docs_linked, j, copies[i])
-                    _spread(low, i, j)
+                    _join(root, i - lo, j - lo)
+                least = low[lo : hi + 1].copy()
+                np.minimum.at(least, root, cls[lo : hi + 1])
+                low[lo : hi + 1] = least[root]
             keep = links > 0
             if keep.any():
                 yield pd.DataFrame({"cls": cls[keep], "links": links[keep], "docs": docs_linked[keep], "low": low[keep]})
@@ -331,13 +336,17 @@ def _by_group(pdf: pd.DataFrame, threshold: float) -> Iterator[tuple[list[bytes]
         yield list(grams[lo : hi + 1]), lo, hi, pairs
 
 
-def _spread(low: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
-    """low[x] becomes the smallest id that x is connected with by these pairs, as far as one pass tells."""
-    for x, y in zip(i.tolist(), j.tolist(), strict=True):
-        if low[x] < low[y]:
-            low[y] = low[x]
-        elif low[y] < low[x]:
-            low[x] = low[y]
+def _join(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """root[x], the smallest row that x is connected with, after these pairs are added; before any pair it is x itself."""
+    while True:
+        a, b = root[i], root[j]
+        apart = a != b
+        if not apart.any():
+            return
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root[:] = root[root]
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Every operator against a brute-force version, a round trip or accuracy, and on awkward rows."""
 
+import itertools
 import math
 import random
 import zlib
@@ -215,6 +216,65 @@ def test_jaccard_join(spark, limit):
     assert sorted((r.doc_id, r.group_id) for r in got) == sorted((i, first[root(k)]) for k, (i, _) in enumerate(texts))
 
 
+def groups_of(texts, edges):
+    """(doc_id, smallest id connected) of each text."""
+    up = list(range(len(texts)))
+
+    def root(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    for a, b in edges:
+        up[root(a)] = root(b)
+    first = {}
+    for k, (i, _) in enumerate(texts):
+        first[root(k)] = min(first.get(root(k), i), i)
+    return sorted((i, first[root(k)]) for k, (i, _) in enumerate(texts))
+
+
+def chains_and_stars(seed=5, words=100):
+    """Chains and stars whose neighbours have a similarity of 0.81 and whose other pairs of 0.66, with ids in all orders."""
+    rng = random.Random(seed)
+    shapes = []
+    for g in range(48):
+        long = [f"c{g}x{k}" for k in range(words + 100)]
+        for n in (3, 10)[: 1 + (g % 4 == 0)]:
+            shapes.append([long[10 * k : 10 * k + words] for k in range(n)])
+        leaves = [[*long[:at], *(f"s{g}x{at + k}" for k in range(6)), *long[at + 6 : words]] for at in range(10, 90, 12)]
+        shapes.append([long[:words], *leaves][: (3, 8)[g % 2]])
+    out = []
+    for k, docs in enumerate(shapes):
+        docs = [[f"h{k}", *d[1:]] if d[0].endswith("x0") else d for d in docs]
+        ids = list(itertools.permutations(range(len(docs))))[k % 6] if len(docs) == 3 else rng.sample(range(len(docs)), len(docs))
+        out += [(1000 * k + i, " ".join(d)) for i, d in zip(ids, docs)]
+    return out
+
+
+@pytest.mark.parametrize("limit", [1024, 2])
+def test_jaccard_join_chains(spark, limit):
+    texts = chains_and_stars()
+    n, edges = links_of(texts)
+    got = shingle_join.similar(frame(spark, texts), limit=limit).collect()
+    assert sorted((r.doc_id, r.n_links) for r in got) == sorted((i, n) for (i, _), n in zip(texts, n))
+    assert sorted((r.doc_id, r.group_id) for r in got) == groups_of(texts, edges)
+
+
+def test_joined_rows():
+    rng = np.random.default_rng(1)
+    for order in itertools.permutations([(0, 2), (1, 2), (1, 3)]):
+        root = np.arange(5)
+        for i, j in order:
+            shingle_join._join(root, np.array([i]), np.array([j]))
+        assert root.tolist() == [0, 0, 0, 0, 4]
+    for _ in range(50):
+        i, j = rng.integers(0, 40, (2, 25))
+        root = np.arange(40)
+        shingle_join._join(root, i[:9], j[:9])
+        shingle_join._join(root, i[9:], j[9:])
+        assert list(enumerate(root.tolist())) == groups_of([(k, "") for k in range(40)], zip(i.tolist(), j.tolist()))
+
+
 def test_jaccard_join_awkward(spark, awkward):
     df, texts = awkward
     got = sorted((r.doc_id or -1, r.n_links) for r in shingle_join.similar(df).collect())
