@@ -216,6 +216,27 @@ def test_jaccard_join(spark, limit):
     assert sorted((r.doc_id, r.group_id) for r in got) == sorted((i, first[root(k)]) for k, (i, _) in enumerate(texts))
 
 
+def test_jaccard_join_above_limit(spark):
+    """Buckets above the limit lose no link: a group of copies at 0.80 to 0.85, and documents with one passage in common."""
+    rng = random.Random(8)
+    copies = []
+    for k in range(100):
+        w = [f"w{x}" for x in range(200)]
+        for at in rng.sample(range(10, 190), 2):
+            w[at] = f"n{k}x{at}"
+        copies.append((k, " ".join(w)))
+    passage = []
+    for k in range(100):
+        own = [f"p{k // 2}x{x}" for x in range(120)] + [f"q{k}x{x}" for x in range(16)]
+        passage.append((1000 + k, " ".join([f"c{x}" for x in range(60)] + own)))
+    got = [{r.doc_id: r.n_links for r in shingle_join.similar(frame(spark, copies), limit=limit, recall=0.9, group=False).collect()} for limit in (48, 10**6)]
+    part, whole = (sum(g.values()) for g in got)
+    assert whole > 8000 and part > 0.995 * whole, (part, whole)
+    n, _ = links_of(passage)
+    got = {r.doc_id: r.n_links for r in shingle_join.similar(frame(spark, passage), limit=16, group=False).collect()}
+    assert got == {i: k for (i, _), k in zip(passage, n)} and sum(n) == 100
+
+
 def groups_of(texts, edges):
     """(doc_id, smallest id connected) of each text."""
     up = list(range(len(texts)))
