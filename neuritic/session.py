@@ -8,9 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the one that the session names in spark.checkpoint.dir. Only where
-    it names none, as in tests, a local one."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/neuritic"
+    """The folder that driver and executors share: the one that the session names in spark.checkpoint.dir, or else the
+    context's checkpoint folder. A local one is set only on a local master, as in tests; on a cluster without either
+    it is an error."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if path:
+        return path
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("name a folder that driver and executors share in spark.checkpoint.dir")
+    spark.conf.set("spark.checkpoint.dir", "/tmp/checkpoints/neuritic")
+    return "/tmp/checkpoints/neuritic"
 
 
 def checkpointed(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
@@ -22,13 +29,22 @@ def checkpointed(df: DataFrame, instead_of: DataFrame | None = None) -> DataFram
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     if instead_of is not None:
-        jvm = spark.sparkContext._jvm
-        for folder in {f.rpartition("/")[0] for f in instead_of.inputFiles()}:
-            old = jvm.org.apache.hadoop.fs.Path(folder)
-            old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+        drop_stored(instead_of)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_stored(df: DataFrame) -> None:
+    """Deletes the files of a table in the shared folder that nothing reads any more; files elsewhere stay."""
+    spark = df.sparkSession
+    base = shared_dir(spark).partition(":")[2] or shared_dir(spark)
+    base = "/" + base.strip("/") + "/"
+    jvm = spark.sparkContext._jvm
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if base in folder + "/":
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def local_session(cores: int | str = "*", memory: str = "8g") -> SparkSession:
     """A session for tests and local runs."""
     return (
