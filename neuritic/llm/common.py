@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import drop_stored, shared_dir
+
+__all__ = ["WORD", "Query", "arrow_batches", "crc_mod", "drop_stored", "numbered", "pick", "shared_dir", "stored", "table", "text_size", "together"]
+
+#: Rows of a batch between Spark and Python.
+ARROW_ROWS = 250
 #: The white space that separates words, `[\x20\x09-\x0D]`.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -34,17 +41,6 @@ def table(spark: SparkSession, sf_dir: str, name: str, *names: str) -> DataFrame
     return pick(spark.read.parquet(f"{sf_dir}/{name}.parquet"), *names)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only where the session names none, as in tests, one is set."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "/tmp/checkpoints/neuritic"
-        spark.conf.set("spark.checkpoint.dir", path)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
 def stored(df: DataFrame, label: str) -> DataFrame:
     """The rows as a table written to the shared folder and read back: lineage ends there, and lost executors cost nothing."""
     spark = df.sparkSession
@@ -53,18 +49,6 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_stored(df: DataFrame) -> None:
-    """Deletes the files of a table that stored() wrote and nothing needs any more."""
-    spark = df.sparkSession
-    base = shared_dir(spark).removeprefix("file:").lstrip("/")
-    jvm = spark.sparkContext._jvm
-    folders = {f.rpartition("/")[0] for f in df.inputFiles()}
-    for folder in folders:
-        if base in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def crc_mod(col: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; null ids count as the empty text."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit(""))) % F.lit(n)
@@ -76,9 +60,24 @@ def text_size(col: str | Column) -> Column:
     return F.coalesce(F.regexp_count(c, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def arrow_batches(spark: SparkSession, rows: int) -> None:
-    """Batches of at most so many rows go to Python, so that very long texts don't add up."""
+def arrow_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
+    """Batches of at most so many rows go to Python, so that very long texts don't add up. The setting holds when a plan
+    runs, not when it is made, so operators whose plans run later share one value; tasks put batches together
+    where they want more."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def together(batches: Iterator[pd.DataFrame], column: str, most: int) -> Iterator[pd.DataFrame]:
+    """Small batches put together until the values of a column are about so long in all; at least one batch, if any has rows."""
+    held, n = [], 0
+    for pdf in batches:
+        held.append(pdf)
+        n += int(pdf[column].map(len, na_action="ignore").sum())
+        if n >= most:
+            yield pd.concat(held, ignore_index=True)
+            held, n = [], 0
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 Query = Callable[[SparkSession, str], DataFrame]

@@ -193,7 +193,7 @@ class Page:
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars, path (the host's winning path) for every page."""
-    arrow_batches(pages.sparkSession, 500)
+    arrow_batches(pages.sparkSession)
     pages = pick(pages, "page_id", "url", "html").withColumn("url", F.col("url").cast("string")).withColumn("html", F.col("html").cast("string"))
     pages = pages.withColumn("host", F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][-+.\w]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit("")))
 

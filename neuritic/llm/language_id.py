@@ -10,7 +10,6 @@ document may be learned from, every text gives `und`; repeated rows give equal r
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
@@ -37,14 +36,13 @@ DIM_BITS = 13
 DIM = 1 << DIM_BITS
 #: Every byte below 128 that isn't a letter becomes a space, so junk symbols and digits carry no weight.
 _LATIN = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in range(256))
-_LETTER = re.compile(r"[^\W\d_]")
 #: A text is read in windows of so many bytes, each overlapping the last by two, so that memory is bounded.
 WINDOW = 1 << 20
 
 
 def counts(text: str | None) -> np.ndarray | None:
     """Hashed counts of the byte bigrams and trigrams of a whole lower-cased text; None if it has no letter."""
-    if not text or not _LETTER.search(text):
+    if not text or not any(map(str.isalpha, text)):
         return None
     raw = np.frombuffer((" " + text.lower() + " ").encode("utf-8", "replace").translate(_LATIN), dtype=np.uint8)
     total = np.zeros(DIM, dtype=np.float64)
@@ -211,7 +209,7 @@ def learnable() -> Column:
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    arrow_batches(spark, 500)
+    arrow_batches(spark)
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     predict = predictor(spark, train(docs, learn=learnable()))
     return docs.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), predict("text").alias("p")).select(

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import webp
-from .common import arrow_batches, pick, stored, table
+from .common import arrow_batches, pick, stored, table, together
 
 
 def fill(raw: bytes) -> bytes:
@@ -41,7 +41,7 @@ def feature(payload: bytes) -> str:
 
 def store(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media: the texts as image files, in a stored table."""
-    arrow_batches(docs.sparkSession, 250)
+    arrow_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -52,24 +52,11 @@ def store(docs: DataFrame) -> DataFrame:
     return stored(docs.mapInPandas(run, "doc_id long, n_bytes long, media binary"), "media")
 
 
-def _together(batches: Iterator[pd.DataFrame], most: int = 8 << 20) -> Iterator[pd.DataFrame]:
-    """Small batches put together, so that many images are decoded side by side."""
-    held, n = [], 0
-    for pdf in batches:
-        held.append(pdf)
-        n += int(pdf["media"].map(len).sum())
-        if n >= most:
-            yield pd.concat(held, ignore_index=True)
-            held, n = [], 0
-    if held:
-        yield pd.concat(held, ignore_index=True)
-
-
 def features(media: DataFrame) -> DataFrame:
     """The stored table's digest: payloads decoded from the files, checksums and features."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in _together(batches):
+        for pdf in together(batches, "media", 8 << 20):
             got = webp.read_many(list(pdf["media"]))
             yield pd.DataFrame({
                 "doc_id": pdf["doc_id"].astype("Int64"),

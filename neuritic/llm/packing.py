@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import tokens
-from .common import arrow_batches, drop_stored, pick, stored, table
+from .common import arrow_batches, pick, stored, table, together
 
 #: The end-of-document id.
 END = 0
@@ -96,7 +96,7 @@ def tokenized(docs: DataFrame, seq_len: int, path: str, memory: int = tokens.MEM
         import zlib
 
         enc = tokens.encoder(path, memory)
-        for pdf in batches:
+        for pdf in together(batches, "text", 2 << 20):
             n_ids, tails, crcs = [], [], []
             for ids in enc.encode(pdf["text"]):
                 ids = np.append(ids, END).astype("<u4")
@@ -116,7 +116,7 @@ def pack(docs: DataFrame, seq_len: int = 2048, path: str | None = None, salts: i
     memory: distinct runs of characters that a Python worker remembers; it changes speed only.
     """
     spark = docs.sparkSession
-    arrow_batches(spark, 500)
+    arrow_batches(spark)
     path = path or tokens.tokenizer_path()
     pieces = stored(tokenized(docs, seq_len, path, memory), "pieces").withColumn("full", F.floor(F.col("n_ids") / seq_len))
     # ranks within each length, by salt; the sums by (length, salt) are a table of bounded size

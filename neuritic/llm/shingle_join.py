@@ -210,7 +210,7 @@ def similar(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float =
     """One row per document: doc_id, class_id (smallest id with the same n-grams), n_copies (documents of the class),
     n_links (other documents at least as similar as the threshold), group_id (smallest id connected by links)."""
     spark = docs.sparkSession
-    arrow_batches(spark, 500)
+    arrow_batches(spark)
     docs = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     salts = _mix(np.arange(1, runs_needed(recall, levels) + 1, dtype=U))
 

@@ -4,7 +4,8 @@ All ids come from the `tokenizers` library. Texts are cut before single spaces,
 distinct word of a batch is cut further into runs of Latin letters and of other ASCII characters. Every distinct run is
 encoded once per Python worker, and the ids of a text are put together with numpy. Words with apostrophes, white space in
 a row or other characters, where the further cuts could differ from the pre-tokenizer's, are encoded as they are; texts
-with spaces beside other white space, or with very long words of that kind, are encoded whole.
+with spaces beside other white space, with very long words of that kind, or in which one of the tokenizer's special tokens
+is spelled out, are encoded whole.
 """
 
 from __future__ import annotations
@@ -47,7 +48,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self._forget()
 
     def _forget(self) -> None:
@@ -110,7 +112,7 @@ class Encoder:
         direct = np.zeros(len(texts), dtype=bool)
         for k, t in enumerate(texts):  # first words have no space before them
             cut = self._cut(t if (end := t.find(" ")) < 0 else t[:end])
-            direct[k] = cut is None
+            direct[k] = cut is None or self.special is not None and self.special.search(t) is not None
             runs += cut or []
             n_runs.append([len(cut or [])])
         number = np.empty(len(words), dtype=np.int64)

@@ -95,7 +95,7 @@ def search(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k:
 def top_k(vectors: DataFrame, k: int = 5, scale: int = 256, is_query: Column | None = None, group_rows: int = 16384, query_rows: int = 1024) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest integer inner products of each query with all other vectors."""
     spark = vectors.sparkSession
-    arrow_batches(spark, 10_000)
+    arrow_batches(spark)
     x = pick(vectors, "vec_id", "embedding")
     whole = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v.cast("double")) & (F.abs(v.cast("double")) < float("inf")))
     x = x.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)).filter(whole)

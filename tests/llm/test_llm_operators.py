@@ -5,9 +5,11 @@ import math
 import random
 import zlib
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from neuritic.llm import (
@@ -45,7 +47,7 @@ def awkward(spark):
     rng = random.Random(3)
     words = ["alpha", "beta", "gamma", "delta", "Überall", "niño", "x", "…", "中文"]
     long = " ".join(rng.choice(words) for _ in range(60_000))
-    texts = [(1, None), (2, ""), (3, "  \n\t "), (4, "123 !! 456"), (5, long), (6, "one two"), (6, "one two"), (None, "no id here at all, none"), (7, "tie\x0bbreak  it's 'so' \r\n done\n\n"), (8, "one two")]
+    texts = [(1, None), (2, ""), (3, "  \n\t "), (4, "123 !! 456 ½ ² ①"), (5, long), (6, "one two"), (6, "one two"), (None, "no id here at all, none"), (7, "tie\x0bbreak  it's 'so' \r\n done\n\n"), (8, "one two")]
     return frame(spark, texts).cache(), texts
 
 
@@ -88,12 +90,18 @@ def test_language_id_windows(monkeypatch):
 
 
 def ids_of(text):
-    tok = tokens.encoder(tokens.tokenizer_path()).tok
-    return tok.encode(text or "", add_special_tokens=False).ids
+    return library().encode(text or "", add_special_tokens=False).ids
+
+
+@lru_cache(maxsize=1)
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokens.tokenizer_path())
 
 
 def test_tokens_equal_the_library(docs):
-    odd = ["a  b", " x", "x ", "a\n b", "it's 'll", "", None, "é 中文 x", "<|endoftext|> a", "!!### a1 2b", "a×b ª", "a\n\nb"]
+    odd = ["a  b", " x", "x ", "a\n b", "it's 'll", "", None, "é 中文 x", "<|endoftext|> a", "hello <|endoftext|> world", "a<|endoftext|>b  <|endof text|>", "!!### a1 2b", "a×b ª", "a\n\nb"]
     texts = [r.text for r in docs.select("text").collect()] + odd
     enc = tokens.Encoder(tokens.tokenizer_path(), memory=3000)
     for t, x in zip(texts, enc.encode(texts)):
@@ -131,7 +139,7 @@ def test_tokens_of_random_texts():
     for memory in (tokens.MEMORY, 50):
         enc = tokens.Encoder(tokens.tokenizer_path(), memory)
         got = [x.tolist() for lo in range(0, len(texts), 900) for x in enc.encode(texts[lo : lo + 900])]
-        assert got == [enc.tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert got == [ids_of(t) for t in texts]
 
 
 def test_packing(spark, docs, awkward):
@@ -452,11 +460,32 @@ def test_mixing(spark, docs, awkward):
             assert abs(taken[s] - want[s]) <= most + 1
         again = mixing.mix(df.repartition(5), shards=8, block_docs=16).select("doc_id", "text", "source", "_mix.*").collect()
         assert sorted(map(str, got)) == sorted(map(str, again))
-        rows_out = mixing.shuffled(out, 8)
+        rows_out = mixing.shuffled(out)
         assert rows_out.count() == sum(r.copies for r in got)
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixing_rounds_up_to_a_whole_pass(spark):
+    """A target within half a word of a source's size: two thirds of a word can't be drawn, so the whole source is."""
+    df = spark.range(5000).selectExpr("id AS doc_id", "'word' AS text", "IF(id < 1667, 'a', 'b') AS source")
+    got = {r.source: r for r in mixing.op7_columns(df).groupBy("source").agg({"taken": "sum", "target": "max"}).collect()}
+    assert abs(got["a"]["max(target)"] - 5000 / 3) < 1e-6 and got["a"]["sum(taken)"] == 1667 and abs(got["b"]["sum(taken)"] - 10000 / 3) <= 1
+
+
+def test_mixing_passes_a_target_if_that_is_nearer(spark):
+    """A large document is taken rather than left out where that comes nearer to the target."""
+    df = spark.createDataFrame([(1, "w " * 100, "a"), (2, "w " * 100, "b")], "doc_id long, text string, source string")
+    got = {r.source: r.taken for r in mixing.op7_columns(df).collect()}
+    assert got == {"a": 100, "b": 100}
+
+
+@pytest.mark.parametrize("shards", [1, 2, 7, 64])
+def test_shard_of_a_draw(spark, shards):
+    upper = sorted(random.Random(shards).choices(range(50), k=shards))
+    df = spark.range(50).withColumn("upper", F.array(*map(F.lit, upper)))
+    assert all(r.s == sum(u <= r.id for u in upper) for r in df.select("id", mixing._shard(F.col("id"), F.col("upper"), shards).alias("s")).collect())
+
+
 def test_targets():
     assert mixing.targets([100, 100, 100], [1, 2, 3]) == [50, 100, 150]
     got = mixing.targets([10, 1000, 0], [5, 1, 1])
