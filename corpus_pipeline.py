@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from neuritic.llm.common import arrow_batches, numbered, stored
+from neuritic.llm.common import arrow_batches, drop_stored, numbered, stored
 from neuritic.llm.language_id import UND, learnable, predictor, train
 from neuritic.llm.mixing import mix, shuffled
 from neuritic.llm.packing import pack
@@ -25,7 +25,7 @@ def _column(docs: DataFrame, name: str):
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with a language: texts that are null or without a letter go, and those of no language to speak of."""
-    arrow_batches(spark, 500)
+    arrow_batches(spark)
     predict = predictor(spark, train(docs, learn=learnable()))
     told = numbered(docs).withColumn("_told", predict(_column(docs, "text").cast("string")))
     kept = told.filter((F.col("_told.lang_pred") != UND) & (F.col("_told.score") >= MIN_LANG_SCORE))
@@ -61,9 +61,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows; every stage's result is written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = stored(docs, f"stage-{name}")
+            if before is not None:
+                drop_stored(before)
+            before = docs
     return docs
