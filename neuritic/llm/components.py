@@ -9,10 +9,12 @@ from .common import drop_stored, stored
 
 
 def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
-    """node, root (the smallest node of its component) for every node that has an edge to another.
+    """node, root (the smallest node of its component) for every node that has an edge to another; null ends and loops
+    are left out.
 
-    Every round is written to the shared folder. Each joins the edges with the smallest neighbour of their ends,
-    so no node's neighbours are gathered in one task; null ends and loops are left out.
+    Every round is written to the shared folder. Each joins the edges with the smallest neighbour of their ends. These
+    neighbours are written too, so that both sides of the join are read afresh and Spark splits the edges of a node that
+    very many others have.
     """
     now = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u != v")
     now = stored(now.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
@@ -20,11 +22,14 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m"))
+        least = stored(least, "least")
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = stored(large, "large")
+        low = stored(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         after = stored(small.filter("u != v").distinct(), "edges")
-        drop_stored(now)
+        for used in (now, least, large, low):
+            drop_stored(used)
         now = after
         mark = tuple(now.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first())
         if mark == seen:

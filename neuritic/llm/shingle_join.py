@@ -4,9 +4,9 @@ A document is the set of its distinct word n-grams. Documents with equal sets fo
 class takes part. Each run of the join picks shared tokens at random: at a node of the path tree a set keeps those
 of its tokens whose hash, salted by the path, is below 1 / (threshold * size), so two sets that are similar enough
 keep a common token with probability 1 - 1/e at least, and land in the same bucket. Buckets of up to `limit` sets are
-compared by brute force; larger ones are split again by second tokens, sampled several times for each bucket, the more
-often the larger it is; where that saves no pairs, as among near copies, the bucket stays whole. What is still larger is
-compared block by block, so that no bucket is cut short. Runs repeat until a pair at the threshold is missed with probability
+compared by brute force; larger ones are split again by further tokens, sampled several times for each bucket, the more
+often the larger it is, and so on while buckets are large and splitting halves their pairs at least. Where it doesn't, as among near
+copies, the bucket stays whole and is compared block by block, so that no bucket is cut short. Runs repeat until a pair at the threshold is missed with probability
 of at most 1 - recall. A pair that meets in several buckets counts in the one with the smallest path only, which both
 sets can tell from their lists of buckets, so pairs are never written out to remove duplicates: each bucket
 reports, for each set, the number of its similar partners and one edge to the smallest set that its links connect it with
@@ -15,14 +15,16 @@ there, so all sets that the bucket's links connect stay connected.
 Similarity is exact: intersections of the whole sets are compared in integers.
 
 Results in corner cases: texts that are null or without words are similar to nothing (n_links 0, a class each);
-texts of fewer than five words have one n-gram, the whole text; repeated rows are copies of each other; null ids
-are ids like others; an empty table gives an empty result; other columns are ignored.
+texts of fewer than five words have one n-gram, the whole text; very long texts are read in windows; repeated rows are
+copies of each other; null ids are ids like others, but for class_id and group_id, the smallest ids, which pass over them; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -31,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, pick, stored, table
+from .common import arrow_batches, drop_stored, pick, stored, table
 from .components import components
 
 U = np.uint64
@@ -46,6 +48,9 @@ _ADD = _RNG.integers(0, 1 << 64, (COORDINATES, 1), dtype=U)
 _POW = [np.ones(1, dtype=U), np.ones(1, dtype=U)]
 #: Sketches of sets at the threshold agree in fewer coordinates with a probability of about 3 in a million.
 AGREE_AT = 4.9
+#: Bytes of text after which words are cut off and hashed.
+WINDOW = 1 << 22
+_SPACE = re.compile(rb"[\x20\x09-\x0d]")
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -66,17 +71,16 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def shingles(text: str | None, n: int = 5) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word n-grams of a whole text; words are compared in lower case."""
-    b = np.frombuffer((text or "").lower().encode("utf-8", "surrogatepass"), dtype=np.uint8)
-    if not len(b):
-        return np.zeros(0, dtype=U)
-    space = (b == 32) | ((b >= 9) & (b <= 13))
-    edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True]))))
-    start, end = edge[::2], edge[1::2]
-    if not len(start):
-        return np.zeros(0, dtype=U)
-    power, inverse = _powers(len(b) + 1)
-    run = np.concatenate((np.zeros(1, dtype=U), np.cumsum((_TABLE[b] | U(1)) * power[:-1], dtype=U)))
-    word = _mix((run[end] - run[start]) * inverse[start] + (end - start).astype(U))
+    raw = (text or "").lower().encode("utf-8", "surrogatepass")
+    parts, at = [np.zeros(0, dtype=U)], 0
+    while at < len(raw):
+        end = _SPACE.search(raw, at + WINDOW)
+        end = end.start() if end else len(raw)
+        parts.append(_words(raw[at:end]))
+        at = end
+    word = np.concatenate(parts) if len(parts) != 2 else parts[1]
+    if not len(word):
+        return word
     if len(word) < n:
         return _mix(np.array([(word * _GRAM[: len(word)]).sum(dtype=U) + U(len(word))], dtype=U))
     size = len(word) - n + 1
@@ -86,6 +90,19 @@ def shingles(text: str | None, n: int = 5) -> np.ndarray:
     return np.unique(_mix(gram))
 
 
+def _words(raw: bytes) -> np.ndarray:
+    """A hash of each word, the same wherever the word stands."""
+    b = np.frombuffer(raw, dtype=np.uint8)
+    space = (b == 32) | ((b >= 9) & (b <= 13))
+    edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True]))))
+    start, end = edge[::2], edge[1::2]
+    if not len(start):
+        return np.zeros(0, dtype=U)
+    power, inverse = _powers(len(b) + 1)
+    run = np.concatenate((np.zeros(1, dtype=U), np.cumsum((_TABLE[b] | U(1)) * power[:-1], dtype=U)))
+    return _mix((run[end] - run[start]) * inverse[start] + (end - start).astype(U))
+
+
 def _sketch(s: np.ndarray) -> bytes:
     low = np.full((COORDINATES, 1), np.iinfo(U).max, dtype=U)
     for lo in range(0, len(s), 4096):
@@ -115,15 +132,18 @@ def runs_needed(recall: float, levels: int) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - p))
 
 
-def _groups(batches: Iterator[pd.DataFrame], keys: list[str], rows: int = 20_000) -> Iterator[pd.DataFrame]:
-    """Batches of whole groups; the input is sorted by keys."""
+def _groups(batches: Iterator[pd.DataFrame], keys: list[str], rows: int = 20_000, heavy: str | None = None) -> Iterator[pd.DataFrame]:
+    """Batches of whole groups; the input is sorted by keys. 32 kB of the column heavy count as a row more."""
     held: list[pd.DataFrame] = []
     n = 0
+
+    def weight(pdf: pd.DataFrame) -> int:
+        return len(pdf) + (int(pdf[heavy].map(len).sum()) >> 15 if heavy else 0)
     for pdf in batches:
         if not len(pdf):
             continue
         held.append(pdf)
-        n += len(pdf)
+        n += weight(pdf)
         if n < rows:
             continue
         pdf = pd.concat(held, ignore_index=True)
@@ -131,7 +151,7 @@ def _groups(batches: Iterator[pd.DataFrame], keys: list[str], rows: int = 20_000
         if len(new):
             yield pdf.iloc[: new[-1] + 1]
             pdf = pdf.iloc[new[-1] + 1 :]
-        held, n = [pdf], len(pdf)
+        held, n = [pdf], weight(pdf)
     if held:
         yield pd.concat(held, ignore_index=True)
 
@@ -208,10 +228,18 @@ def _common(sets: list[np.ndarray]) -> np.ndarray:
 
 def similar(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, levels: int = 2, limit: int = 1024, group: bool = True) -> DataFrame:
     """One row per document: doc_id, class_id (smallest id with the same n-grams), n_copies (documents of the class),
-    n_links (other documents at least as similar as the threshold), group_id (smallest id connected by links)."""
+    n_links (other documents at least as similar as the threshold), group_id (smallest id connected by links); and what a
+    caller needs to keep one document of each group: text_hash, cls (the class), n (its n-grams), first_class (of the group's classes it
+    is the first)."""
     spark = docs.sparkSession
     arrow_batches(spark)
     docs = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    temporary: list[DataFrame] = []
+
+    def held(df: DataFrame, label: str) -> DataFrame:
+        temporary.append(stored(df, label))
+        return temporary[-1]
+
     salts = _mix(np.arange(1, runs_needed(recall, levels) + 1, dtype=U))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -219,22 +247,26 @@ def similar(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float =
             sets = [shingles(t, n) for t in pdf["text"]]
             yield pd.DataFrame({
                 "doc_id": pdf["doc_id"].astype("Int64"),
+                "text_hash": pdf["text_hash"],
                 "cls": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
                 "n": [len(s) for s in sets],
                 "sketch": [_sketch(s) if len(s) else b"" for s in sets],
                 "paths": [_chosen(s, salts, threshold).view(np.int64) if len(s) else np.zeros(0, dtype=np.int64) for s in sets],
             })
 
-    sets = stored(docs.mapInPandas(read, "doc_id long, cls binary, n long, sketch binary, paths array<long>"), "sets")
-    reps = stored(
-        sets.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n_copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths")),
+    read_from = docs.withColumn("text_hash", F.xxhash64("text"))
+    sets = held(read_from.mapInPandas(read, "doc_id long, text_hash long, cls binary, n long, sketch binary, paths array<long>"), "sets")
+    reps = held(
+        sets.filter("n > 0").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("own"), F.count(F.lit(1)).alias("n_copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths"))
+        .withColumns({"class_id": F.col("own.doc_id"), "class_text": F.col("own.text_hash")}).drop("own"),
         "classes",
     )
 
     def shared(members: DataFrame) -> DataFrame:
         """Rows (cls, path) of paths that two sets or more have, with their number."""
         sizes = members.groupBy("path").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-        return stored(members.join(sizes, "path"), "buckets")
+        # written first: a join whose sides are both read afresh is one that Spark can split where a path is in very many sets
+        return held(members.join(held(sizes, "sizes"), "path"), "buckets")
 
     def texts_of(classes: DataFrame) -> DataFrame:
         """The n-grams of these classes, read again from the text of one document of each."""
@@ -244,9 +276,9 @@ def similar(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float =
                 got = [shingles(t, n) for t in pdf["text"]]
                 yield pd.DataFrame({"cls": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in got], "grams": [s.tobytes() for s in got]})
 
-        ids = reps.join(classes.select("cls").distinct(), "cls", "left_semi").select(F.col("class_id").alias("_id")).distinct()
-        found = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").mapInPandas(again, "cls binary, grams binary")
-        return found.dropDuplicates(["cls"])  # several texts with one id
+        ids = reps.join(classes.select("cls").distinct(), "cls", "left_semi").select(F.col("class_id").alias("_id"), F.col("class_text").alias("_text"))
+        found = read_from.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_text")), "left_semi")
+        return found.mapInPandas(again, "cls binary, grams binary").dropDuplicates(["cls"])  # rows may be repeated
 
     def in_blocks(members: DataFrame) -> DataFrame:
         return members.select("cls", "path", F.ceil(F.col("size") / limit).cast("int").alias("blocks"))
@@ -254,9 +286,7 @@ def similar(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float =
     buckets = shared(reps.select("cls", F.explode("paths").alias("path")))
     leaves = [buckets.filter(F.col("size") <= limit).select("cls", "path", F.lit(1).alias("blocks"))]
     big = buckets.filter(F.col("size") > limit)
-    for _ in range(levels - 1):
-        if big.isEmpty():
-            break
+    while not big.isEmpty():
 
         def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
@@ -269,18 +299,17 @@ def similar(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float =
 
         at = big.groupBy("cls").agg(F.collect_set(F.struct("path", "size")).alias("at")).select("cls", F.col("at.path").alias("paths"), F.col("at.size").alias("sizes"))
         parts = shared(texts_of(big).join(at, "cls").mapInPandas(split, "cls binary, path long, parent long"))
-        # of near copies the parts hold as many pairs as the bucket or more
+        # of near copies the parts hold about as many pairs as the bucket or more
         pairs = big.groupBy("path").agg((F.first("size") * (F.first("size") - 1)).alias("pairs"))
         inside = parts.groupBy("parent").agg(F.sum(F.col("size") - 1).alias("inside"))
-        whole = stored(inside.join(pairs, F.col("parent") == F.col("path")).filter("inside >= pairs").select("parent"), "whole")
+        whole = held(inside.join(pairs, F.col("parent") == F.col("path")).filter("2 * inside > pairs").select("parent"), "whole")
         leaves.append(in_blocks(big.join(whole, F.col("path") == F.col("parent"), "left_semi")))
         buckets = parts.join(whole, "parent", "left_anti")
         leaves.append(buckets.filter(F.col("size") <= limit).select("cls", "path", F.lit(1).alias("blocks")))
-        big = buckets.filter(F.col("size") > limit)
-    leaves.append(in_blocks(big))
+        big = buckets.filter(F.col("size") > limit).select("cls", "path", "size")
     member = reduce(DataFrame.unionByName, leaves)
     lists = member.groupBy("cls").agg(F.array_sort(F.collect_set("path")).alias("leaves"))
-    known = stored(reps.join(lists, "cls").select("cls", "n", "n_copies", "sketch", "leaves"), "members")
+    known = held(reps.join(lists, "cls").select("cls", "n", "n_copies", "sketch", "leaves"), "members")
     half = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
     member = member.select("cls", "path", half.alias("half"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     member = member.select("cls", "path", "half", F.least("half", "other").alias("a"), F.greatest("half", "other").alias("b"))
@@ -297,10 +326,10 @@ def similar(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float =
     def dealt(df: DataFrame) -> DataFrame:
         return df.repartition(*keys).sortWithinPartitions(*keys)
 
-    part = stored(dealt(member.join(known, "cls")).mapInPandas(taking_part, "cls binary, path long, half int, a int, b int"), "parts")
+    part = held(dealt(member.join(known, "cls")).mapInPandas(taking_part, "cls binary, path long, half int, a int, b int"), "parts")
 
     def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in _groups(batches, keys, 2_000):
+        for pdf in _groups(batches, keys, 2_000, "grams"):
             links, docs_linked = np.zeros(len(pdf), dtype=np.int64), np.zeros(len(pdf), dtype=np.int64)
             size, copies, cls = pdf["n"].to_numpy(), pdf["n_copies"].to_numpy(), pdf["cls"].to_numpy()
             low = cls.copy()
@@ -324,9 +353,9 @@ def similar(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float =
                 yield pd.DataFrame({"cls": cls[keep], "links": links[keep], "docs": docs_linked[keep], "low": low[keep]})
 
     found = dealt(part.join(known, "cls").join(texts_of(part), "cls")).mapInPandas(verified, "cls binary, links long, docs long, low binary")
-    found = stored(found, "links")
+    found = held(found, "links")
     total = found.groupBy("cls").agg(F.sum("docs").alias("docs"))
-    out = sets.select("doc_id", "cls", "n").join(reps.select("cls", "class_id", "n_copies").join(total, "cls", "left"), "cls", "left")
+    out = sets.select("doc_id", "text_hash", "cls", "n").join(reps.select("cls", "class_id", "n_copies").join(total, "cls", "left"), "cls", "left")
     cols = [
         "doc_id",
         F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
@@ -336,10 +365,15 @@ def similar(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float =
     if group:
         roots = components(found.select("cls", "low"), "cls", "low").withColumnRenamed("node", "cls")
         ids = roots.join(reps.select("cls", "class_id"), "cls")
-        smallest = ids.groupBy("root").agg(F.min("class_id").alias("group_id"))
-        out = out.join(roots.join(smallest, "root").select("cls", "group_id"), "cls", "left")
+        smallest = ids.groupBy("root").agg(F.min("class_id").alias("group_id"), F.min(F.struct(F.col("class_id").isNull(), "class_id", "cls")).alias("first"))
+        temporary.append(roots)
+        out = out.join(roots.join(smallest, "root").select("cls", "group_id", (F.col("first.cls") == F.col("cls")).alias("first_class")), "cls", "left")
         cols.append(F.when(F.col("n") > 0, F.coalesce("group_id", "class_id")).otherwise(F.col("doc_id")).alias("group_id"))
-    return out.select(*cols)
+        cols += ["text_hash", "cls", "n", F.coalesce("first_class", F.lit(True)).alias("first_class")]
+    out = stored(out.select(*cols), "similar")
+    for used in temporary:
+        drop_stored(used)
+    return out
 
 
 def _by_group(pdf: pd.DataFrame, threshold: float) -> Iterator[tuple[list[bytes], int, int, list[tuple[np.ndarray, np.ndarray]]]]:
@@ -369,7 +403,7 @@ def _join(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return similar(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "class_id", "n_copies", "n_links", "group_id")
 
 
 QUERIES = {"op3_ngram_jaccard_join": op3_ngram_jaccard_join}

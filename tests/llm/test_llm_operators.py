@@ -304,6 +304,23 @@ def test_joined_rows():
         assert list(enumerate(root.tolist())) == groups_of([(k, "") for k in range(40)], zip(i.tolist(), j.tolist()))
 
 
+def test_shingles_in_windows(monkeypatch):
+    text = "Some words,  and\tmore of them ümlaut " * 40
+    whole = shingle_join.shingles(text)
+    monkeypatch.setattr(shingle_join, "WINDOW", 23)
+    assert np.array_equal(shingle_join.shingles(text), whole)
+
+
+def test_near_duplicates_of_odd_ids(spark):
+    """Null ids, one id for several texts and texts that differ in case alone: one row of each group stays."""
+    a, b = "one two three four five six seven eight", "alpha beta gamma delta epsilon zeta eta theta"
+    near = " ".join(f"w{k}" for k in range(90))
+    texts = [(None, a), (None, a.upper()), (7, a), (5, b), (5, b), (5, b.title()), (None, near + " x"), (9, near), (9, "quite another text that is alone here"), (None, None), (None, None), (3, "")]
+    left = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, frame(spark, texts), SF)
+    got = Counter((r.doc_id, (r.text or "").lower()) for r in left.collect())
+    assert got == Counter([(7, a), (5, b), (9, near), (9, "quite another text that is alone here"), (None, ""), (None, ""), (3, "")])
+
+
 def test_jaccard_join_awkward(spark, awkward):
     df, texts = awkward
     got = sorted((r.doc_id or -1, r.n_links) for r in shingle_join.similar(df).collect())
