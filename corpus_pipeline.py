@@ -33,13 +33,20 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group that links of similarity 0.8 and more connect."""
-    found = stored(similar(docs), "similar")
-    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("group_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
-    key, text = (f"_d{docs.columns.index(c)}" for c in ("doc_id", "text"))
-    kept = numbered(docs).join(keep.withColumnRenamed("doc_id", "_id"), _column(docs, "doc_id").cast("long").eqNullSafe(F.col("_id")))
-    repeated = kept.filter("_n > 1").dropDuplicates([key, text])  # rows that stand in the table more than once
-    return kept.filter("_n = 1").unionByName(repeated).drop("_id", "_n").toDF(*docs.columns)
+    """Keeps one document of each group that links of similarity 0.8 and more connect: of its class with the smallest id
+    the document with the smallest id, null last, and of equal ids the one with the smallest hash of its text; of rows
+    repeated with id and text one stays. Texts without words are all kept."""
+    found = similar(docs)
+    own = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
+    first = found.filter("n > 0 AND first_class").groupBy("cls").agg(F.min(own).alias("own")).select("own.doc_id", "own.text_hash")
+    rows = found.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("_n"), F.max("n").alias("n"))
+    first = first.select(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h"))
+    keep = rows.join(first, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("text_hash") == F.col("_h")), "left").filter("n = 0 OR _h IS NOT NULL")
+    keep = keep.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th"), F.when(F.col("n") > 0, F.col("_n")).otherwise(1).alias("_n"))
+    kept = numbered(docs).withColumn("_key", _column(docs, "doc_id").cast("long")).withColumn("_hash", F.xxhash64(_column(docs, "text").cast("string")))
+    kept = kept.join(keep, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_th")))
+    repeated = kept.filter("_n > 1").dropDuplicates(["_key", "_hash"])  # rows that stand in the table more than once
+    return kept.filter("_n = 1").unionByName(repeated).drop("_id", "_th", "_n", "_key", "_hash").toDF(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
