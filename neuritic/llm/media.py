@@ -2,7 +2,7 @@
 
 A text's UTF-8 bytes, filled up with bytes 255 to whole rows of 576, are the red, green and blue samples of rows of
 192 pixels. The files stand in a column of a table in the shared folder; they are read back from there, decoded
-(see webp), and features are computed from the pixels.
+(see webp_many and webp), and features are computed from the pixels.
 
 Results in corner cases: null and empty texts are one row of bytes 255; texts longer than 16,383 rows become several
 files in one value, one after the other; repeated rows give equal rows; null ids are kept; an empty table gives an
@@ -20,13 +20,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import webp
+from . import webp_many
 from .common import arrow_batches, pick, stored, table, together
 
 
 def fill(raw: bytes) -> bytes:
     """The bytes with bytes 255 up to a positive multiple of a row."""
-    return raw + b"\xff" * (max(1, -(-len(raw) // webp.ROW)) * webp.ROW - len(raw))
+    return raw + b"\xff" * (max(1, -(-len(raw) // webp_many.ROW)) * webp_many.ROW - len(raw))
 
 
 def feature(payload: bytes) -> str:
@@ -44,9 +44,9 @@ def store(docs: DataFrame) -> DataFrame:
     arrow_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in together(batches, "text", 2 << 20):
             raw = [(t or "").encode("utf-8", "surrogatepass") for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n_bytes": [len(b) for b in raw], "media": webp.write_many([fill(b) for b in raw])})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n_bytes": [len(b) for b in raw], "media": webp_many.write_many([fill(b) for b in raw])})
 
     docs = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return stored(docs.mapInPandas(run, "doc_id long, n_bytes long, media binary"), "media")
@@ -56,8 +56,8 @@ def features(media: DataFrame) -> DataFrame:
     """The stored table's digest: payloads decoded from the files, checksums and features."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in together(batches, "media", 8 << 20):
-            got = webp.read_many(list(pdf["media"]))
+        for pdf in together(batches, "media", 4 << 20):
+            got = webp_many.read_many(list(pdf["media"]))
             yield pd.DataFrame({
                 "doc_id": pdf["doc_id"].astype("Int64"),
                 "n_bytes": pdf["n_bytes"],

@@ -1,10 +1,8 @@
-"""Lossless WebP images: a reader of the whole format, a writer, and fast paths for many images at once.
+"""Lossless WebP images: a reader of the whole format and a writer.
 
 read() decodes any lossless file: prefix codes (one group or many), back-references, colour cache, and the predictor,
-cross-colour, subtract-green and palette transforms. write() makes such files with any of these. write_many() codes
-byte strings as rows of RGB pixels with one set of prefix codes and a back-reference over repeated pixels at the end;
-read_many() decodes images that share their headers side by side, one pixel of every image at a step, and leaves
-all others to read(). Pixels are uint32, alpha, red, green, blue from the top byte down.
+cross-colour, subtract-green and palette transforms. write() makes such files with any of these. Pixels are uint32,
+alpha, red, green, blue from the top byte down. See webp_many for many images at once.
 """
 
 from __future__ import annotations
@@ -12,6 +10,7 @@ from __future__ import annotations
 import heapq
 import struct
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 
@@ -48,43 +47,77 @@ class Bits:
 
 
 class Code:
-    """A canonical prefix code as a table over the next `width` bits: symbol and length."""
+    """A canonical prefix code as a table over the next `width` bits: symbol, and length above bit 16."""
 
     def __init__(self, lengths: np.ndarray):
         lengths = np.asarray(lengths)
         used = np.flatnonzero(lengths)
         if len(used) <= 1:  # a single symbol takes no bits
-            self.width, self.symbol, self.length = 0, np.array([used[0] if len(used) else 0]), np.array([0])
+            self.width, self.table = 0, np.array([used[0] if len(used) else 0], dtype=np.int32)
             return
         self.width = int(lengths.max())
-        if sum(1 << (self.width - int(lengths[s])) for s in used) != 1 << self.width:
+        if (1 << (self.width - lengths[used])).sum() != 1 << self.width:
             raise ValueError("not a complete prefix code")
         order = used[np.lexsort((used, lengths[used]))]
-        self.symbol, self.length = np.zeros(1 << self.width, dtype=np.int64), np.zeros(1 << self.width, dtype=np.int64)
-        for s, c in zip(order, codes(lengths)[order], strict=True):
-            n = int(lengths[s])
-            self.symbol[int(c) :: 1 << n] = s
-            self.length[int(c) :: 1 << n] = n
+        each = lengths[order]
+        self.table = np.repeat((order | each << 16).astype(np.int32), 1 << (self.width - each))[turned(self.width)]
 
     def next(self, bits: Bits) -> int:
         at = bits.at
-        k = bits.read(self.width)
-        bits.at = at + int(self.length[k])
-        return int(self.symbol[k])
+        k = int(self.table[bits.read(self.width)])
+        bits.at = at + (k >> 16)
+        return k & 0xFFFF
+
+
+@lru_cache(maxsize=16)
+def turned(width: int) -> np.ndarray:
+    """All numbers of so many bits with their bits in reverse."""
+    k, out = np.arange(1 << width), np.zeros(1 << width, dtype=np.int64)
+    for b in range(width):
+        out |= (k >> b & 1) << (width - 1 - b)
+    return out
 
 
 def codes(lengths: np.ndarray) -> np.ndarray:
     """The codes of a canonical prefix code, first bit lowest."""
-    out = np.zeros(len(lengths), dtype=np.int64)
-    code, last = 0, 0
-    for s in sorted(np.flatnonzero(lengths), key=lambda s: (lengths[s], s)):
-        n = int(lengths[s])
-        code <<= n - last
-        out[s] = int(f"{code:0{n}b}"[::-1], 2)
-        code, last = code + 1, n
+    lengths = np.asarray(lengths, dtype=np.int64)
+    used, out = np.flatnonzero(lengths), np.zeros(len(lengths), dtype=np.int64)
+    if len(used):
+        order = used[np.lexsort((used, lengths[used]))]
+        width = int(lengths.max())
+        room = 1 << (width - lengths[order])
+        out[order] = turned(width)[np.cumsum(room) - room]
     return out
 
 
+def shannon(weights: np.ndarray, most: int) -> np.ndarray:
+    """Lengths of a complete prefix code of at most `most` bits, from the logarithms of the shares: near huffman(), but quick."""
+    w = np.asarray(weights, dtype=np.int64)
+    used = np.flatnonzero(w)
+    lengths = np.zeros(len(w), dtype=np.int64)
+    if len(used) <= 1:
+        lengths[used] = 1
+        return lengths
+    used = used[np.argsort(-w[used], kind="stable")]
+    n = np.clip(np.ceil(np.log2(w.sum() / w[used]) - 0.2).astype(np.int64), 1, most).tolist()
+    left = (1 << most) - sum(1 << (most - x) for x in n)
+    k = len(n) - 1
+    while left < 0:  # longer codes for the rarest that can have them
+        if n[k] < most:
+            n[k] += 1
+            left += 1 << (most - n[k])
+        k = k - 1 if k else len(n) - 1
+    while left:  # shorter ones for the commonest that still fit
+        for k, x in enumerate(n):
+            if x > 1 and 1 << (most - x) <= left:
+                n[k] = x - 1
+                left -= 1 << (most - x)
+                if not left:
+                    break
+    lengths[used] = n
+    return lengths
+
+
 def huffman(weights: np.ndarray, most: int = 15) -> np.ndarray:
     """Lengths of a prefix code of at most `most` bits for the symbols with weight."""
     w = np.asarray(weights, dtype=np.int64).copy()
@@ -139,20 +172,31 @@ def _read_code(bits: Bits, size: int) -> Code:
         first[CODE_ORDER[k]] = bits.read(3)
     reader = Code(first)
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
-    at, before = 0, 8
-    while at < size and left:
+    table, mask = reader.table.tolist(), (1 << reader.width) - 1
+    data, at, out, before = bits.data, bits.at, [], 8
+    while len(out) < size and left:
         left -= 1
-        s = reader.next(bits)
+        v = int.from_bytes(data[at >> 3 : (at >> 3) + 3], "little") >> (at & 7)
+        s = table[v & mask]
+        n, s = s >> 16, s & 0xFFFF
+        at += n
+        v >>= n
         if s < 16:
-            lengths[at] = s
-            at += 1
+            out.append(s)
             before = s or before
+        elif s == 16:
+            out += [before] * (3 + (v & 3))
+            at += 2
+        elif s == 17:
+            out += [0] * (3 + (v & 7))
+            at += 3
         else:
-            n = 3 + bits.read(2) if s == 16 else 3 + bits.read(3) if s == 17 else 11 + bits.read(7)
-            if at + n > size:
-                raise ValueError("code lengths run over")
-            lengths[at : at + n] = before if s == 16 else 0
-            at += n
+            out += [0] * (11 + (v & 127))
+            at += 7
+    bits.at = at
+    if len(out) > size:
+        raise ValueError("code lengths run over")
+    lengths[: len(out)] = out
     return Code(lengths)
 
 
@@ -172,6 +216,7 @@ class Header:
     tiles: np.ndarray | None = None
     groups: list[list[Code]] = field(default_factory=list)
     at: int = 0  # first bit of the pixels
+    start: tuple = ()
 
 
 def _tiles(n: int, bits: int) -> int:
@@ -314,6 +359,16 @@ def _predictor(c: np.ndarray, modes: np.ndarray, size: int, forward: bool) -> np
     """Residuals of an image (forward), or the image of residuals."""
     height, width, _ = c.shape
     out = c.copy()
+    if width and height and modes.size and modes.min() == modes.max() and modes.flat[0] in (1, 2):  # all from the left, or all from above
+        rest = 1 if modes.flat[0] == 1 else 0  # the first column, or row, runs the other way
+        if forward:
+            edge = np.diff(np.take(c, 0, axis=rest), axis=0, prepend=np.array([[0, 0, 0, 255]]))
+            out = np.concatenate([np.expand_dims(edge, rest), np.diff(c, axis=rest)], axis=rest)
+        else:
+            edge = np.take(c, 0, axis=rest).copy()
+            edge[0] += np.array([0, 0, 0, 255])
+            out = np.cumsum(np.concatenate([np.expand_dims(np.cumsum(edge, axis=0), rest), np.delete(c, 0, axis=rest)], axis=rest), axis=rest)
+        return out & 255
     seen = c if forward else out
     for y in range(height):
         for x in range(width):
@@ -398,32 +453,35 @@ class Writer:
             if len(used) == 2:
                 self.put(int(used[1]), 8)
             return
-        runs, at, before = [], 0, 8
-        while at < len(lengths):
-            v, n = int(lengths[at]), 1
-            while at + n < len(lengths) and lengths[at + n] == v:
-                n += 1
-            if v == 0 and n >= 3:
-                n = min(n, 138)
-                runs.append((18, n - 11, 7) if n >= 11 else (17, n - 3, 3))
-            elif v and v == before and n >= 3:
-                n = min(n, 6)
-                runs.append((16, n - 3, 2))
-            else:
-                n, before = 1, v or before
-                runs.append((v, 0, 0))
-            at += n
-        first = huffman(np.bincount([r[0] for r in runs], minlength=19), 7)
+        edge = np.flatnonzero(np.diff(lengths, prepend=-1))
+        symbols, extra, more = [], [], []
+        for v, n in zip(lengths[edge].tolist(), np.diff(edge, append=len(lengths)).tolist(), strict=True):
+            while n:
+                k = min(n, 138) if v == 0 and n >= 3 else min(n - 1, 6) if n >= 4 else 1
+                if k == 1:
+                    symbols.append(v)
+                    extra.append(0)
+                    more.append(0)
+                elif v:  # once, and again k times
+                    symbols += (v, 16)
+                    extra += (0, k - 3)
+                    more += (0, 2)
+                    n -= 1
+                else:
+                    symbols.append(18 if k >= 11 else 17)
+                    extra.append(k - 11 if k >= 11 else k - 3)
+                    more.append(7 if k >= 11 else 3)
+                n -= k
+        first = shannon(np.bincount(symbols, minlength=19), 7)
         last = max(k for k in range(19) if first[CODE_ORDER[k]])
         self.put(0, 1)
         self.put(max(0, last - 3), 4)
         for k in range(max(4, last + 1)):
             self.put(int(first[CODE_ORDER[k]]), 3)
         self.put(0, 1)
-        own, sizes = codes(first), first if np.count_nonzero(first) > 1 else np.zeros_like(first)
-        for s, extra, n in runs:
-            self.put(int(own[s]), int(sizes[s]))
-            self.put(extra, n)
+        own, sizes = codes(first).tolist(), (first if np.count_nonzero(first) > 1 else np.zeros_like(first)).tolist()
+        self.values += [own[x] | e << sizes[x] for x, e in zip(symbols, extra, strict=True)]
+        self.sizes += [sizes[x] + m for x, m in zip(symbols, more, strict=True)]
 
     def bits(self) -> int:
         """All that was put, as one number."""
@@ -547,209 +605,3 @@ def write(pixels: np.ndarray, transforms: tuple = (), cache_bits: int = 0, refer
     w.put(0, 1)
     _put_image(w, p, p.shape[1], cache_bits, refer, main=True)
     return _container(w.bits().to_bytes((w.size() + 7) // 8, "little"))
-
-
-# ---------------------------------------------------------------- many images of bytes
-
-#: Bytes in a row of pixels; a payload has whole rows.
-ROW = 576
-_WIDTH = ROW // 3
-#: Rows of an image; longer payloads become several files, one after the other.
-ROWS = 16383
-
-
-def _text_code() -> tuple[np.ndarray, np.ndarray]:
-    """Lengths and codes for bytes of text and, from 256, lengths of back-references; from rough shares of letters."""
-    w = np.ones(280, dtype=np.int64)
-    w[128:192] = 12
-    w[194:196] = 60
-    w[65:91] = 30
-    w[48:58] = 20
-    w[33:48] = 20
-    for k, c in enumerate(b" etainorhsdluctgmbpfwyvkxjqz"):
-        w[c] = max(40, 2400 - 200 * k) if k else 2600
-    w[[10, 44, 46]] = 150
-    w[255] = 40
-    lengths = huffman(w, 12)
-    return lengths, codes(lengths)
-
-
-_LENGTHS, _CODES = _text_code()
-
-
-def _text_header() -> tuple[int, int]:
-    """What stands between the size of an image and its pixels, and its number of bits."""
-    w = Writer()
-    for v, n in ((0, 1), (0, 3), (0, 1), (0, 1), (0, 1)):  # no alpha, version, no transforms, no cache, one group
-        w.put(v, n)
-    w.code(_LENGTHS)
-    for _ in range(2):
-        byte = np.zeros(256, dtype=np.int64)
-        byte[:] = _BYTE_LENGTHS
-        w.code(byte)
-    alpha, distance = np.zeros(256, dtype=np.int64), np.zeros(40, dtype=np.int64)
-    alpha[255] = distance[1] = 1  # always opaque; always the pixel before
-    w.code(alpha)
-    w.code(distance)
-    return w.bits(), w.size()
-
-
-def _byte_lengths() -> np.ndarray:
-    w = (1 << (13 - _LENGTHS[:256])).astype(np.int64)
-    return huffman(w, 12)
-
-
-_BYTE_LENGTHS = _byte_lengths()
-_BYTE_CODES = codes(_BYTE_LENGTHS)
-_HEADER, _HEADER_BITS = _text_header()
-
-
-def _images(payload: bytes) -> list[bytes]:
-    return [payload[k : k + ROW * ROWS] for k in range(0, len(payload), ROW * ROWS)]
-
-
-def _write_one(payload: bytes) -> bytes:
-    p = np.frombuffer(payload, dtype=np.uint8).reshape(-1, 3)
-    n = len(p)
-    same = n - 1 - int(np.argmax((p[::-1] != p[-1]).any(axis=1))) if (p != p[-1]).any() else -1
-    run = n - 2 - same  # pixels at the end that equal the one before them
-    run = 0 if run < 2 else min(run, 4096)
-    lit = p[: n - run]
-    r, g, b = lit[:, 0], lit[:, 1], lit[:, 2]
-    lg, lr = _LENGTHS[g], _BYTE_LENGTHS[r]
-    value = (_CODES[g] | _BYTE_CODES[r] << lg | _BYTE_CODES[b] << (lg + lr)).astype(np.uint64)
-    size = lg + lr + _BYTE_LENGTHS[b]
-    if run:
-        s, extra, v = _prefix(run)
-        ls = int(_LENGTHS[256 + s])
-        value, size = np.append(value, np.uint64(int(_CODES[256 + s]) | v << ls)), np.append(size, ls + extra)
-    head = 0x2F | (_WIDTH - 1) << 8 | (len(payload) // ROW - 1) << 22 | _HEADER << 36
-    first = 36 + _HEADER_BITS
-    ends = first + np.cumsum(size)
-    at = ends - size
-    out = np.zeros((int(ends[-1]) >> 6) + 2, dtype=np.uint64)
-    word, shift = at >> 6, (at & 63).astype(np.uint64)
-    starts = np.flatnonzero(np.diff(word, prepend=-1))
-    out[word[starts]] = np.bitwise_or.reduceat(value << shift, starts)
-    over = np.flatnonzero((at & 63) + size > 64)  # at most one a word
-    out[word[over] + 1] |= value[over] >> (np.uint64(64) - shift[over])
-    h = np.frombuffer(head.to_bytes(((first >> 6) + 1) * 8, "little"), dtype=np.uint64)
-    out[: len(h)] |= h
-    return _container(out.astype("<u8").tobytes()[: (int(ends[-1]) + 7) // 8])
-
-
-def write_many(payloads: list[bytes]) -> list[bytes]:
-    """Lossless files for payloads of whole rows of bytes."""
-    return [b"".join(map(_write_one, _images(p))) for p in payloads]
-
-
-def _files(media: bytes) -> list[bytes]:
-    out, at = [], 0
-    while at < len(media):
-        end = at + 8 + struct.unpack_from("<I", media, at + 4)[0]
-        out.append(media[at:end])
-        at = end
-    return out
-
-
-def read_many(media: list[bytes]) -> list[bytes]:
-    """The payloads of files that write_many() made, or of any lossless files with three bytes a pixel."""
-    files = [(k, f) for k, m in enumerate(media) for f in _files(m)]
-    done: list[bytes | None] = [None] * len(files)
-    known: dict[bytes, tuple[Header, int]] = {}
-    same: dict[bytes, list[int]] = {}
-    for i, (_, f) in enumerate(files):  # images whose headers agree but for their height
-        start = 20
-        if f[12:16] != b"VP8L":
-            done[i] = _rgb(read(f))
-            continue
-        for key, (_, n) in known.items():
-            if f[start + 5 : start + 5 + n] == key[:n] and (f[start + 1] | (f[start + 2] & 0x3F) << 8) == key[n] | key[n + 1] << 8:
-                break
-        else:
-            h = read_header(f)
-            n = ((h.at + 7) >> 3) - start - 5 - 1
-            key = f[start + 5 : start + 5 + n] + (h.width - 1).to_bytes(2, "little")
-            known[key] = (h, n)
-        same.setdefault(key, []).append(i)
-    for key, own in same.items():
-        h = known[key][0]
-        if h.transforms or h.cache_bits or h.tiles is not None or len(own) < 4:
-            for i in own:
-                done[i] = _rgb(read(files[i][1]))
-        else:
-            # the header's last byte may hold bits of pixels, so its codes end where the first image's do
-            for i, b in zip(own, _lanes(h, [files[i][1] for i in own]), strict=True):
-                done[i] = b
-    out = [b""] * len(media)
-    for (k, _), b in zip(files, done, strict=True):
-        out[k] += b
-    return out
-
-
-def _rgb(p: np.ndarray) -> bytes:
-    return _split(p)[..., 2::-1].astype(np.uint8).tobytes()
-
-
-def _lanes(h: Header, files: list[bytes]) -> list[bytes]:
-    """Decodes images side by side that differ in height and pixels alone."""
-    heights = np.array([((f[22] >> 6) | f[23] << 2 | (f[24] & 0xF) << 10) + 1 for f in files])
-    order = np.argsort(-heights, kind="stable")
-    count = heights[order] * h.coded_width
-    sizes = np.array([len(files[i]) for i in order])
-    base = np.cumsum(sizes) - sizes
-    raw = np.frombuffer(b"".join([files[i] for i in order]) + b"\0" * 16, dtype=np.uint8)
-    pos = base * 8 + h.at
-    off = np.cumsum(count) - count
-    out = np.empty((int(count.sum()), 3), dtype=np.uint8)
-    copy, back = np.zeros(len(order), dtype=np.int64), np.ones(len(order), dtype=np.int64)
-    tables = [(c.symbol | c.length << 16, (1 << c.width) - 1) for c in h.groups[0]]
-    (green, mg), (red, mr), (blue, mb), (alpha, ma), (dist, md) = tables
-    free = len(alpha) == 1 and int(alpha[0]) >> 16 == 0
-    wide = np.ndarray((len(raw) - 8,), dtype="<u8", buffer=raw, strides=(1,))  # eight bytes from any place
-    copying = False
-    n = len(order)
-    for t in range(int(count[0])):
-        while count[n - 1] <= t:
-            n -= 1
-        p = pos[:n]
-        v = (wide[p >> 3] >> (p & 7).astype(np.uint64)).astype(np.int64)
-        g = green[v & mg]
-        s, used = g & 0xFFFF, g >> 16
-        v >>= used
-        r = red[v & mr]
-        lr = r >> 16
-        b = blue[(v >> lr) & mb]
-        total = used + lr + (b >> 16)
-        if not free:
-            total += alpha[(v >> (lr + (b >> 16))) & ma] >> 16
-        other = s > 255
-        if copying or other.any():
-            going = copy[:n] > 0
-            for k in np.flatnonzero(other & ~going):  # a back-reference starts: once an image or so
-                bits = Bits(raw[int(base[k]) : int(base[k]) + int(sizes[k])].tobytes(), int(p[k] - base[k] * 8 + used[k]))
-                copy[k] = _unprefix(int(s[k]) - 256, bits)
-                d = _unprefix(h.groups[0][4].next(bits), bits)
-                back[k] = d - 120 if d > 120 else max(1, NEAR[d - 1][0] + NEAR[d - 1][1] * h.coded_width)
-                if back[k] > t or t + copy[k] > count[k]:
-                    raise ValueError("a back-reference points outside the image")
-                pos[k] = base[k] * 8 + bits.at
-            going = copy[:n] > 0
-            copying = bool(going.any())
-            at = off[:n] + t
-            lit, ref = np.flatnonzero(~going), np.flatnonzero(going)
-            out[at[lit], 0], out[at[lit], 1], out[at[lit], 2] = r[lit] & 0xFF, s[lit], b[lit] & 0xFF
-            pos[lit] += total[lit]
-            out[at[ref]] = out[at[ref] - back[ref]]
-            copy[ref] -= 1
-            continue
-        at = off[:n] + t
-        out[at, 0] = r
-        out[at, 1] = s
-        out[at, 2] = b
-        pos[:n] += total
-    flat = out.tobytes()
-    result = [b""] * len(files)
-    for lane, i in enumerate(order):
-        result[i] = flat[3 * int(off[lane]) : 3 * int(off[lane] + count[lane])]
-    return result
