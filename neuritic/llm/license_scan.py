@@ -1,9 +1,11 @@
 """License scan: a trained paragraph classifier, confirmed by templates. DataFrame and SQL functions only.
 
-Paragraphs (lines) become sparse word n-grams; a multinomial logistic regression, fitted by Spark ML on the notices
+Paragraphs become sparse word n-grams: what stands between blank lines, cut further at line ends after a full stop, so
+that a wrapped notice is one paragraph. A multinomial logistic regression, fitted by Spark ML on the notices
 below, on parts of them and on sentences that merely sound alike, names the licence family or `unknown`. Its
 probabilities are calibrated by a temperature chosen on examples left out of a first fit. A prediction is confirmed
-if the paragraph's word pairs agree with a notice of the predicted family.
+if the paragraph's word pairs agree with a template of the predicted family; templates are texts of their own, which
+the model isn't fitted on. Texts are read once, and nothing is shuffled.
 
 An n-gram is a feature only if it holds an anchor word, so a paragraph without any anchor has no feature and is
 `unknown` by construction: it is passed over before any word is looked at. The model is a table of n-grams with a
@@ -16,6 +18,7 @@ results; null ids are kept; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import pick, table
 
 UNKNOWN = "unknown"
-# Customary notices by licence family.
+# Customary notices by licence family; the model is fitted on them.
 NOTICES = {
     "agpl": [
         "This program is licensed under the GNU Affero General Public License, version 3.",
@@ -142,7 +145,66 @@ OTHERS = [
     "The film was licensed to a television channel.",
     "A software license costs ten dollars a month for each user.",
     "The author explains copyright and patents to students.",
+    "Tickets come with all rights reserved for their holders.",
+    "They reserved seats with all the rights of members.",
+    "The bank was licensed under the new law.",
+    "The shop sells its goods without warranty of any kind to the trade.",
+    "He gave a public lecture on the domain of the eagle.",
+    "The creative commons of the village are its meadow and its pond.",
+    "A licence is granted to any person over eighteen.",
 ]
+# Names of licences, for short templates, and the texts of notices.
+NAMES = {
+    "agpl": ["GNU Affero General Public License", "AGPL-3.0", "AGPL v3", "AGPL license"],
+    "apache": ["Apache License, Version 2.0", "Apache 2.0 license", "Apache-2.0"],
+    "bsd": ["BSD License", "BSD 3-Clause License", "BSD 2-Clause License", "BSD-3-Clause", "BSD-2-Clause", "BSD-style license"],
+    "cc-by": ["CC BY 4.0", "CC-BY-4.0", "Creative Commons Attribution License", "Creative Commons Attribution 4.0 International License"],
+    "cc-by-nc": ["CC BY-NC 4.0", "CC-BY-NC-4.0", "CC BY-NC-SA 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License", "Creative Commons Attribution Non-Commercial license"],
+    "cc-by-sa": ["CC BY-SA 4.0", "CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike License", "Creative Commons Attribution-ShareAlike 4.0 International License"],
+    "cc0": ["CC0", "CC0 1.0 Universal", "CC0-1.0"],
+    "gpl": ["GNU General Public License", "GNU General Public License, version 3", "GPL v3", "GPL-3.0-or-later", "GNU GPL"],
+    "lgpl": ["GNU Lesser General Public License", "LGPL", "LGPL v3", "LGPL-2.1-or-later"],
+    "mit": ["MIT License", "MIT"],
+    "mpl": ["Mozilla Public License, version 2.0", "Mozilla Public License, v. 2.0", "MPL 2.0", "MPL-2.0"],
+    "proprietary": ["proprietary license", "commercial license only"],
+}
+TEMPLATES = {
+    "agpl": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "apache": [
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    ],
+    "bsd": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+    ],
+    "cc-by": ["This is an open access article distributed under the terms of the Creative Commons Attribution License, which permits unrestricted use, distribution, and reproduction in any medium, provided the original work is properly cited."],
+    "cc-by-nc": ["This is an open access article distributed under the terms of the Creative Commons Attribution-NonCommercial License, which permits use, distribution and reproduction in any medium for non-commercial purposes only."],
+    "cc-by-sa": ["Text is available under the Creative Commons Attribution-ShareAlike License; additional terms may apply."],
+    "cc0": [
+        "To the extent possible under law, the person who associated CC0 with this work has waived all copyright and related or neighboring rights to this work.",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software.",
+        "This work has been dedicated to the public domain.",
+    ],
+    "gpl": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "You should have received a copy of the GNU General Public License along with this program. If not, see http://www.gnu.org/licenses.",
+    ],
+    "lgpl": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."],
+    "mit": [
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
+    ],
+    "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
+    "proprietary": [
+        "All rights reserved.", "Copyright. All rights reserved.",
+        "No part of this publication may be reproduced, distributed, or transmitted in any form or by any means without the prior written permission of the publisher.",
+        "Unauthorized copying of this file, via any medium, is strictly prohibited. Proprietary and confidential.",
+    ],
+}
+#: Where a text is cut into paragraphs.
+_CUTS = r"\n[ \t\r]*\n\s*|(?<=[.!?])[ \t\r]*\n"
 #: What makes a word an anchor, as patterns for the start of a word.
 ANCHORS = ("licen[cs]", "copyright", "gpl", "lgpl", "agpl", "mpl", "gnu", "affero", "apache", "creative", "commons", "cc-by", "cc0", "warrant", "redistribut", "permission", "spdx", "bsd", "mozilla", "rights", "domain", "unencumbered", "cc", "proprietary")
 _GATE = r"(?i)(?:^|[^a-z0-9])(?:" + "|".join(ANCHORS) + ")"
@@ -214,27 +276,30 @@ def _fitted(app: str) -> tuple[list[str], list[float], list[tuple]]:
     return families, [float(x) / t for x in model.interceptVector], weights
 
 
+def templates(family: str) -> list[str]:
+    """Texts that confirm a prediction."""
+    return [f"{how} {name}" for name in NAMES[family] for how in ("Licensed under", "Licensed under the", "Released under the", "SPDX-License-Identifier:")] + TEMPLATES[family]
+
+
 def scan(docs: DataFrame, sure: float = 0.5, agree: float = 0.5) -> DataFrame:
-    """A row for each paragraph with an anchor word: doc_id, paragraph (line number from 0), family (`unknown` where
-    no family has a calibrated probability of at least `sure`, or no notice of it agrees), probability, similarity
-    (share of the word pairs of the shorter of paragraph and notice that both hold), confirmed, text."""
+    """A row for each paragraph with an anchor word: doc_id, paragraph (its number from 0), family (`unknown` where
+    no family has a calibrated probability of at least `sure`, or no template of it agrees), probability, similarity
+    (share of the word pairs of the shorter of paragraph and template that both hold), confirmed, text."""
     spark = docs.sparkSession
     families, bias, weights = _fitted(spark.sparkContext.applicationId)
-    lines = pick(docs, "doc_id", "text").filter(F.col("text").rlike(_GATE)).select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "text"))
-    lines = lines.filter(F.col("text").rlike(_GATE)).select(F.monotonically_increasing_id().alias("row"), "doc_id", "paragraph", "text", words(F.col("text")).alias("w"))
-    known = spark.createDataFrame(weights, "gram string, v array<double>")
-    sums = lines.select("row", F.explode(features(F.col("w"))).alias("gram")).join(known, "gram").groupBy("row")
-    sums = sums.agg(*(F.sum(F.col("v")[k]).alias(f"s{k}") for k in range(len(families))))
-    score = F.array(*(F.coalesce(f"s{k}", F.lit(0.0)) + b for k, b in enumerate(bias)))
-    scored = lines.join(sums, "row", "left").select("row", "doc_id", "paragraph", "text", "w", score.alias("z"))
+    found = pick(docs, "doc_id", "text").filter(F.col("text").rlike(_GATE)).select("doc_id", F.posexplode(F.split("text", _CUTS)).alias("paragraph", "text"))
+    found = found.filter(F.col("text").rlike(_GATE)).withColumn("w", words(F.col("text")))
+    # tables of a size that follows from the notices: each becomes one constant
+    table_of = F.from_json(F.lit(json.dumps({g: [round(x, 6) for x in v] for g, v in weights})), "map<string, array<double>>")
+    zero = F.array(*(F.lit(b) for b in bias))
+    z = F.aggregate(features(F.col("w")), zero, lambda acc, g: F.coalesce(F.zip_with(acc, F.try_element_at(table_of, g), lambda x, y: x + y), acc))
     top = F.array_max("z")
-    scored = scored.withColumn("probability", 1 / F.aggregate("z", F.lit(0.0), lambda a, x: a + F.exp(x - top)))
+    scored = found.withColumn("z", z).withColumn("probability", 1 / F.aggregate("z", F.lit(0.0), lambda a, x: a + F.exp(x - top)))
     scored = scored.withColumn("guess", F.element_at(F.array(*map(F.lit, families)), F.array_position("z", top).cast("int")))
-    notices = spark.createDataFrame([(f, t) for f, own in NOTICES.items() for t in own], "guess string, notice string")
-    notices = notices.groupBy("guess").agg(F.collect_list(grams(words(F.col("notice")), 2)).alias("pairs"))
-    pairs = grams(F.col("w"), 2)
-    both = F.transform(F.col("pairs"), lambda p: F.size(F.array_intersect(p, pairs)) / F.greatest(F.lit(1), F.least(F.size(p), F.size(pairs))))
-    out = scored.join(notices, "guess", "left").withColumn("similarity", F.coalesce(F.array_max(both), F.lit(0.0)))
+    known = F.from_json(F.lit(json.dumps({f: templates(f) for f in NAMES})), "map<string, array<string>>")
+    pairs_of = F.transform(F.coalesce(F.try_element_at(known, F.col("guess")), F.array().cast("array<string>")), lambda t: grams(words(t), 2))
+    both = F.transform(pairs_of, lambda p: F.size(F.array_intersect(p, F.col("pairs"))) / F.greatest(F.lit(1), F.least(F.size(p), F.size("pairs"))))
+    out = scored.withColumn("pairs", grams(F.col("w"), 2)).withColumn("similarity", F.coalesce(F.array_max(both), F.lit(0.0)))
     confirmed = (F.col("guess") != UNKNOWN) & (F.col("probability") >= sure) & (F.col("similarity") >= agree)
     return out.select("doc_id", "paragraph", F.when(confirmed, F.col("guess")).otherwise(UNKNOWN).alias("family"), F.col("guess").alias("predicted"), "probability", "similarity", confirmed.alias("confirmed"), "text")
 

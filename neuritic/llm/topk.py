@@ -7,7 +7,9 @@ value read. A query is done once no candidate outside its k best lower bounds ca
 that still can get their final scores resolved.
 
 Candidates are dealt into groups by a hash, queries into blocks; each pair of group and block is one task's
-work, which goes through the group's candidates a few thousand at a time and carries the k-th best score on. Bounds
+work, which goes through the group's candidates about a thousand at a time and carries the k-th best score on: a few of the longest
+vectors are scored in full at first, then lists are read in steps from the top. A query stops reading when few outsiders
+are left, and these get their final scores; what it reads to the end it would have to read anyhow. Bounds
 for all queries of a block are matrix products. Spark merges the k best of all groups.
 
 Results in corner cases: vectors that are null, empty, or hold null or non-finite components take no part, neither as
@@ -27,7 +29,11 @@ from pyspark.sql import functions as F
 from .common import arrow_batches, pick, table
 
 #: Candidates whose lists are sorted and read together.
-BLOCK = 4096
+BLOCK = 1024
+#: Candidates of a group, those with the longest vectors, that are scored in full at first, so that a bar is known.
+SEED = 128
+#: How far lists are read before bounds are compared.
+DEPTHS = (0.125, 0.25, 0.375, 0.5, 0.5625, 0.625, 0.6875, 0.75, 0.8125, 0.875, 1.0)
 
 
 def _matrix(rows: pd.Series, width: int) -> np.ndarray:
@@ -43,34 +49,44 @@ def _exact(q: np.ndarray, x: np.ndarray) -> np.dtype:
     return np.dtype(np.float32 if top < 1 << 24 else np.float64 if top < 1 << 53 else np.int64)
 
 
-def search(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, block: int = BLOCK) -> pd.DataFrame:
-    """The k best candidates of every query, (query, vec_id, score), in order of score and then id."""
+def search(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, block: int = BLOCK, stops: list | None = None) -> pd.DataFrame:
+    """The k best candidates of every query, (query, vec_id, score), in order of score and then id.
+
+    stops: takes (share of the lists read, queries that stopped there) for every block.
+    """
     best = [np.zeros((0, 2), dtype=np.int64)] * len(q)  # per query: score, id
     kth = np.full(len(q), -np.inf)
     kind = _exact(q, x)
     qt = q.astype(kind)
     up, down = np.maximum(qt, 0), np.maximum(-qt, 0)
-    for lo in range(0, len(x), block):
-        xs, own = x[lo : lo + block].astype(kind), ids[lo : lo + block]
-        n = len(xs)
+    strong = np.argsort(-(x.astype(float) ** 2).sum(axis=1), kind="stable")  # long vectors first: they raise the bar
+    ids, x = ids[strong], x[strong]
+    cuts = [0, *range(min(SEED, len(x)), len(x), block), len(x)] if len(x) else [0]
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        xs, own = x[lo:hi].astype(kind), ids[lo:hi]
+        n = hi - lo
+        if not n:
+            continue
         lists = np.sort(xs, axis=0)
         open_q, rest = np.arange(len(q)), []
-        for depth in sorted({n // 2, n * 3 // 4, n} - {0}):
+        for depth in sorted({max(1, int(n * d)) for d in DEPTHS} if lo else {n}):  # the first candidates are read to the end
             top, low = lists[n - depth], lists[depth - 1]  # the last values read from above and from below
             if depth == n:
                 upper = lower = qt[open_q] @ xs.T
             else:
-                upper = up[open_q] @ np.maximum(xs, top).T + down[open_q] @ np.maximum(-xs, -low).T
+                upper = up[open_q] @ np.where(xs >= top, xs, top).T + down[open_q] @ np.where(xs <= low, -xs, -low).T
                 lower = up[open_q] @ np.where(xs >= top, xs, lists[0]).T + down[open_q] @ np.where(xs <= low, -xs, -lists[-1]).T
             lower = np.where(own[None, :] == q_ids[open_q, None], -np.inf, lower)
+            bar = kth[open_q]
             if n > k:
-                bar = np.maximum(kth[open_q], np.partition(lower, n - k, axis=1)[:, n - k])
-            else:
-                bar = kth[open_q]
+                bar = np.maximum(bar, np.partition(lower, n - k, axis=1)[:, n - k])
             alive = (upper >= bar[:, None]) & (lower > -np.inf)
+            # reading on costs more than final scores for a few that are left
             few = alive.sum(axis=1) <= max(4 * k, n // 10) if depth < n else np.ones(len(open_q), dtype=bool)
-            a, b = np.nonzero(alive[few])
-            rest.append((open_q[few][a], b))
+            i, j = np.nonzero(alive[few])
+            rest.append((open_q[few][i], j))
+            if stops is not None and lo:
+                stops.append((depth / n, int(few.sum())))
             open_q = open_q[~few]
             if not len(open_q):
                 break
