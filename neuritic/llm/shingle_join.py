@@ -4,9 +4,9 @@ A document is the set of its distinct word n-grams. Documents with equal sets fo
 class takes part. Each run of the join picks shared tokens at random: at a node of the path tree a set keeps those
 of its tokens whose hash, salted by the path, is below 1 / (threshold * size), so two sets that are similar enough
 keep a common token with probability 1 - 1/e at least, and land in the same bucket. Buckets of up to `limit` sets are
-compared by brute force; larger ones are split again by further tokens, sampled several times for each bucket, the more
-often the larger it is, and so on while buckets are large and splitting halves their pairs at least. Where it doesn't, as among near
-copies, the bucket stays whole and is compared block by block, so that no bucket is cut short. Runs repeat until a pair at the threshold is missed with probability
+compared by brute force; larger ones are split again by second tokens, sampled several times for each bucket, the more
+often the larger it is; where that saves no pairs, as among near copies, the bucket stays whole. What is still larger is
+compared block by block, so that no bucket is cut short. Runs repeat until a pair at the threshold is missed with probability
 of at most 1 - recall. A pair that meets in several buckets counts in the one with the smallest path only, which both
 sets can tell from their lists of buckets, so pairs are never written out to remove duplicates: each bucket
 reports, for each set, the number of its similar partners and one edge to the smallest set that its links connect it with
@@ -286,7 +286,9 @@ def similar(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float =
     buckets = shared(reps.select("cls", F.explode("paths").alias("path")))
     leaves = [buckets.filter(F.col("size") <= limit).select("cls", "path", F.lit(1).alias("blocks"))]
     big = buckets.filter(F.col("size") > limit)
-    while not big.isEmpty():
+    for _ in range(levels - 1):
+        if big.isEmpty():
+            break
 
         def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
@@ -302,11 +304,12 @@ def similar(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float =
         # of near copies the parts hold about as many pairs as the bucket or more
         pairs = big.groupBy("path").agg((F.first("size") * (F.first("size") - 1)).alias("pairs"))
         inside = parts.groupBy("parent").agg(F.sum(F.col("size") - 1).alias("inside"))
-        whole = held(inside.join(pairs, F.col("parent") == F.col("path")).filter("2 * inside > pairs").select("parent"), "whole")
+        whole = held(inside.join(pairs, F.col("parent") == F.col("path")).filter("inside >= pairs").select("parent"), "whole")
         leaves.append(in_blocks(big.join(whole, F.col("path") == F.col("parent"), "left_semi")))
         buckets = parts.join(whole, "parent", "left_anti")
         leaves.append(buckets.filter(F.col("size") <= limit).select("cls", "path", F.lit(1).alias("blocks")))
         big = buckets.filter(F.col("size") > limit).select("cls", "path", "size")
+    leaves.append(in_blocks(big))
     member = reduce(DataFrame.unionByName, leaves)
     lists = member.groupBy("cls").agg(F.array_sort(F.collect_set("path")).alias("leaves"))
     known = held(reps.join(lists, "cls").select("cls", "n", "n_copies", "sketch", "leaves"), "members")
@@ -355,7 +358,7 @@ def similar(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float =
     found = dealt(part.join(known, "cls").join(texts_of(part), "cls")).mapInPandas(verified, "cls binary, links long, docs long, low binary")
     found = held(found, "links")
     total = found.groupBy("cls").agg(F.sum("docs").alias("docs"))
-    out = sets.select("doc_id", "text_hash", "cls", "n").join(reps.select("cls", "class_id", "n_copies").join(total, "cls", "left"), "cls", "left")
+    of_class = reps.select("cls", "class_id", "n_copies").join(total, "cls", "left")
     cols = [
         "doc_id",
         F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
@@ -367,9 +370,10 @@ def similar(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float =
         ids = roots.join(reps.select("cls", "class_id"), "cls")
         smallest = ids.groupBy("root").agg(F.min("class_id").alias("group_id"), F.min(F.struct(F.col("class_id").isNull(), "class_id", "cls")).alias("first"))
         temporary.append(roots)
-        out = out.join(roots.join(smallest, "root").select("cls", "group_id", (F.col("first.cls") == F.col("cls")).alias("first_class")), "cls", "left")
+        of_class = of_class.join(roots.join(smallest, "root").select("cls", "group_id", (F.col("first.cls") == F.col("cls")).alias("first_class")), "cls", "left")
         cols.append(F.when(F.col("n") > 0, F.coalesce("group_id", "class_id")).otherwise(F.col("doc_id")).alias("group_id"))
         cols += ["text_hash", "cls", "n", F.coalesce("first_class", F.lit(True)).alias("first_class")]
+    out = sets.select("doc_id", "text_hash", "cls", "n").join(held(of_class, "of-class"), "cls", "left")
     out = stored(out.select(*cols), "similar")
     for used in temporary:
         drop_stored(used)
