@@ -102,7 +102,7 @@ def _transformed(c: np.ndarray) -> tuple[list[tuple], np.ndarray, int]:
 
 
 def _before(keys: np.ndarray) -> np.ndarray:
-    """For each place the last place before it with the same key, or -1."""
+    """For each place the last place before it with the same key, or -1. Keys of one or two bytes are sorted fastest."""
     order = np.argsort(keys, kind="stable")
     same = np.flatnonzero(keys[order[1:]] == keys[order[:-1]])
     out = np.full(len(keys), -1)
@@ -115,9 +115,11 @@ def _references(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if len(p) < 4:
         return (np.zeros(0, dtype=np.int64),) * 3
     x = p.astype(np.uint64)
-    back = _before(x[:-2] * np.uint64(0x9E3779B97F4A7C15) ^ x[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) ^ x[2:] * np.uint64(0x165667B19E3779F9))
+    key = x[:-2] * np.uint64(0x9E3779B97F4A7C15) ^ x[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) ^ x[2:] * np.uint64(0x165667B19E3779F9)
+    back = _before((key >> np.uint64(48)).astype(np.uint16))
     at, found = 0, []
     places = np.flatnonzero(back >= 0)
+    places = places[key[places] == key[back[places]]]
     for t, b in zip(places.tolist(), back[places].tolist(), strict=True):
         if t < at:
             continue
@@ -137,6 +139,8 @@ def _references(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _prefixes(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, numbers of extra bits and extra bits of lengths or distances."""
+    if not len(v):
+        return v, v, v
     v = v - 1
     high = np.frexp(np.maximum(v, 1))[1].astype(np.int64) - 1
     small = v < 4
@@ -148,7 +152,7 @@ def _prefixes(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 #: Where the symbols of the five codes stand in an image's counts.
 _AT = (0, 280 + (1 << CACHE_BITS), 536 + (1 << CACHE_BITS), 792 + (1 << CACHE_BITS), 1048 + (1 << CACHE_BITS), 1088 + (1 << CACHE_BITS))
 #: Kinds of images written together, at most.
-_KINDS = 6
+_KINDS = 4
 
 
 @dataclass
@@ -199,7 +203,7 @@ def _image(payload: bytes) -> _Image:
         literal[t : t + n] = False
     places = np.flatnonzero(literal)
     key = ((p * np.uint64(CACHE_MUL) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - CACHE_BITS)).astype(np.int64)
-    last = _before(key)
+    last = _before(key.astype(np.uint8))
     hit = ((last >= 0) & (p[last] == p))[places]
     near = _NEAR if width == _WIDTH else {}
     ls, ln, lv = _prefixes(length)
@@ -238,7 +242,7 @@ def _kinds(counts: np.ndarray) -> np.ndarray:
         far = int(gain.argmax())
         centres.append(bits(x[far] + x.sum(axis=0) * (x[far].sum() / (4 * x.sum()))))
         cost.append(x @ centres[-1])
-    for _ in range(3):
+    for _ in range(2):
         kinds = np.argmin(cost, axis=0)
         centres = [bits(x[kinds == k].sum(axis=0)) for k in np.unique(kinds)]
         cost = [x @ c for c in centres]
@@ -315,7 +319,7 @@ def write_many(payloads: list[bytes]) -> list[bytes]:
             shared = counts[members] @ np.concatenate(codes.size) + codes.bits[1]
             for i, bits in zip(members.tolist(), shared.tolist(), strict=True):
                 k = group[i]
-                own = images[k].own < 0.8 * bits
+                own = images[k].own < 0.75 * bits
                 done[parts[k]] = _file(images[k], _Codes.fitted(counts[i], cache) if own else codes)
     return [b"".join(done[x] for x in _images(p)) for p in payloads]
 
