@@ -59,6 +59,11 @@ def percent(x: Column, digits: int = 1) -> Column:
     return F.format_string(f"%.{digits}f%%", x * 100)
 
 
+def rounded(x: Column, digits: int = 4) -> Column:
+    """A number for reports, halves to even."""
+    return F.bround(x, digits)
+
+
 def clean_name(name: Column) -> Column:
     """A downloaded file's name without separators."""
     return F.translate(name, "; /", "___")
@@ -77,3 +82,13 @@ def canonical_labels(cell_type: Column, types: Column) -> Column:
     """Whether a cell's labels are a full set for its type."""
     key = F.array_join(F.sort_array(types), "")
     return ((cell_type == "pyramidal") & key.isin("123", "1234")) | ((cell_type == "interneuron") & key.isin("12", "13", "123"))
+
+
+def holds_labels(types: Column, required: tuple) -> Column:
+    """Whether a set of labels holds all of these."""
+    return F.size(F.array_except(F.array(*map(F.lit, required)), types)) == 0
+
+
+def neurite_labels(types: Column) -> Column:
+    """A set of labels without soma, in order."""
+    return F.sort_array(F.array_except(types, F.array(F.lit(1))))

@@ -13,7 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .forest import branches, rank_share, strahler, subtree_stats, trunk
+from ..session import checkpointed
+from .forest import branches, label_mode, rank_share, strahler, subtree_stats, trunk
 
 CELL = ["cell_id"]
 TREE = ["cell_id", "primary_root"]
@@ -33,49 +34,88 @@ def with_soma(topo: DataFrame) -> DataFrame:
     return d.withColumn("radial", F.sqrt(F.pow("dx", F.lit(2)) + F.pow("dy", F.lit(2)) + F.pow("dz", F.lit(2)))).withColumn("is_proxy", F.col("id") == F.col("proxy"))
 
 
-def cell_counts(topo: DataFrame) -> DataFrame:
-    """Numbers of nodes, roots, forks, tips and primary subtrees, and the shares of forks and tips."""
+def _aggregated(topo: DataFrame, *parts) -> DataFrame:
+    """Several sets of features from one aggregation by cell. A part: aggregates over with_soma(topo), and what follows from them."""
+    out = with_soma(topo).groupBy(*CELL).agg(*(c for aggregates, _ in parts for c in aggregates()))
+    for _, more in parts:
+        out = more(out)
+    return out
+
+
+def _count_aggregates() -> list[Column]:
     n = F.count(F.lit(1))
     forks, tips = F.count_if(F.col("n_children") >= 2), F.count_if((F.col("n_children") == 0) & ~F.col("is_root"))
-    return topo.groupBy(*CELL).agg(
+    return [
         n.alias("n_nodes"), F.count_if("is_root").alias("n_root_nodes"), forks.alias("n_branch_points"), tips.alias("n_terminals"),
         F.count_if(~F.col("is_root") & (F.col("parent") == F.col("proxy"))).alias("n_primary_subtrees"), (forks / n).alias("branch_point_ratio"), (tips / n).alias("terminal_ratio"),
-    )
+    ]
 
 
-def cell_paths(topo: DataFrame) -> DataFrame:
-    """Path and radial statistics and their mean ratio."""
-    t = with_soma(topo)
+def _path_aggregates() -> list[Column]:
     path = F.when(~F.col("is_proxy"), F.col("path"))
-    return t.groupBy(*CELL).agg(
+    return [
         _zero(F.max(path)).alias("max_path_length"), _zero(F.avg(path)).alias("mean_path_length"), _zero(F.stddev_pop(path)).alias("std_path_length"),
         F.max("radial").alias("max_radial_distance"), F.avg("radial").alias("mean_radial_distance"), F.stddev_pop("radial").alias("std_radial_distance"),
         F.coalesce(F.avg(F.when(~F.col("is_proxy") & (F.col("radial") > 1e-6), F.col("path") / F.col("radial"))), F.lit(1.0)).alias("path_radial_ratio_mean"),
-    )
+    ]
 
 
-def cell_radius(topo: DataFrame) -> DataFrame:
-    t = with_soma(topo)
+def _radius_aggregates() -> list[Column]:
     r = F.when(~F.col("is_proxy"), F.col("radius"))
-    got = t.groupBy(*CELL).agg(_zero(F.avg(r)).alias("mean_radius"), _zero(F.stddev_pop(r)).alias("std_radius"), _zero(F.max(r)).alias("max_radius"))
-    return got.withColumn("radius_cv", _ratio(F.col("std_radius"), F.col("mean_radius"), 0.0))
+    return [_zero(F.avg(r)).alias("mean_radius"), _zero(F.stddev_pop(r)).alias("std_radius"), _zero(F.max(r)).alias("max_radius")]
 
 
-def cell_extent(topo: DataFrame) -> DataFrame:
-    """Spans along the axes, and the balance above and below the soma."""
-    t = with_soma(topo)
-    got = t.groupBy(*CELL).agg(
+def _extent_aggregates() -> list[Column]:
+    return [
         (F.max("z") - F.min("z")).alias("z_span"), F.greatest(F.lit(0.0), F.max("dz")).alias("z_max_above_soma"), F.greatest(F.lit(0.0), -F.min("dz")).alias("z_max_below_soma"),
         (F.max("x") - F.min("x")).alias("x_span"), (F.max("y") - F.min("y")).alias("y_span"),
-    )
+    ]
+
+
+def _extent_ratios(got: DataFrame) -> DataFrame:
     got = got.withColumn("z_asymmetry", _ratio(F.col("z_max_above_soma") - F.col("z_max_below_soma"), F.col("z_span"), 0.0))
     return got.withColumn("xy_aspect_ratio", _ratio(F.greatest("x_span", "y_span"), F.least("x_span", "y_span"), 1.0))
 
 
+def _terminal_aggregates() -> list[Column]:
+    r = F.when((F.col("n_children") == 0) & ~F.col("is_root"), F.col("radial"))
+    return [_zero(F.avg(r)).alias("terminal_radial_mean"), _zero(F.stddev_pop(r)).alias("terminal_radial_std")]
+
+
+COUNTS = (_count_aggregates, lambda d: d)
+PATHS = (_path_aggregates, lambda d: d)
+RADIUS = (_radius_aggregates, lambda d: d.withColumn("radius_cv", _ratio(F.col("std_radius"), F.col("mean_radius"), 0.0)))
+EXTENT = (_extent_aggregates, _extent_ratios)
+TERMINALS = (_terminal_aggregates, lambda d: d)
+
+
+def cell_counts(topo: DataFrame) -> DataFrame:
+    """Numbers of nodes, roots, forks, tips and primary subtrees, and the shares of forks and tips."""
+    return _aggregated(topo, COUNTS)
+
+
+def cell_paths(topo: DataFrame) -> DataFrame:
+    """Path and radial statistics and their mean ratio."""
+    return _aggregated(topo, PATHS)
+
+
+def cell_radius(topo: DataFrame) -> DataFrame:
+    return _aggregated(topo, RADIUS)
+
+
+def cell_extent(topo: DataFrame) -> DataFrame:
+    """Spans along the axes, and the balance above and below the soma."""
+    return _aggregated(topo, EXTENT)
+
+
 def covariance(rows: DataFrame, keys: list[str] = CELL) -> DataFrame:
     """keys, n and the six covariances of x, y, z."""
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *_covariances())
+
+
+def _covariances() -> list[Column]:
     pairs = [("x", "x"), ("y", "y"), ("z", "z"), ("x", "y"), ("x", "z"), ("y", "z")]
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *(F.covar_samp(a, b).alias(f"c{a}{b}") for a, b in pairs))
+    return [F.covar_samp(a, b).alias(f"c{a}{b}") for a, b in pairs]
 
 
 def eigenvalues(cov: DataFrame) -> DataFrame:
@@ -93,11 +133,23 @@ def eigenvalues(cov: DataFrame) -> DataFrame:
     return t.withColumn("l2", 3 * F.col("_q") - F.col("l1") - F.col("l3")).drop("_q", "_p", "_a")
 
 
+def _shape_aggregates() -> list[Column]:
+    return [F.count(F.lit(1)).alias("n"), *_covariances()]
+
+
+def _shape_ratios(cov: DataFrame) -> DataFrame:
+    e = eigenvalues(cov)
+    ok = (F.col("n") >= 3) & (F.col("l1") > 1e-12)
+    ratios = {"planarity": (F.col("l2") - F.col("l3")) / F.col("l1"), "linearity": (F.col("l1") - F.col("l2")) / F.col("l1"), "thickness_ratio": F.col("l3") / F.col("l1")}
+    return e.withColumns({k: F.when(ok, v).otherwise(0.0) for k, v in ratios.items()}).drop("n", "cxx", "cyy", "czz", "cxy", "cxz", "cyz", "l1", "l2", "l3")
+
+
+SHAPE = (_shape_aggregates, _shape_ratios)
+
+
 def cell_shape(topo: DataFrame) -> DataFrame:
     """Planarity, linearity and thickness from the eigenvalues; 0 for cells of fewer than three nodes."""
-    e = eigenvalues(covariance(topo))
-    ok = (F.col("n") >= 3) & (F.col("l1") > 1e-12)
-    return e.select("cell_id", *(F.when(ok, v).otherwise(0.0).alias(k) for k, v in (("planarity", (F.col("l2") - F.col("l3")) / F.col("l1")), ("linearity", (F.col("l1") - F.col("l2")) / F.col("l1")), ("thickness_ratio", F.col("l3") / F.col("l1")))))
+    return _aggregated(topo, SHAPE)
 
 
 def principal_axis(rows: DataFrame, least: int = 3) -> DataFrame:
@@ -165,21 +217,18 @@ def cell_sholl(topo: DataFrame, bins: int = 20) -> DataFrame:
 
 
 def cell_terminals(topo: DataFrame) -> DataFrame:
-    r = F.when((F.col("n_children") == 0) & ~F.col("is_root"), F.col("radial"))
-    return with_soma(topo).groupBy(*CELL).agg(_zero(F.avg(r)).alias("terminal_radial_mean"), _zero(F.stddev_pop(r)).alias("terminal_radial_std"))
+    """Radial distances of the tips."""
+    return _aggregated(topo, TERMINALS)
 
 
 def cell_strahler(topo: DataFrame) -> DataFrame:
     return strahler(topo).groupBy(*CELL).agg(F.max("strahler").alias("max_strahler"), F.avg("strahler").alias("mean_strahler"))
 
 
-CELL_PARTS = (cell_counts, cell_paths, cell_radius, cell_extent, cell_shape, cell_subtrees, cell_strahler, cell_sholl, cell_terminals, cell_principal)
-
-
 def cell_features(topo: DataFrame) -> DataFrame:
-    """All 49 features of each cell."""
-    out = topo.select("cell_id").distinct()
-    for part in CELL_PARTS:
+    """All 49 features of each cell; what is keyed by cell alone comes from one aggregation."""
+    out = _aggregated(topo, COUNTS, PATHS, RADIUS, EXTENT, SHAPE, TERMINALS)
+    for part in (cell_subtrees, cell_strahler, cell_sholl, cell_principal):
         out = out.join(part(topo), "cell_id", "left")
     return out.na.fill(0)
 
@@ -225,28 +274,41 @@ def branch_geometry(topo: DataFrame, cut: float | None = None) -> DataFrame:
     to_anchor = F.sqrt(F.pow(F.col("x") - F.col("ax"), 2) + F.pow(F.col("y") - F.col("ay"), 2) + F.pow(F.col("z") - F.col("az"), 2))
     first, last = F.col("p") == 0, F.col("p") == F.col("n") - 1
     mid = F.col("p") == F.floor(F.col("n") / 2)
+    near, far = F.col("p") < third, F.col("p") >= F.col("n") - third
     g = t.groupBy("cell_id", "branch", "anchor", "anchor_radius", "anchor_children", "proxy", "sx", "sy", "sz").agg(
         F.sum(F.when(F.col("p") > 0, F.col("edge")).otherwise(0.0)).alias("path_length"), F.max(to_anchor).alias("radial_extent"), F.count(F.lit(1)).alias("n_nodes"),
         F.avg("radius").alias("mean_radius"), F.stddev_pop("radius").alias("std_radius"), F.min("radius").alias("min_radius"), F.max("radius").alias("max_radius"),
         F.avg(F.when(F.col("p") < 3, F.col("radius"))).alias("_prox"), F.avg(F.when(F.col("p") >= F.col("n") - 3, F.col("radius"))).alias("_dist"),
         F.max(F.when(first, F.struct("x", "y", "z", "radius", "branch_order"))).alias("_f"), F.max(F.when(last, F.struct("x", "y", "z"))).alias("_l"),
-        F.avg((F.col("n_children") >= 2).cast("double")).alias("branchiness"), F.max(F.when(mid, F.col("path"))).alias("root_path_dist"), F.max(F.when(mid, F.col("radial"))).alias("root_radial_dist"),
+        F.avg((F.col("n_children") >= 2).cast("double")).alias("branchiness"), F.max(F.when(mid, F.col("path"))).alias("root_path_dist"), F.max(F.when(mid, F.col("radial"))).alias("root_radial_dist"), F.max(F.when(mid, F.struct("dx", "dy", "dz", "radial"))).alias("_m"),
         F.avg("dz").alias("z_rel_soma"), (F.max("z") - F.min("z")).alias("z_span"), F.avg((F.col("radius") < 0.5).cast("double")).alias("thin_fraction"),
-        F.avg(F.when(F.col("p") < third, F.col("radius"))).alias("proximal_mean_radius"), F.avg(F.when(F.col("p") >= F.col("n") - third, F.col("radius"))).alias("distal_mean_radius"),
+        F.avg(F.when(near, F.col("radius"))).alias("proximal_mean_radius"), F.avg(F.when(far, F.col("radius"))).alias("distal_mean_radius"),
+        F.sum(F.when(near & (F.col("p") > 0), F.col("edge"))).alias("_np"), F.sum(F.when(far & (F.col("p") > F.col("n") - third), F.col("edge"))).alias("_fp"),
+        F.max(F.when(F.col("p") == third - 1, F.struct("x", "y", "z"))).alias("_n1"), F.max(F.when(F.col("p") == F.col("n") - third, F.struct("x", "y", "z"))).alias("_f0"),
+        F.count_if(F.col("n_children") >= 2).alias("_forks"), F.max(F.when(first, (F.col("parent") == F.col("proxy")).cast("int"))).alias("is_primary"),
         F.max("primary_root").alias("primary_root"),
     )
     chord = F.sqrt(F.pow(F.col("_l.x") - F.col("_f.x"), 2) + F.pow(F.col("_l.y") - F.col("_f.y"), 2) + F.pow(F.col("_l.z") - F.col("_f.z"), 2))
     g = g.withColumn("_chord", chord).withColumn("taper_ratio", _ratio(F.col("_dist"), F.col("_prox"), 1.0)).withColumn("persistence", _ratio(F.col("_chord"), F.col("path_length"), 0.5))
     lift = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("_l.z") - F.col("_f.z")) / F.col("_chord") + 1) / 2))
     g = g.withColumn("up_alignment", F.when(F.col("_chord") > 1e-9, lift).otherwise(0.5))
+    def between(a: str, b: str) -> Column:
+        return F.sqrt(F.pow(F.col(f"{a}.x") - F.col(f"{b}.x"), 2) + F.pow(F.col(f"{a}.y") - F.col(f"{b}.y"), 2) + F.pow(F.col(f"{a}.z") - F.col(f"{b}.z"), 2))
+
+    for name, a, b, way in (("proximal_persistence", "_f", "_n1", "_np"), ("distal_persistence", "_f0", "_l", "_fp")):
+        g = g.withColumn(name, F.when((F.col("n_nodes") >= 3) & (F.col(way) > 1e-9), between(a, b) / F.col(way)).otherwise(F.col("persistence")))
+    g = g.withColumn("bifurcations_per_micron", _ratio(F.col("_forks"), F.col("path_length"), 0.0)).withColumn("mean_internode_distance", F.when(F.col("n_nodes") > 1, F.col("path_length") / (F.col("n_nodes") - 1)).otherwise(0.0))
     soma = F.col("anchor") == F.col("proxy")
     g = g.withColumn("parent_radius", F.coalesce("anchor_radius", F.lit(0.0))).withColumn("radius_ratio_to_parent", _ratio(F.col("mean_radius"), F.col("anchor_radius"), 1.0))
-    g = g.withColumn("n_siblings", F.when(soma, F.col("anchor_children") - 1).otherwise(0)).withColumn("starts_at_soma", soma.cast("int")).withColumn("branch_order", F.col("_f.branch_order"))
-    g = g.withColumn("radius_drop_at_anchor", F.coalesce(F.col("anchor_radius") - F.col("_f.radius"), F.lit(0.0)))
-    r = F.sqrt(F.pow(F.col("_l.x") - F.col("sx"), 2) + F.pow(F.col("_l.y") - F.col("sy"), 2) + F.pow(F.col("_l.z") - F.col("sz"), 2))
-    polar = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.col("_l.z") - F.col("sz")) / r)))
-    g = g.withColumn("polar_angle_from_up", F.when(r > 1e-9, polar).otherwise(np.pi / 2))
-    return g.drop("_prox", "_dist", "_f", "_l", "_chord", "anchor_radius", "anchor_children", "sx", "sy", "sz", "proxy")
+    g = g.withColumn("n_siblings", F.when(soma, F.col("anchor_children") - 1).otherwise(F.col("anchor_children"))).withColumn("starts_at_soma", soma.cast("int")).withColumn("branch_order", F.col("_f.branch_order"))
+    g = g.withColumn("radius_drop_at_anchor", F.coalesce(_ratio(F.col("anchor_radius") - F.col("_prox"), F.col("anchor_radius"), 0.0), F.lit(0.0)))
+    g = g.withColumn("polar_angle_from_up", _angle(F.col("_m.dz"), F.col("_m.radial")))
+    return g.withColumnRenamed("_m", "mid").drop("_prox", "_dist", "_f", "_l", "_chord", "_np", "_fp", "_n1", "_f0", "_forks", "anchor_radius", "anchor_children", "sx", "sy", "sz", "proxy")
+
+
+def _angle(along: Column, length: Column) -> Column:
+    """Angle between a vector and an axis, from its part along the axis; a right angle if it has no length."""
+    return F.when(length > 1e-9, F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), along / length)))).otherwise(np.pi / 2)
 
 
 def branch_symmetry(topo: DataFrame) -> DataFrame:
@@ -257,50 +319,89 @@ def branch_symmetry(topo: DataFrame) -> DataFrame:
     return mad.select("cell_id", "anchor", F.when(F.col("med") > 1e-9, 1 - F.least(F.lit(1.0), F.col("mad") / F.col("med"))).otherwise(0.5).alias("symmetry"))
 
 
-def branch_relative(topo: DataFrame, geometry: DataFrame) -> DataFrame:
+def branch_relative(topo: DataFrame, geometry: DataFrame, stats: DataFrame | None = None) -> DataFrame:
     """Branch measures relative to the cell (B14) and to the primary subtree (B16, B20, B22, B25, B26, B27)."""
     t = with_soma(topo)
     cell = t.groupBy(*CELL).agg(F.max("path").alias("_mp"), F.max("radial").alias("_mr"), F.avg(F.when(~F.col("is_proxy"), F.col("radius"))).alias("_r"), F.count(F.lit(1)).alias("_n"), (F.max("z") - F.min("z")).alias("_z"))
-    stats = subtree_stats(topo).select("cell_id", F.col("id").alias("branch"), "sub_size", "sub_max_depth", "sub_max_path")
-    g = geometry.join(cell, "cell_id").join(stats, ["cell_id", "branch"])
+    stats = checkpointed(subtree_stats(topo)) if stats is None else stats
+    own = stats.select("cell_id", F.col("id").alias("branch"), "sub_size", "sub_max_depth", "sub_max_path")
+    g = geometry.join(cell, "cell_id").join(own, ["cell_id", "branch"])
     g = g.withColumn("path_length_rel", _ratio(F.col("path_length"), F.col("_mp"), 0.0)).withColumn("radial_extent_rel", _ratio(F.col("radial_extent"), F.col("_mr"), 0.0))
     g = g.withColumn("radius_rel", _ratio(F.col("mean_radius"), F.col("_r"), 1.0)).withColumn("subtree_size_rel", F.col("sub_size") / F.col("_n")).withColumn("soma_z_offset_norm", F.col("z_rel_soma") / F.greatest(F.col("_z"), F.lit(1e-6)))
-    sub = primary_measures(topo)
-    return g.join(sub, TREE, "left").drop("_mp", "_mr", "_r", "_n", "_z")
+    sub = primary_measures(topo, stats)
+    g = g.join(sub, TREE, "left")
+    g = g.withColumn("path_to_first_bifurcation_norm", _ratio(_zero(F.col("_first_fork")), F.col("_mp"), 0.0)).withColumn("subtree_trunk_length_norm", _ratio(_zero(F.col("_trunk")), F.col("_mp"), 0.0))
+    along = F.col("mid.dx") * F.col("ax") + F.col("mid.dy") * F.col("ay") + F.col("mid.dz") * F.col("az")
+    g = g.withColumn("principal_axis_projection", along / F.col("_top")).withColumn("polar_angle_from_principal_axis", _angle(along, F.col("mid.radial")))
+    return g.drop("_mp", "_mr", "_r", "_n", "_z", "_first_fork", "_trunk", "_top", "ax", "ay", "az", "mid")
 
 
-def primary_measures(topo: DataFrame) -> DataFrame:
+def primary_measures(topo: DataFrame, stats: DataFrame | None = None) -> DataFrame:
     """By primary subtree: the longest one, shares and ranks of path, height and distance, polar spread, trunk and forks."""
-    t = with_soma(topo).filter("primary_root IS NOT NULL")
-    axis = principal_axis(t, 5)
-    p = F.col("dx") * F.col("ax") + F.col("dy") * F.col("ay") + F.col("dz") * F.col("az")
-    t = t.join(axis, "cell_id").withColumn("p", p)
+    stats = checkpointed(subtree_stats(topo)) if stats is None else stats
+    neurites = with_soma(topo).filter("NOT is_proxy")
+    axis = outward_axis(neurites, 5)
+    t = with_soma(topo).filter("primary_root IS NOT NULL").join(axis, "cell_id").withColumn("p", F.col("dx") * F.col("ax") + F.col("dy") * F.col("ay") + F.col("dz") * F.col("az"))
     polar = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("dz") / F.col("radial"))))
     forks = F.count_if(F.col("n_children") >= 2)
-    g = t.groupBy(*TREE).agg(
-        F.min(F.when(F.col("id") == F.col("primary_root"), F.col("seq"))).alias("_seq"), F.max("path").alias("_path"), F.avg("dz").alias("_z"), F.max("radial").alias("_radial"), F.avg("p").alias("subtree_principal_projection"), F.max(F.abs("p")).alias("_top"),
+    g = t.groupBy(*TREE, "ax", "ay", "az", "_top", F.col("strength").alias("principal_axis_alignment_strength")).agg(
+        F.min(F.when(F.col("id") == F.col("primary_root"), F.col("seq"))).alias("_seq"), F.max("path").alias("_path"), F.avg("dz").alias("_z"), F.max("radial").alias("_radial"), F.avg("p").alias("subtree_principal_projection"),
         F.stddev_pop(F.when(F.col("radial") > 1e-9, polar)).alias("primary_subtree_polar_spread"), ((F.max("z") - F.min("z")) / F.greatest(F.sqrt(F.pow(F.max("x") - F.min("x"), 2) + F.pow(F.max("y") - F.min("y"), 2)), F.lit(1e-6))).alias("vertical_horizontal_span_ratio"),
-        (F.max("z") - F.min("z")).alias("_span"), F.sum("edge").alias("_cable"), forks.alias("_forks"), F.min("radius").alias("min_radius_in_subtree"), F.first("strength").alias("principal_axis_alignment_strength"),
+        (F.max("z") - F.min("z")).alias("_span"), F.sum(F.when(F.col("id") != F.col("primary_root"), F.col("edge")).otherwise(0.0)).alias("_cable"), forks.alias("_forks"), F.min("radius").alias("min_radius_in_subtree"),
     )
     w = Window.partitionBy("cell_id")
-    g = g.withColumn("is_longest_subtree", (F.row_number().over(w.orderBy(F.desc("_path"), "_seq")) == 1).cast("int"))
-    g = g.withColumn("subtree_path_ratio", _ratio(F.col("_path"), F.max("_path").over(w), 0.0)).withColumn("subtree_z_ratio", _ratio(F.col("_span"), F.max("_span").over(w), 0.0))
-    g = g.withColumn("subtree_z_rank", rank_share("_z", CELL, F.col("_seq"))).withColumn("subtree_max_radial_rank", rank_share("_radial", CELL, F.col("_seq"))).withColumn("subtree_principal_rank", rank_share("subtree_principal_projection", CELL, F.col("_seq")))
-    g = g.withColumn("subtree_principal_projection", _ratio(F.col("subtree_principal_projection"), F.max("_top").over(w), 0.0))
+    g = g.withColumn("is_longest_subtree", (F.col("_path") >= F.max("_path").over(w) - 1e-9).cast("int"))
+    g = g.withColumn("subtree_path_ratio", _ratio(F.col("_path"), F.max("_path").over(w), 1.0)).withColumn("subtree_z_ratio", _ratio(F.col("_span"), F.max("_span").over(w), 0.0))
+    g = g.withColumn("subtree_z_rank", rank_share("_span", CELL, F.col("_seq"))).withColumn("subtree_max_radial_rank", rank_share("_radial", CELL, F.col("_seq"))).withColumn("subtree_principal_rank", rank_share("subtree_principal_projection", CELL, F.col("_seq")))
+    g = g.withColumn("subtree_principal_projection", F.col("subtree_principal_projection") / F.col("_top"))
     score = F.when(F.col("_z") > 0, F.col("_z") + 0.1 * F.col("_span"))
     g = g.withColumn("is_trunk_primary", (score.isNotNull() & (F.row_number().over(w.orderBy(score.desc_nulls_last(), "_seq")) == 1)).cast("int"))
     g = g.withColumn("subtree_bifurcations_per_micron", _ratio(F.col("_forks"), F.col("_cable"), 0.0))
-    length = trunk(topo).groupBy(*TREE).agg((F.max("path") - F.min("path")).alias("_trunk"))
-    g = g.join(length, TREE, "left").withColumn("subtree_trunk_length_norm", _ratio(F.col("_trunk"), F.max("_trunk").over(w), 0.0)).withColumn("subtree_trunk_fraction", _ratio(F.col("_trunk"), F.col("_cable"), 0.0))
-    return g.drop("_seq", "_path", "_z", "_radial", "_top", "_span", "_cable", "_forks", "_trunk").na.fill(0.0, ["primary_subtree_polar_spread"])
+    length = trunk(topo, stats).groupBy(*TREE).agg((F.max("path") - F.min("path")).alias("_trunk"))
+    first = stats.select("cell_id", F.col("id").alias("primary_root"), F.col("sub_first_fork").alias("_first_fork"))
+    g = g.join(length, TREE, "left").join(first, TREE, "left").withColumn("subtree_trunk_fraction", _ratio(F.col("_trunk"), F.col("_cable"), 0.0))
+    return g.drop("_seq", "_path", "_z", "_radial", "_span", "_cable", "_forks").na.fill(0.0, ["primary_subtree_polar_spread"])
+
+
+def outward_axis(neurites: DataFrame, least: int) -> DataFrame:
+    """principal_axis turned towards the mean of a cell's neurites, and _top, their largest distance from the soma along it
+    (1 where there are too few). neurites: cell_id, x, y, z, dx, dy, dz."""
+    axis = principal_axis(neurites, least)
+    p = F.col("dx") * F.col("ax") + F.col("dy") * F.col("ay") + F.col("dz") * F.col("az")
+    got = neurites.join(axis, "cell_id").groupBy("cell_id", "ax", "ay", "az", "strength").agg(F.avg(p).alias("_mean"), F.max(F.abs(p)).alias("_far"), F.count(F.lit(1)).alias("_n"))
+    turn = F.when((F.col("_n") >= least) & (F.col("_mean") < 0), -1.0).otherwise(1.0)
+    top = F.when(F.col("_n") >= least, F.greatest(F.col("_far"), F.lit(1e-6))).otherwise(1.0)
+    return got.select("cell_id", *((F.col(c) * turn).alias(c) for c in ("ax", "ay", "az")), "strength", top.alias("_top"))
+
+
+#: One-hot columns for cell types.
+CELL_TYPES = ("pyramidal", "interneuron", "purkinje")
+
+
+def with_types(rows: DataFrame) -> DataFrame:
+    """Rows with is_pyramidal, is_interneuron and is_purkinje, from cell_type."""
+    return rows.withColumns({f"is_{k}": (F.col("cell_type") == k).cast("int") for k in CELL_TYPES})
 
 
 def branch_features(topo: DataFrame, cut: float | None = None) -> DataFrame:
-    """All measures of each branch."""
+    """All measures of each branch, with the cell type as three columns if the nodes have it."""
+    stats = checkpointed(subtree_stats(topo))
     g = branch_geometry(topo, cut)
     g = g.join(branch_symmetry(topo), ["cell_id", "anchor"], "left").na.fill(0.5, ["symmetry"])
-    on = trunk(topo).select("cell_id", F.col("id").alias("branch"), F.lit(1).alias("on_longest_path"))
-    return branch_relative(topo, g).join(on, ["cell_id", "branch"], "left").na.fill(0, ["on_longest_path"])
+    on = trunk(topo, stats).select("cell_id", F.col("id").alias("branch"), F.lit(1).alias("on_longest_path"))
+    out = branch_relative(topo, g, stats).join(on, ["cell_id", "branch"], "left").na.fill(0, ["on_longest_path"])
+    if "cell_type" in topo.columns:
+        out = with_types(out.join(topo.select("cell_id", "cell_type").distinct(), "cell_id"))
+    return out
+
+
+def branch_truth(topo: DataFrame, member: DataFrame, keys: tuple = ("cell_id", "branch"), label: str = "type") -> DataFrame:
+    """keys, gt_label, gt_label_counts: the most frequent label of a branch's (or subtree's) nodes but soma, 3 if there is
+    none, and the number of nodes of each such label. member: cell_id, id and the keys."""
+    rows = member.join(topo.select("cell_id", "id", label, "seq"), ["cell_id", "id"])
+    n = rows.filter(F.col(label) != 1).groupBy(*keys, label).agg(F.count(F.lit(1)).alias("n"))
+    counts = n.groupBy(*keys).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(label, "n")))).alias("gt_label_counts"))  # a few labels
+    return label_mode(rows, list(keys), label).withColumnRenamed("label", "gt_label").join(counts, list(keys), "left")
 
 
 #: Radii of the spheres of a Sholl analysis, in micrometres.
@@ -347,12 +448,20 @@ def neurom_branches(topo: DataFrame) -> DataFrame:
     """Branch measures with the hop from the anchor, and what hangs below the branch's last node."""
     t = with_soma(topo).join(branches(topo).select("cell_id", "id", "branch", F.col("pos").alias("p")), ["cell_id", "id"])
     t = t.join(subtree_stats(topo).select("cell_id", "id", "sub_size", "sub_forks", "sub_cable"), ["cell_id", "id"])
-    ends = F.struct("p", "radial", "radius", "sub_size", "sub_forks", "sub_cable")
+    ends = F.struct("p", "radial", "radius", "sub_size", "sub_forks", "sub_cable", "id")
     g = t.groupBy("cell_id", "branch").agg(
         F.sum("edge").alias("path_len"), F.max("radial").alias("radial_max"), F.avg("dz").alias("z_above"), F.avg("radius").alias("mean_radius"), F.min("radius").alias("min_radius"), F.max("radius").alias("max_radius"), F.min(ends).alias("h"), F.max(ends).alias("t"),
     )
+    kids = topo.filter("NOT is_root").select("cell_id", F.col("parent").alias("_p"), "seq", "id").join(subtree_stats(topo).select("cell_id", "id", "sub_size"), ["cell_id", "id"])
+    n = F.row_number().over(Window.partitionBy("cell_id", "_p").orderBy(F.desc("sub_size"), "seq"))
+    two = kids.withColumn("n", n).filter("n <= 2").groupBy("cell_id", F.col("_p").alias("_tail")).agg(F.max("sub_size").alias("a"), F.min("sub_size").alias("b"), F.count(F.lit(1)).alias("k")).filter("k = 2")
+    two = two.select("cell_id", "_tail", ((F.col("a") - F.col("b")) / F.greatest(F.lit(1), F.col("a") + F.col("b"))).alias("partition_asymmetry"))
+    g = g.withColumn("_tail", F.col("t.id")).join(two, ["cell_id", "_tail"], "left").na.fill(0.0, ["partition_asymmetry"])
+    if "cell_type" in topo.columns:
+        g = with_types(g.join(topo.select("cell_id", "cell_type").distinct(), "cell_id"))
+    kinds = [F.col(c) for c in ("is_pyramidal", "is_interneuron") if c in g.columns]
     return g.select(
-        "cell_id", "branch", "path_len", F.col("h.radial").alias("radial_head"), F.col("t.radial").alias("radial_tail"), "radial_max", "z_above", "mean_radius", "min_radius", "max_radius", F.col("h.radius").alias("head_radius"), F.col("t.radius").alias("tail_radius"),
+        "cell_id", "branch", "partition_asymmetry", *kinds, "path_len", F.col("h.radial").alias("radial_head"), F.col("t.radial").alias("radial_tail"), "radial_max", "z_above", "mean_radius", "min_radius", "max_radius", F.col("h.radius").alias("head_radius"), F.col("t.radius").alias("tail_radius"),
         ((F.col("h.radius") - F.col("t.radius")) / F.greatest(F.lit(1e-6), F.col("h.radius"))).alias("taper"), F.col("t.sub_size").alias("subtree_nodes"), F.col("t.sub_forks").alias("subtree_bifs"), F.col("t.sub_cable").alias("subtree_length"),
     )
 
@@ -367,11 +476,18 @@ def sholl_vector(topo: DataFrame, radii: tuple = SHOLL_RADII) -> DataFrame:
     one = t.select(F.struct("cell_id", "primary_root").alias("cell_id"), "x", "y", "z")
     axis = principal_axis(one.withColumn("cell_id", F.to_json("cell_id"))).select("cell_id", *(F.abs(a).alias(f"pc1_{a[1]}") for a in ("ax", "ay", "az")))
     key = F.to_json(F.struct("cell_id", "primary_root"))
-    return g.join(wide, TREE).withColumn("_k", key).join(axis.withColumnRenamed("cell_id", "_k"), "_k").drop("_k")
+    return _with_pyr(g.join(wide, TREE).withColumn("_k", key).join(axis.withColumnRenamed("cell_id", "_k"), "_k").drop("_k"), topo)
+
+
+def _with_pyr(rows: DataFrame, topo: DataFrame) -> DataFrame:
+    """Rows with is_pyr, if the nodes have a cell type."""
+    if "cell_type" not in topo.columns:
+        return rows
+    return rows.join(topo.select("cell_id", (F.col("cell_type") == "pyramidal").cast("int").alias("is_pyr")).distinct(), "cell_id")
 
 
 def lmeasure_vector(topo: DataFrame) -> DataFrame:
     """By primary subtree: totals, asymmetry of forks, mean contraction and taper of branches, and the root's radius."""
     b = branch_geometry(topo).groupBy(*TREE).agg(F.avg("persistence").alias("mean_contraction"), F.avg("taper_ratio").alias("mean_taper"))
     root = topo.filter("id = primary_root").select(*TREE, F.col("radius").alias("root_radius"), "parent_radius")
-    return lmeasure_totals(topo).join(partition_asymmetry(topo), TREE, "left").join(b, TREE, "left").join(root, TREE).na.fill(0.0)
+    return _with_pyr(lmeasure_totals(topo).join(partition_asymmetry(topo), TREE, "left").join(b, TREE, "left").join(root, TREE).na.fill(0.0), topo)

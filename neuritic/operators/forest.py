@@ -7,10 +7,12 @@ checkpointed. Nodes that no root reaches (cycles, nodes that are their own paren
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
+from ..session import checkpointed, checkpointed_count
 
 KEY = ["cell_id", "id"]
 
@@ -42,36 +44,39 @@ def proxy_soma(trees: DataFrame) -> DataFrame:
     return best.select("cell_id", F.col("s.id").alias("proxy"), F.col("s.x").alias("sx"), F.col("s.y").alias("sy"), F.col("s.z").alias("sz"), F.col("s.radius").alias("soma_radius"))
 
 
-def _rounds(trees: DataFrame) -> int:
-    n = trees.groupBy("cell_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
-    return max(1, int(n - 1).bit_length()) + 1
+def lift(state: DataFrame, adds: list[str] = (), firsts: list[str] = ()) -> DataFrame:
+    """Doubling from (cell_id, id, anc, ...): adds are summed along the way to the root, firsts take the nearest
+    ancestor's value where a node has none of its own.
 
+    Two steps are taken between checkpoints. It ends when no node is on its way any more; nodes on cycles always are, so it
+    also ends when a round settles none, which can't happen while a root is still to be reached.
+    """
 
-def lift(state: DataFrame, rounds: int, adds: list[str] = (), firsts: list[str] = ()) -> DataFrame:
-    """Doubling from (cell_id, id, anc, ...): adds are summed along the way to the root, firsts take the nearest
-    ancestor's value where a node has none of its own."""
-    state = checkpointed(state)
-    for _ in range(rounds):
-        if state.filter("anc IS NOT NULL").isEmpty():
-            break
+    def step(state: DataFrame) -> DataFrame:
         up = state.select(F.col("cell_id").alias("_c"), F.col("id").alias("_i"), F.col("anc").alias("_anc"), *(F.col(c).alias(f"_{c}") for c in (*adds, *firsts)))
-        new = state.join(up, (state["cell_id"] == up["_c"]) & (state["anc"] == up["_i"]), "left").select(
+        return state.join(up, (state["cell_id"] == up["_c"]) & (state["anc"] == up["_i"]), "left").select(
             *KEY,
             F.col("_anc").alias("anc"),
             *((F.col(c) + F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in adds),
             *(F.coalesce(c, f"_{c}").alias(c) for c in firsts),
         )
-        state = checkpointed(new, state)
+
+    moving = F.col("anc").isNotNull()
+    state, left = checkpointed_count(state, moving)
+    before = None
+    while left and left != before:
+        before = left
+        state, left = checkpointed_count(step(step(state)), moving, state)
     return state
 
 
 def topology(nodes: DataFrame) -> DataFrame:
     """Nodes of a forest with proxy, path and depth from the root, branch order, primary_root (the child of the proxy
     that they descend from), head (first node of their branch) and pos (place in it, from 0)."""
-    trees = checkpointed(forest(nodes))
-    trees = trees.join(proxy_soma(trees), "cell_id", "left")
-    above = trees.select(F.col("cell_id").alias("_c"), F.col("id").alias("_p"), F.col("n_children").alias("_kids"))
-    trees = checkpointed(trees.join(above, (trees["cell_id"] == above["_c"]) & (trees["parent"] == above["_p"]), "left").drop("_c", "_p").withColumnRenamed("_kids", "parent_children"))
+    first = checkpointed(forest(nodes))
+    trees = first.join(proxy_soma(first), "cell_id", "left")
+    above = first.select(F.col("cell_id").alias("_c"), F.col("id").alias("_p"), F.col("n_children").alias("_kids"))
+    trees = checkpointed(trees.join(above, (trees["cell_id"] == above["_c"]) & (trees["parent"] == above["_p"]), "left").drop("_c", "_p").withColumnRenamed("_kids", "parent_children"), first)
     child = ~F.col("is_root")
     forks = child & (F.col("parent_children") > 1)
     state = trees.select(
@@ -83,7 +88,7 @@ def topology(nodes: DataFrame) -> DataFrame:
         F.when(F.col("parent") == F.col("proxy"), F.col("id")).alias("primary_root"),
         F.when(child & ((F.col("parent") == F.col("proxy")) | (F.col("parent_children") > 1)), F.col("id")).alias("head"),
     )
-    lifted = lift(state, _rounds(trees), ["path", "depth", "branch_order"], ["primary_root", "head"])
+    lifted = lift(state, ["path", "depth", "branch_order"], ["primary_root", "head"])
     reached = F.col("anc").isNull()
     lifted = lifted.select(*KEY, *(F.when(reached, F.col(c)).otherwise(F.lit(0)).cast(t).alias(c) for c, t in (("path", "double"), ("depth", "int"), ("branch_order", "int"))), *(F.when(reached, F.col(c)).alias(c) for c in ("primary_root", "head")), reached.alias("reached"))
     out = trees.join(lifted, KEY)
@@ -94,28 +99,30 @@ def topology(nodes: DataFrame) -> DataFrame:
 
 def subtree_stats(topo: DataFrame) -> DataFrame:
     """For every node the size, depth, longest path, number of forks and tips, cable length below, smallest radius
-    of its subtree (itself included), and the way to the first node below that doesn't have exactly one child.
+    of its subtree (itself included), the way to the first node below that doesn't have exactly one child, and the tip
+    with the longest path from the root, first in the file among equals.
 
     Doubling from the tips: after k rounds a node knows all descendants less than 2^k steps away.
     """
     sums, tops, lows = ["size", "forks", "tips", "cable"], ["max_path", "max_depth"], ["first_fork", "min_radius"]
+    tip = F.struct(F.col("path").alias("path"), (-F.col("seq")).alias("seq"), F.col("id").alias("id"))
     state = topo.filter("reached").select(
         *KEY, F.when(~F.col("is_root"), F.col("parent")).alias("anc"), F.col("edge").alias("far"), F.lit(1).alias("hops"),
         F.lit(1).cast("long").alias("size"), (F.col("n_children") >= 2).cast("long").alias("forks"), (F.col("n_children") == 0).cast("long").alias("tips"),
-        F.lit(0.0).alias("cable"), F.lit(0.0).alias("max_path"), F.lit(0).alias("max_depth"), F.when(F.col("n_children") != 1, 0.0).alias("first_fork"), F.col("radius").alias("min_radius"), F.col("edge").alias("step"),
+        F.lit(0.0).alias("cable"), F.lit(0.0).alias("max_path"), F.lit(0).alias("max_depth"), F.when(F.col("n_children") != 1, 0.0).alias("first_fork"), F.col("radius").alias("min_radius"),
+        tip.alias("far_tip"), F.col("edge").alias("step"),
     )
-    state = checkpointed(state)
-    for _ in range(_rounds(topo)):
-        moving = state.filter("anc IS NOT NULL")
-        if moving.isEmpty():
-            break
-        got = moving.groupBy(F.col("cell_id").alias("_c"), F.col("anc").alias("_i")).agg(
+    moving = F.col("anc").isNotNull()
+    state, left = checkpointed_count(state, moving)
+    while left:  # all are reached from roots
+        got = state.filter(moving).groupBy(F.col("cell_id").alias("_c"), F.col("anc").alias("_i")).agg(
             *(F.sum(c).alias(f"_{c}") for c in ("size", "forks", "tips")),
             F.sum(F.col("cable") + F.col("step")).alias("_cable"),
             F.max(F.col("max_path") + F.col("far")).alias("_max_path"),
             F.max(F.col("max_depth") + F.col("hops")).alias("_max_depth"),
             F.min(F.col("first_fork") + F.col("far")).alias("_first_fork"),
             F.min("min_radius").alias("_min_radius"),
+            F.max("far_tip").alias("_far_tip"),
         )
         up = state.select(F.col("cell_id").alias("_c2"), F.col("id").alias("_i2"), F.col("anc").alias("_anc"), F.col("far").alias("_far"), F.col("hops").alias("_hops"))
         new = state.join(got, (state["cell_id"] == got["_c"]) & (state["id"] == got["_i"]), "left")
@@ -124,61 +131,49 @@ def subtree_stats(topo: DataFrame) -> DataFrame:
             *((F.col(c) + F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in sums),
             *(F.greatest(c, F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in tops),
             *(F.least(c, f"_{c}").alias(c) for c in lows),
-            "step",
+            F.greatest("far_tip", F.coalesce("_far_tip", "far_tip")).alias("far_tip"), "step",
         )
-        state = checkpointed(new, state)
-    return state.select(*KEY, *(F.col(c).alias(f"sub_{c}") for c in (*sums, *tops, *lows)))
-
+        state, left = checkpointed_count(new, moving, state)
+    return state.select(*KEY, *(F.col(c).alias(f"sub_{c}") for c in (*sums, *tops, *lows)), F.col("far_tip.id").alias("sub_far_tip"))
 
-def trunk(topo: DataFrame) -> DataFrame:
-    """cell_id, primary_root, id, path of the nodes on the way from each primary root to its farthest tip.
 
-    The farthest is the first in the file among equals; its way is walked by marking ancestors in doubling steps.
-    """
-    inside = topo.filter("primary_root IS NOT NULL")
-    tips = inside.groupBy("cell_id", "primary_root").agg(F.max_by("id", F.struct("path", -F.col("seq"))).alias("id"))
-    marks = checkpointed(tips.select("cell_id", "id"))
-    jump = checkpointed(inside.select(*KEY, F.when(F.col("id") != F.col("primary_root"), F.col("parent")).alias("anc")))
-    for _ in range(_rounds(topo)):
-        if jump.filter("anc IS NOT NULL").isEmpty():
-            break
-        up = marks.join(jump, KEY).filter("anc IS NOT NULL").select("cell_id", F.col("anc").alias("id"))
-        marks = checkpointed(marks.unionByName(up).distinct())
-        j = jump.select(F.col("cell_id").alias("_c"), F.col("id").alias("_i"), F.col("anc").alias("_anc"))
-        jump = checkpointed(jump.join(j, (jump["cell_id"] == j["_c"]) & (jump["anc"] == j["_i"]), "left").select(*KEY, F.col("_anc").alias("anc")))
-    return inside.join(marks, KEY).select("cell_id", "primary_root", "id", "path")
+def trunk(topo: DataFrame, stats: DataFrame | None = None) -> DataFrame:
+    """cell_id, primary_root, id, path of the nodes on the way from each primary root to its farthest tip, the first in
+    the file among equals: those that lead to the same tip as the primary root. stats: subtree_stats(topo), if at hand."""
+    stats = subtree_stats(topo) if stats is None else stats
+    inside = topo.filter("primary_root IS NOT NULL").select(*KEY, "primary_root", "path").join(stats.select(*KEY, "sub_far_tip"), KEY)
+    ends = inside.filter("id = primary_root").select("cell_id", "primary_root", F.col("sub_far_tip").alias("end"))
+    return inside.join(ends, ["cell_id", "primary_root"]).filter("sub_far_tip = end").select("cell_id", "primary_root", "id", "path")
 
 
 def strahler(topo: DataFrame) -> DataFrame:
-    """Strahler order of every node, from the deepest level up: 1 for tips; the largest order of the children, one more if two share it.
+    """Strahler order of every node: 1 for tips; the largest order of the children, one more if two share it.
 
-    Each round settles the nodes all of whose children are settled, so it takes as many rounds as the largest number
-    of orders times chain lengths; chains of single children are skipped by working on forks and tips only.
+    Order k are the chains that end in tips once all nodes of lower orders are cut off, so there is a round for each
+    order, and in it a lift along chains. Chains of single children are left out at first: forks and tips only are cut.
     """
-    joint = topo.filter("reached AND n_children != 1").select(*KEY, "n_children")
-    # the nearest fork or root at or above each node's parent
-    state = topo.filter("reached").select(*KEY, F.when(~F.col("is_root"), F.col("parent")).alias("anc"), F.when(F.col("n_children") != 1, F.col("id")).alias("joint"))
-    above = lift(state, _rounds(topo), [], ["joint"]).select(*KEY, "joint")
-    up = topo.select(*KEY, F.when(~F.col("is_root"), F.col("parent")).alias("parent"))
-    par = above.select(F.col("cell_id").alias("_c"), F.col("id").alias("_i"), F.col("joint").alias("next"))
-    edges = joint.join(up, KEY).join(par, (F.col("cell_id") == F.col("_c")) & (F.col("parent") == F.col("_i")), "left").select("cell_id", "id", "n_children", "next")
-    edges = checkpointed(edges)
-    done = checkpointed(edges.filter("n_children = 0").select(*KEY, F.lit(1).alias("strahler")))
+    # each node's nearest fork or tip at or below it; of forks and tips also the nearest fork above
+    single = topo.filter("reached AND n_children = 1").select("cell_id", F.col("id").alias("c"))
+    nodes = topo.filter("reached").select(*KEY, "parent", "n_children", "is_root")
+    child = nodes.join(single, (nodes["cell_id"] == single["cell_id"]) & (nodes["parent"] == single["c"])).select(nodes["cell_id"], F.col("c").alias("id"), F.col("id").alias("anc"), F.lit(None).cast("long").alias("joint"))
+    ends = nodes.filter("n_children != 1").select(*KEY, F.lit(None).cast("long").alias("anc"), F.col("id").cast("long").alias("joint"))
+    below = lift(child.unionByName(ends), [], ["joint"]).select(*KEY, "joint")
+    # a chain hangs from the fork above its uppermost node
+    tops = nodes.filter("NOT is_root").join(topo.filter("n_children > 1").select("cell_id", F.col("id").alias("parent")), ["cell_id", "parent"]).select(*KEY, F.col("parent").cast("long").alias("next"))
+    hang = tops.join(below, KEY).select("cell_id", F.col("joint").alias("id"), "next")
+    tree = checkpointed(below.filter("id = joint").select(*KEY).join(hang, KEY, "left"))
+    done, order = [], 1
     while True:
-        kids = edges.join(done, KEY).filter("next IS NOT NULL").groupBy("cell_id", F.col("next").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.slice(F.sort_array(F.collect_list("strahler"), False), 1, 2).alias("top"))
-        ready = edges.join(kids, KEY).filter("n = n_children").join(done, KEY, "left_anti")
-        new = checkpointed(ready.select(*KEY, F.when(F.col("top")[0] == F.try_element_at("top", F.lit(2)), F.col("top")[0] + 1).otherwise(F.col("top")[0]).alias("strahler")))
-        if new.isEmpty():
+        kids = tree.filter("next IS NOT NULL").groupBy("cell_id", F.col("next").alias("id")).agg(F.count(F.lit(1)).alias("k"), F.max("id").alias("only"))
+        state = tree.join(kids, KEY, "left").select(*KEY, F.when(F.col("k") == 1, F.col("only")).alias("anc"), F.when(F.col("k").isNull(), 1).when(F.col("k") > 1, 0).alias("ends"))
+        cut = lift(state, [], ["ends"]).filter("ends = 1").select(*KEY)
+        done.append(checkpointed(cut.withColumn("strahler", F.lit(order))))
+        tree, left = checkpointed_count(tree.join(cut, KEY, "left_anti"), F.lit(True), tree)
+        if not left:
             break
-        done = checkpointed(done.unionByName(new))
-    # a node in a chain has the order of the first fork or tip below it
-    chain = topo.filter("reached AND n_children = 1").select("cell_id", F.col("id").alias("c"))
-    first = topo.filter("reached").select("cell_id", "id", "parent", "n_children")
-    below = first.join(chain, (first["cell_id"] == chain["cell_id"]) & (first["parent"] == chain["c"]), "left_semi").select("cell_id", F.col("parent").alias("id"), F.when(F.col("n_children") == 1, F.col("id")).alias("anc"), F.when(F.col("n_children") != 1, F.col("id")).alias("joint"))
-    ends = lift(below, _rounds(topo), [], ["joint"]).select(*KEY, "joint")
-    of_joint = done.select(F.col("cell_id").alias("_c"), F.col("id").alias("_j"), "strahler")
-    chained = ends.join(of_joint, (ends["cell_id"] == of_joint["_c"]) & (ends["joint"] == of_joint["_j"])).select(*KEY, "strahler")
-    return done.unionByName(chained)
+        order += 1
+    orders = reduce(DataFrame.unionByName, done).withColumnRenamed("id", "joint")
+    return below.join(orders, ["cell_id", "joint"]).select(*KEY, "strahler")
 
 
 def regions(topo: DataFrame, label: str) -> DataFrame:
@@ -188,7 +183,7 @@ def regions(topo: DataFrame, label: str) -> DataFrame:
     t = t.join(up, (t["cell_id"] == up["_c"]) & (t["parent"] == up["_p"]), "left")
     cut = F.col("is_root") | F.col("_soma") | (F.col("_l") != F.col(label))
     state = t.select(*KEY, F.when(~cut, F.col("parent")).alias("anc"), F.when(cut, F.col("id")).alias("region"))
-    return lift(state, _rounds(topo), [], ["region"]).select(*KEY, "region")
+    return lift(state, [], ["region"]).select(*KEY, "region")
 
 
 def branches(topo: DataFrame, cut: float | None = None) -> DataFrame:
@@ -207,7 +202,7 @@ def branches(topo: DataFrame, cut: float | None = None) -> DataFrame:
         of = topo.select(F.col("cell_id").alias("_c2"), F.col("id").alias("_i2"), F.col("head").alias("up"))
         up = heads.join(of, (heads["cell_id"] == of["_c2"]) & (heads["parent"] == of["_i2"]), "left").select("cell_id", "id", "up")
         bad = up.join(ends, (up["cell_id"] == ends["cell_id"]) & (up["up"] == ends["_cut"]), "left").select(up["cell_id"], "id", F.col("up").alias("anc"), F.when(F.col("_cut").isNotNull(), F.lit(1)).alias("lost"))
-        lost = lift(bad, _rounds(topo), [], ["lost"]).filter("lost = 1").select("cell_id", F.col("id").alias("head"))
+        lost = lift(bad, [], ["lost"]).filter("lost = 1").select("cell_id", F.col("id").alias("head"))
         b = b.drop("_c", "_h").join(lost, ["cell_id", "head"], "left_anti").filter("_last IS NULL OR pos <= _last")
     anchors = topo.filter("head = id").select(F.col("cell_id").alias("_c"), F.col("id").alias("_h"), F.col("parent").alias("anchor"))
     out = b.join(anchors, (b["cell_id"] == anchors["_c"]) & (b["head"] == anchors["_h"]))

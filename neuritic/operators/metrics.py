@@ -61,6 +61,25 @@ def score_summary(scores: DataFrame, keys: list[str], value: str = "f1") -> Data
     return got.select(*keys, "n_files", "mean", F.col("p")[2].alias("median"), F.col("p")[0].alias("p10"), F.col("p")[1].alias("p25"), "least")
 
 
+def worst(scores: DataFrame, keys: list[str], n: int = 5, value: str = "f1", size: str | None = "n_nodes") -> DataFrame:
+    """The n lowest scores of each group, larger files first among equals, with their place. (n is the feature.)"""
+    from pyspark.sql import Window
+
+    order = [F.col(value), *([F.desc(size)] if size else []), F.col("file_name")]
+    place = F.row_number().over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order))
+    return scores.withColumn("place", place).filter(F.col("place") <= n)
+
+
+def examples(rows: DataFrame, keys: list[str], name: str = "file_name", n: int = 20) -> DataFrame:
+    """keys, count and the first n names in order. (n is the feature.) Names are ranked before any are gathered."""
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(name))
+    first = rows.select(*keys, name).withColumn("_p", place).filter(F.col("_p") <= n)
+    first = first.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("_p", name))), lambda s: s[name]).alias("examples"))
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).join(first, keys)
+
+
 def nearest_rank(scores: DataFrame, keys: list[str], value: str = "f1", ranks: tuple = (10, 25, 75, 90)) -> DataFrame:
     """Percentiles that are values of the data: that at place round(p (n - 1)), halves to even; the median at place n // 2.
 
@@ -103,6 +122,22 @@ def balanced_weights(rows: DataFrame, label: str = "type", weight: str = "w") ->
     return rows.join(sums, label).withColumn("balanced", F.col(weight) * F.col("_all") / (F.col("_k") * F.col("_own"))).drop("_own", "_all", "_k")
 
 
+def rows_per_label(branches: DataFrame, valid: tuple = (2, 3, 4), dendrite_weight: float | None = None) -> DataFrame:
+    """A row for each branch and label that some of its nodes have, with the number of such nodes as weight; what training
+    takes in place of a row for each node. branches: gt_label_counts. dendrite_weight: a factor for other labels than axon."""
+    out = branches.select("*", F.explode("gt_label_counts").alias("label", "weight")).filter(F.col("label").isin(*valid))
+    w = F.col("weight").cast("double")
+    return out.withColumn("weight", w if dendrite_weight is None else F.when(F.col("label") != 2, w * dendrite_weight).otherwise(w))
+
+
+def dataset_stats(vertices: DataFrame) -> DataFrame:
+    """One row: files, pyramidal and other files, branches, branches with a label for the graph model, apical and basal ones.
+    vertices: cell_id, cell_type, y."""
+    files = vertices.select("cell_id", "cell_type").distinct().agg(F.count(F.lit(1)).alias("n_files"), F.count_if(F.col("cell_type") == "pyramidal").alias("n_pyramidal"), F.count_if(F.col("cell_type") != "pyramidal").alias("n_interneuron"))
+    rows = vertices.agg(F.count(F.lit(1)).alias("n_branches_total"), F.count_if(F.col("y") >= 0).alias("n_apical_basal_total"), F.count_if(F.col("y") == 1).alias("n_apical"), F.count_if(F.col("y") == 0).alias("n_basal"))
+    return files.crossJoin(rows)  # one row each
+
+
 def prior(rows: DataFrame, label: str = "type") -> DataFrame:
     """label, share of each label but soma."""
     n = rows.filter(F.col(label) != 1).groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
@@ -150,6 +185,38 @@ def across_seeds(rows: DataFrame) -> DataFrame:
     return n.withColumn("wrong_rate", F.col("n_wrong") / F.col("n_tested")).join(mode, "path")
 
 
+def seed_summary(rows: DataFrame) -> DataFrame:
+    """One row: seeds, and mean and deviation of their accuracies. rows: seed, gt, pred."""
+    one = rows.groupBy("seed").agg(F.avg((F.col("gt") == F.col("pred")).cast("double")).alias("accuracy"))
+    return one.agg(F.count(F.lit(1)).alias("seeds"), F.avg("accuracy").alias("accuracy_mean"), F.stddev_pop("accuracy").alias("accuracy_std"))
+
+
+def mean_confusion(rows: DataFrame) -> DataFrame:
+    """gt, pred, n: confusion counts, averaged over the seeds. rows: seed, gt, pred."""
+    seeds = rows.agg(F.count_distinct("seed").alias("_s"))
+    return rows.groupBy("gt", "pred").agg(F.count(F.lit(1)).alias("_n")).crossJoin(F.broadcast(seeds)).select("gt", "pred", (F.col("_n") / F.col("_s")).alias("n"))  # one row
+
+
+def misclassified(rows: DataFrame, classes: list[str], keep: tuple = ("path",)) -> DataFrame:
+    """Wrong rows with the probability of each class, the most confident first. rows: gt, pred, conf, probability (a map)."""
+    wrong = rows.filter(F.col("gt") != F.col("pred"))
+    return wrong.select(*keep, F.col("gt").alias("ground_truth"), F.col("pred").alias("predicted"), F.col("conf").alias("confidence"), *(F.col("probability")[c].alias(c) for c in classes)).orderBy(F.desc("confidence"), *keep)
+
+
+def per_file_table(s2: DataFrame, s23: DataFrame) -> DataFrame:
+    """path, cell_type, n_nodes and both stages' scores, worst after refinement first; 0 where that score is missing.
+    s2, s23: path, cell_type, n_nodes, f1."""
+    after = s23.select("path", F.col("f1").alias("f1_s23"))
+    out = s2.select("path", "cell_type", "n_nodes", F.col("f1").alias("f1_s2")).join(after, "path", "left").na.fill(0.0, ["f1_s23"])
+    return out.orderBy("f1_s23", "f1_s2", "path")
+
+
+def with_errors(files: DataFrame, done: DataFrame) -> DataFrame:
+    """All files with their score and whether they were scored; files with an error count 0 as rows and not in means.
+    files: file_name, cell_type. done: file_name, f1."""
+    return files.join(done.select("file_name", "f1"), "file_name", "left").withColumn("ok", F.col("f1").isNotNull()).na.fill(0.0, ["f1"])
+
+
 def medians_and_scale(rows: DataFrame, features: list[str], by: str = "cell_type") -> DataFrame:
     """by, feature, median, and scale: the median distance from it, 1 where that is 0."""
     long = rows.unpivot([by], features, "feature", "v")

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+from . import rules
+
 
 def assemble(rows: DataFrame, features: list[str]) -> DataFrame:
     """Adds `features`; a name that isn't there is an error, what isn't finite counts as 0."""
@@ -40,6 +43,49 @@ def predict_cell_type(models: list, rows: DataFrame, features: list[str]) -> Dat
     return out.withColumn("prediction", (F.col("p1") > 0.5).cast("int")).drop(*(f"_p{k}" for k in range(len(models))), "features")
 
 
+def save_cell_type(models: list, path: str) -> None:
+    """Writes the models of train_cell_type below a path, in place of what is there."""
+    for k, m in enumerate(models):
+        m.write().overwrite().save(f"{path}/{k}")
+
+
+def load_cell_type(spark: SparkSession, path: str) -> list | None:
+    """The models that save_cell_type wrote; None if there are none at this path."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/0/metadata")
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        return None
+    return [PipelineModel.load(f"{path}/{k}") for k in range(2)]
+
+
+def detect_cell_type(cells: DataFrame, features: list[str], models: list | None) -> DataFrame:
+    """cells with guess and p_pyramidal: by the models, or by rules if there are none."""
+    if models is None:
+        return rules.guess_cell_type(cells)
+    got = predict_cell_type(models, cells, features)
+    return got.withColumn("p_pyramidal", F.col("p1")).withColumn("p_interneuron", 1 - F.col("p1")).withColumn("guess", F.when(F.col("prediction") == 1, "pyramidal").otherwise("interneuron")).drop("p1", "prediction")
+
+
+def train_perceptron(rows: DataFrame, features: list[str], classes: int, label: str = "label", hidden: tuple = (64, 32)):
+    """A multilayer perceptron on scaled features (Spark's has sigmoid layers)."""
+    x = assemble(rows, features)
+    scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True)
+    return Pipeline(stages=[scaler, MultilayerPerceptronClassifier(featuresCol="scaled", labelCol=label, layers=[len(features), *hidden, classes], maxIter=60, seed=42)]).fit(x)
+
+
+def sweep(rows: DataFrame, features: list[str], grid: list[dict], label: str = "label", k: int = 5) -> DataFrame:
+    """trees, depth, fold, accuracy for each setting of a grid of forests and each fold left out. rows: fold and label."""
+    from functools import reduce
+
+    x = assemble(rows, features)
+    parts = []
+    for g in grid:
+        for fold in range(k):
+            model = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=g["trees"], maxDepth=g["depth"], seed=42).fit(x.filter(F.col("fold") != fold))
+            got = model.transform(x.filter(F.col("fold") == fold))
+            parts.append(got.agg(F.lit(g["trees"]).alias("trees"), F.lit(g["depth"]).alias("depth"), F.lit(fold).alias("fold"), F.avg((F.col("prediction") == F.col(label)).cast("double")).alias("accuracy")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def train_labels(rows: DataFrame, features: list[str], label: str = "label", weight: str | None = None, trees: int = 100):
     """A forest for several labels (from 0), with weights if there are any."""
     extra = {"weightCol": weight} if weight else {}
@@ -75,20 +121,25 @@ def cross_validated(rows: DataFrame, features: list[str], label: str = "label",
 def importance(model, rows: DataFrame, features: list[str], label: str = "label", repeats: int = 3) -> DataFrame:
     """feature, drop: how much accuracy falls, on average, when a feature's values are dealt to other rows.
 
-    Rows exchange values along a hash order of a salted bucket, so no global sort is needed.
+    Rows exchange values along a hash order within salted buckets, so no global sort is needed.
     """
-    from pyspark.sql import Window
-
-    base = predict_labels(model, rows, features).agg(F.avg((F.col("prediction") == F.col(label)).cast("double"))).first()[0]
-    out = []
-    for f in features:
-        total = 0.0
-        for r in range(repeats):
-            w = Window.partitionBy(F.pmod(F.xxhash64(F.lit(r), *features), F.lit(16))).orderBy(F.xxhash64(F.lit(r), F.lit(f), *features))
-            mixed = rows.withColumn(f, F.coalesce(F.lead(f).over(w), F.first(f).over(w)))
-            total += base - predict_labels(model, mixed, features).agg(F.avg((F.col("prediction") == F.col(label)).cast("double"))).first()[0]
-        out.append((f, total / repeats))
-    return rows.sparkSession.createDataFrame(out, "feature string, drop double")
+    from functools import reduce
+
+    # every row stands once as it is and once for each feature and repeat with that feature's value of another row: all are
+    # scored in one pass. The other row is the next one along a hash order of row and repeat.
+    base = checkpointed(rows.select(*(F.col(f).cast("double").alias(f) for f in features), F.col(label).alias("_y"), F.monotonically_increasing_id().alias("_n")))
+    buckets = max(1, base.count() // 4096)
+    versions = [base.withColumn("_f", F.lit("")).withColumn("_r", F.lit(0))]
+    for r in range(repeats):
+        w = Window.partitionBy(F.pmod(F.xxhash64(F.lit(r), "_n"), F.lit(buckets))).orderBy(F.xxhash64(F.lit(r + 1), "_n"))
+        other = base.withColumn("_o", F.coalesce(F.lead(F.struct(*features)).over(w), F.first(F.struct(*features)).over(w)))
+        each = other.withColumn("_f", F.explode(F.array(*map(F.lit, features)))).withColumn("_r", F.lit(r))
+        versions.append(each.select(*(F.when(F.col("_f") == f, F.col(f"_o.{f}")).otherwise(F.col(f)).alias(f) for f in features), "_y", "_n", "_f", "_r"))
+    got = predict_labels(model, reduce(DataFrame.unionByName, versions), features)
+    acc = got.groupBy("_f", "_r").agg(F.avg((F.col("prediction") == F.col("_y")).cast("double")).alias("a"))
+    whole = acc.filter("_f = ''").select(F.col("a").alias("_base"))
+    drops = acc.filter("_f != ''").crossJoin(F.broadcast(whole)).withColumn("d", F.col("_base") - F.col("a"))  # whole is one row
+    return drops.groupBy(F.col("_f").alias("feature")).agg(F.avg("d").alias("drop"), F.stddev_pop("d").alias("std"))
 
 
 def scaler_stats(rows: DataFrame, features: list[str]) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import basename, benchmark_id, canonical_labels, in_test, slug, source_of
+from ..functions.scalars import basename, benchmark_id, canonical_labels, holds_labels, in_test, slug, source_of
 from ..sources.tables import union_manifests
 
 # Order of sources and their quotas in a benchmark.
@@ -23,8 +23,26 @@ def source_pool(files: DataFrame, metadata: list[DataFrame]) -> DataFrame:
     rest = [c for c in meta.columns if c not in ("file_name", "cell_type", "_order")]
     first = meta.groupBy("file_name", "cell_type").agg(F.min_by(F.struct(*rest), "_order").alias("_m"))
     out = kept.join(first, ["file_name", "cell_type"], "left")
-    name = F.concat_ws("__", "source", slug(F.regexp_replace("file_name", r"\.swc$", "")))
-    return out.select(*kept.columns, F.concat(name, F.lit(".swc")).alias("copied_file"), F.array_join(F.sort_array("types"), " ").alias("type_set"), *(F.col(f"_m.{c}").alias(f"meta_{c}") for c in rest))
+    origin = {k: F.col(f"_m.{k}") if k in rest else F.lit(None).cast("string") for k in ("archive", "specimen_id", "batch")}
+    name = copied_name(F.col("source"), F.col("file_name"), origin["archive"], origin["specimen_id"], origin["batch"])
+    return out.select(*kept.columns, name.alias("copied_file"), F.array_join(F.sort_array("types"), " ").alias("type_set"), *(F.col(f"_m.{c}").alias(f"meta_{c}") for c in rest))
+
+
+def copied_name(source: Column, file_name: Column, archive: Column, specimen: Column, batch: Column) -> Column:
+    """Name of a copied file: its source, what tells its origin there (archive, specimen or batch), and its name."""
+    origin = F.when(source == "neuromorpho", archive.cast("string")).when(source == "allen", specimen.cast("string")).otherwise(batch.cast("string"))
+    return F.concat_ws("__", source, slug(F.coalesce(F.trim(origin), F.lit("na"))), file_name)
+
+
+def gather_candidates(files: DataFrame, allen: DataFrame, neuromorpho: DataFrame) -> DataFrame:
+    """Files for a benchmark with their source: that of the archive that lists their name, the first of the two; unlisted
+    interneurons are the lab's, other unlisted files go. Only full sets of labels. files: cell_type, path, types."""
+    f = files.withColumn("file_name", basename(F.col("path")))
+    a = allen.select("file_name").distinct().withColumn("_a", F.lit(1))
+    n = neuromorpho.select("file_name").distinct().withColumn("_n", F.lit(1))
+    source = F.when(F.col("_a") == 1, "allen").when(F.col("_n") == 1, "neuromorpho").when(F.col("cell_type") == "interneuron", "lab")
+    out = f.join(a, "file_name", "left").join(n, "file_name", "left").withColumn("source", source).filter("source IS NOT NULL")
+    return out.filter(canonical_labels(F.col("cell_type"), F.col("types"))).drop("_a", "_n")
 
 
 def select_examples(candidates: DataFrame, limit: int, quotas: dict | None = None, priority: dict | None = None) -> DataFrame:
@@ -50,8 +68,7 @@ def select_examples(candidates: DataFrame, limit: int, quotas: dict | None = Non
 
 def merge_sets(base: DataFrame, extra: DataFrame, required: tuple = (4,), prefix: str = "hpf_ca1__") -> DataFrame:
     """base and those of extra that hold the required labels and whose name, with a prefix, isn't there yet. Both: file_name, cell_type, types."""
-    need = F.size(F.array_except(F.array(*map(F.lit, required)), F.col("types"))) == 0
-    new = extra.filter(need).withColumn("file_name", F.concat(F.lit(prefix), "file_name"))
+    new = extra.filter(holds_labels(F.col("types"), required)).withColumn("file_name", F.concat(F.lit(prefix), "file_name"))
     return union_manifests([base, new.join(base.select("file_name"), "file_name", "left_anti")])
 
 
@@ -67,8 +84,13 @@ def split(files: DataFrame, share: float = 0.2, seed: int = 42) -> DataFrame:
 
 def folds(files: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
     """files with fold: the rank by hash within the type, modulo k, so that folds have the same mix of types."""
-    w = Window.partitionBy("cell_type").orderBy(F.md5(F.concat(F.lit(f"{seed}:"), "file_name")))
-    return files.withColumn("fold", ((F.row_number().over(w) - 1) % k).cast("int"))
+    # ranked within 256 buckets of the hash, which stand one after the other: no type is sorted in one task
+    f = files.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), "file_name"))).withColumn("_b", F.substring("_h", 1, 2))
+    sizes = f.groupBy("cell_type", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("cell_type").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")  # 256 rows a type
+    f = f.join(sizes.withColumn("_before", before), ["cell_type", "_b"])
+    place = F.col("_before") + F.row_number().over(Window.partitionBy("cell_type", "_b").orderBy("_h", "file_name")) - 1
+    return f.withColumn("fold", (place % k).cast("int")).drop("_h", "_b", "_n", "_before")
 
 
 def by_source(files: DataFrame) -> DataFrame:

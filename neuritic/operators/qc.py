@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import verdict_class
-from .forest import last_of_each_id, lift, topology  # noqa: F401
+from .forest import last_of_each_id, lift
+from .metrics import examples
 
 # Shares of labels in healthy cells, and limits against the medians of the type.
 HEALTHY = {
@@ -15,6 +16,13 @@ HEALTHY = {
 }
 MEDIAN_FEATURES = ("n_primary_subtrees", "z_span", "max_radial_distance", "mean_radial_distance", "max_radius", "mean_radius", "std_radius", "thickness_ratio")
 LOW = {"z_span": 0.35, "max_radial_distance": 0.35, "mean_radial_distance": 0.40, "max_radius": 0.35, "mean_radius": 0.45}
+# Weights of the reasons for dropping a cell; the score at which it goes, and reasons that suffice alone.
+WEIGHTS = {
+    "parse_error": 100, "no_soma_label": 100, "no_axon_label": 2, "single_primary_subtree": 2, "pyramidal_missing_apical_label": 1, "low": 1, "high": 1,
+    "compact_single_tree_without_axon": 3, "compact_pyramidal_without_apical": 3, "compact_low_radius_pyramidal": 2, "huge_interneuron_outlier": 3, "broad_radius_interneuron_outlier": 2,
+}
+DROP_SCORE = 6
+SUFFICIENT = ("compact_single_tree_without_axon", "compact_pyramidal_without_apical", "huge_interneuron_outlier")
 HIGH = {"z_span": 3.5, "max_radial_distance": 2.5, "mean_radial_distance": 2.5, "max_radius": 3.0, "std_radius": 3.0}
 
 
@@ -49,7 +57,8 @@ def type_medians(cells: DataFrame) -> DataFrame:
     return cells.groupBy("cell_type").agg(*(F.percentile(k, 0.5).alias(f"m_{k}") for k in MEDIAN_FEATURES))
 
 
-def _reason(cond: Column, code: str, weight: int) -> Column:
+def _reason(cond: Column, code: str) -> Column:
+    weight = WEIGHTS[code if code in WEIGHTS else code.partition("_")[0]]
     return F.when(cond, F.struct(F.lit(code).alias("code"), F.lit(weight).alias("weight")))
 
 
@@ -70,20 +79,44 @@ def score(cells: DataFrame) -> DataFrame:
     pyramidal, inter = F.col("cell_type") == "pyramidal", F.col("cell_type") == "interneuron"
     no_axon, no_apical = ~F.array_contains(types, 2), ~F.array_contains(types, 4)
     single = F.col("n_primary_subtrees") <= 1
-    compact = single & under("z_span", 0.35) & under("max_radial_distance", 0.35)
-    huge = inter & over("z_span", 3.5) & over("max_radial_distance", 2.5)
-    broad = inter & (F.col("mean_radial_distance") > 0) & over("mean_radial_distance", 2.5) & (F.col("std_radius") > 0) & over("std_radius", 3.0)
+    def low(k: str) -> Column:
+        return under(k, LOW[k])
+
+    def high(k: str) -> Column:
+        return over(k, HIGH[k])
+
+    compact = single & low("z_span") & low("max_radial_distance")
+    huge = inter & high("z_span") & high("max_radial_distance")
+    broad = inter & (F.col("mean_radial_distance") > 0) & high("mean_radial_distance") & (F.col("std_radius") > 0) & high("std_radius")
     rules = [
-        _reason(~F.array_contains(types, 1), "no_soma_label", 100), _reason(no_axon, "no_axon_label", 2), _reason(single, "single_primary_subtree", 2), _reason(pyramidal & no_apical, "pyramidal_missing_apical_label", 1),
-        *(_reason(under(k, x), f"low_{k}", 1) for k, x in LOW.items()), *(_reason(over(k, x), f"high_{k}", 1) for k, x in HIGH.items()),
-        _reason(compact & no_axon, "compact_single_tree_without_axon", 3), _reason(pyramidal & compact & no_apical, "compact_pyramidal_without_apical", 3), _reason(pyramidal & compact & under("max_radius", 0.35), "compact_low_radius_pyramidal", 2),
-        _reason(huge, "huge_interneuron_outlier", 3), _reason(broad, "broad_radius_interneuron_outlier", 2),
+        _reason(~F.array_contains(types, 1), "no_soma_label"), _reason(no_axon, "no_axon_label"), _reason(single, "single_primary_subtree"), _reason(pyramidal & no_apical, "pyramidal_missing_apical_label"),
+        *(_reason(low(k), f"low_{k}") for k in LOW), *(_reason(high(k), f"high_{k}") for k in HIGH),
+        _reason(compact & no_axon, "compact_single_tree_without_axon"), _reason(pyramidal & compact & no_apical, "compact_pyramidal_without_apical"), _reason(pyramidal & compact & low("max_radius"), "compact_low_radius_pyramidal"),
+        _reason(huge, "huge_interneuron_outlier"), _reason(broad, "broad_radius_interneuron_outlier"),
     ]
-    unreadable = F.array(F.struct(F.lit("parse_error").alias("code"), F.lit(100).alias("weight")))
+    unreadable = F.array(F.struct(F.lit("parse_error").alias("code"), F.lit(WEIGHTS["parse_error"]).alias("weight")))
     c = c.withColumn("reasons", F.when(F.coalesce("n_nodes", F.lit(0)) == 0, unreadable).otherwise(F.array_compact(F.array(*rules))))
     c = c.withColumn("qc_score", F.aggregate("reasons", F.lit(0), lambda a, r: a + r["weight"]))
-    hard = F.exists("reasons", lambda r: (r["weight"] >= 100) | r["code"].isin("compact_single_tree_without_axon", "compact_pyramidal_without_apical", "huge_interneuron_outlier"))
-    return c.withColumn("status", F.when(hard | (F.col("qc_score") >= 6), "drop").otherwise("keep"))
+    hard = F.exists("reasons", lambda r: (r["weight"] >= 100) | r["code"].isin(*SUFFICIENT))
+    return c.withColumn("status", F.when(hard | (F.col("qc_score") >= DROP_SCORE), "drop").otherwise("keep"))
+
+
+def filter_summary(scored: DataFrame, name: str = "cell_id", n: int = 20) -> DataFrame:
+    """cell_type, kept, dropped, and the first n dropped names. (n is the feature.)"""
+    counts = scored.groupBy("cell_type").agg(F.count_if(F.col("status") == "keep").alias("kept"), F.count_if(F.col("status") == "drop").alias("dropped"))
+    few = examples(scored.filter("status = 'drop'"), ["cell_type"], name, n)
+    return counts.join(few.select("cell_type", "examples"), "cell_type", "left")
+
+
+def without_dropped(rows: DataFrame, dropped: DataFrame, keys: tuple = ("cell_type", "file_name")) -> DataFrame:
+    """Rows (nodes, or a manifest) of what a filter or a pruning keeps."""
+    return rows.join(dropped.select(*keys).distinct(), list(keys), "left_anti")
+
+
+def write_pruned(nodes: DataFrame, manifest: DataFrame, dropped: DataFrame, path: str, keys: tuple = ("cell_type", "file_name")) -> None:
+    """Nodes and manifest without what is dropped, as tables below a new path; a path that is there is an error."""
+    without_dropped(nodes, dropped, keys).write.mode("errorifexists").partitionBy("cell_type").parquet(f"{path}/nodes")
+    without_dropped(manifest, dropped, keys).write.mode("errorifexists").option("header", True).csv(f"{path}/manifest")
 
 
 def reason_counts(scored: DataFrame) -> DataFrame:
@@ -107,9 +140,8 @@ def clean_soma(nodes: DataFrame) -> DataFrame:
     soma = n.filter("type = 1").select("cell_id", "id", "parent")
     up = soma.select(F.col("cell_id").alias("_c"), F.col("id").alias("_p"))
     linked = soma.join(up, (soma["cell_id"] == up["_c"]) & (soma["parent"] == up["_p"]), "left")
-    size = n.groupBy("cell_id").agg(F.count(F.lit(1)).alias("k")).agg(F.max("k")).first()[0] or 1
     state = linked.select("cell_id", "id", F.when(F.col("_p").isNotNull(), F.col("parent")).alias("anc"), F.when(F.col("_p").isNull(), F.col("id")).alias("anchor"))
-    anchors = lift(state, int(size).bit_length() + 1, [], ["anchor"]).select("cell_id", "id", "anchor")
+    anchors = lift(state, [], ["anchor"]).select("cell_id", "id", "anchor")
     drop = anchors.filter("id != anchor")
     kept = n.join(drop, ["cell_id", "id"], "left_anti").join(soma.select("cell_id").distinct(), "cell_id", "left_semi")
     of = drop.select(F.col("cell_id").alias("_c"), F.col("id").alias("_p"), "anchor")

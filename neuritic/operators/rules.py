@@ -10,15 +10,28 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import hash_share
 from ..session import checkpointed
 
 TREE = ["cell_id", "primary_root"]
 NEURITE = (2, 3, 4)
 
 
+# Cell types in order of preference among equals, and the settings of smoothing and island flips by type.
+TYPE_ORDER = ("pyramidal", "interneuron")
+SMOOTHING = {
+    "pyramidal": {"rounds": 3, "threshold": 0.75},
+    "interneuron": {"rounds": 2, "parent_weight": 0.15, "child_weight": 0.10, "threshold": 0.55},
+    "purkinje": {"rounds": 2, "threshold": 0.60},
+    "other": {"rounds": 2, "threshold": 0.60},
+}
+ISLANDS = {"pyramidal": {"most": 15, "threshold": 0.70}, "interneuron": {"most": 8, "threshold": 0.60}}
+
+
 def legal(cell_type: Column) -> Column:
-    """Neurite labels that a cell type may have."""
-    return F.when(cell_type == "pyramidal", F.array(*map(F.lit, (2, 3, 4)))).otherwise(F.array(F.lit(2), F.lit(3)))
+    """Neurite labels that a cell type may have; purkinje cells have basal only."""
+    three, two = F.array(*map(F.lit, (2, 3, 4))), F.array(F.lit(2), F.lit(3))
+    return F.when(cell_type == "pyramidal", three).when(cell_type == "purkinje", F.array(F.lit(3))).otherwise(two)
 
 
 def structure_flags(cells: DataFrame) -> DataFrame:
@@ -59,10 +72,10 @@ def label_sets(cells: DataFrame) -> DataFrame:
 
 def soft_handoff(trials: DataFrame, threshold: float = 0.65) -> DataFrame:
     """One trial for each cell: that of its own type if that was sure enough, else the one with the larger mean branch
-    confidence, the own type first. trials: cell_id, cell_type (tried), own_type, type_conf, branch_conf."""
-    own = (F.col("cell_type") == F.col("own_type")).cast("int")
-    open_ = (F.col("type_conf") < threshold) | (own == 1)
-    best = trials.filter(open_).groupBy("cell_id").agg(F.max_by("cell_type", F.struct("branch_conf", own)).alias("cell_type"), F.max("own_type").alias("own_type"))
+    confidence, pyramidal first. trials: cell_id, cell_type (tried), own_type, type_conf, branch_conf."""
+    open_ = (F.col("type_conf") < threshold) | (F.col("cell_type") == F.col("own_type"))
+    first = (F.col("cell_type") == TYPE_ORDER[0]).cast("int")
+    best = trials.filter(open_).groupBy("cell_id").agg(F.max_by("cell_type", F.struct("branch_conf", first)).alias("cell_type"), F.max("own_type").alias("own_type"))
     return best.withColumn("handed_off", F.col("cell_type") != F.col("own_type"))
 
 
@@ -74,6 +87,50 @@ def decode(rows: DataFrame, probability: str = "probability") -> DataFrame:
     return out.withColumn("conf", F.array_max("_p")).withColumn("pred", (F.array_position("_p", F.col("conf")) + 1).cast("int")).drop("_p", "_s")
 
 
+def decode_binary(rows: DataFrame, p_axon: str = "p_axon") -> DataFrame:
+    """Adds pred and conf: axon where its probability is above one half, else basal."""
+    p = F.col(p_axon)
+    return rows.withColumn("pred", F.when(p > 0.5, 2).otherwise(3)).withColumn("conf", F.when(p > 0.5, p).otherwise(1 - p))
+
+
+def owner_map(subtrees: DataFrame, probability: str = "probability") -> DataFrame:
+    """cell_id, primary_root, prob_2, prob_3, prob_4, pred, conf: what each primary subtree is, from an array of
+    probabilities for labels 2, 3, 4; the smallest label among equals."""
+    p = [F.coalesce(F.get(F.col(probability), F.lit(k)), F.lit(0.0)) for k in range(3)]
+    top = F.greatest(*p)
+    pred = F.when(p[0] >= top, 2).when(p[1] >= top, 3).otherwise(4)
+    return subtrees.select(*TREE, *(c.alias(f"prob_{k + 2}") for k, c in enumerate(p)), pred.alias("pred"), top.alias("conf"))
+
+
+#: What the owner of a branch's primary subtree adds to its features.
+OWNER_FEATURES = ("owner_prob_2", "owner_prob_3", "owner_prob_4", "owner_is_2", "owner_is_3", "owner_is_4", "owner_conf")
+
+
+def with_owner(branches: DataFrame, owners: DataFrame) -> DataFrame:
+    """Branches with their subtree's owner as seven more features, zeros where it has none. owners: see owner_map."""
+    of = owners.select(*TREE, *(F.col(f"prob_{k}").alias(f"owner_prob_{k}") for k in NEURITE), *((F.col("pred") == k).cast("double").alias(f"owner_is_{k}") for k in NEURITE), F.col("conf").alias("owner_conf"))
+    return branches.join(of, TREE, "left").na.fill(0.0, list(OWNER_FEATURES))
+
+
+def subtree_mode(branches: DataFrame, owners: DataFrame) -> DataFrame:
+    """Branches with pred and conf of their primary subtree's owner; basal where that label isn't legal for the cell type, and
+    basal with confidence 0.5 where there is no owner."""
+    out = branches.drop("pred", "conf").join(owners.select(*TREE, F.col("pred").alias("_o"), F.col("conf").alias("_oc")), TREE, "left")
+    ok = F.array_contains(legal(F.col("cell_type")), F.col("_o"))
+    return out.withColumn("pred", F.when(ok, F.col("_o")).otherwise(3)).withColumn("conf", F.coalesce("_oc", F.lit(0.5))).drop("_o", "_oc")
+
+
+def valid_branches(branches: DataFrame) -> DataFrame:
+    """Branches whose true label (gt) is a neurite label that their cell type may have."""
+    return branches.filter(F.array_contains(legal(F.col("cell_type")), F.col("gt")))
+
+
+def to_nodes(nodes: DataFrame, member: DataFrame, decoded: DataFrame) -> DataFrame:
+    """Nodes with pred and conf of their branch; nodes of no branch are filled. member: cell_id, id, branch."""
+    of = member.select("cell_id", "id", "branch").join(decoded.select("cell_id", "branch", "pred", "conf"), ["cell_id", "branch"]).drop("branch")
+    return fill_unassigned(nodes.join(of, ["cell_id", "id"], "left"))
+
+
 def fill_unassigned(nodes: DataFrame) -> DataFrame:
     """Nodes without a label get axon at confidence 0.3."""
     none = F.col("pred").isNull() | (F.col("pred") == 0)
@@ -95,8 +152,8 @@ def override(branches: DataFrame, evidence: Column | None = None) -> DataFrame:
 
 
 def strip_soma(nodes: DataFrame) -> DataFrame:
-    """Only the proxy is soma; others that say so become the first neurite label."""
-    return nodes.withColumn("pred", F.when(F.col("id") == F.col("proxy"), 1).when(F.col("pred") == 1, 2).otherwise(F.col("pred")))
+    """Only the proxy is soma; others that say so become the type's first neurite label."""
+    return nodes.withColumn("pred", F.when(F.col("id") == F.col("proxy"), 1).when(F.col("pred") == 1, legal(F.col("cell_type"))[0]).otherwise(F.col("pred")))
 
 
 def _votes(nodes: DataFrame, keys: list[str], weight: Column, names: str = "v") -> DataFrame:
@@ -254,18 +311,31 @@ def flip_islands(nodes: DataFrame, most: int = 15, threshold: float = 0.75) -> D
     return nodes.groupBy("cell_id").applyInPandas(run, fields)
 
 
+def legal_only(nodes: DataFrame) -> DataFrame:
+    """Labels that the cell type can't have become its first neurite label."""
+    allowed = legal(F.col("cell_type"))
+    keep = (F.col("pred") == 1) | F.array_contains(allowed, F.col("pred"))
+    return nodes.withColumn("pred", F.when(keep, F.col("pred")).otherwise(allowed[0]))
+
+
 def refine(nodes: DataFrame, owners: DataFrame | None = None) -> DataFrame:
-    """The whole chain of rules, by cell type, on predicted labels."""
-    n = strip_soma(nodes)
-    n = n.withColumn("pred", F.when((F.col("id") == F.col("proxy")) | F.array_contains(legal(F.col("cell_type")), F.col("pred")), F.col("pred")).otherwise(2))
-    n = checkpointed(n)
-    p, i = n.filter("cell_type = 'pyramidal'"), n.filter("cell_type != 'pyramidal'")
-    p = single_apical(single_class(subtree_vote(p), 2, 3))
+    """The whole chain of rules, by cell type, on predicted labels; cells with one neurite label at most are left as they
+    are. owners: cell_id, owner (see apical_owner)."""
+    n = nodes.withColumn("pred", F.when(F.col("id") == F.col("proxy"), 1).otherwise(F.col("pred")))
+    n = checkpointed(legal_only(n))
+    few = F.size(legal(F.col("cell_type"))) <= 1
+    p, i = n.filter("cell_type = 'pyramidal'"), n.filter("cell_type = 'interneuron'")
+    other = n.filter(~few & ~F.col("cell_type").isin("pyramidal", "interneuron"))
+    p = single_class(single_apical(single_class(subtree_vote(p), 2, 3)), 4, 3)
+    if owners is not None:
+        p = constrain_apical(p, owners)
+    p = flip_islands(smooth(p, **SMOOTHING["pyramidal"]), **ISLANDS["pyramidal"])
     if owners is not None:
         p = constrain_apical(p, owners)
-    p = flip_islands(smooth(p, 3, threshold=0.75), 15, 0.7)
-    i = axon_bias(soft_majority(flip_islands(smooth(i, 2, 0.15, 0.1, 0.55), 8, 0.6)))
-    return strip_soma(p.select(*n.columns).unionByName(i.select(*n.columns)))
+    i = soft_majority(axon_bias(i))
+    i = flip_islands(smooth(i, **SMOOTHING["interneuron"]), **ISLANDS["interneuron"])
+    parts = [x.select(*n.columns) for x in (p, i, n.filter(few), smooth(other, **SMOOTHING["other"]))]
+    return strip_soma(parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]))
 
 
 def majority_labels(nodes: DataFrame, prior: DataFrame) -> DataFrame:
@@ -280,7 +350,7 @@ def random_labels(nodes: DataFrame, prior: DataFrame, seed: int = 42) -> DataFra
     shares = prior.agg(*(F.coalesce(F.max(F.when(F.col("label") == k, F.col("share"))), F.lit(0.0)).alias(f"v{k}") for k in NEURITE))
     out = nodes.crossJoin(F.broadcast(shares))  # one row
     four = F.when(F.col("cell_type") == "pyramidal", F.col("v4")).otherwise(0.0)
-    u = F.pmod(F.xxhash64(F.lit(seed), "cell_id", "id"), F.lit(1 << 30)) / float(1 << 30) * (F.col("v2") + F.col("v3") + four)
+    u = hash_share(F.concat_ws(":", "cell_id", "id"), seed) * (F.col("v2") + F.col("v3") + four)
     drawn = F.when(u < F.col("v2"), 2).when(u < F.col("v2") + F.col("v3"), 3).otherwise(F.when(F.col("cell_type") == "pyramidal", 4).otherwise(3))
     return out.withColumn("pred", F.when(F.col("type") == 1, 1).otherwise(drawn)).drop("v2", "v3", "v4")
 

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import hash_share
+
 
 def method_pairs(scores: DataFrame, value: str = "f1") -> DataFrame:
     """a, b, file_name, d: differences of two methods on the files that both have, each pair of methods once."""
@@ -32,45 +30,47 @@ def wilcoxon(pairs: DataFrame) -> DataFrame:
     spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("t") / 48)
     sums = sums.withColumn("z", F.when(spread > 0, (F.least("w_plus", "w_minus") - n * (n + 1) / 4) / spread).otherwise(0.0))
 
-    @F.pandas_udf("double")
-    def two_sided(z: pd.Series) -> pd.Series:
-        return z.map(lambda v: math.erfc(abs(v) / math.sqrt(2)))
-
     out = base.join(sums.select("a", "b", "w_plus", "w_minus", "z"), ["a", "b"], "left").na.fill(0.0, ["w_plus", "w_minus", "z"])
     m = F.count(F.lit(1)).over(Window.partitionBy())  # a row for each pair of methods
-    return out.withColumn("p_value", two_sided("z")).withColumn("p_bonferroni", F.least(F.lit(1.0), F.col("p_value") * m))
+    return out.withColumn("p_value", two_sided(F.col("z"))).withColumn("p_bonferroni", F.least(F.lit(1.0), F.col("p_value") * m))
+
+
+def two_sided(z: Column, terms: int = 60) -> Column:
+    """Probability that a standard normal number is at least as far from 0 as z: the series of the error function below 3,
+    its continued fraction above."""
+    x = F.abs(z) / F.sqrt(F.lit(2.0))
+    # erf(x) = 2 / sqrt(pi) * exp(-x^2) * sum of 2^k x^(2k+1) / (1 * 3 * ... (2k+1))
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), F.struct(x.alias("term"), x.alias("sum")), lambda a, k: F.struct((a["term"] * 2 * x * x / (2 * k + 1)).alias("term"), (a["sum"] + a["term"] * 2 * x * x / (2 * k + 1)).alias("sum")))["sum"]
+    near = 1 - 1.1283791670955126 * F.exp(-x * x) * series
+    fraction = F.aggregate(F.sequence(F.lit(terms), F.lit(1), F.lit(-1)), x, lambda a, k: x + (k / 2.0) / a)
+    far = F.exp(-x * x) / (fraction * 1.7724538509055159)
+    return F.when(x < 2, near).otherwise(far)
+
+
+# Shares of a Poisson distribution with mean 1 up to 0, 1, 2 ...
+POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253, 0.9999988747974020)
 
 
 def bootstrap(scores: DataFrame, keys: list[str], value: str = "f1", resamples: int = 1000, seed: int = 42) -> DataFrame:
-    """keys, mean and its 2.5th and 97.5th percentile and deviation over resamples of the files.
+    """keys, statistic (mean, median, p10), value, and its 2.5th and 97.5th percentile and deviation over resamples of the files.
 
-    Each file draws how often it is in each resample from a Poisson distribution with mean 1 (the bootstrap for data
-    that is spread over machines), from a generator that file and seed determine, so files never meet. What is shuffled
-    is one row of sums for each task and group.
+    Each file draws how often it is in each resample from a Poisson distribution with mean 1 (the bootstrap for data that is
+    spread over machines), by a hash of seed, resample and file, so files never meet and reruns agree.
     """
-    cols = [*keys, "file_name", value]
-    kinds = dict(scores.dtypes)
-
-    def draw(batches):
-        sums: dict[tuple, np.ndarray] = {}
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                *key, name, v = row
-                h = np.frombuffer(name.encode(), dtype=np.uint8)
-                n = np.random.default_rng([seed, *h]).poisson(1.0, resamples)
-                own = sums.setdefault(tuple(key), np.zeros((2, resamples)))
-                own[0] += n
-                own[1] += n * v
-        for key, own in sums.items():
-            yield pd.DataFrame({**dict(zip(keys, key, strict=True)), "r": np.arange(resamples), "n": own[0].astype(np.int64), "s": own[1]})
-
-    schema = "".join(f"{k} {kinds[k]}, " for k in keys) + "r int, n long, s double"
-    means = scores.select(*cols).dropna().mapInPandas(draw, schema).groupBy(*keys, "r").agg((F.sum("s") / F.sum("n")).alias("m"))
-    p = F.percentile("m", F.array(F.lit(0.025), F.lit(0.975)))
-    ci = means.groupBy(*keys).agg(p.alias("p"), F.stddev_samp("m").alias("std"))
-    mean = scores.groupBy(*keys).agg(F.avg(value).alias("mean"))
-    joined = mean.join(ci, keys) if keys else mean.crossJoin(ci)
-    return joined.select(*keys, "mean", F.col("p")[0].alias("low"), F.col("p")[1].alias("high"), "std")
+    rows = scores.select(*keys, "file_name", F.col(value).cast("double").alias("v")).dropna()
+    drawn = rows.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
+    u = hash_share(F.concat_ws(":", "r", "file_name"), seed)
+    drawn = drawn.withColumn("k", F.size(F.filter(F.array(*map(F.lit, POISSON)), lambda p: p <= u))).filter("k > 0")
+    p = F.percentile("v", F.array(F.lit(0.5), F.lit(0.1)), F.col("k"))
+    one = drawn.groupBy(*keys, "r").agg((F.sum(F.col("v") * F.col("k")) / F.sum("k")).alias("mean"), p.alias("p"))
+
+    def long(df: DataFrame, *more: str) -> DataFrame:
+        parts = F.array(*(F.struct(F.lit(n).alias("statistic"), c.alias("v")) for n, c in (("mean", F.col("mean")), ("median", F.col("p")[0]), ("p10", F.col("p")[1]))))
+        return df.select(*keys, *more, F.explode(parts).alias("s")).select(*keys, *more, "s.statistic", "s.v")
+
+    ci = long(one, "r").groupBy(*keys, "statistic").agg(F.percentile("v", F.array(F.lit(0.025), F.lit(0.975))).alias("q"), F.stddev_samp("v").alias("std"))
+    whole = long(rows.groupBy(*keys).agg(F.avg("v").alias("mean"), F.percentile("v", F.array(F.lit(0.5), F.lit(0.1))).alias("p")))
+    return whole.join(ci, [*keys, "statistic"]).select(*keys, "statistic", F.col("v").alias("value"), F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), "std")
 
 
 def grid(spark: SparkSession, hidden: list[int], layers: list[int], dropout: list[float]) -> DataFrame:
@@ -79,8 +79,9 @@ def grid(spark: SparkSession, hidden: list[int], layers: list[int], dropout: lis
 
 
 def leaderboard(folds: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Settings by their mean over folds, best first, with deviation and median epoch."""
-    got = folds.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.count(F.lit(1)).alias("folds"))
+    """Settings by their mean over folds, best first, with deviation and, if folds have an epoch, its median."""
+    more = [F.percentile("epoch", 0.5).alias("median_epoch")] if "epoch" in folds.columns else []
+    got = folds.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.count(F.lit(1)).alias("folds"), *more)
     return got.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("mean"), *by)))  # a row for each setting
 
 
@@ -89,11 +90,20 @@ def timing(rows: DataFrame, keys: list[str], value: str = "elapsed_sec") -> Data
     return rows.groupBy(*keys).agg(F.sum(value).alias("total"), p.alias("p"), F.max(value).alias("most")).select(*keys, "total", F.col("p")[0].alias("median"), F.col("p")[1].alias("p95"), "most")
 
 
+#: Columns of the table of all results.
+RESULT_COLUMNS = ("method", "source", "n_files", "accuracy", "macro_f1", "neurite_macro_f1", "median_f1", "p10_f1", "n_pairs", "mean_diff", "p_bonferroni", "mark")
+
+
 def result_table(parts: list[DataFrame], tests: DataFrame, reference: str) -> DataFrame:
-    """Rows of several results under one set of columns, with the test against the reference method; `*` below 0.05."""
+    """Rows of several results under twelve columns, null where a result lacks one, with the test against the reference
+    method; `*` below 0.05. Differences are those of the row's method less the reference."""
     from ..sources.tables import union_manifests
 
     rows = union_manifests(parts)
-    one = tests.filter(F.col("a") == reference).select(F.col("b").alias("method"), (-F.col("mean_diff")).alias("diff"), "p_bonferroni")
-    two = tests.filter(F.col("b") == reference).select(F.col("a").alias("method"), F.col("mean_diff").alias("diff"), "p_bonferroni")
-    return rows.join(one.unionByName(two), "method", "left").withColumn("mark", F.when(F.col("p_bonferroni") < 0.05, "*").otherwise(""))
+    for c in RESULT_COLUMNS:
+        if c not in rows.columns and c not in ("n_pairs", "mean_diff", "p_bonferroni", "mark"):
+            rows = rows.withColumn(c, F.lit(None).cast("string" if c == "source" else "double"))
+    one = tests.filter(F.col("a") == reference).select(F.col("b").alias("method"), "n_pairs", (-F.col("mean_diff")).alias("mean_diff"), "p_bonferroni")
+    two = tests.filter(F.col("b") == reference).select(F.col("a").alias("method"), "n_pairs", "mean_diff", "p_bonferroni")
+    out = rows.join(one.unionByName(two), "method", "left").withColumn("mark", F.when(F.col("p_bonferroni") < 0.05, "*").otherwise(""))
+    return out.select(*RESULT_COLUMNS)

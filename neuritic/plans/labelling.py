@@ -1,56 +1,154 @@
-"""The whole way from nodes to refined labels, and its evaluation, as one chain of DataFrames."""
+"""The whole way from nodes to refined labels, and its evaluation, as one chain of DataFrames.
+
+Cells of a training part teach three kinds of models: the type of a cell from its features; what each primary subtree
+is (the owners) from subtree features; and the label of each branch from branch features and its subtree's owner, one
+model for each cell type. The other cells are then labelled. A cell whose type isn't sure is tried as both types and keeps the one
+under which its branches are surer. Branch labels spread to nodes, and rules refine them, with the likeliest apical
+subtree as a constraint.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import features, forest, metrics, ml, prep, rules
 from ..session import checkpointed
 
-#: Columns of branch features that aren't measures.
-NOT_FEATURES = ("cell_id", "branch", "anchor", "primary_root")
+#: Columns of branch and subtree features that aren't measures.
+NOT_FEATURES = ("cell_id", "branch", "anchor", "primary_root", "cell_type")
+#: Beyond so many micrometres a branch is cut in training and labelling.
+CUT = 180.0
+CELL_MEASURES = ("n_nodes", "n_root_nodes", "n_branch_points", "n_primary_subtrees", "branch_point_ratio", "mean_path_length", "std_path_length", "max_radial_distance", "mean_radius", "std_radius", "z_span", "z_asymmetry", "xy_aspect_ratio", "max_subtree_size", "subtree_size_std")
+
+
+def cell_table(topo: DataFrame) -> DataFrame:
+    """Measures of each cell that its type is told from, and its type."""
+    c = features._aggregated(topo, features.COUNTS, features.PATHS, features.RADIUS, features.EXTENT)
+    return checkpointed(c.join(features.cell_subtrees(topo), "cell_id").join(topo.select("cell_id", "cell_type").distinct(), "cell_id"))
+
 
+def branch_table(topo: DataFrame, cut: float | None = CUT) -> tuple[DataFrame, list[str]]:
+    """Branch features with true labels (gt_label and gt_label_counts), and the features' names without the type's."""
+    b = features.branch_features(topo, cut)
+    names = [c for c in b.columns if c not in NOT_FEATURES and c not in [f"is_{k}" for k in features.CELL_TYPES]]
+    truth = features.branch_truth(topo, forest.branches(topo, cut).select("cell_id", "id", "branch"))
+    return checkpointed(b.drop(*(f"is_{k}" for k in features.CELL_TYPES)).join(truth, ["cell_id", "branch"])), names
 
-def branch_table(topo: DataFrame) -> tuple[DataFrame, list[str]]:
-    """Branch features with the true label of each branch, and the features' names."""
-    b = features.branch_features(topo)
-    names = [c for c in b.columns if c not in NOT_FEATURES]
-    member = forest.branches(topo).join(topo.select("cell_id", "id", "type", "seq"), ["cell_id", "id"])
-    label = forest.label_mode(member, ["cell_id", "branch"]).withColumnRenamed("label", "gt")
+
+def subtree_table(topo: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Features of primary subtrees with their true label, and the features' names."""
+    s = features.subtree_features(topo)
+    names = [c for c in s.columns if c not in NOT_FEATURES]
+    inside = topo.filter("primary_root IS NOT NULL")
+    truth = features.branch_truth(topo, inside.select("cell_id", "id", "primary_root"), ("cell_id", "primary_root"))
     kinds = topo.select("cell_id", "cell_type").distinct()
-    return checkpointed(b.join(label, ["cell_id", "branch"]).join(kinds, "cell_id")), names
+    return checkpointed(s.join(truth, ["cell_id", "primary_root"]).join(kinds, "cell_id")), names
+
+
+def _probability() -> Column:
+    """An array of three, for labels 2, 3, 4, of a model's array of two or three."""
+    return F.slice(F.concat("probability", F.array(F.lit(0.0), F.lit(0.0))), 1, 3)
+
 
+def train_owners(subtrees: DataFrame, names: list[str], trees: int) -> dict:
+    """A model of owners for each cell type with training rows, with balanced weights."""
+    out = {}
+    for kind in rules.TYPE_ORDER:
+        own = subtrees.filter((F.col("cell_type") == kind) & F.array_contains(rules.legal(F.col("cell_type")), F.col("gt_label")))
+        if not own.isEmpty():
+            w = metrics.balanced_weights(own.withColumn("label", (F.col("gt_label") - 2).cast("double")).withColumn("w", F.lit(1.0)), "label")
+            out[kind] = ml.train_labels(w, names, weight="balanced", trees=trees)
+    return out
 
-def label_cells(nodes: DataFrame, share: float = 0.2, seed: int = 42, trees: int = 20) -> DataFrame:
-    """Trains on some cells and labels the others: cell_id, cell_type, id, type, s2 (decoded), s23 (refined), conf.
 
-    Cells are split by the hash of their id. One forest of branch labels for each cell type; probabilities are decoded
-    to legal labels, spread to the branches' nodes, and refined.
+def owners_of(subtrees: DataFrame, models: dict, names: list[str]) -> DataFrame | None:
+    """owner_map of the subtrees of cells tried as a type (cell_type), by that type's model."""
+    parts = [rules.owner_map(ml.predict_labels(m, subtrees.filter(F.col("cell_type") == kind), names).withColumn("probability", _probability())).withColumn("cell_type", F.lit(kind)) for kind, m in models.items()]
+    return reduce(DataFrame.unionByName, parts) if parts else None
+
+
+def train_branches(branches: DataFrame, names: list[str], trees: int) -> dict:
+    """A model of branch labels for each cell type with training rows: a row for each label in a branch, weighted by its nodes."""
+    out = {}
+    for kind in rules.TYPE_ORDER:
+        own = metrics.rows_per_label(branches.filter(F.col("cell_type") == kind), (2, 3, 4) if kind == "pyramidal" else (2, 3))
+        if not own.isEmpty():
+            out[kind] = ml.train_labels(own.withColumn("label", (F.col("label") - 2).cast("double")), names, weight="weight", trees=trees)
+    return out
+
+
+def pick_model(models: dict, kind: str):
+    """The type's model, else any that there is."""
+    return models.get(kind) or next(iter(models.values()), None)
+
+
+def label_cells(nodes: DataFrame, share: float = 0.2, seed: int = 42, trees: int = 20, threshold: float = 0.65, by_subtree: bool = False, known_types: bool = False) -> DataFrame:
+    """Trains on some cells and labels the others: cell_id, cell_type (true), used_type, id, type, s2 (decoded), s23 (refined), conf.
+
+    Cells are split by the hash of their id. by_subtree: branches take their primary subtree's label in place of a label of
+    their own. known_types: cells are labelled as what they are; else their type is predicted, and tried both ways where
+    its probability is below the threshold.
     """
     topo = checkpointed(forest.topology(nodes))
     files = topo.select("cell_id", "cell_type").distinct().withColumn("file_name", F.col("cell_id").cast("string"))
     test = prep.split(files, share, seed).select("cell_id", "is_test")
-    rows, names = branch_table(topo)
-    rows = rows.join(test, "cell_id")
+    cells = cell_table(topo).join(test, "cell_id")
+    branches, branch_names = branch_table(topo)
+    subtrees, subtree_names = subtree_table(topo)
+    branches, subtrees = branches.join(test, "cell_id"), subtrees.join(test, "cell_id")
+    # what a cell is tried as
+    held = cells.filter("is_test")
+    learn = cells.filter("NOT is_test").withColumn("label", (F.col("cell_type") == "pyramidal").cast("double"))
+    if known_types or learn.select("label").distinct().count() < 2:
+        trials = held.select("cell_id", "cell_type", F.col("cell_type").alias("own_type"), F.lit(1.0).alias("type_conf"))
+    else:
+        said = ml.predict_cell_type(ml.train_cell_type(learn, list(CELL_MEASURES), trees=trees), held, list(CELL_MEASURES))
+        said = said.select("cell_id", F.when(F.col("prediction") == 1, "pyramidal").otherwise("interneuron").alias("own_type"), F.greatest("p1", 1 - F.col("p1")).alias("type_conf"))
+        trials = said.withColumn("cell_type", F.explode(F.array(*map(F.lit, rules.TYPE_ORDER)))).filter((F.col("cell_type") == F.col("own_type")) | (F.col("type_conf") < threshold))
+    trials = checkpointed(trials)
+    # owners, and branch models that know them
+    owner_models = train_owners(subtrees.filter("NOT is_test"), subtree_names, trees)
+    tried_subtrees = subtrees.filter("is_test").drop("cell_type").join(trials.select("cell_id", "cell_type"), "cell_id")
+    known_owners = owners_of(subtrees.filter("NOT is_test"), owner_models, subtree_names)
+    owners = checkpointed(owners_of(tried_subtrees, owner_models, subtree_names))
+    names = [*branch_names, *rules.OWNER_FEATURES]
+    branch_models = train_branches(rules.with_owner(branches.filter("NOT is_test"), known_owners), names, trees)
+    tried = branches.filter("is_test").drop("cell_type").join(trials.select("cell_id", "cell_type"), "cell_id")
     parts = []
-    for kind in ("interneuron", "pyramidal"):
-        own = rows.filter(F.col("cell_type") == kind).withColumn("label", (F.col("gt") - 2).cast("double"))
-        learn = own.filter("NOT is_test")
-        if learn.isEmpty():
-            continue
-        got = ml.predict_labels(ml.train_labels(learn, names, trees=trees), own.filter("is_test"), names)
-        parts.append(got.select("cell_id", "branch", "cell_type", F.slice(F.concat("probability", F.array(F.lit(0.0), F.lit(0.0))), 1, 3).alias("probability")))
-    decoded = rules.decode(parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0]).select("cell_id", "branch", "pred", "conf")
-    member = forest.branches(topo).select("cell_id", "id", "branch")
-    held = topo.join(test.filter("is_test"), "cell_id").drop("is_test")
-    s2 = held.join(member.join(decoded, ["cell_id", "branch"]).select("cell_id", "id", "pred", "conf"), ["cell_id", "id"], "left")
-    s2 = checkpointed(rules.strip_soma(rules.fill_unassigned(s2)))
-    final = rules.refine(s2)
-    return s2.select("cell_id", "cell_type", "id", "type", F.col("pred").alias("s2"), "conf").join(final.select("cell_id", "id", F.col("pred").alias("s23")), ["cell_id", "id"])
+    for kind in rules.TYPE_ORDER:
+        own, of = tried.filter(F.col("cell_type") == kind), owners.filter(F.col("cell_type") == kind).drop("cell_type")
+        if by_subtree:
+            parts.append(rules.subtree_mode(own, of).select("cell_id", "cell_type", "branch", "pred", "conf"))
+        elif (model := pick_model(branch_models, kind)) is not None:
+            got = ml.predict_labels(model, rules.with_owner(own, of), names).withColumn("probability", _probability())
+            parts.append(rules.decode(got).select("cell_id", "cell_type", "branch", "pred", "conf"))
+    decoded = checkpointed(reduce(DataFrame.unionByName, parts))
+    # the type that stays
+    sure = decoded.groupBy("cell_id", "cell_type").agg(F.avg("conf").alias("branch_conf"))
+    chosen = rules.soft_handoff(trials.join(sure, ["cell_id", "cell_type"], "left").na.fill(0.0, ["branch_conf"]), threshold)
+    chosen = checkpointed(chosen.select("cell_id", F.col("cell_type").alias("used_type")))
+    decoded = decoded.join(chosen.withColumnRenamed("used_type", "cell_type"), ["cell_id", "cell_type"])
+    truth = topo.select("cell_id", F.col("cell_type").alias("true_type")).distinct()
+    rows = topo.drop("cell_type").join(chosen.withColumnRenamed("used_type", "cell_type"), "cell_id")
+    s2 = checkpointed(rules.strip_soma(rules.to_nodes(rows, forest.branches(topo, CUT), decoded)))
+    apical = rules.apical_owner(owners.filter("cell_type = 'pyramidal'").join(chosen.filter("used_type = 'pyramidal'"), "cell_id"))
+    final = rules.refine(s2, apical)
+    out = s2.select("cell_id", F.col("cell_type").alias("used_type"), "id", "type", F.col("pred").alias("s2"), "conf").join(final.select("cell_id", "id", F.col("pred").alias("s23")), ["cell_id", "id"])
+    return out.join(truth.withColumnRenamed("true_type", "cell_type"), "cell_id")
 
 
 def evaluate(labelled: DataFrame) -> DataFrame:
     """stage, cell_type, n and metrics, before and after refinement."""
     stages = [metrics.summary(metrics.confusion(labelled, ["cell_type"], "type", c), ["cell_type"]).withColumn("stage", F.lit(c)) for c in ("s2", "s23")]
     return stages[0].unionByName(stages[1])
+
+
+def file_table(labelled: DataFrame) -> DataFrame:
+    """The scores of each cell with enough nodes, before and after refinement, worst first."""
+    rows = labelled.withColumn("path", F.col("cell_id").cast("string"))
+    parts = [metrics.summary(metrics.confusion(rows, ["path", "cell_type"], "type", c), ["path", "cell_type"]).select("path", "cell_type", F.col("n").alias("n_nodes"), F.col("neurite_macro_f1").alias("f1")) for c in ("s2", "s23")]
+    enough = rows.filter("type != 1").groupBy("path").agg(F.count(F.lit(1)).alias("k")).filter("k >= 50").select("path")
+    return metrics.per_file_table(*parts).join(enough, "path", "left_semi")

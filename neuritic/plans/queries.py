@@ -181,21 +181,11 @@ def _(spark, sf):
     return b.groupBy("cell_id", "branch").agg(F.count(F.lit(1)).alias("n"), F.max("path_in_branch").alias("length"))
 
 
-@query("branch_segments_cut", "cell_id:l n:l")
-def _(spark, sf):
-    return forest.branches(topo(spark, sf), 180.0).groupBy("cell_id").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("trunk_length", "cell_id:l primary_root:l length:d", "SELECT cell_id, primary_root, max(path) - min(path) AS length FROM topo WHERE primary_root IS NOT NULL GROUP BY 1, 2", TREE)
 def _(spark, sf):
     return forest.trunk(topo(spark, sf)).groupBy("cell_id", "primary_root").agg((F.max("path") - F.min("path")).alias("length"))
 
 
-@query("strahler", "cell_id:l id:l strahler:l")
-def _(spark, sf):
-    return forest.strahler(topo(spark, sf))
-
-
 @query("label_regions", "cell_id:l region:l n:l", "SELECT cell_id, region, count(*) AS n FROM reg GROUP BY 1, 2", TREE + """,
 reg AS (SELECT t.cell_id, t.id, t.id AS region, t.type FROM topo t LEFT JOIN topo p ON p.cell_id = t.cell_id AND p.id = t.parent WHERE t.id <> t.proxy AND (t.is_root OR p.id = p.proxy OR p.type <> t.type)
   UNION ALL SELECT t.cell_id, t.id, r.region, t.type FROM reg r JOIN topo t ON t.cell_id = r.cell_id AND t.parent = r.id AND t.type = r.type)""")
@@ -259,11 +249,6 @@ def _(spark, sf):
     return features.sholl_histogram(topo(spark, sf))
 
 
-@query("cell_features", "cell_id:l n_nodes:l mean_path_length:d planarity:d max_strahler:l sholl_decay_rate:d pc1_span:d")
-def _(spark, sf):
-    return features.cell_features(topo(spark, sf))
-
-
 @query("subtree_features", "cell_id:l primary_root:l size:l depth:l max_path:d mean_radius:d mean_z_rel:d z_span:d size_ratio:d is_longest_subtree:l z_rank:d radius_rank:d",
        """SELECT *, size * 1.0 / max(size) OVER w AS size_ratio, CASE WHEN row_number() OVER (PARTITION BY cell_id ORDER BY max_path DESC, seq) = 1 THEN 1 ELSE 0 END AS is_longest_subtree,
  1 - (row_number() OVER (PARTITION BY cell_id ORDER BY mean_z_rel DESC, seq) - 1) * 1.0 / (count(*) OVER w - 1) AS z_rank, 1 - (row_number() OVER (PARTITION BY cell_id ORDER BY rr DESC, seq) - 1) * 1.0 / (count(*) OVER w - 1) AS radius_rank
@@ -287,11 +272,6 @@ def _(spark, sf):
     return features.branch_symmetry(forest.forest(nodes(spark, sf)))
 
 
-@query("branch_features", "cell_id:l branch:l n_nodes:l path_length_rel:d sub_size:l subtree_principal_rank:d on_longest_path:l")
-def _(spark, sf):
-    return features.branch_features(topo(spark, sf))
-
-
 @query("sholl_crossings", "cell_id:l primary_root:l radius:l crossings:l", "SELECT e.cell_id, e.primary_root, r.radius, count(*) FILTER (WHERE e.lo < r.radius AND r.radius <= e.hi) AS crossings FROM (SELECT t.cell_id, t.primary_root, least(t.radial, p.radial) AS lo, greatest(t.radial, p.radial) AS hi FROM topo t JOIN topo p ON p.cell_id = t.cell_id AND p.id = t.parent WHERE t.primary_root IS NOT NULL) e CROSS JOIN (SELECT unnest([10,25,50,100,200,400,800]) AS radius) r GROUP BY 1, 2, 3", TREE)
 def _(spark, sf):
     return features.sholl_crossings(topo(spark, sf))
@@ -302,11 +282,6 @@ def _(spark, sf):
     return features.lmeasure_totals(topo(spark, sf))
 
 
-@query("partition_asymmetry", "cell_id:l primary_root:l mean_asymmetry:d max_asymmetry:d")
-def _(spark, sf):
-    return features.partition_asymmetry(topo(spark, sf))
-
-
 @query("neurom_branch", "cell_id:l branch:l path_len:d radial_max:d z_above:d taper:d subtree_nodes:l subtree_bifs:l", "SELECT q.cell_id, q.branch, q.path_len, q.radial_max, q.z_above, (h.radius - l.radius) / greatest(1e-6, h.radius) AS taper, s.size AS subtree_nodes, s.forks AS subtree_bifs FROM (SELECT cell_id, head AS branch, sum(edge) AS path_len, max(radial) AS radial_max, avg(dz) AS z_above, arg_max(id, pos) AS last FROM topo WHERE primary_root IS NOT NULL GROUP BY 1, 2) q JOIN topo h ON h.cell_id = q.cell_id AND h.id = q.branch JOIN topo l ON l.cell_id = q.cell_id AND l.id = q.last JOIN (SELECT b.cell_id, b.anc, count(*) AS size, count(*) FILTER (WHERE d.n_children >= 2) AS forks FROM below b JOIN topo d ON d.cell_id = b.cell_id AND d.id = b.id GROUP BY 1, 2) s ON s.cell_id = q.cell_id AND s.anc = q.last", TREE + BELOW)
 def _(spark, sf):
     return features.neurom_branches(topo(spark, sf))
@@ -406,11 +381,6 @@ def _(spark, sf):
     return stats.wilcoxon(stats.method_pairs(_scores(spark, sf)))
 
 
-@query("bootstrap_intervals", "method:s mean:d")
-def _(spark, sf):
-    return stats.bootstrap(_scores(spark, sf), ["method"], resamples=200)
-
-
 @query("leaderboard", "source:s mean:d folds:l rank:l", f"SELECT source, mean, folds, row_number() OVER (ORDER BY mean DESC, source) AS rank FROM (SELECT source, avg(f1_milli) AS mean, count(*) AS folds FROM {_S} q GROUP BY 1) r")
 def _(spark, sf):
     return stats.leaderboard(_scores(spark, sf), ["source"], "f1")
@@ -463,11 +433,6 @@ def _(spark, sf):
     return features.sholl_vector(topo(spark, sf))
 
 
-@query("lmeasure_vector", "cell_id:l primary_root:l mean_contraction:d root_radius:d mean_asymmetry:d")
-def _(spark, sf):
-    return features.lmeasure_vector(topo(spark, sf))
-
-
 # ---------------------------------------------------------------- rules and quality control
 
 _LEGAL = "(CASE WHEN cell_type = 'pyramidal' THEN [2,3,4] ELSE [2,3] END)"
@@ -501,21 +466,11 @@ def _(spark, sf):
     return rules.soft_majority(topo(spark, sf))
 
 
-@query("axon_bias", "cell_id:l n:l s:l")
-def _(spark, sf):
-    return rules.axon_bias(topo(spark, sf), least=10).groupBy("cell_id").agg(F.count(F.lit(1)).alias("n"), F.sum("pred").alias("s"))
-
-
 @query("strip_soma", "cell_id:l id:l pred:l", "SELECT cell_id, id, CASE WHEN id = proxy THEN 1 WHEN pred = 1 THEN 2 ELSE pred END AS pred FROM topo", TREE)
 def _(spark, sf):
     return rules.strip_soma(topo(spark, sf))
 
 
-@query("island_flip", "cell_id:l n:l s:l")
-def _(spark, sf):
-    return rules.flip_islands(topo(spark, sf)).groupBy("cell_id").agg(F.count(F.lit(1)).alias("n"), F.sum("pred").alias("s"))
-
-
 @query("constrain_apical", "cell_id:l id:l pred:l", "SELECT t.cell_id, t.id, CASE WHEN o.owner IS NOT NULL AND coalesce(t.primary_root, -1) <> o.owner AND t.id <> t.proxy AND t.pred = 4 AND t.conf < 0.93 THEN 3 ELSE t.pred END AS pred FROM topo t LEFT JOIN (SELECT cell_id, min(primary_root) AS owner FROM topo WHERE cell_type = 'pyramidal' GROUP BY 1) o ON o.cell_id = t.cell_id", TREE)
 def _(spark, sf):
     t = topo(spark, sf)
@@ -533,48 +488,16 @@ def _(spark, sf):
     return rules.majority_labels(n, metrics.prior(n)).groupBy("cell_type", "pred").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("random_labels", "cell_type:s pred:l n:l")
-def _(spark, sf):
-    n = nodes(spark, sf)
-    return rules.random_labels(n, metrics.prior(n)).groupBy("cell_type", "pred").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("guess_cell_type", "cell_id:l p_pyramidal:d guess:s")
-def _(spark, sf):
-    t = topo(spark, sf)
-    c = features.cell_counts(t).join(features.cell_extent(t), "cell_id").join(features.cell_subtrees(t), "cell_id")
-    return rules.guess_cell_type(c)
-
-
-@query("qc_diagnose", "cell_id:l axon:d verdict:s n_flags:l", f"""
+_SQL_DIAGNOSED = f"""
 SELECT cell_id, axon, CASE WHEN n_flags = 0 THEN 'healthy' WHEN axon < 0.05 OR axon > 0.95 OR present <= 1 THEN 'bad' WHEN inv THEN 'suspicious' ELSE 'borderline' END AS verdict, n_flags FROM (
  SELECT *, CAST(axon < 0.05 AS INT) + CAST(axon > 0.95 AS INT) + CAST(present <= 1 AS INT) + CAST(inv AS INT) + CASE cell_type WHEN 'pyramidal' THEN CAST(NOT axon BETWEEN 0.30 AND 0.90 AS INT) + CAST(NOT basal BETWEEN 0.05 AND 0.70 AS INT) + CAST(NOT apical BETWEEN 0.05 AND 0.40 AS INT) ELSE CAST(NOT axon BETWEEN 0.30 AND 0.95 AS INT) + CAST(NOT basal BETWEEN 0.05 AND 0.50 AS INT) END AS n_flags FROM (
   SELECT *, CAST(axon > 0.01 AS INT) + CAST(basal > 0.01 AS INT) + CAST(apical > 0.01 AS INT) AS present, coalesce(na >= 10 AND adz < 0, false) AS inv FROM (
-   SELECT cell_id, cell_type, avg(CASE WHEN type = 2 THEN 1.0 ELSE 0 END) AS axon, avg(CASE WHEN type = 3 THEN 1.0 ELSE 0 END) AS basal, avg(CASE WHEN type = 4 THEN 1.0 ELSE 0 END) AS apical, count(*) FILTER (WHERE type = 4) AS na, avg(z) FILTER (WHERE type = 4) - arg_min(z, seq) FILTER (WHERE type = 1) AS adz FROM ({NODES}) n GROUP BY 1, 2) a) b) c""")
-def _(spark, sf):
-    return qc.diagnose(nodes(spark, sf), ["cell_id", "cell_type"]).withColumn("n_flags", F.size("flags"))
+   SELECT cell_id, cell_type, avg(CASE WHEN type = 2 THEN 1.0 ELSE 0 END) AS axon, avg(CASE WHEN type = 3 THEN 1.0 ELSE 0 END) AS basal, avg(CASE WHEN type = 4 THEN 1.0 ELSE 0 END) AS apical, count(*) FILTER (WHERE type = 4) AS na, avg(z) FILTER (WHERE type = 4) - arg_min(z, seq) FILTER (WHERE type = 1) AS adz FROM ({NODES}) n GROUP BY 1, 2) a) b) c"""
 
 
-@query("qc_filter", "cell_id:l qc_score:l status:s")
+@query("qc_diagnose", "cell_id:l axon:d verdict:s n_flags:l", _SQL_DIAGNOSED)
 def _(spark, sf):
-    t = topo(spark, sf)
-    c = t.select("cell_id", "cell_type").distinct().join(swc.type_sets(t), "cell_id")
-    for part in (features.cell_counts, features.cell_paths, features.cell_radius, features.cell_extent, features.cell_shape):
-        c = c.join(part(t), "cell_id")
-    return qc.score(c)
-
-
-@query("qc_prune", "file_name:s f1:l drop:l")
-def _(spark, sf):
-    d = qc.diagnose(nodes(spark, sf), ["cell_id", "cell_type"]).withColumn("file_name", F.concat(F.lit("allen__"), F.col("cell_id"), F.lit(".swc")))
-    s = _scores(spark, sf).filter("method = 'm0'").select("file_name", "f1")
-    return qc.prune(s, d, 500, ("borderline", "bad"), 850)
-
-
-@query("clean_soma", "cell_id:l id:l type:l parent:l")
-def _(spark, sf):
-    n = nodes(spark, sf).withColumn("type", F.when(F.col("id") <= 4, 1).otherwise(F.col("type")))
-    return qc.clean_soma(n)
+    return qc.diagnose(nodes(spark, sf), ["cell_id", "cell_type"]).withColumn("n_flags", F.size("flags"))
 
 
 # ---------------------------------------------------------------- models
@@ -604,4 +527,4 @@ def _(spark, sf):
 
 @query("label_cells", "stage:s cell_type:s n:l accuracy:d")
 def _(spark, sf):
-    return labelling.evaluate(labelling.label_cells(nodes(spark, sf), trees=10))
+    return labelling.evaluate(labelling.label_cells(nodes(spark, sf), trees=5))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,6 +33,12 @@ def checkpointed(df: DataFrame, instead_of: DataFrame | None = None) -> DataFram
     return spark.read.schema(df.schema).parquet(path)
 
 
+def checkpointed_count(df: DataFrame, where: Column, instead_of: DataFrame | None = None) -> tuple[DataFrame, int]:
+    """checkpointed(), and the number of rows for which something holds, from the columns that it names alone."""
+    out = checkpointed(df, instead_of)
+    return out, out.filter(where).count()
+
+
 def drop_stored(df: DataFrame) -> None:
     """Deletes the files of a table in the shared folder that nothing reads any more; files elsewhere stay."""
     spark = df.sparkSession

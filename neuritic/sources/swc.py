@@ -50,6 +50,11 @@ def batch_folder(path: Column) -> Column:
     return F.regexp_extract(path, r"(?:^|[/\\])(batch_[^/\\]+)[/\\]", 1)
 
 
+def batch_part(path: Column) -> Column:
+    """Which part of a batch a file is in: `original`, `no_label`, or empty."""
+    return F.regexp_extract(path, r"[/\\]batch_[^/\\]+[/\\](original|no_label)[/\\]", 1)
+
+
 def type_sets(nodes: DataFrame) -> DataFrame:
     """Each cell's labels in order, and as text."""
     got = nodes.groupBy("cell_id").agg(F.sort_array(F.collect_set("type")).alias("types"))

@@ -23,13 +23,36 @@ def ingest(spark: SparkSession, path: str, table: str, checkpoint: str):
     return writer.outputMode("append").trigger(availableNow=True).start(table)
 
 
-def upsert_batches(stream: DataFrame, table: str, key: str, checkpoint: str):
-    """Merges each batch of a stream of rows into a table by key; new rows win. Each batch writes a version of its own."""
+def current(spark: SparkSession, table: str) -> DataFrame | None:
+    """The rows of a table that upsert_batches keeps, with bucket and v; None before its first batch."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table)
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        return None
+    rows = spark.read.parquet(table)
+    last = rows.groupBy("bucket").agg(F.max("v").alias("v"))  # a row for each bucket
+    return rows.join(F.broadcast(last), ["bucket", "v"])
+
+
+def upsert_batches(stream: DataFrame, table: str, key: str, checkpoint: str, buckets: int = 64):
+    """Merges each batch of a stream of rows into a table by key; new rows win.
+
+    Keys are dealt to buckets by a hash. A batch writes a new version of the buckets that it touches, and what these replace
+    is deleted; others stay as they are. Running a batch again gives the same table. Read it with current().
+    """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        old = f"{table}/v={number - 1}"
-        now = upsert(spark.read.parquet(old), batch, key) if number else batch.dropDuplicates([key])
-        now.write.mode("overwrite").parquet(f"{table}/v={number}")
+        new = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).persist()
+        touched = sorted(r[0] for r in new.select("bucket").distinct().collect())  # at most `buckets` numbers
+        now = current(spark, table)
+        old = new.limit(0) if now is None else now.filter(F.col("bucket").isin(touched))
+        before = [] if now is None else [(r.v, r.bucket) for r in spark.read.parquet(table).filter(F.col("bucket").isin(touched)).select("v", "bucket").distinct().collect()]
+        upsert(old.drop("v"), new, key).write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/v={number}")
+        new.unpersist()
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for v, bucket in before:
+            if v != number:
+                path = jvm.org.apache.hadoop.fs.Path(f"{table}/v={v}/bucket={bucket}")
+                path.getFileSystem(conf).delete(path, True)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

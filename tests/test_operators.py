@@ -161,11 +161,24 @@ def test_stream(spark, tmp_path):
     assert got.count() == 3 and {r.cell_type for r in got.collect()} == {"interneuron"}
 
 
+def test_upserts_by_bucket(spark, tmp_path):
+    src, table = tmp_path / "rows", str(tmp_path / "table")
+    want = {}
+    for number in range(3):
+        rows = [(k, number) for k in range(number, 40, number + 1)]
+        want |= dict(rows)
+        spark.createDataFrame(rows, "file_name long, n int").coalesce(1).write.mode("append").parquet(str(src))
+        stream = spark.readStream.schema("file_name long, n int").parquet(str(src))
+        ingest.upsert_batches(stream, table, "file_name", str(tmp_path / "checkpoint"), buckets=4).awaitTermination(120)
+        assert {r.file_name: r.n for r in ingest.current(spark, table).collect()} == want
+    assert spark.read.parquet(table).count() == len(want)  # what is replaced is gone
+
+
 def test_pool_and_selection(spark):
     files = spark.createDataFrame([("pyramidal", "allen", "d/a b.swc", [1, 2, 3]), ("pyramidal", "allen", "d/c.swc", [1, 3]), ("interneuron", "lab", "e.swc", [1, 2])], "cell_type string, source string, path string, types array<int>")
     meta = [spark.createDataFrame([("a b.swc", "pyramidal", "L5")], "file_name string, cell_type string, layer string"), spark.createDataFrame([("a b.swc", "pyramidal", "L2"), ("e.swc", "pyramidal", "x")], "file_name string, cell_type string, layer string")]
     got = {r.file_name: (r.copied_file, r.meta_layer, r.type_set) for r in prep.source_pool(files, meta).collect()}
-    assert got == {"a b.swc": ("allen__a_b.swc", "L5", "1 2 3"), "e.swc": ("lab__e.swc", None, "1 2")}
+    assert got == {"a b.swc": ("allen__na__a b.swc", "L5", "1 2 3"), "e.swc": ("lab__na__e.swc", None, "1 2")}
     c = spark.createDataFrame([("pyramidal", s, f"{s}{k}") for s in ("allen", "lab", "neuromorpho") for k in range(4)], "cell_type string, source string, path string")
     got = [r.path for r in prep.select_examples(c, 7, {"pyramidal": {"allen": 1, "neuromorpho": 2}}).orderBy("n").collect()]
     assert got == ["allen0", "neuromorpho0", "neuromorpho1", "allen1", "allen2", "allen3", "lab0"]
@@ -205,10 +218,13 @@ def test_statistics(spark):
     same = [("a", "f", 1.0), ("b", "f", 1.0)]
     assert stats.wilcoxon(stats.method_pairs(spark.createDataFrame(same, "method string, file_name string, f1 double"))).first()["p_value"] == 1.0
     s = spark.createDataFrame([("m", f"f{k}", float(k % 7)) for k in range(200)], "method string, file_name string, f1 double")
-    b = stats.bootstrap(s, ["method"], resamples=300)
-    r = b.first()
-    assert r.low < r["mean"] < r.high and abs((r.high - r.low) - 2 * 1.96 * 2 / math.sqrt(200)) < 0.2
-    assert stats.bootstrap(s.repartition(5), ["method"], resamples=300).first()["low"] == pytest.approx(r.low)
+    got = {r.statistic: r for r in stats.bootstrap(s, ["method"], resamples=300).collect()}
+    r = got["mean"]
+    assert set(got) == {"mean", "median", "p10"} and got["median"].value == 3.0 and got["p10"].low <= got["p10"].value <= got["p10"].high
+    assert r.low < r.value < r.high and abs((r.high - r.low) - 2 * 1.96 * 2 / math.sqrt(200)) < 0.2
+    assert stats.bootstrap(s.repartition(5), ["method"], resamples=300).filter("statistic = 'mean'").first()["low"] == pytest.approx(r.low)
+    for z in (0.0, 0.3, -1.0, 1.96, 2.8, 2.9, 4.0, 8.0):
+        assert spark.range(1).select(stats.two_sided(F.lit(z))).first()[0] == pytest.approx(math.erfc(abs(z) / math.sqrt(2)), rel=1e-9)
     assert stats.grid(spark, [1, 2], [3], [0.0, 0.5]).count() == 4
 
 
@@ -226,6 +242,38 @@ def test_models(spark):
     assert drops["a"] > drops["b"]
 
 
+def test_saved_models_and_the_way_without(spark, tmp_path):
+    rows = spark.createDataFrame([(f"c{k}", float(k % 10), float(k % 10 > 4), k // 10 % 2) for k in range(100)], "cell_id string, a double, label double, fold int")
+    assert ml.load_cell_type(spark, str(tmp_path / "none")) is None
+    ml.save_cell_type(ml.train_cell_type(rows, ["a"], trees=5), str(tmp_path / "model"))
+    got = ml.detect_cell_type(rows, ["a"], ml.load_cell_type(spark, str(tmp_path / "model")))
+    assert got.filter("(guess = 'pyramidal') != (label = 1)").count() == 0
+    cells = spark.createDataFrame([("a", 4, 0.3, 300.0, 0.1, 6000, 2000, 300.0)], "cell_id string, n_primary_subtrees int, z_asymmetry double, z_span double, branch_point_ratio double, n_nodes int, max_subtree_size int, subtree_size_std double")
+    assert ml.detect_cell_type(cells, ["a"], None).first()["guess"] == "pyramidal"
+    assert ml.predict_labels(ml.train_perceptron(rows, ["a"], 2, hidden=(4,)), rows, ["a"]).filter("prediction = label").count() > 80
+    got = ml.sweep(rows, ["a"], [{"trees": 2, "depth": 2}], k=2).collect()
+    assert [(r.fold, r.accuracy) for r in sorted(got, key=lambda r: r.fold)] == [(0, 1.0), (1, 1.0)]
+
+
+def test_pruned_copy(spark, tmp_path):
+    n = cell(spark, [(1, -1, 0, 5, 1), (2, 1, 1, 1, 3)]).withColumn("file_name", F.lit("a.swc"))
+    keep = n.withColumn("file_name", F.lit("b.swc"))
+    manifest = spark.createDataFrame([("pyramidal", "a.swc"), ("pyramidal", "b.swc"), ("interneuron", "a.swc")], "cell_type string, file_name string")
+    dropped = manifest.filter("cell_type = 'pyramidal' AND file_name = 'a.swc'")
+    qc.write_pruned(n.unionByName(keep), manifest, dropped, str(tmp_path / "out"))
+    assert {r.file_name for r in spark.read.parquet(str(tmp_path / "out" / "nodes")).collect()} == {"b.swc"}
+    assert sorted((r.cell_type, r.file_name) for r in tables.read_manifest(spark, str(tmp_path / "out" / "manifest")).collect()) == [("interneuron", "a.swc"), ("pyramidal", "b.swc")]
+    with pytest.raises(Exception, match="(?i)exist"):
+        qc.write_pruned(n, manifest, dropped, str(tmp_path / "out"))
+
+
+def test_caterpillar_orders(spark):
+    """A long spine with a tip at each node has order 2 from its last fork up, in two rounds."""
+    rows = [(1, -1, 0, 5, 1)] + [(k, k - 1, k, 1, 3) for k in range(2, 40)] + [(100 + k, k, k, 1, 3) for k in range(2, 39)]
+    got = by_id(forest.strahler(forest.topology(cell(spark, rows))), "strahler")
+    assert all(got[k] == 2 for k in range(1, 39)) and got[39] == 1 and all(got[100 + k] == 1 for k in range(2, 39))
+
+
 def test_neighbour_mean_and_layer(spark):
     import numpy as np
 
