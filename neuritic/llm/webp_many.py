@@ -4,7 +4,7 @@ Writing chooses for each image, by the size it expects, one of: no transform, su
 or from above, cross-colour with slopes fitted to the image, or a palette; then back-references wherever three pixels
 stand in the image before, and a colour cache if that is shorter. Images written together are sorted into a few kinds by
 the symbols they use; an image takes the prefix codes fitted to its kind, or such as are fitted to itself where that
-is clearly shorter. Reading parses every distinct header, decodes the pixels of images side by side (the next pixel of
+is far shorter. Reading parses every distinct header, decodes the pixels of images side by side (the next pixel of
 every image at a step, each with its codes, cache and back-references), and inverts the transforms. What only other
 writers make, such as several groups of codes, is left to webp.read().
 """
@@ -79,7 +79,8 @@ def _transformed(c: np.ndarray) -> tuple[list[tuple], np.ndarray, int]:
             sizes.append((_cost(*_counts(*(x[_WIDTH:] - x[:-_WIDTH] for x in (g, r, b)))) * len(rows) / (len(rows) - 1) + 40, PREDICTOR, 2))
         to_red, to_blue = _slope(g, r), _slope(g, b)
         x = g.view(np.int8).astype(np.int32)
-        sizes.append((_cost(*_counts(g, (r - (to_red * x >> 5)).astype(np.uint8), (b - (to_blue * x >> 5)).astype(np.uint8))) + 60, CROSS_COLOUR))
+        if max(abs(to_red), abs(to_blue)) > 4:  # below an eighth of green it takes nothing away
+            sizes.append((_cost(*_counts(g, (r - (to_red * x >> 5)).astype(np.uint8), (b - (to_blue * x >> 5)).astype(np.uint8))) + 60, CROSS_COLOUR))
     _, *kind = min(sizes)
     if not kind:
         return [], p, _WIDTH
@@ -319,7 +320,7 @@ def write_many(payloads: list[bytes]) -> list[bytes]:
             shared = counts[members] @ np.concatenate(codes.size) + codes.bits[1]
             for i, bits in zip(members.tolist(), shared.tolist(), strict=True):
                 k = group[i]
-                own = images[k].own < 0.75 * bits
+                own = images[k].own < 0.55 * bits
                 done[parts[k]] = _file(images[k], _Codes.fitted(counts[i], cache) if own else codes)
     return [b"".join(done[x] for x in _images(p)) for p in payloads]
 
