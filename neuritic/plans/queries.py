@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..operators import features, forest, metrics, ml, prep, qc, rules, stats
 from ..sources import swc, tables
-from ..session import checkpointed
+from ..session import checkpointed, is_there
 from . import labelling
 from .fixtures import NODES, PRED, SCORES, nodes, pred, scores
 
@@ -59,8 +59,17 @@ def query(name: str, spec: str, sql: str | None = None, with_: str = "") -> Call
     return register
 
 
+#: Whether queries of one session share the topology of a table, as a user would who asks several things of the same
+#: cells. bench.py turns it off, so that every time there includes the query's own topology.
+SHARE = True
+_MADE: dict[tuple[str, str], DataFrame] = {}
+
+
 def topo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checkpointed(forest.topology(pred(spark, sf_dir)))
+    key = spark.sparkContext.applicationId, sf_dir
+    if not SHARE or key not in _MADE or not is_there(_MADE[key]):
+        _MADE[key] = checkpointed(forest.topology(pred(spark, sf_dir)))
+    return _MADE[key]
 
 
 # ---------------------------------------------------------------- sources, scalars, joins

@@ -51,6 +51,14 @@ def drop_stored(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def is_there(df: DataFrame) -> bool:
+    """Whether the folders of a stored table still are."""
+    spark = df.sparkSession
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    paths = [spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f) for f in {f.rpartition("/")[0] for f in df.inputFiles()}]
+    return bool(paths) and all(p.getFileSystem(conf).exists(p) for p in paths)
+
+
 def local_session(cores: int | str = "*", memory: str = "8g") -> SparkSession:
     """A session for tests and local runs."""
     return (

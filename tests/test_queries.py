@@ -21,22 +21,6 @@ def duck():
     return c
 
 
-@pytest.fixture(scope="module", autouse=True)
-def one_topology(spark):
-    """Queries over trees share one topology here; test_own_topology runs one of them with its own."""
-    from neuritic.plans import queries as own
-
-    made, real = {}, own.topo
-    own.topo = lambda s, sf: made.setdefault(sf, real(s, sf) if sf not in made else made[sf])
-    yield real
-    own.topo = real
-
-
-def test_own_topology(spark, duck, one_topology):
-    got, want = plain(one_topology(spark, SF).selectExpr("cell_id", "id", "round(path, 4) AS path").toPandas()), plain(duck.sql(queries.ORACLE["path_from_root"]).df()[["cell_id", "id", "path"]])
-    assert got == want
-
-
 def plain(frame):
     cols = sorted(frame.columns)
     return sorted(str(tuple(None if pd.isna(v) else v for v in row)) for row in frame[cols].astype(object).itertuples(index=False, name=None)), cols
