@@ -308,10 +308,10 @@ def write_many(payloads: list[bytes]) -> list[bytes]:
     parts = sorted({x for p in payloads for x in _images(p)})
     images = [_image(x) for x in parts]
     done: dict[bytes, bytes] = {}
-    for cache in (False, True):
-        group = [k for k, m in enumerate(images) if m.cache == cache]
-        if not group:
-            continue
+    same: dict[tuple[bool, int], list[int]] = {}
+    for k, m in enumerate(images):  # codes are shared by images with one alpha value, which then takes no bits
+        same.setdefault((m.cache, int(m.counts[_AT[3] : _AT[4]].argmax())), []).append(k)
+    for (cache, _), group in same.items():
         counts = np.stack([images[k].counts for k in group])
         kinds = _kinds(counts)
         for kind in np.unique(kinds):

@@ -727,6 +727,20 @@ def test_media_holds_every_part_of_the_format():
     assert sum(map(len, files)) < 0.7 * sum(map(len, payloads))
 
 
+def test_media_of_random_bytes():
+    rng = random.Random(7)
+    kinds = [
+        lambda: "".join(chr(rng.randrange(32, 127)) for _ in range(rng.randrange(4000))), lambda: "x" * rng.randrange(3000), lambda: "".join(chr(33 + (t // 3 * (1 + t % 3)) % 90) for t in range(rng.randrange(6000))),
+        lambda: "".join(rng.choice(["abc", "xyz", "12"]) for _ in range(rng.randrange(2000))), lambda: "".join(chr(c + rng.randrange(5)) + chr(c) + chr(c + 1) for c in (rng.randrange(33, 121) for _ in range(rng.randrange(3000)))),
+        lambda: "".join(chr(rng.randrange(0x3040, 0x30FF)) for _ in range(rng.randrange(3000))),
+    ]
+    for _ in range(8):
+        payloads = [media.fill(rng.choice(kinds)().encode()) for _ in range(rng.randrange(1, 60))] + [rng.randbytes(576 * rng.randrange(1, 40))]
+        files = webp_many.write_many(payloads)
+        assert webp_many.read_many(files) == payloads
+        assert [b"".join(webp_many._rgb(webp.read(f)) for f in webp_many._files(m)) for m in files] == payloads
+
+
 def test_short_codes():
     rng = np.random.default_rng(2)
     for most, n in ((7, 19), (10, 256), (11, 536)):
