@@ -47,12 +47,12 @@ def query(name: str, spec: str, sql: str | None = None, with_: str = "") -> Call
 
     def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            of = {"l": lambda c: F.col(c).cast("long"), "d": lambda c: F.round(F.col(c).cast("double"), 4) + F.lit(0.0), "s": lambda c: F.col(c).cast("string")}
+            of = {"l": lambda c: F.col(c).cast("long"), "d": lambda c: F.round(F.round(F.col(c).cast("double"), 9), 4) + F.lit(0.0), "s": lambda c: F.col(c).cast("string")}
             return f(spark, sf_dir).select(*(of[k](c).alias(c) for c, k in cols))
 
         QUERIES[name] = run
         if sql:
-            of = {"l": "CAST({0} AS BIGINT) AS {0}", "d": "round(CAST({0} AS DOUBLE), 4) + 0.0 AS {0}", "s": "CAST({0} AS VARCHAR) AS {0}"}
+            of = {"l": "CAST({0} AS BIGINT) AS {0}", "d": "round(round(CAST({0} AS DOUBLE), 9), 4) + 0.0 AS {0}", "s": "CAST({0} AS VARCHAR) AS {0}"}
             ORACLE[name] = (f"WITH RECURSIVE {with_} " if with_ else "") + f"SELECT {', '.join(of[k].format(c) for c, k in cols)} FROM ({sql}) AS q_"
         return f
 

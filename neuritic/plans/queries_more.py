@@ -586,11 +586,11 @@ def _(spark, sf):
     return metrics.error_drivers(wrong, ["radius", "x", "y"], metrics.medians_and_scale(n, ["radius", "x", "y"]), top=2)
 
 
-@query("result_table", "method:s n_files:d accuracy:d n_pairs:l mean_diff:d", f"SELECT r.method, n_files, accuracy, n_pairs, diff AS mean_diff FROM (SELECT method, count(*) AS n_files, NULL AS accuracy FROM ({SCORES}) s GROUP BY 1 UNION ALL SELECT 'floor', NULL, 0.5) r LEFT JOIN (SELECT b AS method, count(*) AS n_pairs, -avg(d) AS diff FROM {_D} q WHERE a = 'm0' GROUP BY 1 UNION ALL SELECT a, count(*), avg(d) FROM {_D} q WHERE b = 'm0' GROUP BY 1) t ON t.method = r.method")
+@query("result_table", "method:s n_files:d accuracy:d n_pairs:l mean_diff:d", f"SELECT r.method, n_files, accuracy, coalesce(n_pairs, 0) AS n_pairs, diff AS mean_diff FROM (SELECT method, count(*) AS n_files, NULL AS accuracy FROM ({SCORES}) s GROUP BY 1 UNION ALL SELECT 'floor', NULL, 0.5) r LEFT JOIN (SELECT b AS method, count(*) AS n_pairs, -avg(d) AS diff FROM {_D} q WHERE a = 'm0' GROUP BY 1 UNION ALL SELECT a, count(*), avg(d) FROM {_D} q WHERE b = 'm0' GROUP BY 1) t ON t.method = r.method")
 def _(spark, sf):
     s = _scores(spark, sf)
     parts = [s.groupBy("method").agg(F.count(F.lit(1)).cast("double").alias("n_files")), spark.createDataFrame([("floor", 0.5)], "method string, accuracy double")]
-    return stats.result_table(parts, stats.wilcoxon(stats.method_pairs(s)), "m0")
+    return stats.result_table(parts, stats.wilcoxon(stats.method_pairs(s)), "m0").na.fill(0, ["n_pairs"])
 
 
 @query("epoch_leaderboard", "source:s mean:d std:d median_epoch:d rank:l", f"SELECT source, mean, std, median_epoch, row_number() OVER (ORDER BY mean DESC, source) AS rank FROM (SELECT source, avg(f1_milli) AS mean, stddev_pop(f1_milli) AS std, quantile_cont(f1_milli % 40, 0.5) AS median_epoch FROM {_S} q GROUP BY 1) r")
