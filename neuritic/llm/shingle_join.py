@@ -4,9 +4,9 @@ A document is the set of its distinct word n-grams. Documents with equal sets fo
 class takes part. Each run of the join picks shared tokens at random: at a node of the path tree a set keeps those
 of its tokens whose hash, salted by the path, is below 1 / (threshold * size), so two sets that are similar enough
 keep a common token with probability 1 - 1/e at least, and land in the same bucket. Buckets of up to `limit` sets are
-compared by brute force; larger ones are split again by second tokens, sampled several times for each bucket, the more
-often the larger it is; where that saves no pairs, as among near copies, the bucket stays whole. What is still larger is
-compared block by block, so that no bucket is cut short. Runs repeat until a pair at the threshold is missed with probability
+compared by brute force; larger ones are split again by second tokens, sampled `AGAIN` times for each bucket; where that
+saves no pairs, as among near copies, the bucket stays whole. What is still larger is compared block by block, so that
+no bucket is cut short. Runs repeat until a pair at the threshold is missed with probability
 of at most 1 - recall. A pair that meets in several buckets counts in the one with the smallest path only, which both
 sets can tell from their lists of buckets, so pairs are never written out to remove duplicates: each bucket
 reports, for each set, the number of its similar partners and one edge to the smallest set that its links connect it with
@@ -50,6 +50,8 @@ _POW = [np.ones(1, dtype=U), np.ones(1, dtype=U)]
 AGREE_AT = 4.9
 #: Bytes of text after which words are cut off and hashed.
 WINDOW = 1 << 22
+#: How often a large bucket is split by second tokens.
+AGAIN = 4
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
 
 
@@ -118,10 +120,9 @@ def _chosen(s: np.ndarray, salts: np.ndarray, threshold: float) -> np.ndarray:
     return np.unique(_mix(u[node, token] * _STEP + salts[node]))
 
 
-def _again(path: int, size: int) -> np.ndarray:
-    """Salts by which a bucket of this size is split: log(size), so that a pair at the threshold is parted by all of them
-    with a probability of 1 / size at most."""
-    return _mix(np.int64(path).view(U) + np.arange(1, math.ceil(math.log(size)) + 1, dtype=U) * _STEP)
+def _again(path: int) -> np.ndarray:
+    """Salts by which a large bucket is split; a pair at the threshold is parted by all of them with a probability of exp(-AGAIN)."""
+    return _mix(np.int64(path).view(U) + np.arange(1, AGAIN + 1, dtype=U) * _STEP)
 
 
 def runs_needed(recall: float, levels: int) -> int:
@@ -293,13 +294,13 @@ def similar(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float =
         def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 rows = []
-                for c, g, at, sizes in zip(pdf["cls"], pdf["grams"], pdf["paths"], pdf["sizes"], strict=True):
+                for c, g, at in zip(pdf["cls"], pdf["grams"], pdf["paths"], strict=True):
                     s = np.frombuffer(g, dtype=U)
-                    rows += [(c, p, q) for q, size in zip(at, sizes, strict=True) for p in _chosen(s, _again(q, size), threshold).view(np.int64)]
+                    rows += [(c, p, q) for q in at for p in _chosen(s, _again(q), threshold).view(np.int64)]
                 if rows:
                     yield pd.DataFrame({"cls": [r[0] for r in rows], "path": np.array([r[1] for r in rows], dtype=np.int64), "parent": np.array([r[2] for r in rows], dtype=np.int64)})
 
-        at = big.groupBy("cls").agg(F.collect_set(F.struct("path", "size")).alias("at")).select("cls", F.col("at.path").alias("paths"), F.col("at.size").alias("sizes"))
+        at = big.groupBy("cls").agg(F.collect_set("path").alias("paths"))
         parts = shared(texts_of(big).join(at, "cls").mapInPandas(split, "cls binary, path long, parent long"))
         # of near copies the parts hold about as many pairs as the bucket or more
         pairs = big.groupBy("path").agg((F.first("size") * (F.first("size") - 1)).alias("pairs"))
