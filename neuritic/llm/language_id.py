@@ -2,7 +2,7 @@
 
 A linear support vector machine over hashed character n-grams first names the language family; then one-versus-one
 machines tell the languages of that family apart. Machines are fitted on a bounded sample of labelled documents
-(`per_lang` of each language, drawn by a hash of the id, whole texts); prediction covers every whole text.
+(`per_lang` of each language and `most` in all, drawn by a hash of the id, whole texts); prediction covers every whole text.
 
 Results in corner cases: a text that is null, empty or has no letter gives `und` with score 0; if no labelled
 document may be learned from, every text gives `und`; repeated rows give equal rows; other columns are ignored.
@@ -164,8 +164,9 @@ def fit_model(langs: list[str], x: np.ndarray, families: dict[str, tuple[str, ..
     return m
 
 
-def train(docs: DataFrame, per_lang: int = 400, families: dict[str, tuple[str, ...]] | None = None, learn: Column | None = None) -> Model:
-    """Fits on about per_lang documents of each language (the documented bound), of those with lang and text where learn holds.
+def train(docs: DataFrame, per_lang: int = 400, most: int = 20_000, families: dict[str, tuple[str, ...]] | None = None, learn: Column | None = None) -> Model:
+    """Fits on about per_lang documents of each language and `most` in all (the documented bounds), of those with lang and
+    text where learn holds.
 
     Which ones is told by a hash of the id, at a rate that the number of documents of the language gives.
     """
@@ -175,6 +176,7 @@ def train(docs: DataFrame, per_lang: int = 400, families: dict[str, tuple[str, .
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return Model()
+    per_lang = min(per_lang, most / len(sizes))
     rates = F.create_map(*(F.lit(v) for lang, n in sorted(sizes.items()) for v in (lang, min(1.0, per_lang / n))))
     drawn = known.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)) < rates[F.col("lang")] * (1 << 30))
 

@@ -85,16 +85,21 @@ def plan(histogram: dict[int, int], seq_len: int) -> pd.DataFrame:
 
 
 PIECES = T.StructType(
-    [T.StructField("doc_id", T.LongType()), T.StructField("n_ids", T.LongType()), T.StructField("tail", T.IntegerType()), T.StructField("crcs", T.ArrayType(T.LongType()))]
+    [T.StructField("doc_id", T.LongType()), T.StructField("n_ids", T.LongType()), T.StructField("tail", T.IntegerType()), T.StructField("crcs", T.ArrayType(T.LongType())), T.StructField("part", T.IntegerType())]
 )
 
 
 def tokenized(docs: DataFrame, seq_len: int, path: str, memory: int = tokens.MEMORY) -> DataFrame:
-    """Per document: its number of ids, the length of its short piece (0: none), and the crc32 of every piece in order."""
+    """Per document: its number of ids, the length of its short piece (0: none), the crc32 of every piece in order, and the
+    number of the task that read it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zlib
 
+        from pyspark import TaskContext
+
+        context = TaskContext.get()
+        part = context.partitionId() if context else 0
         enc = tokens.encoder(path, memory)
         for pdf in together(batches, "text", 2 << 20):
             n_ids, tails, crcs = [], [], []
@@ -105,7 +110,7 @@ def tokenized(docs: DataFrame, seq_len: int, path: str, memory: int = tokens.MEM
                 n_ids.append(len(ids))
                 tails.append(tail)
                 crcs.append([zlib.crc32(ids[a:b].tobytes()) for a, b in zip(cuts, cuts[1:], strict=False)])
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n_ids": n_ids, "tail": np.array(tails, dtype=np.int32), "crcs": crcs})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n_ids": n_ids, "tail": np.array(tails, dtype=np.int32), "crcs": crcs, "part": np.int32(part)})
 
     return pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, PIECES)
 
@@ -119,8 +124,8 @@ def pack(docs: DataFrame, seq_len: int = 2048, path: str | None = None, salts: i
     arrow_batches(spark)
     path = path or tokens.tokenizer_path()
     pieces = stored(tokenized(docs, seq_len, path, memory), "pieces").withColumn("full", F.floor(F.col("n_ids") / seq_len))
-    # ranks within each length, by salt; the sums by (length, salt) are a table of bounded size
-    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_ids", F.element_at("crcs", 1)), F.lit(salts)))
+    # ranks within each length, by salt (with the part, so that rows repeated very often spread too); the sums by (length, salt) are a table of bounded size
+    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_ids", F.element_at("crcs", 1), "part"), F.lit(salts)))
     sums = pieces.groupBy("tail", "salt").agg(F.count(F.lit(1)).alias("n"), F.sum("full").alias("n_full"))
     sums = sums.toPandas().sort_values(["tail", "salt"], ignore_index=True)  # at most seq_len * salts rows
     histogram = sums[sums["tail"] > 0].groupby("tail")["n"].sum().to_dict()

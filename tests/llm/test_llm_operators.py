@@ -833,7 +833,11 @@ def test_pipeline_stages(spark, docs, awkward):
     df = docs
     stages = dict(corpus_pipeline.STAGES)
     kept = stages["language_id"](spark, df, SF)
-    assert kept.columns == df.columns and kept.count() == df.count()
+    model = language_id.train(df, learn=language_id.learnable())
+    rows_ = df.toPandas()
+    said = model.predict(rows_.text)
+    want = Counter(rows_.doc_id[(said.lang_pred != "und") & (said.score >= corpus_pipeline.MIN_LANG_SCORE)])
+    assert kept.columns == df.columns and Counter(r.doc_id for r in kept.collect()) == want and sum(want.values()) > 0.95 * len(rows_)
     unique = stages["near_duplicates"](spark, kept, SF)
     texts = [(r.doc_id, r.text) for r in kept.collect()]
     want = {r.doc_id for r in shingle_join.similar(kept).collect() if r.doc_id == r.group_id}
@@ -844,8 +848,18 @@ def test_pipeline_stages(spark, docs, awkward):
     left = [t for t in texts if t[0] in got]
     assert not links_of(left)[1]
     mixed = stages["mixing"](spark, unique, SF)
-    assert mixed.columns == df.columns and {r.doc_id for r in mixed.collect()} <= got
-    assert stages["packing"](spark, mixed, SF).agg({"length": "sum"}).first()[0] > 0
+    drawn = Counter({r.doc_id: r.copies for r in mixing.mix(unique).select("doc_id", "_mix.copies").collect()})
+    mixed_rows = mixed.collect()
+    assert mixed.columns == df.columns and Counter(r.doc_id for r in mixed_rows) == +drawn and set(drawn) == got
+    sizes, taken = defaultdict(int), defaultdict(int)
+    for r in unique.collect():
+        sizes[r.source] += len((r.text or "").encode().split())
+    for r in mixed_rows:
+        taken[r.source] += len((r.text or "").encode().split())
+    names = sorted(sizes)
+    for name, goal in zip(names, mixing.targets([sizes[x] for x in names], [k % 3 + 1.0 for k in range(len(names))])):
+        assert abs(taken[name] - goal) <= 0.02 * goal + 50
+    check_packing(stages["packing"](spark, mixed, SF).collect(), [(r.doc_id, r.text) for r in mixed_rows], 2048)
     odd, texts = awkward
     out = stages["near_duplicates"](spark, odd, SF)
     assert out.columns == odd.columns and sorted(r.doc_id or -1 for r in out.collect()) == [-1, 1, 2, 3, 4, 5, 6, 7]
