@@ -1,6 +1,7 @@
 """Operators for training-data pipelines. Nothing else in the library imports this subpackage."""
 
 from . import (
+    exact_dedup,
     hmm_lm,
     html_text,
     language_id,
@@ -13,7 +14,7 @@ from . import (
     topk,
 )
 
-MODULES = (language_id, packing, shingle_join, html_text, hmm_lm, topk, mixing, token_store, media, license_scan)
+MODULES = (language_id, packing, shingle_join, html_text, hmm_lm, topk, mixing, token_store, media, license_scan, exact_dedup)
 
 
 def queries():
