@@ -12,9 +12,10 @@ from . import (
     shingle_join,
     token_store,
     topk,
+    whitening,
 )
 
-MODULES = (language_id, packing, shingle_join, html_text, hmm_lm, topk, mixing, token_store, media, license_scan, exact_dedup)
+MODULES = (language_id, packing, shingle_join, html_text, hmm_lm, topk, mixing, token_store, media, license_scan, whitening, exact_dedup)
 
 
 def queries():

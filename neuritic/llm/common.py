@@ -5,13 +5,15 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import drop_stored, shared_dir
 
-__all__ = ["WORD", "Query", "arrow_batches", "crc_mod", "drop_stored", "numbered", "pick", "shared_dir", "stored", "table", "text_size", "together"]
+__all__ = ["WORD", "Query", "arrow_batches", "crc_mod", "dense", "drop_stored", "finite", "numbered", "pick", "shared_dir", "stored", "table", "text_size", "together"]
 
 #: Rows of a batch between Spark and Python.
 ARROW_ROWS = 250
@@ -80,4 +82,20 @@ def together(batches: Iterator[pd.DataFrame], column: str, most: int) -> Iterato
         yield pd.concat(held, ignore_index=True)
 
 
+def finite(vector: str) -> Column:
+    """Whether a vector is not null and neither are its components, and all are finite."""
+    return F.col(vector).isNotNull() & F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v.cast("double")) & (F.abs(v.cast("double")) < float("inf")))
+
+
+def dense(vectors: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
+    """Lists of whole numbers as the rows of a matrix; short ones are filled with zeros."""
+    if isinstance(vectors, pa.ChunkedArray):
+        vectors = vectors.combine_chunks()
+        vectors = pa.concat_arrays(vectors.chunks) if isinstance(vectors, pa.ChunkedArray) else vectors
+    sizes = np.diff(vectors.offsets.to_numpy())
+    out = np.zeros((len(sizes), width), dtype=np.int64)
+    out[np.arange(width) < sizes[:, None]] = vectors.flatten().to_numpy()
+    return out
+
+
 Query = Callable[[SparkSession, str], DataFrame]
