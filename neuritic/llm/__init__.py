@@ -2,6 +2,7 @@
 
 from . import (
     exact_dedup,
+    hard_negatives,
     hmm_lm,
     html_text,
     language_id,
@@ -15,7 +16,7 @@ from . import (
     whitening,
 )
 
-MODULES = (language_id, packing, shingle_join, html_text, hmm_lm, topk, mixing, token_store, media, license_scan, whitening, exact_dedup)
+MODULES = (language_id, packing, shingle_join, html_text, hmm_lm, topk, mixing, token_store, media, license_scan, hard_negatives, whitening, exact_dedup)
 
 
 def queries():
