@@ -168,17 +168,19 @@ def train(docs: DataFrame, per_lang: int = 400, most: int = 20_000, families: di
     """Fits on about per_lang documents of each language and `most` in all (the documented bounds), of those with lang and
     text where learn holds.
 
-    Which ones is told by a hash of the id, at a rate that the number of documents of the language gives.
+    Which ones is told by a hash of the text, at a rate that the number of different texts of the language gives; each text is
+    drawn once, so neither null or repeated ids nor copies add to what the driver gets.
     """
     known = pick(docs, "doc_id", "lang", "text").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     if learn is not None:
         known = known.filter(learn)
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    known = known.select("lang", F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("h"))
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang", "h").agg(F.lit(1).alias("one")).groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return Model()
     per_lang = min(per_lang, most / len(sizes))
     rates = F.create_map(*(F.lit(v) for lang, n in sorted(sizes.items()) for v in (lang, min(1.0, per_lang / n))))
-    drawn = known.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)) < rates[F.col("lang")] * (1 << 30))
+    drawn = known.filter(F.pmod(F.xxhash64(F.lit(1), "h"), F.lit(1 << 30)) < rates[F.col("lang")] * (1 << 30)).dropDuplicates(["lang", "h"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -186,8 +188,7 @@ def train(docs: DataFrame, per_lang: int = 400, most: int = 20_000, families: di
             if rows:
                 yield pd.DataFrame({"h": [r[0] for r in rows], "lang": [r[1] for r in rows], "v": [r[2].tobytes() for r in rows]})
 
-    got = drawn.select(F.xxhash64(F.col("doc_id").cast("string")).alias("h"), "lang", F.col("text").cast("string").alias("text"))
-    got = got.mapInPandas(run, "h long, lang string, v binary").toPandas()  # a few MB a language
+    got = drawn.mapInPandas(run, "h long, lang string, v binary").toPandas()  # a few MB a language
     if got.empty:
         return Model()
     got = got.drop_duplicates(["lang", "v"]).sort_values(["lang", "h", "v"], ignore_index=True)

@@ -13,7 +13,7 @@ Shards hold about `shard_words` words each. Blocks grow with the table where the
 every draw of the tree is a true hypergeometric one.
 
 Results in corner cases: null and empty texts have size 0 and are taken with 0 words; a null source is a source of its
-own, the last; repeated rows are taken together; null ids are ids like others; an empty table gives an empty result;
+own, the last; rows repeated with id and text are taken together; null ids are ids like others, told apart by their texts; an empty table gives an empty result;
 other columns are kept by mix() and don't matter.
 """
 
@@ -99,7 +99,7 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, most: f
     spark = docs.sparkSession
     source = F.col("source").cast("string")
     size = text_size("text")
-    rows = pick(docs, "doc_id", "text", "source").select(source.alias("source"), size.alias("size"), F.xxhash64(F.lit(seed), "doc_id", "size").alias("h"))
+    rows = pick(docs, "doc_id", "text", "source").select(source.alias("source"), size.alias("size"), F.xxhash64(F.lit(seed), "doc_id", "size", F.col("text").cast("string")).alias("h"))
     rows = stored(rows, "sizes")
     found = sorted(rows.groupBy("source").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n")).collect(), key=lambda r: (r["source"] is None, r["source"] or ""))
     sources_, sums = [r["source"] for r in found], [int(r["s"]) for r in found]
@@ -166,7 +166,7 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, most: f
 
     names, out = docs.columns, numbered(docs)
     key, text, origin = (F.col(f"_d{names.index(c)}") if c in names else F.lit(None).cast("string") for c in ("doc_id", "text", "source"))
-    out = out.withColumn("_size", text_size(text)).withColumn("_h", F.xxhash64(F.lit(seed), key, "_size"))
+    out = out.withColumn("_size", text_size(text)).withColumn("_h", F.xxhash64(F.lit(seed), key, "_size", text.cast("string")))
     limits, ends = limits.toDF(*(f"_m_{c}" for c in limits.columns)), ends.toDF("_e_k", "_e_h")
     out = out.join(limits, origin.cast("string").eqNullSafe(F.col("_m_source")), "left")
     out = out.join(ends, (F.col("_h") == F.col("_e_h")) & (F.col("_m_k") == F.col("_e_k")), "left")

@@ -33,7 +33,8 @@ def write(docs: DataFrame, path: str | None = None, segment_ids: int = SEGMENT_I
     arrow_batches(docs.sparkSession)
     path = path or tokens.tokenizer_path()
     docs = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    docs = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    docs = docs.withColumn("h", F.xxhash64("text"))  # rows of one id are dealt by their texts
+    docs = docs.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext

@@ -507,13 +507,14 @@ def test_topk(spark):
     rng = np.random.default_rng(4)
     vectors = [(int(i), [float(x) for x in rng.normal(0, 0.3, 16)]) for i in range(700)]
     vectors += [(700, None), (701, []), (702, [1.0, None]), (703, [float("nan")] * 16), (704, [float("inf")] * 16), (None, [1.0] * 16), (705, [0.5] * 16), (706, [0.5] * 16), (706, [0.5] * 16), (750, [0.5] * 9)]
+    vectors += [(50, [float(x) for x in rng.normal(0, 0.3, 16)]) for _ in range(300)] + [(50, [0.25] * 16)] * 2  # one id with a third of the rows
     df = spark.createDataFrame([(*v, 1, 2) for v in vectors], "vec_id long, embedding array<double>, score int, rank int")
     got = [tuple(r) for r in topk.top_k(df, group_rows=200, query_rows=6).select("query_id", "rank", "vec_id", "score").collect()]
     whole = [(i, [math.floor(256 * x) for x in v]) for i, v in vectors if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     want = []
-    for i, q in whole:
+    for own, (i, q) in enumerate(whole):
         if i % 50 == 0:
-            best = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in whole if j != i)[:5]
+            best = sorted((-sum(a * b for a, b in zip(q, v)), j) for r, (j, v) in enumerate(whole) if r != own)[:5]
             want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(best)]
     assert sorted(got) == sorted(want)
     assert topk.top_k(df.limit(0)).count() == 0
@@ -523,12 +524,12 @@ def test_topk(spark):
 def test_search_is_exact(scale):
     rng = np.random.default_rng(5)
     x, q = rng.integers(-scale, scale, (300, 8)), rng.integers(-scale, scale, (7, 8))
-    got = topk.search(np.arange(1000, 1007), q // (1 if scale < 10**6 else 10), np.arange(300), x, 4, block=64)
+    got = topk.search(np.arange(1000, 1007), q // (1 if scale < 10**6 else 10), np.arange(300), np.arange(300), x, 4, block=64)
     q = q // (1 if scale < 10**6 else 10)
     for k in range(7):
         s = x @ q[k]
         want = sorted(range(300), key=lambda j: (-s[j], j))[:4]
-        assert got[got.query_id == 1000 + k].vec_id.tolist() == want
+        assert got[got.query_row == 1000 + k].vec_id.tolist() == want
 
 
 def test_most_queries_stop_early(spark):
@@ -536,7 +537,7 @@ def test_most_queries_stop_early(spark):
     pdf = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").toPandas()
     x = np.floor(256 * np.stack(pdf.embedding).astype(float)).astype(np.int64)
     ids, stops = pdf.vec_id.to_numpy(), []
-    topk.search(ids[ids % 50 == 0], x[ids % 50 == 0], ids, x, 5, stops=stops)
+    topk.search(ids[ids % 50 == 0], x[ids % 50 == 0], ids, ids, x, 5, stops=stops)
     early = sum(n for depth, n in stops if depth < 1)
     assert early > 0.8 * sum(n for _, n in stops)
 

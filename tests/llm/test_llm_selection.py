@@ -2,13 +2,13 @@
 
 import hashlib
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from neuritic.llm import exact_dedup, hard_negatives, media, whitening
+from neuritic.llm import exact_dedup, hard_negatives, language_id, media, mixing, token_store, whitening
 
 SF = "/root/testdata/sf0.001"
 
@@ -237,3 +237,38 @@ def test_equal_texts_have_equal_files(spark):
             for r in media.features(media.store(dealt)).collect():
                 seen[r.payload_sha256].add((r.media_sha256, r.media_bytes, r.feature))
     assert all(len(v) == 1 for v in seen.values()) and len(seen) > 100
+
+
+# ------------------------------------------------------------------ ids that are null or repeated
+def test_mixing_meets_targets_on_null_ids(spark):
+    rows = [(None, f"{'word ' * 20}{k}", "a") for k in range(1500)] + [(k, f"{'other ' * 30}{k}", "b") for k in range(1500)]
+    got = mixing.op7_columns(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    for r in got.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max("size").alias("most")).collect():
+        assert abs(r.taken - r.target) <= r.most
+
+
+def test_languages_are_learned_from_a_bounded_sample(spark, monkeypatch):
+    """Rows with one id, and copies, don't add to what is drawn."""
+    rng = random.Random(1)
+    words = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(30))
+    rows = [(None, words(), "en") for _ in range(2000)] + [(7, words(), "de")] * 1500 + [(k, words(), "de") for k in range(100)]
+    seen = []
+    monkeypatch.setattr(language_id, "fit_model", lambda langs, x, families: seen.append((langs, x)))
+    language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_lang=50)
+    (langs, x), = seen
+    assert len(x) == len(langs) and 20 < langs.count("en") < 90 and 20 < langs.count("de") < 90
+
+
+def test_token_store_deals_one_id_to_many_tasks(spark):
+    rows = [(5, f"text {k} of one id") for k in range(3000)] + [(None, f"text {k} without") for k in range(1000)] + [(k, "x") for k in range(20)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # which puts so little data together
+    try:
+        written = token_store.write(spark.createDataFrame(rows, "doc_id long, text string").repartition(8))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(len(r.doc_ids) for r in written.select("doc_ids").collect()) < 2000
+    got = token_store.read(written).collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in rows)
+    assert [r.start for r in sorted(got, key=lambda r: r.start)] == list(np.cumsum([0] + [r.n_tokens for r in sorted(got, key=lambda r: r.start)])[:-1])
+    order = [r.doc_id for r in sorted(got, key=lambda r: r.start)]
+    assert order == sorted(order, key=lambda i: (i is not None, i or 0))
