@@ -6,12 +6,12 @@ predicted labels (`pred`) and one of confidences (`conf`). Equal votes go to the
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hash_share
 from ..session import checkpointed
+from . import forest
 
 TREE = ["cell_id", "primary_root"]
 NEURITE = (2, 3, 4)
@@ -262,53 +262,49 @@ def axon_bias(nodes: DataFrame, low: float = 0.6, least: int = 20, thin: float =
     return out.withColumn("pred", F.when(flip, 2).otherwise(F.col("pred"))).drop("_axon")
 
 
-def flip_islands(nodes: DataFrame, most: int = 15, threshold: float = 0.75) -> DataFrame:
-    """Small unsure regions of one label take the most frequent label around them, one after the other in file order.
+def flip_islands(nodes: DataFrame, most: int | Column = 15, threshold: float | Column = 0.75) -> DataFrame:
+    """Small unsure regions of one label take the most frequent label around them; among equals the one that is met first.
 
-    The outcome of a flip can change the next region, so each cell is worked through in order; cells are files of
-    bounded size. Columns cell_id, id, seq, parent, proxy, pred, conf are looked at.
+    Regions are looked at in the order of their first nodes in the file, and what was looked at before doesn't count as
+    around. Labels around are those of before, as a region changes only once it is looked at itself, so all regions are
+    settled at once. What is around a region is met breadth first from its first node, parents before children. Only small regions,
+    of at most `most` nodes, are ever put together; nodes that no root reaches stay as they are.
     """
-    fields = nodes.schema
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq").reset_index(drop=True)
-        place = {v: k for k, v in enumerate(pdf["id"])}
-        up = [place.get(p) for p in pdf["parent"]]
-        around: list[list[int]] = [[] for _ in up]
-        for k, p in enumerate(up):
-            if p is not None and p != k:
-                around[k].insert(0, p)
-                around[p].append(k)
-        label, conf = pdf["pred"].tolist(), pdf["conf"].tolist()
-        soma = (pdf["id"] == pdf["proxy"]).tolist()
-        done = [False] * len(label)
-        for k in range(len(label)):
-            if done[k] or soma[k] or label[k] == 1:
-                continue
-            own, region, outside, todo = label[k], [], [], [k]
-            for i in todo:
-                if done[i] and label[i] == own or soma[i]:
-                    continue
-                if label[i] != own:
-                    outside.append(i)
-                    continue
-                done[i] = True
-                region.append(i)
-                todo.extend(around[i])
-            if len(region) > most or not outside or sum(conf[i] for i in region) / len(region) >= threshold:
-                continue
-            near: dict[int, int] = {}
-            for i in outside:
-                if label[i] in NEURITE:
-                    near[label[i]] = near.get(label[i], 0) + 1
-            if near:
-                to = max(near, key=lambda v: near[v])
-                for i in region:
-                    label[i] = to
-        pdf["pred"] = label
-        return pdf
-
-    return nodes.groupBy("cell_id").applyInPandas(run, fields)
+    most, threshold = (v if isinstance(v, Column) else F.lit(v) for v in (most, threshold))
+    found = forest.regions(nodes, "pred")
+    n = checkpointed(nodes.join(found, forest.KEY, "left").withColumn("_most", most).withColumn("_sure", threshold))
+    inside = n.filter(F.col("region").isNotNull() & (F.col("pred") != 1)).select("cell_id", "id", "seq", F.coalesce("parent", F.lit(-1)).alias("parent"), "pred", "conf", "region", "_most", "_sure")
+    whole = inside.groupBy("cell_id", "region").agg(F.count(F.lit(1)).alias("size"), F.min("seq").alias("first"), F.avg("conf").alias("mean"), F.max("_most").alias("most"), F.max("_sure").alias("sure"))
+    whole = checkpointed(whole.withColumn("open", (F.col("size") <= F.col("most")) & (F.round("mean", 12) < F.col("sure"))))
+    # a region touches others above its uppermost node, which it is named after, and below any of its nodes
+    heads = inside.filter("id = region").join(whole.select("cell_id", "region", "first"), ["cell_id", "region"])
+    above = inside.select(F.col("cell_id").alias("_c"), F.col("id").alias("_p"), F.col("pred").alias("up"), F.col("region").alias("up_region"))
+    touch = heads.join(above, (F.col("cell_id") == F.col("_c")) & (F.col("parent") == F.col("_p")))
+    of = whole.select(F.col("cell_id").alias("_c2"), F.col("region").alias("_r2"), F.col("first").alias("up_first"))
+    touch = touch.join(of, (F.col("cell_id") == F.col("_c2")) & (F.col("up_region") == F.col("_r2")))
+    touch = checkpointed(touch.select("cell_id", "id", "seq", "pred", "region", "first", "up", "up_region", "up_first", "_p"))
+    around = touch.filter("up_first > first").select("cell_id", "region", F.col("id").alias("at"), F.lit(-1).alias("place"), F.col("up").alias("label"))
+    around = around.unionByName(touch.filter("first > up_first").select("cell_id", F.col("up_region").alias("region"), F.col("_p").alias("at"), F.col("seq").cast("int").alias("place"), F.col("pred").alias("label")))
+    small = whole.filter("open").select("cell_id", "region")
+    around = around.filter(F.col("label").isin(*NEURITE)).join(small, ["cell_id", "region"]).groupBy("cell_id", "region", "at", "label").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("place"))
+    around = around.groupBy("cell_id", "region").agg(F.collect_list(F.struct("at", "label", "n", "place")).alias("around"))  # three for each node of a small region at most
+    inner = inside.join(small, ["cell_id", "region"]).groupBy("cell_id", "region").agg(F.array_sort(F.collect_list(F.struct(F.col("seq").cast("long").alias("seq"), F.col("id").cast("long").alias("id"), F.col("parent").cast("long").alias("parent")))).alias("inner"))
+
+    def after(met: Column, k: Column) -> Column:
+        """What is met once the k-th node is left: its parent, then its children in file order, where they are new."""
+        u = F.get(met, k)
+        new = F.filter("inner", lambda x: ((x["id"] == u["parent"]) | (x["parent"] == u["id"])) & ~F.exists(met, lambda y: y["id"] == x["id"]))
+        return F.concat(met, F.filter(new, lambda x: x["id"] == u["parent"]), F.filter(new, lambda x: x["id"] != u["parent"]))
+
+    met = F.aggregate(F.sequence(F.lit(0), F.size("inner") - 1), F.slice("inner", 1, 1), after)
+    times = lambda label: F.aggregate(F.filter("around", lambda e: e["label"] == label), F.lit(0).cast("long"), lambda a, e: a + e["n"])
+    named = around.join(inner, ["cell_id", "region"]).withColumn("met", F.transform(met, lambda x: x["id"]))
+    top = F.greatest(*(times(k) for k in NEURITE))
+    named = named.withColumn("top", top).withColumn("best", F.filter("around", lambda e: times(e["label"]) == F.col("top")))
+    to = F.array_min(F.transform("best", lambda e: F.struct(F.array_position("met", e["at"]).alias("a"), e["place"].alias("p"), e["label"].alias("label"))))["label"]
+    flips = named.select("cell_id", "region", to.cast("int").alias("_to"))
+    out = n.join(flips, ["cell_id", "region"], "left")
+    return out.withColumn("pred", F.coalesce("_to", "pred")).select(*nodes.columns)
 
 
 def legal_only(nodes: DataFrame) -> DataFrame:
@@ -329,11 +325,12 @@ def refine(nodes: DataFrame, owners: DataFrame | None = None) -> DataFrame:
     p = single_class(single_apical(single_class(subtree_vote(p), 2, 3)), 4, 3)
     if owners is not None:
         p = constrain_apical(p, owners)
-    p = flip_islands(smooth(p, **SMOOTHING["pyramidal"]), **ISLANDS["pyramidal"])
+    p, i = smooth(p, **SMOOTHING["pyramidal"]), smooth(soft_majority(axon_bias(i)), **SMOOTHING["interneuron"])
+    of = lambda key: F.when(F.col("cell_type") == "pyramidal", ISLANDS["pyramidal"][key]).otherwise(ISLANDS["interneuron"][key])
+    flipped = checkpointed(flip_islands(p.select(*n.columns).unionByName(i.select(*n.columns)), of("most"), of("threshold")))
+    p, i = flipped.filter("cell_type = 'pyramidal'"), flipped.filter("cell_type = 'interneuron'")
     if owners is not None:
         p = constrain_apical(p, owners)
-    i = soft_majority(axon_bias(i))
-    i = flip_islands(smooth(i, **SMOOTHING["interneuron"]), **ISLANDS["interneuron"])
     parts = [x.select(*n.columns) for x in (p, i, n.filter(few), smooth(other, **SMOOTHING["other"]))]
     return strip_soma(parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]))
 

@@ -290,7 +290,23 @@ def _(spark, sf):
 own.QUERIES.pop("island_flip", None)
 
 
-@query("island_flip", "cell_id:l id:l pred:l")
+_ISLANDS = """,
+reg AS (SELECT t.cell_id, t.id, t.seq, t.parent, t.pred, t.conf, t.id AS region FROM topo t LEFT JOIN topo u ON u.cell_id = t.cell_id AND u.id = t.parent
+   WHERE t.id <> t.proxy AND (t.is_root OR u.id = u.proxy OR u.pred <> t.pred)
+  UNION ALL SELECT t.cell_id, t.id, t.seq, t.parent, t.pred, t.conf, r.region FROM reg r JOIN topo t ON t.cell_id = r.cell_id AND t.parent = r.id AND t.pred = r.pred AND t.id <> t.proxy AND NOT t.is_root),
+reg1 AS (SELECT * FROM reg WHERE pred <> 1),
+whole AS (SELECT cell_id, region, min(seq) AS first, count(*) <= 15 AND round(avg(conf), 12) < 0.75 AS open FROM reg1 GROUP BY 1, 2),
+touch AS (SELECT c.cell_id, c.id, c.seq, c.pred, c.region, cw.first, p.id AS up, p.pred AS up_pred, p.region AS up_region, pw.first AS up_first
+  FROM reg1 c JOIN reg1 p ON p.cell_id = c.cell_id AND p.id = c.parent AND p.region <> c.region JOIN whole cw ON cw.cell_id = c.cell_id AND cw.region = c.region JOIN whole pw ON pw.cell_id = p.cell_id AND pw.region = p.region),
+around AS (SELECT cell_id, region, id AS at_, -1 AS place, up_pred AS label FROM touch WHERE up_first > first UNION ALL SELECT cell_id, up_region, up, seq, pred FROM touch WHERE first > up_first),
+bfs AS (SELECT w.cell_id, w.region, r.id, r.parent, CAST(NULL AS INT) AS prev, CAST([] AS BIGINT[]) AS way FROM whole w JOIN reg1 r ON r.cell_id = w.cell_id AND r.region = w.region AND r.seq = w.first WHERE w.open
+  UNION ALL SELECT b.cell_id, b.region, y.id, y.parent, b.id, list_append(b.way, CASE WHEN y.id = b.parent THEN -1 ELSE y.seq END) FROM bfs b JOIN reg1 y ON y.cell_id = b.cell_id AND y.region = b.region AND (y.id = b.parent OR y.parent = b.id) AND (b.prev IS NULL OR y.id <> b.prev)),
+said AS (SELECT a.cell_id, a.region, a.label, count(*) AS n, min(list_concat([CAST(len(b.way) AS BIGINT)], list_append(b.way, a.place))) AS met FROM around a JOIN bfs b ON b.cell_id = a.cell_id AND b.region = a.region AND b.id = a.at_ GROUP BY 1, 2, 3),
+flips AS (SELECT cell_id, region, label FROM said QUALIFY row_number() OVER (PARTITION BY cell_id, region ORDER BY n DESC, met) = 1)
+"""
+
+
+@query("island_flip", "cell_id:l id:l pred:l", "SELECT t.cell_id, t.id, coalesce(f.label, t.pred) AS pred FROM topo t LEFT JOIN reg1 r ON r.cell_id = t.cell_id AND r.id = t.id LEFT JOIN flips f ON f.cell_id = r.cell_id AND f.region = r.region", TREE + _ISLANDS)
 def _(spark, sf):
     return rules.flip_islands(topo(spark, sf))
 
