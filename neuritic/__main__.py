@@ -1,4 +1,8 @@
-"""A thin entry for spark-submit: python -m neuritic VERB INPUT OUTPUT, over a folder of node files."""
+"""A thin entry for spark-submit: python -m neuritic VERB INPUT OUTPUT, over a folder of node files.
+
+train INPUT BUNDLE saves models; label INPUT OUTPUT --models BUNDLE labels the files that aren't labelled yet, by rules where there
+are no models.
+"""
 
 from __future__ import annotations
 
@@ -8,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import features, forest, prep, qc
-from .plans import labelling
+from .plans import bundle, labelling
 from .session import checkpointed
 from .sources import swc, tables
+from .streaming import ingest
 
 
 def _kinds(nodes: DataFrame) -> DataFrame:
@@ -40,25 +45,44 @@ def split(nodes: DataFrame) -> DataFrame:
     return prep.split(_kinds(nodes).withColumn("file_name", F.element_at(F.split("cell_id", "/"), -1)))
 
 
-def label(nodes: DataFrame) -> DataFrame:
+def evaluate(nodes: DataFrame) -> DataFrame:
     return labelling.evaluate(labelling.label_cells(nodes))
 
 
-VERBS = {"diagnose": diagnose, "features": cell_features, "filter": quality, "clean-soma": clean, "split": split, "evaluate": label}
+VERBS = {"diagnose": diagnose, "features": cell_features, "filter": quality, "clean-soma": clean, "split": split, "evaluate": evaluate}
+
+
+def train(spark: SparkSession, source: str, target: str, models: str | None = None) -> None:
+    """Fits all models on the files below source and saves them as the next version of the bundle target."""
+    topo = checkpointed(forest.topology(swc.read_swc(spark, source).drop("batch")))
+    bundle.save(spark, labelling.train_bundle(topo), target)
+
+
+def label_files(spark: SparkSession, source: str, target: str, models: str | None = None) -> None:
+    """Labels the files below source that target doesn't have yet."""
+    ingest.label_stream(spark, source, bundle.load(spark, models) if models else None, target).awaitTermination()
+
+
+#: Verbs that don't end in one table.
+WORKS = {"train": train, "label": label_files}
 
 
-def run(spark: SparkSession, verb: str, source: str, target: str) -> None:
-    """Reads the node files below source and writes the verb's table as CSV."""
-    tables.write_table(VERBS[verb](swc.read_swc(spark, source).drop("batch")), target)
+def run(spark: SparkSession, verb: str, source: str, target: str, models: str | None = None) -> None:
+    """Reads the node files below source and writes the verb's table as CSV, or does what the verb does."""
+    if verb in WORKS:
+        WORKS[verb](spark, source, target, models)
+    else:
+        tables.write_table(VERBS[verb](swc.read_swc(spark, source).drop("batch")), target)
 
 
 def main() -> None:
     parser = argparse.ArgumentParser(prog="neuritic", description=__doc__)
-    parser.add_argument("verb", choices=sorted(VERBS))
+    parser.add_argument("verb", choices=sorted({*VERBS, *WORKS}))
     parser.add_argument("source")
     parser.add_argument("target")
+    parser.add_argument("--models", help="a bundle that train has saved")
     args = parser.parse_args()
-    run(SparkSession.builder.appName("neuritic").getOrCreate(), args.verb, args.source, args.target)
+    run(SparkSession.builder.appName("neuritic").getOrCreate(), args.verb, args.source, args.target, args.models)
 
 
 if __name__ == "__main__":

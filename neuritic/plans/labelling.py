@@ -3,7 +3,7 @@
 Cells of a training part teach three kinds of models: the type of a cell from its features; what each primary subtree
 is (the owners) from subtree features; and the label of each branch from branch features and its subtree's owner, one
 model for each cell type. The other cells are then labelled. A cell whose type isn't sure is tried as both types and keeps the one
-under which its branches are surer. Branch labels spread to nodes, and rules refine them, with the likeliest apical
+under which its branches are surer; where there are no models, rules tell types and branches are basal. Branch labels spread to nodes, and rules refine them, with the likeliest apical
 subtree as a constraint.
 """
 
@@ -16,11 +16,14 @@ from pyspark.sql import functions as F
 
 from ..operators import features, forest, metrics, ml, prep, rules
 from ..session import checkpointed
+from .bundle import CELL_CLASSES, Bundle
 
 #: Columns of branch and subtree features that aren't measures.
 NOT_FEATURES = ("cell_id", "branch", "anchor", "primary_root", "cell_type")
 #: Beyond so many micrometres a branch is cut in training and labelling.
 CUT = 180.0
+#: Label of branches where there is no model at all.
+NO_MODEL = 3
 CELL_MEASURES = ("n_nodes", "n_root_nodes", "n_branch_points", "n_primary_subtrees", "branch_point_ratio", "mean_path_length", "std_path_length", "max_radial_distance", "mean_radius", "std_radius", "z_span", "z_asymmetry", "xy_aspect_ratio", "max_subtree_size", "subtree_size_std")
 
 
@@ -80,51 +83,85 @@ def train_branches(branches: DataFrame, names: list[str], trees: int) -> dict:
     return out
 
 
-def pick_model(models: dict, kind: str):
-    """The type's model, else any that there is."""
-    return models.get(kind) or next(iter(models.values()), None)
+def pick_model(models: dict, kind: str, defaults: dict | None = None):
+    """The type's model, else None where the type has a default label, else any that there is."""
+    if kind in models or kind in (defaults or {}):
+        return models.get(kind)
+    return next(iter(models.values()), None)
 
 
-def label_cells(nodes: DataFrame, share: float = 0.2, seed: int = 42, trees: int = 20, threshold: float = 0.65, by_subtree: bool = False, known_types: bool = False) -> DataFrame:
-    """Trains on some cells and labels the others: cell_id, cell_type (true), used_type, id, type, s2 (decoded), s23 (refined), conf.
+def train_bundle(topo: DataFrame, trees: int = 100, folds: int = 0, seed: int = 42) -> Bundle:
+    """Models of cell types, owners and branches, fitted on all cells of a topology.
 
-    Cells are split by the hash of their id. by_subtree: branches take their primary subtree's label in place of a label of
-    their own. known_types: cells are labelled as what they are; else their type is predicted, and tried both ways where
-    its probability is below the threshold.
+    folds: branches learn with owners as these are told for new cells, by models fitted on the other folds of whole cells; with
+    0 or 1 by the models that are used later, which saw the same cells.
     """
-    topo = checkpointed(forest.topology(nodes))
-    files = topo.select("cell_id", "cell_type").distinct().withColumn("file_name", F.col("cell_id").cast("string"))
-    test = prep.split(files, share, seed).select("cell_id", "is_test")
-    cells = cell_table(topo).join(test, "cell_id")
-    branches, branch_names = branch_table(topo)
-    subtrees, subtree_names = subtree_table(topo)
-    branches, subtrees = branches.join(test, "cell_id"), subtrees.join(test, "cell_id")
+    cells, (branches, branch_names), (subtrees, subtree_names) = cell_table(topo), branch_table(topo), subtree_table(topo)
+    learn = cells.withColumn("label", (F.col("cell_type") == CELL_CLASSES[1]).cast("double"))
+    cell_type = ml.train_cell_type(learn, list(CELL_MEASURES), trees=trees) if learn.select("label").distinct().count() > 1 else None
+    owner_models = train_owners(subtrees, subtree_names, trees)
+    if folds > 1:
+        of = prep.folds(cells.select("cell_id", "cell_type").withColumn("file_name", F.col("cell_id").cast("string")), folds, seed).select("cell_id", "fold")
+        dealt, parts = checkpointed(subtrees.join(of, "cell_id")), []
+        for k in range(folds):
+            got = owners_of(dealt.filter(F.col("fold") == k), train_owners(dealt.filter(F.col("fold") != k), subtree_names, trees), subtree_names)
+            parts += [] if got is None else [got]
+        known = reduce(DataFrame.unionByName, parts) if parts else None
+    else:
+        known = owners_of(subtrees, owner_models, subtree_names)
+    names = [*branch_names, *rules.OWNER_FEATURES]
+    branch_models = {} if known is None else train_branches(rules.with_owner(branches, checkpointed(known)), names, trees)
+    return Bundle({"cell": list(CELL_MEASURES), "subtree": subtree_names, "branch": names}, cell_type, owner_models, branch_models, {"purkinje": 3}, {"cut": CUT})
+
+
+def _trials(cells: DataFrame, models: list | None, threshold: float) -> DataFrame:
+    """cell_id, cell_type (tried), own_type, type_conf: each cell as the type that models or rules say, and as every type where they aren't sure."""
+    said = ml.detect_cell_type(cells, list(CELL_MEASURES), models)
+    said = said.select("cell_id", F.col("guess").alias("own_type"), F.greatest("p_pyramidal", "p_interneuron").alias("type_conf"))
+    return said.withColumn("cell_type", F.explode(F.array(*map(F.lit, rules.TYPE_ORDER)))).filter((F.col("cell_type") == F.col("own_type")) | (F.col("type_conf") < threshold))
+
+
+def label_nodes(
+    topo: DataFrame, bundle: Bundle | None = None, threshold: float = 0.65, by_subtree: bool = False, known_types: bool = False, owners: DataFrame | None = None
+) -> DataFrame:
+    """Labels all cells of a topology with a bundle's models: cell_id, cell_type (as given), used_type, id, type, s2 (decoded), s23 (refined), conf.
+
+    Without a bundle types are told by rules and branches are basal. by_subtree: branches take their primary subtree's label in
+    place of a label of their own. known_types: cells are labelled as what they are; else their type is predicted, and tried both ways
+    where its probability is below the threshold. owners: cell_id, primary_root and probability, in place of the models'.
+    """
+    bundle, topo = bundle or Bundle({}), topo.drop("pred", "conf")
     # what a cell is tried as
-    held = cells.filter("is_test")
-    learn = cells.filter("NOT is_test").withColumn("label", (F.col("cell_type") == "pyramidal").cast("double"))
-    if known_types or learn.select("label").distinct().count() < 2:
-        trials = held.select("cell_id", "cell_type", F.col("cell_type").alias("own_type"), F.lit(1.0).alias("type_conf"))
+    if known_types:
+        trials = topo.select("cell_id", "cell_type").distinct().select("cell_id", "cell_type", F.col("cell_type").alias("own_type"), F.lit(1.0).alias("type_conf"))
     else:
-        said = ml.predict_cell_type(ml.train_cell_type(learn, list(CELL_MEASURES), trees=trees), held, list(CELL_MEASURES))
-        said = said.select("cell_id", F.when(F.col("prediction") == 1, "pyramidal").otherwise("interneuron").alias("own_type"), F.greatest("p1", 1 - F.col("p1")).alias("type_conf"))
-        trials = said.withColumn("cell_type", F.explode(F.array(*map(F.lit, rules.TYPE_ORDER)))).filter((F.col("cell_type") == F.col("own_type")) | (F.col("type_conf") < threshold))
+        trials = _trials(cell_table(topo).drop("cell_type"), bundle.cell_type, threshold)
     trials = checkpointed(trials)
-    # owners, and branch models that know them
-    owner_models = train_owners(subtrees.filter("NOT is_test"), subtree_names, trees)
-    tried_subtrees = subtrees.filter("is_test").drop("cell_type").join(trials.select("cell_id", "cell_type"), "cell_id")
-    known_owners = owners_of(subtrees.filter("NOT is_test"), owner_models, subtree_names)
-    owners = checkpointed(owners_of(tried_subtrees, owner_models, subtree_names))
+    tried = trials.select("cell_id", "cell_type")
+    (branches, branch_names), owner_rows = branch_table(topo, bundle.settings.get("cut", CUT)), None
+    if owners is not None:
+        owner_rows = rules.owner_map(owners).join(tried, "cell_id")
+    elif bundle.owners:
+        subtrees, subtree_names = subtree_table(topo)
+        if subtree_names != bundle.names["subtree"]:
+            raise ValueError("the bundle's owners were fitted on other features")
+        owner_rows = owners_of(subtrees.drop("cell_type").join(tried, "cell_id"), bundle.owners, subtree_names)
+    none = topo.select("cell_id", "primary_root", *(F.lit(0.0).alias(f"prob_{k}") for k in rules.NEURITE), F.lit(3).alias("pred"), F.lit(0.5).alias("conf"), "cell_type").limit(0)
+    owner_rows = none if owner_rows is None else checkpointed(owner_rows)
     names = [*branch_names, *rules.OWNER_FEATURES]
-    branch_models = train_branches(rules.with_owner(branches.filter("NOT is_test"), known_owners), names, trees)
-    tried = branches.filter("is_test").drop("cell_type").join(trials.select("cell_id", "cell_type"), "cell_id")
-    parts = []
+    if bundle.branches and names != bundle.names["branch"]:
+        raise ValueError("the bundle's branches were fitted on other features")
+    branches, parts = branches.drop("cell_type").join(tried, "cell_id"), []
     for kind in rules.TYPE_ORDER:
-        own, of = tried.filter(F.col("cell_type") == kind), owners.filter(F.col("cell_type") == kind).drop("cell_type")
+        own, of = branches.filter(F.col("cell_type") == kind), owner_rows.filter(F.col("cell_type") == kind).drop("cell_type")
+        model = pick_model(bundle.branches, kind, bundle.defaults)
         if by_subtree:
-            parts.append(rules.subtree_mode(own, of).select("cell_id", "cell_type", "branch", "pred", "conf"))
-        elif (model := pick_model(branch_models, kind)) is not None:
-            got = ml.predict_labels(model, rules.with_owner(own, of), names).withColumn("probability", _probability())
-            parts.append(rules.decode(got).select("cell_id", "cell_type", "branch", "pred", "conf"))
+            got = rules.subtree_mode(own, of)
+        elif model is None:
+            got = own.withColumn("pred", F.lit(bundle.defaults.get(kind, NO_MODEL))).withColumn("conf", F.lit(0.5))
+        else:
+            got = rules.decode(ml.predict_labels(model, rules.with_owner(own, of), names).withColumn("probability", _probability()))
+        parts.append(got.select("cell_id", "cell_type", "branch", "pred", "conf"))
     decoded = checkpointed(reduce(DataFrame.unionByName, parts))
     # the type that stays
     sure = decoded.groupBy("cell_id", "cell_type").agg(F.avg("conf").alias("branch_conf"))
@@ -133,13 +170,26 @@ def label_cells(nodes: DataFrame, share: float = 0.2, seed: int = 42, trees: int
     decoded = decoded.join(chosen.withColumnRenamed("used_type", "cell_type"), ["cell_id", "cell_type"])
     truth = topo.select("cell_id", F.col("cell_type").alias("true_type")).distinct()
     rows = topo.drop("cell_type").join(chosen.withColumnRenamed("used_type", "cell_type"), "cell_id")
-    s2 = checkpointed(rules.strip_soma(rules.to_nodes(rows, forest.branches(topo, CUT), decoded)))
-    apical = rules.apical_owner(owners.filter("cell_type = 'pyramidal'").join(chosen.filter("used_type = 'pyramidal'"), "cell_id"))
+    s2 = checkpointed(rules.strip_soma(rules.to_nodes(rows, forest.branches(topo, bundle.settings.get("cut", CUT)), decoded)))
+    apical = rules.apical_owner(owner_rows.filter("cell_type = 'pyramidal'").join(chosen.filter("used_type = 'pyramidal'"), "cell_id"))
     final = rules.refine(s2, apical)
     out = s2.select("cell_id", F.col("cell_type").alias("used_type"), "id", "type", F.col("pred").alias("s2"), "conf").join(final.select("cell_id", "id", F.col("pred").alias("s23")), ["cell_id", "id"])
     return out.join(truth.withColumnRenamed("true_type", "cell_type"), "cell_id")
 
 
+def in_parts(topo: DataFrame, share: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """The topologies of the cells to learn from and of the test cells, split by the hash of the cell's id."""
+    files = topo.select("cell_id", "cell_type").distinct().withColumn("file_name", F.col("cell_id").cast("string"))
+    test = checkpointed(prep.split(files, share, seed).select("cell_id", "is_test"))
+    return topo.join(test.filter("NOT is_test").select("cell_id"), "cell_id"), topo.join(test.filter("is_test").select("cell_id"), "cell_id")
+
+
+def label_cells(nodes: DataFrame, share: float = 0.2, seed: int = 42, trees: int = 20, threshold: float = 0.65, by_subtree: bool = False, known_types: bool = False, folds: int = 0) -> DataFrame:
+    """Trains a bundle on some cells and labels the others; see train_bundle() and label_nodes(), and in_parts() for the split."""
+    learn, test = in_parts(checkpointed(forest.topology(nodes)), share, seed)
+    return label_nodes(checkpointed(test), train_bundle(checkpointed(learn), trees, folds, seed), threshold, by_subtree, known_types)
+
+
 def evaluate(labelled: DataFrame) -> DataFrame:
     """stage, cell_type, n and metrics, before and after refinement."""
     stages = [metrics.summary(metrics.confusion(labelled, ["cell_type"], "type", c), ["cell_type"]).withColumn("stage", F.lit(c)) for c in ("s2", "s23")]

@@ -9,6 +9,7 @@ from ..operators import features, forest, metrics, ml, prep, qc, rules, stats
 from ..sources import swc, tables
 from ..session import checkpointed
 from . import labelling
+from .bundle import Bundle
 from . import queries as own
 from .fixtures import NODES, PRED, SCORES, nodes, pred, scores
 from .queries import _D, _S, _SQL_DIAGNOSED, BELOW, TREE, _scores, query
@@ -624,12 +625,38 @@ def _(spark, sf):
 # ---------------------------------------------------------------- the labelling chain
 
 
-@query("labelled_by_subtree", "cell_id:l id:l type:l soma_kept:l", "SELECT t.cell_id, t.id, t.type, 1 AS soma_kept FROM topo t JOIN (SELECT cell_id FROM (SELECT *, count(*) OVER w AS n, bool_or(h < 0.2) OVER w AS some, row_number() OVER (PARTITION BY cell_type ORDER BY h) AS r FROM (SELECT cell_id, max(cell_type) AS cell_type, CAST('0x' || substr(md5('42:' || cell_id), 1, 8) AS BIGINT) / 4294967295.0 AS h FROM topo GROUP BY 1) a WINDOW w AS (PARTITION BY cell_type)) b WHERE h < 0.2 OR (n > 1 AND NOT some AND r = 1)) c ON c.cell_id = t.cell_id", TREE)
+#: Cells that labels are told for, and owners by a formula: subtree 2 of a cell is axon or apical, the others axon or basal.
+_TESTED = """,
+tested AS (SELECT cell_id FROM (SELECT *, count(*) OVER w AS n, bool_or(h < 0.2) OVER w AS any_, row_number() OVER (PARTITION BY cell_type ORDER BY h) AS r FROM (SELECT cell_id, max(cell_type) AS cell_type, CAST('0x' || substr(md5('42:' || cell_id), 1, 8) AS BIGINT) / 4294967295.0 AS h FROM topo GROUP BY 1) a WINDOW w AS (PARTITION BY cell_type)) b WHERE h < 0.2 OR (n > 1 AND NOT any_ AND r = 1)),
+owned AS (SELECT DISTINCT t.cell_id, cell_type, primary_root, (t.cell_id + 3 * primary_root) % 5 < 2 AS axon, 0.625 + (t.cell_id + primary_root) % 5 / 16.0 AS top FROM topo t JOIN tested USING (cell_id) WHERE primary_root IS NOT NULL),
+owner AS (SELECT cell_id, cell_type, primary_root, top AS conf, CASE WHEN axon THEN 2 WHEN primary_root = 2 AND cell_type = 'pyramidal' THEN 4 ELSE 3 END AS pred FROM owned),
+votes AS (SELECT o.cell_id, o.primary_root, row_number() OVER (PARTITION BY o.cell_id ORDER BY count(*) * max(o.conf) DESC, min(t.seq) FILTER (WHERE t.id = t.primary_root)) AS place FROM owner o JOIN topo t ON t.cell_id = o.cell_id AND t.primary_root = o.primary_root WHERE o.pred = 2 AND o.cell_type = 'pyramidal' GROUP BY 1, 2)
+"""
+
+
+def _formula_owners(t):
+    """cell_id, primary_root, probability of the rows above."""
+    n, axon = F.col("cell_id"), (F.col("cell_id") + 3 * F.col("primary_root")) % 5 < 2
+    top = 0.625 + (n + F.col("primary_root")) % 5 / 16.0
+    at = F.when(axon, 0).when(F.col("primary_root") == 2, 2).otherwise(1)
+    return t.filter("primary_root IS NOT NULL").select("cell_id", "primary_root").distinct().withColumn("probability", F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.when(k == at, top).otherwise((1 - top) / 2)))
+
+
+@query("labelled_by_subtree", "cell_id:l used_type:s id:l s2:l s23:l conf:d", """SELECT t.cell_id, t.cell_type AS used_type, t.id, CASE WHEN t.id = t.proxy THEN 1 ELSE coalesce(o.pred, 2) END AS s2,
+  CASE WHEN t.id = t.proxy THEN 1 WHEN o.pred IS NULL THEN 2 WHEN v.place > 1 THEN 3 ELSE o.pred END AS s23, coalesce(o.conf, 0.3) AS conf
+  FROM topo t JOIN tested USING (cell_id) LEFT JOIN owner o ON o.cell_id = t.cell_id AND o.primary_root = t.primary_root LEFT JOIN votes v ON v.cell_id = t.cell_id AND v.primary_root = t.primary_root""", TREE + _TESTED)
 def _(spark, sf):
-    """Every node of every cell of the test part is labelled once, and only the proxy is soma."""
-    n = nodes(spark, sf)
-    got = labelling.label_cells(n, trees=5, by_subtree=True, known_types=True)
-    return got.withColumn("soma_kept", ((F.col("id") == 1) == (F.col("s23") == 1)).cast("int"))
+    """The labels of the test cells from given owners: legal for the type, one axon a pyramidal cell, refined by all rules."""
+    _, test = labelling.in_parts(topo(spark, sf))
+    test = checkpointed(test)
+    return labelling.label_nodes(test, Bundle({}, settings={"cut": None}), by_subtree=True, known_types=True, owners=_formula_owners(test))
+
+
+@query("labelled_without_models", "cell_id:l used_type:s id:l s2:l s23:l conf:d", f"""SELECT t.cell_id, CASE WHEN pp >= pi OR pi < 0.65 THEN 'pyramidal' ELSE 'interneuron' END AS used_type, t.id, CASE WHEN t.id = t.proxy THEN 1 WHEN t.primary_root IS NULL THEN 2 ELSE 3 END AS s2,
+  CASE WHEN t.id = t.proxy THEN 1 WHEN t.primary_root IS NULL THEN 2 ELSE 3 END AS s23, CASE WHEN t.primary_root IS NULL THEN 0.3 ELSE 0.5 END AS conf FROM topo t JOIN {_GUESS} g ON g.cell_id = t.cell_id""", TREE + BELOW)
+def _(spark, sf):
+    """Without a bundle: types by rules, and branches basal."""
+    return labelling.label_nodes(topo(spark, sf), Bundle({}, settings={"cut": None}))
 
 
 @query("feature_importance", "feature:s drop:d")

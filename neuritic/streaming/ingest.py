@@ -1,10 +1,14 @@
-"""Taking in new node files as a stream: every file once, with late repeats merged by name."""
+"""Taking in new node files as a stream: every file once, with late repeats merged by name; and labelling them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import forest
+from ..plans import labelling
+from ..plans.bundle import Bundle
+from ..session import checkpointed, drop_stored
 from ..sources.swc import class_folder, file_path, parse_lines
 from ..sources.tables import upsert
 
@@ -56,3 +60,51 @@ def upsert_batches(stream: DataFrame, table: str, key: str, checkpoint: str, buc
                 path.getFileSystem(conf).delete(path, True)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def labels(spark: SparkSession, table: str) -> DataFrame | None:
+    """The labels that label_stream has written: cell_id, id, used_type, label, s2, conf; None before the first."""
+    if not _there(spark, f"{table}/files"):
+        return None
+    whole = spark.read.parquet(f"{table}/files").select("cell_id", "batch")
+    return spark.read.parquet(f"{table}/labels").join(whole, ["cell_id", "batch"], "left_semi").drop("batch")
+
+
+def label_batch(nodes: DataFrame, bundle: Bundle | None, table: str, number: int, **settings) -> int:
+    """Labels the cells of a batch that no other batch has labelled; their number. Labels are written first, and then the batch's files
+    to the list of those that are done; a batch that runs again writes the same folders again."""
+    spark = nodes.sparkSession
+    new = nodes
+    if _there(spark, f"{table}/files"):
+        done = spark.read.parquet(f"{table}/files").filter(F.col("batch") != number).select("cell_id")
+        new = nodes.join(done, "cell_id", "left_anti")
+    new = checkpointed(new)
+    cells = new.groupBy("cell_id").agg(F.count(F.lit(1)).alias("n_nodes"))
+    n = cells.count()
+    if n:
+        topo = checkpointed(forest.topology(new))
+        got = labelling.label_nodes(topo, bundle, **settings).select("cell_id", "id", "used_type", F.col("s23").alias("label"), "s2", "conf")
+        got.write.mode("overwrite").parquet(f"{table}/labels/batch={number}")
+        cells.write.mode("overwrite").parquet(f"{table}/files/batch={number}")
+        drop_stored(topo)
+    drop_stored(new)
+    return n
+
+
+def label_stream(spark: SparkSession, path: str, bundle: Bundle | None, table: str, max_files: int = 1000, **settings):
+    """Labels all files below a path that aren't labelled yet, batch by batch, and ends. Without a bundle rules label them.
+
+    A file is labelled once: the stream remembers which it has read, in the table's own folder, and files that are in the list of
+    those done are left out even if the stream starts anew. settings: see labelling.label_nodes(). Read the labels with labels().
+    """
+
+    def batch(nodes: DataFrame, number: int) -> None:
+        label_batch(nodes, bundle, table, number, **settings)
+
+    writer = stream_nodes(spark, path, max_files).writeStream.foreachBatch(batch).option("checkpointLocation", f"{table}/progress")
+    return writer.trigger(availableNow=True).start()
