@@ -9,11 +9,13 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.sql import SparkSession
 
 from ..operators import rules
+from ..operators.graph import Network
 
 FORMAT = 1
 #: Classes in the order of models' probabilities.
@@ -23,12 +25,13 @@ CELL_CLASSES, LABELS = ("interneuron", "pyramidal"), (2, 3, 4)
 @dataclass
 class Bundle:
     """cell_type: the models of ml.train_cell_type, or None. owners, branches: by cell type. names: features by kind of model
-    (cell, subtree, branch). defaults: labels of cell types that have no model of branches. settings: whatever else labelling needs."""
+    (cell, subtree, branch). graph: a network that tells basal from apical branches, or None. defaults: labels of cell types that have no model of branches. settings: whatever else labelling needs."""
 
     names: dict[str, list[str]]
     cell_type: list | None = None
     owners: dict = field(default_factory=dict)
     branches: dict = field(default_factory=dict)
+    graph: Network | None = None
     defaults: dict[str, int] = field(default_factory=dict)
     settings: dict = field(default_factory=dict)
 
@@ -42,6 +45,8 @@ class Bundle:
                 raise ValueError(f"{where} names {len(self.names[kind])} features for a {kind} model of {model.numFeatures}")
             if model.numClasses > classes:
                 raise ValueError(f"{where} has a {kind} model of {model.numClasses} classes")
+        if self.graph and (self.graph.shape.features != len(self.graph.names) or self.graph.shape.classes != 2 or len(self.graph.weights) != sum(int(np.prod(s)) for s in self.graph.shape.parts())):
+            raise ValueError(f"{where} has a graph network that doesn't fit its features or classes")
         return self
 
 
@@ -69,7 +74,7 @@ def save(spark: SparkSession, bundle: Bundle, path: str) -> int:
             m.write().overwrite().save(f"{base}/{part}/{kind}")
     said = {
         "format": FORMAT, "names": bundle.names, "cell_type": len(bundle.cell_type or []), "owners": sorted(bundle.owners), "branches": sorted(bundle.branches),
-        "cell_classes": CELL_CLASSES, "labels": LABELS, "defaults": bundle.defaults, "settings": bundle.settings,
+        "cell_classes": CELL_CLASSES, "labels": LABELS, "defaults": bundle.defaults, "settings": bundle.settings, "graph": bundle.graph.said() if bundle.graph else None,
     }
     spark.createDataFrame([(json.dumps(said),)], "value string").coalesce(1).write.mode("overwrite").text(f"{base}/description")
     return version
@@ -92,6 +97,7 @@ def load(spark: SparkSession, path: str, version: int | None = None) -> Bundle |
     if said["names"]["cell"] != list(labelling.CELL_MEASURES) or said["names"]["branch"][-len(rules.OWNER_FEATURES) :] != list(rules.OWNER_FEATURES):
         raise ValueError(f"the bundle {base} was made for other features; train it again")
     out = Bundle(said["names"], defaults=said["defaults"], settings=said["settings"])
+    out.graph = Network.of(said["graph"]) if said["graph"] else None
     out.cell_type = [PipelineModel.load(f"{base}/cell_type/{k}") for k in range(said["cell_type"])] or None
     out.owners = {k: RandomForestClassificationModel.load(f"{base}/owners/{k}") for k in said["owners"]}
     out.branches = {k: RandomForestClassificationModel.load(f"{base}/branches/{k}") for k in said["branches"]}

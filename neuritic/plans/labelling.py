@@ -3,7 +3,8 @@
 Cells of a training part teach three kinds of models: the type of a cell from its features; what each primary subtree
 is (the owners) from subtree features; and the label of each branch from branch features and its subtree's owner, one
 model for each cell type. The other cells are then labelled. A cell whose type isn't sure is tried as both types and keeps the one
-under which its branches are surer; where there are no models, rules tell types and branches are basal. Branch labels spread to nodes, and rules refine them, with the likeliest apical
+under which its branches are surer; where there are no models, rules tell types and branches are basal. A graph network, if there is one, tells basal
+from apical branches where a cell has both. Branch labels spread to nodes, and rules refine them, with the likeliest apical
 subtree as a constraint.
 """
 
@@ -14,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import features, forest, metrics, ml, prep, rules
+from ..operators import features, forest, graph, metrics, ml, prep, rules
 from ..session import checkpointed
 from .bundle import CELL_CLASSES, Bundle
 
@@ -90,8 +91,32 @@ def pick_model(models: dict, kind: str, defaults: dict | None = None):
     return next(iter(models.values()), None)
 
 
-def train_bundle(topo: DataFrame, trees: int = 100, folds: int = 0, seed: int = 42) -> Bundle:
-    """Models of cell types, owners and branches, fitted on all cells of a topology.
+def graph_rows(topo: DataFrame, cut: float | None = CUT) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Branches of pyramidal cells as vertices of a graph (cell_id, id, y: 0 basal, 1 apical, and features), edges between those that
+    touch, in both directions, and the features' names."""
+    topo = topo.filter("cell_type = 'pyramidal'")
+    branches, names = branch_table(topo, cut)
+    vertices = prep.branch_labels(branches.withColumnRenamed("gt_label", "gt")).withColumn("id", F.col("branch").cast("long"))
+    return vertices, _graph_edges(topo, cut), names
+
+
+def _graph_edges(topo: DataFrame, cut: float | None) -> DataFrame:
+    edges = forest.branch_edges(forest.branches(topo, cut))
+    return checkpointed(edges.select("cell_id", F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")))
+
+
+def by_graph(decoded: DataFrame, said: DataFrame) -> DataFrame:
+    """Decoded branches of cells that have both basal and apical ones, with these two told by a graph network; the network's
+    confidence counts where it changes a label. said: cell_id, id (the branch), probability of basal and of apical."""
+    p = F.col("probability")
+    said = said.select("cell_id", F.col("id").alias("branch"), F.when(p[1] > p[0], 4).otherwise(3).alias("gnn"), F.array_max(p).alias("_sure"))
+    out = rules.override(decoded.withColumn("_before", F.col("pred")).join(said, ["cell_id", "branch"], "left"))
+    return out.withColumn("conf", F.when(F.col("pred") != F.col("_before"), F.col("_sure")).otherwise(F.col("conf"))).select(*decoded.columns)
+
+
+def train_bundle(topo: DataFrame, trees: int = 100, folds: int = 0, seed: int = 42, graph_epochs: int = 0, hidden: int = 64) -> Bundle:
+    """Models of cell types, owners and branches, fitted on all cells of a topology; with graph_epochs also a graph network of
+    that many epochs and so many hidden units, on pyramidal cells.
 
     folds: branches learn with owners as these are told for new cells, by models fitted on the other folds of whole cells; with
     0 or 1 by the models that are used later, which saw the same cells.
@@ -111,7 +136,8 @@ def train_bundle(topo: DataFrame, trees: int = 100, folds: int = 0, seed: int =
         known = owners_of(subtrees, owner_models, subtree_names)
     names = [*branch_names, *rules.OWNER_FEATURES]
     branch_models = {} if known is None else train_branches(rules.with_owner(branches, checkpointed(known)), names, trees)
-    return Bundle({"cell": list(CELL_MEASURES), "subtree": subtree_names, "branch": names}, cell_type, owner_models, branch_models, {"purkinje": 3}, {"cut": CUT})
+    network = graph.fit(*graph_rows(topo), epochs=graph_epochs, hidden=hidden, seed=seed) if graph_epochs else None
+    return Bundle({"cell": list(CELL_MEASURES), "subtree": subtree_names, "branch": names}, cell_type, owner_models, branch_models, network, {"purkinje": 3}, {"cut": CUT})
 
 
 def _trials(cells: DataFrame, models: list | None, threshold: float) -> DataFrame:
@@ -161,7 +187,13 @@ def label_nodes(
             got = own.withColumn("pred", F.lit(bundle.defaults.get(kind, NO_MODEL))).withColumn("conf", F.lit(0.5))
         else:
             got = rules.decode(ml.predict_labels(model, rules.with_owner(own, of), names).withColumn("probability", _probability()))
-        parts.append(got.select("cell_id", "cell_type", "branch", "pred", "conf"))
+        got = got.select("cell_id", "cell_type", "branch", "pred", "conf")
+        if bundle.graph and kind == rules.TYPE_ORDER[0]:
+            if bundle.graph.names != branch_names:
+                raise ValueError("the bundle's graph network was fitted on other features")
+            edges = _graph_edges(topo, bundle.settings.get("cut", CUT)).join(own.select("cell_id").distinct(), "cell_id")
+            got = by_graph(got, graph.predict(bundle.graph, own.withColumn("id", F.col("branch").cast("long")), edges))
+        parts.append(got)
     decoded = checkpointed(reduce(DataFrame.unionByName, parts))
     # the type that stays
     sure = decoded.groupBy("cell_id", "cell_type").agg(F.avg("conf").alias("branch_conf"))

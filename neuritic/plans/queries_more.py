@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import features, forest, metrics, ml, prep, qc, rules, stats
+from ..operators import features, forest, graph, metrics, ml, prep, qc, rules, stats
 from ..sources import swc, tables
 from ..session import checkpointed
 from . import labelling
@@ -672,3 +672,13 @@ def _(spark, sf):
     s, _ = labelling.subtree_table(topo(spark, sf))
     rows = prep.folds(s.filter("cell_type = 'pyramidal'").withColumn("file_name", F.col("cell_id").cast("string")), 2).withColumn("label", (F.col("gt_label") - 2).cast("double"))
     return ml.sweep(checkpointed(rows), ["size", "max_path", "mean_radius", "mean_z_rel"], [{"trees": 3, "depth": 3}, {"trees": 5, "depth": 5}], k=2)
+
+
+@query("graph_folds", "fold:l best_epoch:l macro_f1:d basal_f1:d apical_f1:d loss_first:d loss_best:d")
+def _(spark, sf):
+    """Cross-validation of the graph network over whole pyramidal cells, all folds side by side."""
+    vertices, edges, names = labelling.graph_rows(topo(spark, sf))
+    of = prep.folds(vertices.select("cell_id", "cell_type").distinct().withColumn("file_name", F.col("cell_id").cast("string"))).select("cell_id", "fold")
+    fits = graph.cross_validate(checkpointed(vertices.join(of, "cell_id")), edges, names, epochs=20, patience=6)
+    rows = [(k, f.best_epoch, f.best_f1, *f.by_class[f.best_epoch], f.losses[0], f.losses[f.best_epoch]) for k, f in fits.items()]  # a row for each fold
+    return spark.createDataFrame(rows, "fold int, best_epoch int, macro_f1 double, basal_f1 double, apical_f1 double, loss_first double, loss_best double")

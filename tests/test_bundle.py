@@ -36,7 +36,7 @@ def trained(spark, tmp_path_factory):
     base = tmp_path_factory.mktemp("cells")
     write_cells(base / "train", 16)
     topo = checkpointed(forest.topology(swc.read_swc(spark, str(base / "train")).drop("batch")))
-    made = labelling.train_bundle(topo, trees=5)
+    made = labelling.train_bundle(topo, trees=5, graph_epochs=8, hidden=8)
     assert bundle.load(spark, str(base / "models")) is None
     assert bundle.save(spark, made, str(base / "models")) == 1
     return base, made
@@ -54,7 +54,7 @@ def test_label_a_folder_twice(spark, trained):
     want = rows(labelling.label_nodes(checkpointed(forest.topology(swc.read_swc(spark, str(new)).drop("batch"))), made), "s23")
     other = spark.newSession()
     loaded = bundle.load(other, str(base / "models"))
-    assert loaded.names == made.names and set(loaded.branches) == set(made.branches)
+    assert loaded.names == made.names and loaded.graph.names == made.graph.names and set(loaded.branches) == set(made.branches)
     for k in range(2):
         ingest.label_stream(other, str(new), loaded, table).awaitTermination()
         assert rows(ingest.labels(other, table)) == want
@@ -152,3 +152,10 @@ def test_train_verb(spark, trained, tmp_path):
     write_cells(tmp_path / "few", 4, 500)
     cli.run(spark, "train", str(tmp_path / "few"), str(tmp_path / "models"))
     assert bundle.load(spark, str(tmp_path / "models")).names == made.names
+
+
+def test_the_graph_decides_between_basal_and_apical(spark):
+    decoded = spark.createDataFrame([("a", "pyramidal", 1, 3, 0.6), ("a", "pyramidal", 2, 4, 0.6), ("a", "pyramidal", 3, 2, 0.6), ("a", "pyramidal", 4, 3, 0.6), ("b", "pyramidal", 1, 3, 0.6)], "cell_id string, cell_type string, branch long, pred int, conf double")
+    said = spark.createDataFrame([("a", 1, [0.2, 0.8]), ("a", 2, [0.1, 0.9]), ("a", 3, [0.1, 0.9]), ("b", 1, [0.1, 0.9])], "cell_id string, id long, probability array<double>")
+    got = {(r.cell_id, r.branch): (r.pred, r.conf) for r in labelling.by_graph(decoded, said).collect()}
+    assert got == {("a", 1): (4, 0.8), ("a", 2): (4, 0.6), ("a", 3): (2, 0.6), ("a", 4): (3, 0.6), ("b", 1): (3, 0.6)}
