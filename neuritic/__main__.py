@@ -52,13 +52,13 @@ def evaluate(nodes: DataFrame) -> DataFrame:
 VERBS = {"diagnose": diagnose, "features": cell_features, "filter": quality, "clean-soma": clean, "split": split, "evaluate": evaluate}
 
 
-def train(spark: SparkSession, source: str, target: str, models: str | None = None) -> None:
+def train(spark: SparkSession, source: str, target: str, models: str | None = None, trees: int = 100) -> None:
     """Fits all models on the files below source and saves them as the next version of the bundle target."""
     topo = checkpointed(forest.topology(swc.read_swc(spark, source).drop("batch")))
-    bundle.save(spark, labelling.train_bundle(topo), target)
+    bundle.save(spark, labelling.train_bundle(topo, trees), target)
 
 
-def label_files(spark: SparkSession, source: str, target: str, models: str | None = None) -> None:
+def label_files(spark: SparkSession, source: str, target: str, models: str | None = None, trees: int = 100) -> None:
     """Labels the files below source that target doesn't have yet."""
     ingest.label_stream(spark, source, bundle.load(spark, models) if models else None, target).awaitTermination()
 
@@ -67,10 +67,10 @@ def label_files(spark: SparkSession, source: str, target: str, models: str | Non
 WORKS = {"train": train, "label": label_files}
 
 
-def run(spark: SparkSession, verb: str, source: str, target: str, models: str | None = None) -> None:
+def run(spark: SparkSession, verb: str, source: str, target: str, models: str | None = None, trees: int = 100) -> None:
     """Reads the node files below source and writes the verb's table as CSV, or does what the verb does."""
     if verb in WORKS:
-        WORKS[verb](spark, source, target, models)
+        WORKS[verb](spark, source, target, models, trees)
     else:
         tables.write_table(VERBS[verb](swc.read_swc(spark, source).drop("batch")), target)
 
@@ -81,8 +81,9 @@ def main() -> None:
     parser.add_argument("source")
     parser.add_argument("target")
     parser.add_argument("--models", help="a bundle that train has saved")
+    parser.add_argument("--trees", type=int, default=100, help="trees of each forest, and rounds of boosting, that train fits")
     args = parser.parse_args()
-    run(SparkSession.builder.appName("neuritic").getOrCreate(), args.verb, args.source, args.target, args.models)
+    run(SparkSession.builder.appName("neuritic").getOrCreate(), args.verb, args.source, args.target, args.models, args.trees)
 
 
 if __name__ == "__main__":

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
-from .forest import branches, label_mode, rank_share, strahler, subtree_stats, trunk
+from .forest import branches, label_mode, rank_share, stack_order, strahler, subtree_stats, trunk
 
 CELL = ["cell_id"]
 TREE = ["cell_id", "primary_root"]
@@ -234,15 +234,17 @@ def cell_features(topo: DataFrame) -> DataFrame:
 
 
 def subtree_features(topo: DataFrame) -> DataFrame:
-    """The features of each primary subtree, by cell_id and primary_root."""
+    """The features of each primary subtree, by cell_id and primary_root. Its first leaves are those that a stack gives away first."""
+    order = stack_order(topo)
     t = with_soma(topo).filter("primary_root IS NOT NULL")
     root = t.filter("id = primary_root").select(*TREE, F.col("seq").alias("root_seq"), F.col("path").alias("root_path"), F.col("depth").alias("root_depth"), F.col("radius").alias("root_radius"), F.col("x").alias("rx"), F.col("y").alias("ry"), F.col("z").alias("rz"), F.col("radial").alias("root_radial_dist"))
     t = t.join(root, TREE)
     away = F.sqrt(F.pow(F.col("x") - F.col("rx"), 2) + F.pow(F.col("y") - F.col("ry"), 2) + F.pow(F.col("z") - F.col("rz"), 2))
     t = t.withColumn("away", away)
     leaf = F.col("n_children") == 0
-    order = Window.partitionBy(*TREE).orderBy(F.when(leaf, F.col("seq")).asc_nulls_last())
-    t = t.withColumn("leaf_no", F.when(leaf, F.row_number().over(order)))
+    first = order.join(t.filter("id = primary_root").select(*TREE, F.col("id")), ["cell_id", "id"]).select(*TREE, F.col("tip_place").alias("_first"))
+    t = t.join(order.select("cell_id", "id", "tip_place"), ["cell_id", "id"]).join(first, TREE)
+    t = t.withColumn("leaf_no", F.when(leaf, F.col("tip_place") - F.col("_first") + 1))
     g = t.groupBy(*TREE, "root_seq", "root_path", "root_radius", "root_radial_dist").agg(
         F.count(F.lit(1)).alias("size"), F.max(F.col("depth") - F.col("root_depth")).alias("depth"), F.max(F.col("path") - F.col("root_path")).alias("max_path"), F.max("away").alias("max_radial"),
         F.avg("radius").alias("mean_radius"), F.stddev_pop("radius").alias("std_radius"), F.min("radius").alias("min_radius"),

@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import uuid
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
-from . import rules
+from ..session import checkpointed, shared_dir
+from . import metrics, rules
+from .trees import Trees, train_random
+from .trees import train_boosted as train_boosted_trees
 
 
 def assemble(rows: DataFrame, features: list[str]) -> DataFrame:
@@ -24,37 +32,57 @@ def assemble(rows: DataFrame, features: list[str]) -> DataFrame:
     return rows.withColumn("features", array_to_vector(F.array(*values)))
 
 
-def train_cell_type(rows: DataFrame, features: list[str], label: str = "label", trees: int = 100):
-    """A forest and boosted trees on scaled features, for labels 0 and 1; predict_cell_type averages their probabilities."""
-    x = assemble(rows, features)
-    scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True)
-    return [Pipeline(stages=[scaler, m]).fit(x) for m in (
-        RandomForestClassifier(featuresCol="scaled", labelCol=label, numTrees=trees, minInstancesPerNode=2, seed=42),
-        GBTClassifier(featuresCol="scaled", labelCol=label, maxIter=20, maxDepth=5, seed=42),
-    )]
+def train_cell_type(rows: DataFrame, features: list[str], label: str = "label", trees: int = 100) -> list:
+    """A forest and extremely randomized trees with balanced weights, and boosted trees of as many rounds, for labels 0 and 1;
+    predict_cell_type averages their probabilities."""
+    x = checkpointed(metrics.balanced_weights(rows.withColumn("w", F.lit(1.0)), label))
+    return [train_labels(x, features, label, "balanced", trees), train_random(x, features, label, trees=trees, weight="balanced"), train_boosted_trees(x, features, label, rounds=trees, depth=8)]
+
+
+def train_owner(rows: DataFrame, features: list[str], classes: int, label: str = "label", weight: str | None = None, trees: int = 100) -> list:
+    """A forest and boosted trees of as many rounds; predict_vote averages their probabilities."""
+    return [train_labels(rows, features, label, weight, trees), train_boosted_trees(rows, features, label, classes, rounds=trees, rate=0.08, least=3, weight=weight)]
+
+
+def predict_vote(models: list, rows: DataFrame, features: list[str], classes: int) -> DataFrame:
+    """Adds probability, the mean of the models' for each class, and prediction."""
+    out = rows
+    for k, m in enumerate(models):
+        out = (m.predict(out) if isinstance(m, Trees) else predict_labels(m, out, features)).withColumnRenamed("probability", f"_p{k}").drop("prediction")
+    mean = [sum(F.coalesce(F.get(f"_p{k}", F.lit(c)), F.lit(0.0)) for k in range(len(models))) / len(models) for c in range(classes)]
+    out = out.withColumn("probability", F.array(*mean)).drop(*(f"_p{k}" for k in range(len(models))))
+    return out.withColumn("prediction", (F.array_position("probability", F.array_max("probability")) - 1).cast("double"))
 
 
 def predict_cell_type(models: list, rows: DataFrame, features: list[str]) -> DataFrame:
     """Adds p1, the mean probability of label 1, and prediction."""
-    out = assemble(rows, features)
-    for k, m in enumerate(models):
-        out = m.transform(out).withColumn(f"_p{k}", vector_to_array("probability")[1]).drop("scaled", "rawPrediction", "probability", "prediction")
-    out = out.withColumn("p1", sum(F.col(f"_p{k}") for k in range(len(models))) / len(models))
-    return out.withColumn("prediction", (F.col("p1") > 0.5).cast("int")).drop(*(f"_p{k}" for k in range(len(models))), "features")
+    out = predict_vote(models, rows, features, 2).withColumn("p1", F.col("probability")[1]).drop("probability")
+    return out.withColumn("prediction", (F.col("p1") > 0.5).cast("int"))
 
 
-def save_cell_type(models: list, path: str) -> None:
-    """Writes the models of train_cell_type below a path, in place of what is there."""
+def save_models(models: list, path: str) -> None:
+    """Writes the models of a vote below a path, in place of what is there."""
+    spark = SparkSession.active()
     for k, m in enumerate(models):
-        m.write().overwrite().save(f"{path}/{k}")
+        if isinstance(m, Trees):
+            m.save(spark, f"{path}/{k}")
+        else:
+            m.write().overwrite().save(f"{path}/{k}")
 
 
-def load_cell_type(spark: SparkSession, path: str) -> list | None:
-    """The models that save_cell_type wrote; None if there are none at this path."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/0/metadata")
-    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
-        return None
-    return [PipelineModel.load(f"{path}/{k}") for k in range(2)]
+def load_models(spark: SparkSession, path: str) -> list | None:
+    """The models that save_models wrote; None if there are none at this path."""
+    conf, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
+
+    def there(part: str) -> bool:
+        where = jvm.org.apache.hadoop.fs.Path(f"{path}/{part}")
+        return where.getFileSystem(conf).exists(where)
+
+    out: list = []
+    while there(f"{len(out)}/metadata") or there(f"{len(out)}/description"):
+        of = f"{path}/{len(out)}"
+        out.append(Trees.load(spark, of) if there(f"{len(out)}/description") else RandomForestClassificationModel.load(of))
+    return out or None
 
 
 def detect_cell_type(cells: DataFrame, features: list[str], models: list | None) -> DataFrame:
@@ -72,17 +100,35 @@ def train_perceptron(rows: DataFrame, features: list[str], classes: int, label:
     return Pipeline(stages=[scaler, MultilayerPerceptronClassifier(featuresCol="scaled", labelCol=label, layers=[len(features), *hidden, classes], maxIter=60, seed=42)]).fit(x)
 
 
-def sweep(rows: DataFrame, features: list[str], grid: list[dict], label: str = "label", k: int = 5) -> DataFrame:
-    """trees, depth, fold, accuracy for each setting of a grid of forests and each fold left out. rows: fold and label."""
-    from functools import reduce
+def setting_key(setting: dict) -> str:
+    """What names a setting, whatever the order of its parts."""
+    return hashlib.sha256(json.dumps(setting, sort_keys=True).encode()).hexdigest()[:16]
 
-    x = assemble(rows, features)
-    parts = []
-    for g in grid:
-        for fold in range(k):
-            model = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=g["trees"], maxDepth=g["depth"], seed=42).fit(x.filter(F.col("fold") != fold))
-            got = model.transform(x.filter(F.col("fold") == fold))
-            parts.append(got.agg(F.lit(g["trees"]).alias("trees"), F.lit(g["depth"]).alias("depth"), F.lit(fold).alias("fold"), F.avg((F.col("prediction") == F.col(label)).cast("double")).alias("accuracy")))
+
+def sweep(rows: DataFrame, features: list[str], grid: list[dict], label: str = "label", k: int = 5, path: str | None = None, side_by_side: int = 4, fit=None) -> DataFrame:
+    """The settings' values, fold, n, accuracy for each setting of a grid and each fold left out. rows: fold and label.
+
+    path: a folder that results are added to, each under its setting's key and fold as soon as it is there; what is there
+    already isn't computed again, so a sweep that broke off goes on where it was. fit: from rows, features, label and setting to a model for
+    predict_labels; by default a forest of so many trees and levels. side_by_side: fits that run at once.
+    """
+    spark = rows.sparkSession
+    path = path or f"{shared_dir(spark)}/sweep-{uuid.uuid4().hex}"
+    fit = fit or (lambda learn, setting: RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=setting["trees"], maxDepth=setting["depth"], seed=42).fit(assemble(learn, features)))
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/setting=*/fold=*/_SUCCESS")
+    found = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(there) or []
+    done = {f.getPath().getParent().toString().split("/setting=")[1] for f in found}
+
+    def one(job: tuple[dict, int]) -> None:
+        setting, fold = job
+        got = predict_labels(fit(rows.filter(F.col("fold") != fold), setting), rows.filter(F.col("fold") == fold), features)
+        said = got.agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("prediction") == F.col(label)).cast("double")).alias("accuracy"))
+        said.coalesce(1).write.mode("overwrite").parquet(f"{path}/setting={setting_key(setting)}/fold={fold}")
+
+    jobs = [(s, f) for s in grid for f in range(k) if f"{setting_key(s)}/fold={f}" not in done]
+    with ThreadPoolExecutor(side_by_side) as pool:
+        list(pool.map(one, jobs))
+    parts = [spark.read.schema("n long, accuracy double").parquet(f"{path}/setting={setting_key(s)}/fold={f}").select(*(F.lit(v).alias(n) for n, v in s.items()), F.lit(f).alias("fold"), "n", "accuracy") for s in grid for f in range(k)]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -123,8 +169,6 @@ def importance(model, rows: DataFrame, features: list[str], label: str = "label"
 
     Rows exchange values along a hash order within salted buckets, so no global sort is needed.
     """
-    from functools import reduce
-
     # every row stands once as it is and once for each feature and repeat with that feature's value of another row: all are
     # scored in one pass. The other row is the next one along a hash order of row and repeat.
     base = checkpointed(rows.select(*(F.col(f).cast("double").alias(f) for f in features), F.col(label).alias("_y"), F.monotonically_increasing_id().alias("_n")))
@@ -180,8 +224,6 @@ def calibrated(rows: DataFrame, features: list[str], classes: int, label: str =
 
     Returns (forest, fits); predict_calibrated applies both. rows: fold and label.
     """
-    from functools import reduce
-
     from pyspark.ml.regression import IsotonicRegression
 
     out = [predict_labels(train_labels(rows.filter(F.col("fold") != i), features, label, trees=trees), rows.filter(F.col("fold") == i), features).select(label, "probability") for i in range(k)]

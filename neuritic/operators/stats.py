@@ -18,21 +18,38 @@ def method_pairs(scores: DataFrame, value: str = "f1") -> DataFrame:
 def wilcoxon(pairs: DataFrame) -> DataFrame:
     """a, b: pairs, wins, losses, ties, mean and median difference, rank sums w_plus and w_minus, z, p and p_bonferroni.
 
-    Zero differences take no part in the ranks, equal ones share theirs; p is that of the normal approximation with
-    the correction for ties, 1 if all differences are zero. Equal sizes are counted before they are ranked.
+    Zero differences take no part in the ranks, equal ones share theirs. p is exact for up to EXACT pairs without zeros or equal sizes, beyond that
+    that of the normal approximation with the correction for ties; 1 if all differences are zero. Equal sizes are counted
+    before they are ranked.
     """
     base = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_pairs"), F.count_if(F.col("d") > 0).alias("wins"), F.count_if(F.col("d") < 0).alias("losses"), F.count_if(F.col("d") == 0).alias("ties"), F.avg("d").alias("mean_diff"), F.percentile("d", 0.5).alias("median_diff"))
     sizes = pairs.filter("d != 0").groupBy("a", "b", F.abs("d").alias("s")).agg(F.count(F.lit(1)).alias("k"), F.count_if(F.col("d") > 0).alias("up"))
     w = Window.partitionBy("a", "b").orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
     ranked = sizes.withColumn("rank", F.sum("k").over(w) - (F.col("k") - 1) / 2)
-    sums = ranked.groupBy("a", "b").agg(F.sum("k").alias("n"), F.sum(F.col("rank") * F.col("up")).alias("w_plus"), F.sum(F.col("rank") * (F.col("k") - F.col("up"))).alias("w_minus"), F.sum(F.col("k") * F.col("k") * F.col("k") - F.col("k")).alias("t"))
+    sums = ranked.groupBy("a", "b").agg(F.sum("k").alias("n"), F.sum(F.col("rank") * F.col("up")).alias("w_plus"), F.sum(F.col("rank") * (F.col("k") - F.col("up"))).alias("w_minus"), F.sum(F.col("k") * F.col("k") * F.col("k") - F.col("k")).alias("t"), F.max("k").alias("most"))
     n = F.col("n")
     spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("t") / 48)
     sums = sums.withColumn("z", F.when(spread > 0, (F.least("w_plus", "w_minus") - n * (n + 1) / 4) / spread).otherwise(0.0))
 
-    out = base.join(sums.select("a", "b", "w_plus", "w_minus", "z"), ["a", "b"], "left").na.fill(0.0, ["w_plus", "w_minus", "z"])
+    out = base.join(sums.select("a", "b", "w_plus", "w_minus", "z", "n", "most"), ["a", "b"], "left").na.fill(0.0, ["w_plus", "w_minus", "z"])
     m = F.count(F.lit(1)).over(Window.partitionBy())  # a row for each pair of methods
-    return out.withColumn("p_value", two_sided(F.col("z"))).withColumn("p_bonferroni", F.least(F.lit(1.0), F.col("p_value") * m))
+    exact = (F.col("ties") == 0) & (F.col("most") == 1) & (F.col("n") <= EXACT)
+    p = F.when(exact, signed_rank(F.when(exact, F.col("n")).otherwise(1).cast("int"), F.least("w_plus", "w_minus"))).otherwise(two_sided(F.col("z")))
+    return out.withColumn("p_value", p).drop("n", "most").withColumn("p_bonferroni", F.least(F.lit(1.0), F.col("p_value") * m))
+
+
+#: Pairs up to which p values of signed ranks are exact.
+EXACT = 50
+
+
+def signed_rank(n: Column, w: Column) -> Column:
+    """Probability that the smaller of two sums of the signed ranks 1 to n is at most w: twice the share of all sets of ranks
+    with a sum up to w. Sets are counted by their sum, a rank at a time; up to 2^50 of them, so counts are exact."""
+    top = (n * (n + 1) / 2).cast("int")
+    none = F.transform(F.sequence(F.lit(0), top), lambda s: F.when(s == 0, 1.0).otherwise(0.0))
+    counts = F.aggregate(F.sequence(F.lit(1), n), none, lambda c, r: F.transform(c, lambda v, s: v + F.when(s >= r, F.get(c, s - r)).otherwise(0.0)))
+    up_to = F.aggregate(F.slice(counts, 1, F.floor(w).cast("int") + 1), F.lit(0.0), lambda a, v: a + v)
+    return F.least(F.lit(1.0), up_to * 2 / F.pow(F.lit(2.0), n))
 
 
 def two_sided(z: Column, terms: int = 60) -> Column:

@@ -10,11 +10,9 @@ import json
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.ml import PipelineModel
-from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.sql import SparkSession
 
-from ..operators import rules
+from ..operators import ml, rules
 from ..operators.graph import Network
 
 FORMAT = 1
@@ -24,7 +22,7 @@ CELL_CLASSES, LABELS = ("interneuron", "pyramidal"), (2, 3, 4)
 
 @dataclass
 class Bundle:
-    """cell_type: the models of ml.train_cell_type, or None. owners, branches: by cell type. names: features by kind of model
+    """cell_type: the models of ml.train_cell_type, or None. owners (votes), branches: by cell type. names: features by kind of model
     (cell, subtree, branch). graph: a network that tells basal from apical branches, or None. defaults: labels of cell types that have no model of branches. settings: whatever else labelling needs."""
 
     names: dict[str, list[str]]
@@ -38,8 +36,8 @@ class Bundle:
     def check(self, path: str = "") -> Bundle:
         """Itself, if every model has as many features as are named for it and no more classes than there are."""
         where = f"the bundle {path}".rstrip()
-        found = [("cell", m.stages[-1], len(CELL_CLASSES)) for m in self.cell_type or []]
-        found += [("subtree", m, len(LABELS)) for m in self.owners.values()] + [("branch", m, len(LABELS)) for m in self.branches.values()]
+        found = [("cell", m, len(CELL_CLASSES)) for m in self.cell_type or []]
+        found += [("subtree", m, len(LABELS)) for vote in self.owners.values() for m in vote] + [("branch", m, len(LABELS)) for m in self.branches.values()]
         for kind, model, classes in found:
             if model.numFeatures != len(self.names[kind]):
                 raise ValueError(f"{where} names {len(self.names[kind])} features for a {kind} model of {model.numFeatures}")
@@ -67,11 +65,11 @@ def save(spark: SparkSession, bundle: Bundle, path: str) -> int:
     bundle.check()
     version = max(versions(spark, path), default=0) + 1
     base = f"{path}/v={version}"
-    for k, m in enumerate(bundle.cell_type or []):
-        m.write().overwrite().save(f"{base}/cell_type/{k}")
-    for part in ("owners", "branches"):
-        for kind, m in getattr(bundle, part).items():
-            m.write().overwrite().save(f"{base}/{part}/{kind}")
+    ml.save_models(bundle.cell_type or [], f"{base}/cell_type")
+    for kind, vote in bundle.owners.items():
+        ml.save_models(vote, f"{base}/owners/{kind}")
+    for kind, m in bundle.branches.items():
+        ml.save_models([m], f"{base}/branches/{kind}")
     said = {
         "format": FORMAT, "names": bundle.names, "cell_type": len(bundle.cell_type or []), "owners": sorted(bundle.owners), "branches": sorted(bundle.branches),
         "cell_classes": CELL_CLASSES, "labels": LABELS, "defaults": bundle.defaults, "settings": bundle.settings, "graph": bundle.graph.said() if bundle.graph else None,
@@ -98,7 +96,7 @@ def load(spark: SparkSession, path: str, version: int | None = None) -> Bundle |
         raise ValueError(f"the bundle {base} was made for other features; train it again")
     out = Bundle(said["names"], defaults=said["defaults"], settings=said["settings"])
     out.graph = Network.of(said["graph"]) if said["graph"] else None
-    out.cell_type = [PipelineModel.load(f"{base}/cell_type/{k}") for k in range(said["cell_type"])] or None
-    out.owners = {k: RandomForestClassificationModel.load(f"{base}/owners/{k}") for k in said["owners"]}
-    out.branches = {k: RandomForestClassificationModel.load(f"{base}/branches/{k}") for k in said["branches"]}
+    out.cell_type = ml.load_models(spark, f"{base}/cell_type")
+    out.owners = {k: ml.load_models(spark, f"{base}/owners/{k}") for k in said["owners"]}
+    out.branches = {k: ml.load_models(spark, f"{base}/branches/{k}")[0] for k in said["branches"]}
     return out.check(base)

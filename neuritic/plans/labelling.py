@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..operators import features, forest, graph, metrics, ml, prep, rules
 from ..session import checkpointed
-from .bundle import CELL_CLASSES, Bundle
+from .bundle import CELL_CLASSES, LABELS, Bundle
 
 #: Columns of branch and subtree features that aren't measures.
 NOT_FEATURES = ("cell_id", "branch", "anchor", "primary_root", "cell_type")
@@ -58,19 +58,21 @@ def _probability() -> Column:
 
 
 def train_owners(subtrees: DataFrame, names: list[str], trees: int) -> dict:
-    """A model of owners for each cell type with training rows, with balanced weights."""
+    """A vote of owners for each cell type that has subtrees of two labels, with weights balanced over nodes."""
     out = {}
     for kind in rules.TYPE_ORDER:
         own = subtrees.filter((F.col("cell_type") == kind) & F.array_contains(rules.legal(F.col("cell_type")), F.col("gt_label")))
-        if not own.isEmpty():
-            w = metrics.balanced_weights(own.withColumn("label", (F.col("gt_label") - 2).cast("double")).withColumn("w", F.lit(1.0)), "label")
-            out[kind] = ml.train_labels(w, names, weight="balanced", trees=trees)
+        labels = [r[0] for r in own.select("gt_label").distinct().collect()]  # three at most
+        if len(labels) > 1:
+            of = F.aggregate(F.map_values("gt_label_counts"), F.lit(0.0), lambda a, n: a + n)
+            w = metrics.balanced_weights(own.withColumn("label", (F.col("gt_label") - 2).cast("double")).withColumn("w", of), "label")
+            out[kind] = ml.train_owner(checkpointed(w), names, max(labels) - 1, weight="balanced", trees=trees)
     return out
 
 
 def owners_of(subtrees: DataFrame, models: dict, names: list[str]) -> DataFrame | None:
-    """owner_map of the subtrees of cells tried as a type (cell_type), by that type's model."""
-    parts = [rules.owner_map(ml.predict_labels(m, subtrees.filter(F.col("cell_type") == kind), names).withColumn("probability", _probability())).withColumn("cell_type", F.lit(kind)) for kind, m in models.items()]
+    """owner_map of the subtrees of cells tried as a type (cell_type), by that type's vote."""
+    parts = [rules.owner_map(ml.predict_vote(m, subtrees.filter(F.col("cell_type") == kind), names, len(LABELS))).withColumn("cell_type", F.lit(kind)) for kind, m in models.items()]
     return reduce(DataFrame.unionByName, parts) if parts else None
 
 

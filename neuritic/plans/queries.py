@@ -385,11 +385,31 @@ def _(spark, sf):
     return stats.method_pairs(_scores(spark, sf)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.sum("d").alias("d"))
 
 
-@query("wilcoxon_rank_sums", "a:s b:s n_pairs:l wins:l losses:l ties:l w_plus:d w_minus:d", f"SELECT p.a, p.b, n_pairs, wins, losses, ties, w_plus, w_minus FROM (SELECT a, b, count(*) AS n_pairs, count(*) FILTER (WHERE d > 0) AS wins, count(*) FILTER (WHERE d < 0) AS losses, count(*) FILTER (WHERE d = 0) AS ties FROM {_D} q GROUP BY 1, 2) p JOIN (SELECT a, b, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS w_plus, sum(CASE WHEN d < 0 THEN r ELSE 0 END) AS w_minus FROM (SELECT a, b, d, rank() OVER (PARTITION BY a, b ORDER BY abs(d)) + (count(*) OVER (PARTITION BY a, b, abs(d)) - 1) / 2.0 AS r FROM {_D} q WHERE d <> 0) s GROUP BY 1, 2) w ON w.a = p.a AND w.b = p.b")
+_RANKED = f"(SELECT a, b, d, rank() OVER (PARTITION BY a, b ORDER BY abs(d)) + (count(*) OVER (PARTITION BY a, b, abs(d)) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY a, b, abs(d)) AS k FROM {_D} q WHERE d <> 0)"
+#: Probability beyond z of the normal distribution on both sides, by Simpson's rule.
+_BEYOND = "greatest(0.0, 1 - 2 * abs(z) / 6000.0 / 3 / sqrt(2 * pi()) * list_sum(list_transform(range(2001), lambda i: (CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * 3 * exp(-pow(i * abs(z) / 2000.0, 2) / 2))))"
+
+
+@query("wilcoxon_rank_sums", "a:s b:s n_pairs:l wins:l losses:l ties:l w_plus:d w_minus:d z:d p_value:d p_bonferroni:d", f"SELECT *, least(1.0, p_value * count(*) OVER ()) AS p_bonferroni FROM (SELECT *, {_BEYOND} AS p_value FROM (SELECT p.a, p.b, n_pairs, wins, losses, ties, w_plus, w_minus, (least(w_plus, w_minus) - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - t / 48.0) AS z FROM (SELECT a, b, count(*) AS n_pairs, count(*) FILTER (WHERE d > 0) AS wins, count(*) FILTER (WHERE d < 0) AS losses, count(*) FILTER (WHERE d = 0) AS ties FROM {_D} q GROUP BY 1, 2) p JOIN (SELECT a, b, count(*) AS n, sum(k * k - 1) AS t, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS w_plus, sum(CASE WHEN d < 0 THEN r ELSE 0 END) AS w_minus FROM {_RANKED} s GROUP BY 1, 2) w ON w.a = p.a AND w.b = p.b) x) y")
 def _(spark, sf):
     return stats.wilcoxon(stats.method_pairs(_scores(spark, sf)))
 
 
+#: Pairs of methods in groups of about 30 files, with differences that are all of their own size.
+_FEW = f"(SELECT concat(x.method, y.method, CAST(CAST(k.c_custkey AS BIGINT) // 37 AS VARCHAR)) AS a, x.f1_milli - y.f1_milli + (k.c_custkey + 1) / 100003.0 AS d FROM ({SCORES}) x JOIN ({SCORES}) y ON x.file_name = y.file_name AND x.method < y.method JOIN customer k ON CAST(k.c_custkey AS VARCHAR) = regexp_extract(x.file_name, '__([0-9]+)', 1))"
+_SETS = """
+sets(r, c) AS (SELECT 0, list_transform(range(1276), lambda i: CAST(CASE WHEN i = 0 THEN 1 ELSE 0 END AS DOUBLE)) UNION ALL
+  SELECT r + 1, list_transform(range(1276), lambda i: c[i + 1] + CASE WHEN i > r THEN c[i - r] ELSE CAST(0 AS DOUBLE) END) FROM sets WHERE r < 50)
+"""
+
+
+@query("signed_rank_exact", "a:s n_pairs:l w_plus:d w_minus:d p_value:d", f"SELECT a, n AS n_pairs, w_plus, w_minus, least(1.0, 2 * list_sum(c[1:CAST(least(w_plus, w_minus) AS INT) + 1]) / pow(2.0, n)) AS p_value FROM (SELECT a, count(*) AS n, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS w_plus, sum(CASE WHEN d < 0 THEN r ELSE 0 END) AS w_minus FROM (SELECT a, d, row_number() OVER (PARTITION BY a ORDER BY abs(d)) AS r FROM {_FEW} f) g GROUP BY 1) w JOIN sets ON r = n", _SETS)
+def _(spark, sf):
+    pairs = stats.method_pairs(_scores(spark, sf)).withColumn("k", F.regexp_extract("file_name", "__([0-9]+)", 1).cast("long"))
+    pairs = pairs.select(F.concat("a", "b", F.expr("k div 37").cast("string")).alias("a"), F.lit("x").alias("b"), (F.col("d") + (F.col("k") + 1) / 100003.0).alias("d"))
+    return stats.wilcoxon(pairs)
+
+
 @query("leaderboard", "source:s mean:d folds:l rank:l", f"SELECT source, mean, folds, row_number() OVER (ORDER BY mean DESC, source) AS rank FROM (SELECT source, avg(f1_milli) AS mean, count(*) AS folds FROM {_S} q GROUP BY 1) r")
 def _(spark, sf):
     return stats.leaderboard(_scores(spark, sf), ["source"], "f1")
@@ -513,11 +533,11 @@ def _(spark, sf):
 
 @query("cell_type_model", "cell_id:l prediction:l p1:d")
 def _(spark, sf):
-    t = topo(spark, sf)
-    c = features.cell_counts(t).join(features.cell_paths(t), "cell_id").join(features.cell_extent(t), "cell_id").join(t.select("cell_id", "cell_type").distinct(), "cell_id")
-    c = checkpointed(c.withColumn("label", (F.col("cell_type") == "pyramidal").cast("double")))
-    names = ["n_nodes", "n_branch_points", "mean_path_length", "std_path_length", "max_radial_distance", "z_span", "z_asymmetry"]
-    return ml.predict_cell_type(ml.train_cell_type(c, names, trees=20), c, names)
+    """The types of the test cells, told by a vote of three that learned from the others."""
+    learn, test = (checkpointed(labelling.cell_table(x)) for x in labelling.in_parts(topo(spark, sf)))
+    names = list(labelling.CELL_MEASURES)
+    models = ml.train_cell_type(learn.withColumn("label", (F.col("cell_type") == "pyramidal").cast("double")), names, trees=20)
+    return ml.predict_cell_type(models, test, names)
 
 
 @query("scaler_stats", "feature:s mean:d std:d", f"SELECT 'radius' AS feature, avg(radius) AS mean, stddev_pop(radius) AS std FROM ({NODES}) n UNION ALL SELECT 'x', avg(x), stddev_pop(x) FROM ({NODES}) n")
@@ -536,4 +556,4 @@ def _(spark, sf):
 
 @query("label_cells", "stage:s cell_type:s n:l accuracy:d")
 def _(spark, sf):
-    return labelling.evaluate(labelling.label_cells(nodes(spark, sf), trees=5))
+    return labelling.evaluate(labelling.label_cells(nodes(spark, sf), trees=10))

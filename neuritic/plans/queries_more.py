@@ -659,19 +659,41 @@ def _(spark, sf):
     return labelling.label_nodes(topo(spark, sf), Bundle({}, settings={"cut": None}))
 
 
-@query("feature_importance", "feature:s drop:d")
+def _owner_rows(spark, sf):
+    """Primary subtrees of all cells with features, label and fold of their cell, and the features' names."""
+    s, names = labelling.subtree_table(topo(spark, sf))
+    of = prep.folds(s.select("cell_id", "cell_type").distinct().withColumn("file_name", F.col("cell_id").cast("string"))).select("cell_id", "fold")
+    return checkpointed(s.join(of, "cell_id").withColumn("label", (F.col("gt_label") - 2).cast("double"))), names
+
+
+@query("feature_importance", "feature:s drop:d std:d")
+def _(spark, sf):
+    rows, names = _owner_rows(spark, sf)
+    return ml.importance(ml.train_labels(rows.filter("fold > 0"), names, trees=50), rows.filter("fold = 0"), names, repeats=10)
+
+
+@query("settings_sweep", "trees:l depth:l fold:l n:l accuracy:d")
+def _(spark, sf):
+    rows, names = _owner_rows(spark, sf)
+    return ml.sweep(rows, names, [{"trees": t, "depth": d} for t in (5, 10, 20) for d in (3, 5, 8)], k=5)
+
+
+_STACK = """,
+stk AS (SELECT cell_id, id, id AS top, CAST([] AS BIGINT[]) AS way FROM topo WHERE is_root
+  UNION ALL SELECT t.cell_id, t.id, s.top, list_append(s.way, -t.seq) FROM stk s JOIN topo t ON t.cell_id = s.cell_id AND t.parent = s.id AND NOT t.is_root),
+placed AS (SELECT s.cell_id, s.id, row_number() OVER w - 1 AS place, coalesce(sum(CASE WHEN t.n_children = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY s.cell_id, s.top ORDER BY way ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS tip_place
+  FROM stk s JOIN topo t ON t.cell_id = s.cell_id AND t.id = s.id WINDOW w AS (PARTITION BY s.cell_id, s.top ORDER BY way))
+"""
+
+
+@query("stack_order", "cell_id:l id:l place:l tip_place:l", "SELECT * FROM placed", TREE + _STACK)
 def _(spark, sf):
-    s, _ = labelling.subtree_table(topo(spark, sf))
-    rows = s.filter("cell_type = 'pyramidal'").withColumn("label", (F.col("gt_label") - 2).cast("double"))
-    names = ["size", "max_path", "mean_radius", "mean_z_rel"]
-    return ml.importance(ml.train_labels(rows, names, trees=5), rows, names, repeats=1)
+    return forest.stack_order(topo(spark, sf))
 
 
-@query("settings_sweep", "trees:l depth:l fold:l")
+@query("subtree_taper", "cell_id:l primary_root:l taper:d", "SELECT r.cell_id, r.id AS primary_root, coalesce(l.mean / r.radius, 1.0) AS taper FROM topo r LEFT JOIN (SELECT cell_id, primary_root, avg(radius) AS mean FROM (SELECT t.cell_id, t.primary_root, t.radius, row_number() OVER (PARTITION BY t.cell_id, t.primary_root ORDER BY p.place) AS n FROM topo t JOIN placed p ON p.cell_id = t.cell_id AND p.id = t.id WHERE t.n_children = 0 AND t.primary_root IS NOT NULL) q WHERE n <= 3 GROUP BY 1, 2) l ON l.cell_id = r.cell_id AND l.primary_root = r.id WHERE r.id = r.primary_root", TREE + _STACK)
 def _(spark, sf):
-    s, _ = labelling.subtree_table(topo(spark, sf))
-    rows = prep.folds(s.filter("cell_type = 'pyramidal'").withColumn("file_name", F.col("cell_id").cast("string")), 2).withColumn("label", (F.col("gt_label") - 2).cast("double"))
-    return ml.sweep(checkpointed(rows), ["size", "max_path", "mean_radius", "mean_z_rel"], [{"trees": 3, "depth": 3}, {"trees": 5, "depth": 5}], k=2)
+    return features.subtree_features(topo(spark, sf))
 
 
 @query("graph_folds", "fold:l best_epoch:l macro_f1:d basal_f1:d apical_f1:d loss_first:d loss_best:d")

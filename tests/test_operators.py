@@ -244,9 +244,9 @@ def test_models(spark):
 
 def test_saved_models_and_the_way_without(spark, tmp_path):
     rows = spark.createDataFrame([(f"c{k}", float(k % 10), float(k % 10 > 4), k // 10 % 2) for k in range(100)], "cell_id string, a double, label double, fold int")
-    assert ml.load_cell_type(spark, str(tmp_path / "none")) is None
-    ml.save_cell_type(ml.train_cell_type(rows, ["a"], trees=5), str(tmp_path / "model"))
-    got = ml.detect_cell_type(rows, ["a"], ml.load_cell_type(spark, str(tmp_path / "model")))
+    assert ml.load_models(spark, str(tmp_path / "none")) is None
+    ml.save_models(ml.train_cell_type(rows, ["a"], trees=5), str(tmp_path / "model"))
+    got = ml.detect_cell_type(rows, ["a"], ml.load_models(spark, str(tmp_path / "model")))
     assert got.filter("(guess = 'pyramidal') != (label = 1)").count() == 0
     cells = spark.createDataFrame([("a", 4, 0.3, 300.0, 0.1, 6000, 2000, 300.0)], "cell_id string, n_primary_subtrees int, z_asymmetry double, z_span double, branch_point_ratio double, n_nodes int, max_subtree_size int, subtree_size_std double")
     assert ml.detect_cell_type(cells, ["a"], None).first()["guess"] == "pyramidal"
