@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .operators import features, forest, prep, qc
 from .plans import bundle, labelling
-from .session import checkpointed
+from .session import checkpointed, temporary
 from .sources import swc, tables
 from .streaming import ingest
 
@@ -54,8 +54,9 @@ VERBS = {"diagnose": diagnose, "features": cell_features, "filter": quality, "cl
 
 def train(spark: SparkSession, source: str, target: str, models: str | None = None, trees: int = 100) -> None:
     """Fits all models on the files below source and saves them as the next version of the bundle target."""
-    topo = checkpointed(forest.topology(swc.read_swc(spark, source).drop("batch")))
-    bundle.save(spark, labelling.train_bundle(topo, trees), target)
+    with temporary(spark):
+        topo = checkpointed(forest.topology(swc.read_swc(spark, source).drop("batch")))
+        bundle.save(spark, labelling.train_bundle(topo, trees), target)
 
 
 def label_files(spark: SparkSession, source: str, target: str, models: str | None = None, trees: int = 100) -> None:

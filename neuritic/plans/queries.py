@@ -62,11 +62,13 @@ def query(name: str, spec: str, sql: str | None = None, with_: str = "") -> Call
 #: Whether queries of one session share the topology of a table, as a user would who asks several things of the same
 #: cells. bench.py turns it off, so that every time there includes the query's own topology.
 SHARE = True
-_MADE: dict[tuple[str, str], DataFrame] = {}
+_MADE: dict[tuple, DataFrame] = {}
 
 
 def topo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = spark.sparkContext.applicationId, sf_dir
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/events.parquet")
+    status = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where)
+    key = spark.sparkContext.applicationId, sf_dir, status.getModificationTime(), status.getLen()  # a table that is written again is read again
     if not SHARE or key not in _MADE or not is_there(_MADE[key]):
         _MADE[key] = checkpointed(forest.topology(pred(spark, sf_dir)))
     return _MADE[key]

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
@@ -20,6 +23,23 @@ def shared_dir(spark: SparkSession) -> str:
     return "/tmp/checkpoints/neuritic"
 
 
+_SCOPE: ContextVar[list[str] | None] = ContextVar("scope", default=None)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """What checkpointed() writes inside is deleted at the end; results must have been written elsewhere by then."""
+    made: list[str] = []
+    before = _SCOPE.set(made)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(before)
+        for folder in made:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def checkpointed(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
     """The rows as a table written to the shared folder, so that their lineage ends there.
 
@@ -27,6 +47,8 @@ def checkpointed(df: DataFrame, instead_of: DataFrame | None = None) -> DataFram
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    if (made := _SCOPE.get()) is not None:
+        made.append(path)
     df.write.parquet(path)
     if instead_of is not None:
         drop_stored(instead_of)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import forest
 from ..plans import labelling
 from ..plans.bundle import Bundle
-from ..session import checkpointed, drop_stored
+from ..session import checkpointed, temporary
 from ..sources.swc import class_folder, file_path, parse_lines
 from ..sources.tables import upsert
 
@@ -83,16 +83,15 @@ def label_batch(nodes: DataFrame, bundle: Bundle | None, table: str, number: int
     if _there(spark, f"{table}/files"):
         done = spark.read.parquet(f"{table}/files").filter(F.col("batch") != number).select("cell_id")
         new = nodes.join(done, "cell_id", "left_anti")
-    new = checkpointed(new)
-    cells = new.groupBy("cell_id").agg(F.count(F.lit(1)).alias("n_nodes"))
-    n = cells.count()
-    if n:
-        topo = checkpointed(forest.topology(new))
-        got = labelling.label_nodes(topo, bundle, **settings).select("cell_id", "id", "used_type", F.col("s23").alias("label"), "s2", "conf")
-        got.write.mode("overwrite").parquet(f"{table}/labels/batch={number}")
-        cells.write.mode("overwrite").parquet(f"{table}/files/batch={number}")
-        drop_stored(topo)
-    drop_stored(new)
+    with temporary(spark):
+        new = checkpointed(new)
+        cells = new.groupBy("cell_id").agg(F.count(F.lit(1)).alias("n_nodes"))
+        n = cells.count()
+        if n:
+            got = labelling.label_nodes(checkpointed(forest.topology(new)), bundle, **settings)
+            got = got.select("cell_id", "id", "used_type", F.col("s23").alias("label"), "s2", "conf")
+            got.write.mode("overwrite").parquet(f"{table}/labels/batch={number}")
+            cells.write.mode("overwrite").parquet(f"{table}/files/batch={number}")
     return n
 
 
