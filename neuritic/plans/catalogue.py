@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from . import queries, queries_more  # noqa: F401  (registers more)
+from . import queries, queries_more, queries_runs  # noqa: F401  (the others register more)
 
 QUERIES, ORACLE = queries.QUERIES, queries.ORACLE
