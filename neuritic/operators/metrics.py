@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import order
+
 LABELS = (1, 2, 3, 4)
 
 
@@ -56,9 +58,8 @@ def file_scores(rows: DataFrame, keys: list[str], least_neurite: int = 50) -> Da
 
 def score_summary(scores: DataFrame, keys: list[str], value: str = "f1") -> DataFrame:
     """n, mean, median, 10th and 25th percentile (between neighbours, linearly), least."""
-    p = F.percentile(value, F.array(F.lit(0.1), F.lit(0.25), F.lit(0.5)))
-    got = scores.groupBy(*keys).agg(F.count(value).alias("n_files"), F.avg(value).alias("mean"), p.alias("p"), F.min(value).alias("least"))
-    return got.select(*keys, "n_files", "mean", F.col("p")[2].alias("median"), F.col("p")[0].alias("p10"), F.col("p")[1].alias("p25"), "least")
+    got = order.quantiles(scores, keys, value, [0.1, 0.25, 0.5])
+    return got.select(*keys, F.col("n").alias("n_files"), "mean", F.col("q")[2].alias("median"), F.col("q")[0].alias("p10"), F.col("q")[1].alias("p25"), F.col("low").alias("least"))
 
 
 def worst(scores: DataFrame, keys: list[str], n: int = 5, value: str = "f1", size: str | None = "n_nodes") -> DataFrame:
@@ -83,21 +84,11 @@ def examples(rows: DataFrame, keys: list[str], name: str = "file_name", n: int =
 def nearest_rank(scores: DataFrame, keys: list[str], value: str = "f1", ranks: tuple = (10, 25, 75, 90)) -> DataFrame:
     """Percentiles that are values of the data: that at place round(p (n - 1)), halves to even; the median at place n // 2.
 
-    Values are ranked in windows after equal ones are counted, so a group's values aren't gathered in one array.
+    Values are found by counting between narrowing bounds (see order), so a group's values are neither sorted nor gathered in one task.
     """
-    from pyspark.sql import Window
-
-    counts = scores.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("k"))
-    w = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    placed = counts.withColumn("hi", F.sum("k").over(w) - 1).withColumn("lo", F.col("hi") - F.col("k") + 1).withColumn("n", F.sum("k").over(Window.partitionBy(*keys)))
-
-    def at(place: Column) -> Column:
-        return F.max(F.when((F.col("lo") <= place) & (place <= F.col("hi")), F.col(value)))
-
-    return placed.groupBy(*keys).agg(
-        F.max("n").alias("n"), (F.sum(F.col(value) * F.col("k")) / F.sum("k")).alias("mean"), at(F.floor(F.col("n") / 2)).alias("median"),
-        *(at(F.bround((F.col("n") - 1) * (p / 100))).alias(f"p{p}") for p in ranks), F.min(value).alias("least"), F.max(value).alias("most"),
-    )
+    places = [F.floor(F.col("n") / 2), *(F.bround((F.col("n") - 1) * (p / 100)) for p in ranks)]
+    got, v = order.at_places(scores, keys, value, places), F.col("values")
+    return got.select(*keys, "n", "mean", v[0].alias("median"), *(v[k].alias(f"p{p}") for k, p in enumerate(ranks, 1)), F.col("low").alias("least"), F.col("high").alias("most"))
 
 
 def breakdown(scores: DataFrame, value: str = "f1") -> DataFrame:
@@ -220,8 +211,9 @@ def with_errors(files: DataFrame, done: DataFrame) -> DataFrame:
 def medians_and_scale(rows: DataFrame, features: list[str], by: str = "cell_type") -> DataFrame:
     """by, feature, median, and scale: the median distance from it, 1 where that is 0."""
     long = rows.unpivot([by], features, "feature", "v")
-    med = long.groupBy(by, "feature").agg(F.percentile("v", 0.5).alias("median"))
-    off = long.join(med, [by, "feature"]).groupBy(by, "feature", "median").agg(F.percentile(F.abs(F.col("v") - F.col("median")), 0.5).alias("s"))
+    med = order.quantiles(long, [by, "feature"], "v", [0.5]).select(by, "feature", F.col("q")[0].alias("median"))
+    away = long.join(med, [by, "feature"]).withColumn("v", F.abs(F.col("v") - F.col("median")))
+    off = order.quantiles(away, [by, "feature", "median"], "v", [0.5]).withColumn("s", F.col("q")[0])
     return off.select(by, "feature", "median", F.when(F.col("s") > 1e-9, F.col("s")).otherwise(1.0).alias("scale"))
 
 
