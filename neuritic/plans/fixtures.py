@@ -29,6 +29,10 @@ select concat('m', cast(m as varchar(1))) as method,
 from customer cross join (select 0 as m union all select 1 union all select 2) k
 where (c_custkey + m) % 7 <> 0
 """
+#: Each method's scores as files of their own.
+FILES = f"""
+select method, replace(file_name, '.swc', concat('_', method, '.swc')) as file_name, cell_type, f1_milli from ({SCORES}) m
+"""
 
 
 def view(spark: SparkSession, sf_dir: str, sql: str, table: str) -> DataFrame:
@@ -47,3 +51,7 @@ def pred(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, SCORES, "customer")
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, FILES, "customer")

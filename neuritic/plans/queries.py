@@ -12,7 +12,7 @@ from ..operators import features, forest, metrics, ml, prep, qc, rules, stats
 from ..sources import swc, tables
 from ..session import checkpointed, is_there
 from . import labelling
-from .fixtures import NODES, PRED, SCORES, nodes, pred, scores
+from .fixtures import FILES, NODES, PRED, SCORES, files, nodes, pred, scores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -92,9 +92,9 @@ def _(spark, sf):
     return swc.type_sets(nodes(spark, sf))
 
 
-@query("hash_split", "file_name:s is_test:l", f"SELECT file_name, CAST(CAST('0x' || substr(md5('42:' || file_name), 1, 8) AS BIGINT) / 4294967295.0 < 0.2 AS INT) AS is_test FROM ({SCORES}) s WHERE method = 'm0'")
+@query("hash_split", "file_name:s is_test:l", f"SELECT file_name, CAST(CAST('0x' || substr(md5('42:' || file_name), 1, 8) AS BIGINT) / 4294967295.0 < 0.2 AS INT) AS is_test FROM ({FILES}) s")
 def _(spark, sf):
-    return scores(spark, sf).filter("method = 'm0'").withColumn("is_test", scalars.in_test(F.col("file_name")))
+    return files(spark, sf).withColumn("is_test", scalars.in_test(F.col("file_name")))
 
 
 @query("names", "file_name:s source:s slug:s hint:s", f"SELECT file_name, split_part(lower(file_name), '__', 1) AS source, trim(regexp_replace(file_name || ' (x)', '[^A-Za-z0-9._-]+', '_', 'g'), '_') AS slug, CASE WHEN position('pyramidal' in cell_type) > 0 THEN 'pyramidal' ELSE 'interneuron' END AS hint FROM ({SCORES}) s WHERE method = 'm1'")
@@ -103,9 +103,9 @@ def _(spark, sf):
     return s.select("file_name", scalars.source_of(F.col("file_name")).alias("source"), scalars.slug(F.concat("file_name", F.lit(" (x)"))).alias("slug"), scalars.cell_type_hint(F.concat(F.lit("/a/"), "cell_type", F.lit("/f.swc"))).alias("hint"))
 
 
-@query("test_anti_join", "cell_type:s n:l", f"SELECT cell_type, count(*) AS n FROM ({SCORES}) s WHERE method = 'm0' AND NOT (CAST('0x' || substr(md5('42:' || file_name), 1, 8) AS BIGINT) / 4294967295.0 < 0.2) GROUP BY 1")
+@query("test_anti_join", "cell_type:s n:l", f"SELECT cell_type, count(*) AS n FROM ({FILES}) s WHERE NOT (CAST('0x' || substr(md5('42:' || file_name), 1, 8) AS BIGINT) / 4294967295.0 < 0.2) GROUP BY 1")
 def _(spark, sf):
-    s = scores(spark, sf).filter("method = 'm0'")
+    s = files(spark, sf)
     test = s.filter(scalars.in_test(F.col("file_name"))).select("file_name")
     return s.join(test, "file_name", "left_anti").groupBy("cell_type").agg(F.count(F.lit(1)).alias("n"))
 
@@ -132,7 +132,7 @@ def _(spark, sf):
     return tables.stale(c.distinct(), o).agg(F.count(F.lit(1)).alias("n"))
 
 
-_POOL = f"SELECT 'pyramidal' AS cell_type, split_part(file_name, '__', 1) AS source, file_name AS path FROM ({SCORES}) s WHERE method = 'm0'"
+_POOL = f"SELECT 'pyramidal' AS cell_type, split_part(file_name, '__', 1) AS source, file_name AS path FROM ({FILES}) s"
 
 
 @query("quota_sample", "source:s path:s n:l", f"""
@@ -141,7 +141,7 @@ SELECT source, path, n FROM (
   SELECT *, CASE WHEN r <= q THEN 0 ELSE 1 END AS phase, CASE WHEN r <= q THEN (CASE source WHEN 'allen' THEN 0 ELSE 1 END) ELSE (CASE source WHEN 'allen' THEN 0 WHEN 'lab' THEN 1 ELSE 2 END) END AS p FROM (
    SELECT *, row_number() OVER (PARTITION BY source ORDER BY path) AS r, CASE source WHEN 'allen' THEN 20 WHEN 'neuromorpho' THEN 30 ELSE 0 END AS q FROM ({_POOL}) a WHERE source IN ('allen', 'lab', 'neuromorpho')) b) c) d WHERE n <= 100""")
 def _(spark, sf):
-    s = scores(spark, sf).filter("method = 'm0'").select(F.lit("pyramidal").alias("cell_type"), scalars.source_of(F.col("file_name")).alias("source"), F.col("file_name").alias("path"))
+    s = files(spark, sf).select(F.lit("pyramidal").alias("cell_type"), scalars.source_of(F.col("file_name")).alias("source"), F.col("file_name").alias("path"))
     return prep.select_examples(s, 100, {"pyramidal": {"allen": 20, "neuromorpho": 30}})
 
 
@@ -359,6 +359,13 @@ def _scores(spark, sf):
     return prep.by_source(scores(spark, sf)).withColumn("f1", F.col("f1_milli"))
 
 
+_F = f"(SELECT *, split_part(file_name, '__', 1) AS source FROM ({FILES}) s)"
+
+
+def _file_scores(spark, sf):
+    return prep.by_source(files(spark, sf)).withColumn("f1", F.col("f1_milli"))
+
+
 @query("f1_summary_linear", "method:s n_files:l mean:d median:d p10:d p25:d least:l", f"SELECT method, count(*) AS n_files, avg(f1_milli) AS mean, quantile_cont(f1_milli, 0.5) AS median, quantile_cont(f1_milli, 0.1) AS p10, quantile_cont(f1_milli, 0.25) AS p25, min(f1_milli) AS least FROM {_S} q GROUP BY 1")
 def _(spark, sf):
     return metrics.score_summary(_scores(spark, sf), ["method"])
@@ -369,14 +376,14 @@ def _(spark, sf):
     return metrics.nearest_rank(_scores(spark, sf), ["method", "source"])
 
 
-@query("source_grouping_sets", "cell_type:s source:s n:l mean:d least:l most:l", f"SELECT CASE WHEN grouping(cell_type) = 1 THEN '*' ELSE cell_type END AS cell_type, CASE WHEN grouping(source) = 1 THEN '*' ELSE source END AS source, count(*) AS n, avg(f1_milli) AS mean, min(f1_milli) AS least, max(f1_milli) AS most FROM {_S} q WHERE method = 'm0' GROUP BY GROUPING SETS ((), (source), (cell_type), (cell_type, source))")
+@query("source_grouping_sets", "cell_type:s source:s n:l mean:d least:l most:l", f"SELECT CASE WHEN grouping(cell_type) = 1 THEN '*' ELSE cell_type END AS cell_type, CASE WHEN grouping(source) = 1 THEN '*' ELSE source END AS source, count(*) AS n, avg(f1_milli) AS mean, min(f1_milli) AS least, max(f1_milli) AS most FROM {_F} q GROUP BY GROUPING SETS ((), (source), (cell_type), (cell_type, source))")
 def _(spark, sf):
-    return metrics.breakdown(_scores(spark, sf).filter("method = 'm0'"))
+    return metrics.breakdown(_file_scores(spark, sf))
 
 
-@query("tail_head", "part:s n:l mean:d", f"SELECT CASE WHEN f1_milli <= (SELECT quantile_cont(f1_milli, 0.1) FROM {_S} a WHERE method = 'm0') THEN 'tail' ELSE 'head' END AS part, count(*) AS n, avg(f1_milli) AS mean FROM {_S} q WHERE method = 'm0' GROUP BY 1")
+@query("tail_head", "part:s n:l mean:d", f"SELECT CASE WHEN f1_milli <= (SELECT quantile_cont(f1_milli, 0.1) FROM {_F} a) THEN 'tail' ELSE 'head' END AS part, count(*) AS n, avg(f1_milli) AS mean FROM {_F} q GROUP BY 1")
 def _(spark, sf):
-    return metrics.tail_head(_scores(spark, sf).filter("method = 'm0'"))
+    return metrics.tail_head(_file_scores(spark, sf))
 
 
 _D = f"(SELECT x.method AS a, y.method AS b, x.f1_milli - y.f1_milli AS d FROM ({SCORES}) x JOIN ({SCORES}) y ON x.file_name = y.file_name AND x.method < y.method)"

@@ -11,8 +11,8 @@ from ..session import checkpointed
 from . import labelling
 from .bundle import Bundle
 from . import queries as own
-from .fixtures import NODES, PRED, SCORES, nodes, pred, scores
-from .queries import _D, _S, _SQL_DIAGNOSED, BELOW, TREE, _scores, query
+from .fixtures import FILES, NODES, PRED, SCORES, files, nodes, pred, scores
+from .queries import _D, _F, _S, _SQL_DIAGNOSED, BELOW, TREE, _file_scores, _scores, query
 
 
 def topo(spark, sf):
@@ -383,20 +383,20 @@ def _(spark, sf):
     return n.groupBy("cell_type").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("code").startswith("low_"), F.col("n")).otherwise(0)).alias("low"), F.sum(F.when(F.col("code").startswith("high_"), F.col("n")).otherwise(0)).alias("high"))
 
 
-_PRUNED = f"(SELECT s.file_name, s.cell_type, s.f1_milli AS f1, d.verdict, d.verdict IN ('borderline', 'bad') AND s.f1_milli <= 850 AS drop_ FROM (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY f1_milli, file_name) AS n FROM {_S} q WHERE method = 'm0') r WHERE n <= 500) s JOIN (SELECT 'allen__' || cell_id || '.swc' AS file_name, verdict FROM ({_SQL_DIAGNOSED}) x) d ON d.file_name = s.file_name)"
+_PRUNED = f"(SELECT s.file_name, s.cell_type, s.f1_milli AS f1, d.verdict, d.verdict IN ('borderline', 'bad') AND s.f1_milli <= 850 AS drop_ FROM (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY f1_milli, file_name) AS n FROM {_F} q) r WHERE n <= 1500) s JOIN (SELECT 'allen__' || cell_id || '_m0.swc' AS file_name, verdict FROM ({_SQL_DIAGNOSED}) x) d ON d.file_name = s.file_name)"
 
 
 def _pruned(spark, sf):
-    d = qc.diagnose(nodes(spark, sf), ["cell_id", "cell_type"]).withColumn("file_name", F.concat(F.lit("allen__"), F.col("cell_id"), F.lit(".swc"))).select("file_name", "verdict")
-    return qc.prune(_scores(spark, sf).filter("method = 'm0'").select("file_name", "cell_type", "f1"), d, 500, ("borderline", "bad"), 850)
+    d = qc.diagnose(nodes(spark, sf), ["cell_id", "cell_type"]).withColumn("file_name", F.concat(F.lit("allen__"), F.col("cell_id"), F.lit("_m0.swc"))).select("file_name", "verdict")
+    return qc.prune(_file_scores(spark, sf).select("file_name", "cell_type", "f1"), d, 1500, ("borderline", "bad"), 850)
 
 
 query("qc_prune", "file_name:s f1:l drop:l", f"SELECT file_name, f1, CAST(drop_ AS INT) AS drop FROM {_PRUNED} p")(lambda spark, sf: _pruned(spark, sf))
 
 
-@query("drop_list", "cell_type:s n:l", f"SELECT cell_type, count(*) AS n FROM ({SCORES}) s WHERE method = 'm0' AND NOT EXISTS (SELECT 1 FROM {_PRUNED} p WHERE p.drop_ AND p.file_name = s.file_name AND p.cell_type = s.cell_type) GROUP BY 1")
+@query("drop_list", "cell_type:s n:l", f"SELECT cell_type, count(*) AS n FROM ({FILES}) s WHERE NOT EXISTS (SELECT 1 FROM {_PRUNED} p WHERE p.drop_ AND p.file_name = s.file_name AND p.cell_type = s.cell_type) GROUP BY 1")
 def _(spark, sf):
-    return qc.without_dropped(scores(spark, sf).filter("method = 'm0'"), _pruned(spark, sf).filter("drop")).groupBy("cell_type").agg(F.count(F.lit(1)).alias("n"))
+    return qc.without_dropped(files(spark, sf), _pruned(spark, sf).filter("drop")).groupBy("cell_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("clean_soma", "cell_id:l id:l type:l parent:l", "SELECT n.cell_id, n.id, n.type, coalesce(g.anchor, n.parent) AS parent FROM n LEFT JOIN grp s ON s.cell_id = n.cell_id AND s.id = n.id LEFT JOIN grp g ON g.cell_id = n.cell_id AND g.id = n.parent AND g.id <> g.anchor WHERE s.anchor IS NULL OR s.anchor = n.id", f"""
@@ -414,14 +414,14 @@ def _(spark, sf):
 
 # ---------------------------------------------------------------- names, sources and data sets
 
-_PATHS = f"(SELECT file_name, cell_type, f1_milli, '/data/' || CASE WHEN f1_milli % 3 = 0 THEN '' ELSE 'batch_' || (f1_milli % 4) || '/' || CASE WHEN f1_milli % 3 = 1 THEN 'original' ELSE 'no_label' END || '/' END || CASE WHEN cell_type = 'pyramidal' THEN 'Pyra-midal Cells/swc/' ELSE 'Interneuron/' END || file_name AS path FROM ({SCORES}) s WHERE method = 'm0')"
+_PATHS = f"(SELECT file_name, cell_type, f1_milli, '/data/' || CASE WHEN f1_milli % 3 = 0 THEN '' ELSE 'batch_' || (f1_milli % 4) || '/' || CASE WHEN f1_milli % 3 = 1 THEN 'original' ELSE 'no_label' END || '/' END || CASE WHEN cell_type = 'pyramidal' THEN 'Pyra-midal Cells/swc/' ELSE 'Interneuron/' END || file_name AS path FROM ({FILES}) s)"
 
 
 def _paths(spark, sf):
     k = F.col("f1_milli")
     batch = F.when(k % 3 == 0, "").otherwise(F.concat(F.lit("batch_"), k % 4, F.lit("/"), F.when(k % 3 == 1, "original").otherwise("no_label"), F.lit("/")))
     kind = F.when(F.col("cell_type") == "pyramidal", "Pyra-midal Cells/swc/").otherwise("Interneuron/")
-    return scores(spark, sf).filter("method = 'm0'").withColumn("path", F.concat(F.lit("/data/"), batch, kind, "file_name"))
+    return files(spark, sf).withColumn("path", F.concat(F.lit("/data/"), batch, kind, "file_name"))
 
 
 @query("path_parts", "file_name:s kind:s batch:s part:s base:s", f"SELECT file_name, CASE WHEN cell_type = 'pyramidal' THEN 'pyra_midal_cells' ELSE 'interneuron' END AS kind, regexp_extract(path, '/(batch_[^/]+)/', 1) AS batch, regexp_extract(path, '/batch_[^/]+/(original|no_label)/', 1) AS part, split_part(path, '/', -1) AS base FROM {_PATHS} p")
@@ -511,14 +511,14 @@ def _(spark, sf):
     return prep.gather_candidates(_files(spark, sf), n.filter("n_nationkey % 2 = 0"), n).groupBy("source", "cell_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("folds", "file_name:s fold:l", f"SELECT file_name, (row_number() OVER (PARTITION BY cell_type ORDER BY md5('42:' || file_name), file_name) - 1) % 5 AS fold FROM ({SCORES}) s WHERE method = 'm0'")
+@query("folds", "file_name:s fold:l", f"SELECT file_name, (row_number() OVER (PARTITION BY cell_type ORDER BY md5('42:' || file_name), file_name) - 1) % 5 AS fold FROM ({FILES}) s")
 def _(spark, sf):
-    return prep.folds(scores(spark, sf).filter("method = 'm0'"))
+    return prep.folds(files(spark, sf))
 
 
-@query("split_with_guarantee", "file_name:s is_test:l", f"SELECT file_name, CAST(h < 0.002 OR (n > 1 AND NOT bool_or(h < 0.002) OVER w AND row_number() OVER (PARTITION BY cell_type ORDER BY h) = 1) AS INT) AS is_test FROM (SELECT *, count(*) OVER (PARTITION BY cell_type) AS n, CAST('0x' || substr(md5('42:' || file_name), 1, 8) AS BIGINT) / 4294967295.0 AS h FROM ({SCORES}) s WHERE method = 'm0') q WINDOW w AS (PARTITION BY cell_type)")
+@query("split_with_guarantee", "file_name:s is_test:l", f"SELECT file_name, CAST(h < 0.002 OR (n > 1 AND NOT bool_or(h < 0.002) OVER w AND row_number() OVER (PARTITION BY cell_type ORDER BY h) = 1) AS INT) AS is_test FROM (SELECT *, count(*) OVER (PARTITION BY cell_type) AS n, CAST('0x' || substr(md5('42:' || file_name), 1, 8) AS BIGINT) / 4294967295.0 AS h FROM ({FILES}) s) q WINDOW w AS (PARTITION BY cell_type)")
 def _(spark, sf):
-    return prep.split(scores(spark, sf).filter("method = 'm0'"), 0.002).withColumn("is_test", F.col("is_test").cast("int"))
+    return prep.split(files(spark, sf), 0.002).withColumn("is_test", F.col("is_test").cast("int"))
 
 
 @query("settings_grid", "hidden:l n_layers:l dropout:d", "SELECT hidden, n_layers, dropout FROM (SELECT unnest([64, 128, 256]) AS hidden) a CROSS JOIN (SELECT unnest([2, 3]) AS n_layers) b CROSS JOIN (SELECT unnest([0.1, 0.3, 0.5]) AS dropout) c")
@@ -541,14 +541,14 @@ def _(spark, sf):
     return metrics.worst(_scores(spark, sf).withColumn("n_nodes", F.col("f1") % 7), ["method"])
 
 
-@query("worst_overall", "file_name:s cell_type:s source:s place:l", f"SELECT file_name, cell_type, source, place FROM (SELECT *, row_number() OVER (ORDER BY f1_milli, file_name) AS place FROM {_S} s WHERE method = 'm0') q WHERE place <= 10")
+@query("worst_overall", "file_name:s cell_type:s source:s place:l", f"SELECT file_name, cell_type, source, place FROM (SELECT *, row_number() OVER (ORDER BY f1_milli, file_name) AS place FROM {_F} s) q WHERE place <= 10")
 def _(spark, sf):
-    return metrics.worst(_scores(spark, sf).filter("method = 'm0'"), [], 10, size=None)
+    return metrics.worst(_file_scores(spark, sf), [], 10, size=None)
 
 
-@query("named_examples", "cell_type:s n:l first:s", f"SELECT cell_type, max(k) AS n, string_agg(file_name, ' ' ORDER BY file_name) AS first FROM (SELECT *, count(*) OVER (PARTITION BY cell_type) AS k, row_number() OVER (PARTITION BY cell_type ORDER BY file_name) AS r FROM ({SCORES}) s WHERE method = 'm0') q WHERE r <= 20 GROUP BY 1")
+@query("named_examples", "cell_type:s n:l first:s", f"SELECT cell_type, max(k) AS n, string_agg(file_name, ' ' ORDER BY file_name) AS first FROM (SELECT *, count(*) OVER (PARTITION BY cell_type) AS k, row_number() OVER (PARTITION BY cell_type ORDER BY file_name) AS r FROM ({FILES}) s) q WHERE r <= 20 GROUP BY 1")
 def _(spark, sf):
-    return metrics.examples(_scores(spark, sf).filter("method = 'm0'"), ["cell_type"]).withColumn("first", F.array_join("examples", " "))
+    return metrics.examples(_file_scores(spark, sf), ["cell_type"]).withColumn("first", F.array_join("examples", " "))
 
 
 @query("per_file_table", "path:s cell_type:s f1_s2:d f1_s23:d", f"SELECT a.file_name AS path, a.cell_type, a.f1_milli / 1000.0 AS f1_s2, coalesce(b.f1_milli / 1000.0, 0) AS f1_s23 FROM ({SCORES}) a LEFT JOIN ({SCORES}) b ON b.file_name = a.file_name AND b.method = 'm1' WHERE a.method = 'm0'")
