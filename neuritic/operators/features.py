@@ -44,10 +44,11 @@ def _aggregated(topo: DataFrame, *parts) -> DataFrame:
 
 def _count_aggregates() -> list[Column]:
     n = F.count(F.lit(1))
+    trees = F.count_if(~F.col("is_root") & (F.col("parent") == F.col("proxy")))
     forks, tips = F.count_if(F.col("n_children") >= 2), F.count_if((F.col("n_children") == 0) & ~F.col("is_root"))
     return [
         n.alias("n_nodes"), F.count_if("is_root").alias("n_root_nodes"), forks.alias("n_branch_points"), tips.alias("n_terminals"),
-        F.count_if(~F.col("is_root") & (F.col("parent") == F.col("proxy"))).alias("n_primary_subtrees"), (forks / n).alias("branch_point_ratio"), (tips / n).alias("terminal_ratio"),
+        F.when(trees > 0, trees).otherwise(F.greatest(F.count_if("is_root") - 1, F.lit(0))).alias("n_primary_subtrees"), (forks / n).alias("branch_point_ratio"), (tips / n).alias("terminal_ratio"),
     ]
 
 
@@ -90,7 +91,8 @@ TERMINALS = (_terminal_aggregates, lambda d: d)
 
 
 def cell_counts(topo: DataFrame) -> DataFrame:
-    """Numbers of nodes, roots, forks, tips and primary subtrees, and the shares of forks and tips."""
+    """Numbers of nodes, roots, forks, tips and primary subtrees (those of other roots if nothing is below the proxy), and the shares
+    of forks and tips."""
     return _aggregated(topo, COUNTS)
 
 
@@ -190,8 +192,10 @@ def cell_principal(topo: DataFrame) -> DataFrame:
 
 
 def cell_subtrees(topo: DataFrame) -> DataFrame:
-    """Sizes and paths of the primary subtrees of a cell."""
-    trees = topo.filter("primary_root IS NOT NULL").groupBy(*TREE).agg(F.count(F.lit(1)).alias("n"), F.max("path").alias("p"))
+    """Sizes and paths of the primary subtrees of a cell; of the trees of its other roots if nothing is below the proxy."""
+    trees = topo.filter("reached").groupBy(*TREE, "root", "proxy").agg(F.count(F.lit(1)).alias("n"), F.max("path").alias("p"))
+    below = trees.groupBy(*CELL).agg(F.max(F.col("primary_root").isNotNull()).alias("_below"))
+    trees = trees.join(below, "cell_id").filter((F.col("_below") & F.col("primary_root").isNotNull()) | (~F.col("_below") & (F.col("root") != F.col("proxy"))))
     got = trees.groupBy(*CELL).agg(F.max("n").alias("max_subtree_size"), F.min("n").alias("min_subtree_size"), F.stddev_pop("n").alias("subtree_size_std"), F.max("p").alias("max_subtree_path"), F.stddev_pop("p").alias("subtree_path_std"), F.sum("n").alias("_n"), F.sum("p").alias("_p"))
     got = got.withColumn("max_subtree_size_ratio", _ratio(F.col("max_subtree_size"), F.col("_n"), 0.0)).withColumn("max_subtree_path_ratio", _ratio(F.col("max_subtree_path"), F.col("_p"), 0.0))
     return topo.select("cell_id").distinct().join(got.drop("_n", "_p"), "cell_id", "left").na.fill(0)

@@ -71,8 +71,8 @@ def lift(state: DataFrame, adds: list[str] = (), firsts: list[str] = ()) -> Data
 
 
 def topology(nodes: DataFrame) -> DataFrame:
-    """Nodes of a forest with proxy, path and depth from the root, branch order, primary_root (the child of the proxy
-    that they descend from), head (first node of their branch) and pos (place in it, from 0)."""
+    """Nodes of a forest with proxy, path and depth from the root, branch order, root and primary_root (the child of the proxy)
+    that they descend from, head (first node of their branch) and pos (place in it, from 0)."""
     first = checkpointed(forest(nodes))
     trees = first.join(proxy_soma(first), "cell_id", "left")
     above = first.select(F.col("cell_id").alias("_c"), F.col("id").alias("_p"), F.col("n_children").alias("_kids"))
@@ -87,10 +87,11 @@ def topology(nodes: DataFrame) -> DataFrame:
         forks.cast("int").alias("branch_order"),
         F.when(F.col("parent") == F.col("proxy"), F.col("id")).alias("primary_root"),
         F.when(child & ((F.col("parent") == F.col("proxy")) | (F.col("parent_children") > 1)), F.col("id")).alias("head"),
+        F.when(~child, F.col("id")).alias("root"),
     )
-    lifted = lift(state, ["path", "depth", "branch_order"], ["primary_root", "head"])
+    lifted = lift(state, ["path", "depth", "branch_order"], ["primary_root", "head", "root"])
     reached = F.col("anc").isNull()
-    lifted = lifted.select(*KEY, *(F.when(reached, F.col(c)).otherwise(F.lit(0)).cast(t).alias(c) for c, t in (("path", "double"), ("depth", "int"), ("branch_order", "int"))), *(F.when(reached, F.col(c)).alias(c) for c in ("primary_root", "head")), reached.alias("reached"))
+    lifted = lifted.select(*KEY, *(F.when(reached, F.col(c)).otherwise(F.lit(0)).cast(t).alias(c) for c, t in (("path", "double"), ("depth", "int"), ("branch_order", "int"))), *(F.when(reached, F.col(c)).alias(c) for c in ("primary_root", "head", "root")), reached.alias("reached"))
     out = trees.join(lifted, KEY)
     head = lifted.select(F.col("cell_id").alias("_c"), F.col("id").alias("_h"), F.col("depth").alias("_d"), F.col("path").alias("_hp"))
     out = out.join(head, (out["cell_id"] == head["_c"]) & (out["head"] == head["_h"]), "left")

@@ -296,3 +296,15 @@ def test_verbs(spark, tmp_path, verb):
             (tmp_path / "in" / kind / f"{kind}{k}.swc").write_text("\n".join(lines))
     cli.run(spark, verb, str(tmp_path / "in"), str(tmp_path / "out"))
     assert tables.read_manifest(spark, str(tmp_path / "out")).count() == 6
+
+
+def test_subtrees_of_other_roots(spark):
+    """Without children of the proxy the trees of the other roots count as primary subtrees."""
+    rows = [(1, -1, 0, 9, 1), (2, -1, 5, 1, 3), (3, 2, 6, 1, 3), (4, 3, 8, 1, 3), (5, 99, 1, 1, 2)]
+    t = forest.topology(cell(spark, rows))
+    assert by_id(t, "root") == {1: 1, 2: 2, 3: 2, 4: 2, 5: 5} and features.cell_counts(t).first()["n_primary_subtrees"] == 2
+    s = features.cell_subtrees(t).first()
+    assert (s["max_subtree_size"], s["min_subtree_size"], s["max_subtree_path"]) == (3, 1, 3.0)
+    t = forest.topology(cell(spark, [*rows, (6, 1, 2, 1, 3)]))
+    s = features.cell_subtrees(t).first()
+    assert (s["max_subtree_size"], s["min_subtree_size"]) == (1, 1) and features.cell_counts(t).first()["n_primary_subtrees"] == 1
