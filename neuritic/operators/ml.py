@@ -219,26 +219,42 @@ def train_binary(rows: DataFrame, features: list[str], label: str = "label", den
     return train_labels(w, features, label, "_w", trees)
 
 
-def calibrated(rows: DataFrame, features: list[str], classes: int, label: str = "label", k: int = 3, trees: int = 100):
-    """A forest on all rows and, for each class, an isotonic fit of its probability on predictions for folds left out.
-
-    Returns (forest, fits); predict_calibrated applies both. rows: fold and label.
-    """
+def calibration(rows: DataFrame, features: list[str], classes: int, label: str = "label", k: int = 3, trees: int = 100, weight: str | None = None) -> list[tuple[list[float], list[float]]]:
+    """For each class the points of an isotonic fit of its probability, on predictions for folds left out; see calibrate(). rows: fold and label."""
     from pyspark.ml.regression import IsotonicRegression
 
-    out = [predict_labels(train_labels(rows.filter(F.col("fold") != i), features, label, trees=trees), rows.filter(F.col("fold") == i), features).select(label, "probability") for i in range(k)]
-    held = reduce(DataFrame.unionByName, out).persist()
-    fits = [IsotonicRegression(featuresCol="p", labelCol="y").fit(held.select(F.coalesce(F.get("probability", c), F.lit(0.0)).alias("p"), (F.col(label) == c).cast("double").alias("y"))) for c in range(classes)]
-    held.unpersist()
-    return train_labels(rows, features, label, trees=trees), fits
+    own = [weight] if weight else []
+    out = [predict_labels(train_labels(rows.filter(F.col("fold") != i), features, label, weight, trees), rows.filter(F.col("fold") == i), features).select(label, "probability", *own) for i in range(k)]
+    held = checkpointed(reduce(DataFrame.unionByName, out))
+    fits = []
+    for c in range(classes):
+        of = held.select(F.coalesce(F.get("probability", F.lit(c)), F.lit(0.0)).alias("p"), (F.col(label) == c).cast("double").alias("y"), *own)
+        fit = IsotonicRegression(featuresCol="p", labelCol="y", **({"weightCol": weight} if weight else {})).fit(of)
+        fits.append(([float(v) for v in fit.boundaries], [float(v) for v in fit.predictions]))
+    return fits
+
+
+def calibrate(rows: DataFrame, fits: list[tuple[list[float], list[float]]]) -> DataFrame:
+    """Rows with probability, an array, moved along the points of each class's fit, linearly between them, so that it sums to 1."""
+
+    @F.pandas_udf("array<double>")
+    def moved(p: pd.Series) -> pd.Series:
+        x = np.zeros((len(p), len(fits)))
+        for i, v in enumerate(p):
+            x[i, : min(len(v), len(fits))] = v[: len(fits)]
+        y = np.stack([np.interp(x[:, c], *points) for c, points in enumerate(fits)], axis=1)
+        total = y.sum(axis=1, keepdims=True)
+        return pd.Series(list(np.where(total > 0, y / np.where(total > 0, total, 1), 1 / len(fits))))
+
+    return rows.withColumn("probability", moved("probability"))
+
+
+def calibrated(rows: DataFrame, features: list[str], classes: int, label: str = "label", k: int = 3, trees: int = 100):
+    """A forest on all rows and the points of calibration(); predict_calibrated applies both. rows: fold and label."""
+    return train_labels(rows, features, label, trees=trees), calibration(rows, features, classes, label, k, trees)
 
 
 def predict_calibrated(model, fits: list, rows: DataFrame, features: list[str]) -> DataFrame:
     """Adds probability (calibrated, summing to 1) and prediction."""
-    out = predict_labels(model, rows, features)
-    for c, fit in enumerate(fits):
-        out = fit.setFeaturesCol("_p").setPredictionCol(f"_q{c}").transform(out.withColumn("_p", F.coalesce(F.get("probability", F.lit(c)), F.lit(0.0)))).drop("_p")
-    total = sum(F.col(f"_q{c}") for c in range(len(fits)))
-    p = F.array(*(F.when(total > 0, F.col(f"_q{c}") / total).otherwise(1.0 / len(fits)) for c in range(len(fits))))
-    out = out.withColumn("probability", p).drop(*(f"_q{c}" for c in range(len(fits))))
+    out = calibrate(predict_labels(model, rows, features), fits)
     return out.withColumn("prediction", (F.array_position("probability", F.array_max("probability")) - 1).cast("double"))

@@ -23,13 +23,14 @@ CELL_CLASSES, LABELS = ("interneuron", "pyramidal"), (2, 3, 4)
 @dataclass
 class Bundle:
     """cell_type: the models of ml.train_cell_type, or None. owners (votes), branches: by cell type. names: features by kind of model
-    (cell, subtree, branch). graph: a network that tells basal from apical branches, or None. defaults: labels of cell types that have no model of branches. settings: whatever else labelling needs."""
+    (cell, subtree, branch). graph: a network that tells basal from apical branches, or None. calibrations: points of branch models' probabilities by cell type (see ml.calibrate). defaults: labels of cell types that have no model of branches. settings: whatever else labelling needs."""
 
     names: dict[str, list[str]]
     cell_type: list | None = None
     owners: dict = field(default_factory=dict)
     branches: dict = field(default_factory=dict)
     graph: Network | None = None
+    calibrations: dict[str, list] = field(default_factory=dict)
     defaults: dict[str, int] = field(default_factory=dict)
     settings: dict = field(default_factory=dict)
 
@@ -72,7 +73,7 @@ def save(spark: SparkSession, bundle: Bundle, path: str) -> int:
         ml.save_models([m], f"{base}/branches/{kind}")
     said = {
         "format": FORMAT, "names": bundle.names, "cell_type": len(bundle.cell_type or []), "owners": sorted(bundle.owners), "branches": sorted(bundle.branches),
-        "cell_classes": CELL_CLASSES, "labels": LABELS, "defaults": bundle.defaults, "settings": bundle.settings, "graph": bundle.graph.said() if bundle.graph else None,
+        "cell_classes": CELL_CLASSES, "labels": LABELS, "defaults": bundle.defaults, "settings": bundle.settings, "graph": bundle.graph.said() if bundle.graph else None, "calibrations": bundle.calibrations,
     }
     spark.createDataFrame([(json.dumps(said),)], "value string").coalesce(1).write.mode("overwrite").text(f"{base}/description")
     return version
@@ -95,6 +96,7 @@ def load(spark: SparkSession, path: str, version: int | None = None) -> Bundle |
     if said["names"]["cell"] != list(labelling.CELL_MEASURES) or said["names"]["branch"][-len(rules.OWNER_FEATURES) :] != list(rules.OWNER_FEATURES):
         raise ValueError(f"the bundle {base} was made for other features; train it again")
     out = Bundle(said["names"], defaults=said["defaults"], settings=said["settings"])
+    out.calibrations = said["calibrations"]
     out.graph = Network.of(said["graph"]) if said["graph"] else None
     out.cell_type = ml.load_models(spark, f"{base}/cell_type")
     out.owners = {k: ml.load_models(spark, f"{base}/owners/{k}") for k in said["owners"]}

@@ -76,14 +76,19 @@ def owners_of(subtrees: DataFrame, models: dict, names: list[str]) -> DataFrame
     return reduce(DataFrame.unionByName, parts) if parts else None
 
 
-def train_branches(branches: DataFrame, names: list[str], trees: int) -> dict:
-    """A model of branch labels for each cell type with training rows: a row for each label in a branch, weighted by its nodes."""
-    out = {}
+def train_branches(branches: DataFrame, names: list[str], trees: int, folds: int = 0) -> tuple[dict, dict]:
+    """A model of branch labels for each cell type with training rows: a row for each label in a branch, weighted by its nodes; and, if
+    branches have folds of whole cells, the calibration of its probabilities on cells that it didn't see."""
+    out, fits = {}, {}
     for kind in rules.TYPE_ORDER:
-        own = metrics.rows_per_label(branches.filter(F.col("cell_type") == kind), (2, 3, 4) if kind == "pyramidal" else (2, 3))
+        valid = (2, 3, 4) if kind == "pyramidal" else (2, 3)
+        own = metrics.rows_per_label(branches.filter(F.col("cell_type") == kind), valid)
         if not own.isEmpty():
-            out[kind] = ml.train_labels(own.withColumn("label", (F.col("label") - 2).cast("double")), names, weight="weight", trees=trees)
-    return out
+            own = checkpointed(own.withColumn("label", (F.col("label") - 2).cast("double")))
+            out[kind] = ml.train_labels(own, names, weight="weight", trees=trees)
+            if folds > 1:
+                fits[kind] = ml.calibration(own, names, len(valid), k=folds, trees=trees, weight="weight")
+    return out, fits
 
 
 def pick_model(models: dict, kind: str, defaults: dict | None = None):
@@ -120,15 +125,17 @@ def train_bundle(topo: DataFrame, trees: int = 100, folds: int = 0, seed: int =
     """Models of cell types, owners and branches, fitted on all cells of a topology; with graph_epochs also a graph network of
     that many epochs and so many hidden units, on pyramidal cells.
 
-    folds: branches learn with owners as these are told for new cells, by models fitted on the other folds of whole cells; with
-    0 or 1 by the models that are used later, which saw the same cells.
+    folds: branches learn with owners as these are told for new cells, by models fitted on the other folds of whole cells, and
+    their probabilities are calibrated on such folds; with 0 or 1 owners are told by the models that are used later, which saw the
+    same cells, and nothing is calibrated.
     """
     cells, (branches, branch_names), (subtrees, subtree_names) = cell_table(topo), branch_table(topo), subtree_table(topo)
     learn = cells.withColumn("label", (F.col("cell_type") == CELL_CLASSES[1]).cast("double"))
     cell_type = ml.train_cell_type(learn, list(CELL_MEASURES), trees=trees) if learn.select("label").distinct().count() > 1 else None
     owner_models = train_owners(subtrees, subtree_names, trees)
     if folds > 1:
-        of = prep.folds(cells.select("cell_id", "cell_type").withColumn("file_name", F.col("cell_id").cast("string")), folds, seed).select("cell_id", "fold")
+        of = checkpointed(prep.folds(cells.select("cell_id", "cell_type").withColumn("file_name", F.col("cell_id").cast("string")), folds, seed).select("cell_id", "fold"))
+        branches = branches.join(of, "cell_id")
         dealt, parts = checkpointed(subtrees.join(of, "cell_id")), []
         for k in range(folds):
             got = owners_of(dealt.filter(F.col("fold") == k), train_owners(dealt.filter(F.col("fold") != k), subtree_names, trees), subtree_names)
@@ -137,9 +144,9 @@ def train_bundle(topo: DataFrame, trees: int = 100, folds: int = 0, seed: int =
     else:
         known = owners_of(subtrees, owner_models, subtree_names)
     names = [*branch_names, *rules.OWNER_FEATURES]
-    branch_models = {} if known is None else train_branches(rules.with_owner(branches, checkpointed(known)), names, trees)
+    branch_models, fits = ({}, {}) if known is None else train_branches(rules.with_owner(branches, checkpointed(known)), names, trees, folds)
     network = graph.fit(*graph_rows(topo), epochs=graph_epochs, hidden=hidden, seed=seed) if graph_epochs else None
-    return Bundle({"cell": list(CELL_MEASURES), "subtree": subtree_names, "branch": names}, cell_type, owner_models, branch_models, network, {"purkinje": 3}, {"cut": CUT})
+    return Bundle({"cell": list(CELL_MEASURES), "subtree": subtree_names, "branch": names}, cell_type, owner_models, branch_models, network, fits, {"purkinje": 3}, {"cut": CUT})
 
 
 def _trials(cells: DataFrame, models: list | None, threshold: float) -> DataFrame:
@@ -188,7 +195,10 @@ def label_nodes(
         elif model is None:
             got = own.withColumn("pred", F.lit(bundle.defaults.get(kind, NO_MODEL))).withColumn("conf", F.lit(0.5))
         else:
-            got = rules.decode(ml.predict_labels(model, rules.with_owner(own, of), names).withColumn("probability", _probability()))
+            got = ml.predict_labels(model, rules.with_owner(own, of), names)
+            if model is bundle.branches.get(kind) and kind in bundle.calibrations:
+                got = ml.calibrate(got, bundle.calibrations[kind])
+            got = rules.decode(got.withColumn("probability", _probability()))
         got = got.select("cell_id", "cell_type", "branch", "pred", "conf")
         if bundle.graph and kind == rules.TYPE_ORDER[0]:
             if bundle.graph.names != branch_names:

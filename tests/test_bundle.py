@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from neuritic import __main__ as cli
-from neuritic.operators import forest, rules
+from neuritic.operators import forest, ml, rules
 from neuritic.plans import bundle, labelling
 from neuritic.session import checkpointed, shared_dir
 from neuritic.sources import swc
@@ -146,7 +146,20 @@ def test_branches_learn_from_owners_out_of_fold(spark, trained, monkeypatch):
 
     monkeypatch.setattr(labelling, "train_owners", fit)
     monkeypatch.setattr(labelling, "owners_of", tell)
+    calibrated = []
+
+    def on_folds(rows, names, classes, k, **settings):
+        calibrated.append((k, classes, rows.groupBy("cell_id").agg(F.countDistinct("fold").alias("n")).filter("n > 1").count(), rows.select("fold").distinct().count()))
+        return real(rows, names, classes, k=k, **settings)
+
+    real = ml.calibration
+    monkeypatch.setattr(ml, "calibration", on_folds)
     made = labelling.train_bundle(topo, trees=1, folds=3)
+    assert calibrated == [(3, 3, 0, 3), (3, 2, 0, 3)]  # folds of whole cells
+    assert {k: len(v) for k, v in made.calibrations.items()} == {"pyramidal": 3, "interneuron": 2}
+    path = str(base / "calibrated")
+    bundle.save(spark, made, path)
+    assert {k: [tuple(map(list, f)) for f in v] for k, v in bundle.load(spark, path).calibrations.items()} == {k: [tuple(map(list, f)) for f in v] for k, v in made.calibrations.items()}
     assert len(asked) == 3 and all(not of & seen for of, seen in asked) and set().union(*(of for of, _ in asked)) == cells(topo)
     assert set(made.branches) == set(rules.TYPE_ORDER)
 
@@ -163,3 +176,20 @@ def test_the_graph_decides_between_basal_and_apical(spark):
     said = spark.createDataFrame([("a", 1, [0.2, 0.8]), ("a", 2, [0.1, 0.9]), ("a", 3, [0.1, 0.9]), ("b", 1, [0.1, 0.9])], "cell_id string, id long, probability array<double>")
     got = {(r.cell_id, r.branch): (r.pred, r.conf) for r in labelling.by_graph(decoded, said).collect()}
     assert got == {("a", 1): (4, 0.8), ("a", 2): (4, 0.6), ("a", 3): (2, 0.6), ("a", 4): (3, 0.6), ("b", 1): (3, 0.6)}
+
+
+def test_calibration_moves_along_the_fit(spark):
+    from pyspark.ml.regression import IsotonicRegression
+
+    rng = random.Random(8)
+    p = [rng.random() for _ in range(300)]
+    rows = spark.createDataFrame([(v, float(rng.random() < v * v)) for v in p], "p double, y double")
+    fit = IsotonicRegression(featuresCol="p", labelCol="y").fit(rows)
+    points = ([float(v) for v in fit.boundaries], [float(v) for v in fit.predictions])
+    want = [r.prediction for r in fit.transform(rows).collect()]
+    flat = ([0.0], [0.0])
+    got = [r.probability for r in ml.calibrate(rows.select(F.array("p", 1 - F.col("p")).alias("probability")), [points, flat]).collect()]
+    assert all(abs(g[0] - (1.0 if w > 0 else 0.5)) < 1e-12 for g, w in zip(got, want))
+    whole = ([0.0, 1.0], [0.0, 1.0])
+    got = [r.probability for r in ml.calibrate(rows.select(F.array("p", F.lit(0.25)).alias("probability")), [points, whole]).collect()]
+    assert all(abs(g[0] - w / (w + 0.25)) < 1e-9 and abs(sum(g) - 1) < 1e-12 for g, w in zip(got, want))
