@@ -545,7 +545,7 @@ def _(spark, sf):
     """The types of the test cells, told by a vote of three that learned from the others."""
     learn, test = (checkpointed(labelling.cell_table(x)) for x in labelling.in_parts(topo(spark, sf)))
     names = list(labelling.CELL_MEASURES)
-    models = ml.train_cell_type(learn.withColumn("label", (F.col("cell_type") == "pyramidal").cast("double")), names, trees=20)
+    models = ml.train_cell_type(learn.withColumn("label", (F.col("cell_type") == "pyramidal").cast("double")), names, trees=10)
     return ml.predict_cell_type(models, test, names)
 
 
@@ -565,4 +565,4 @@ def _(spark, sf):
 
 @query("label_cells", "stage:s cell_type:s n:l accuracy:d")
 def _(spark, sf):
-    return labelling.evaluate(labelling.label_cells(nodes(spark, sf), trees=10))
+    return labelling.evaluate(labelling.label_cells(nodes(spark, sf), trees=5))

@@ -8,9 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from neuritic import __main__ as cli
+from neuritic import session
 from neuritic.operators import forest, ml, rules
 from neuritic.plans import bundle, labelling
-from neuritic.session import checkpointed, shared_dir
+from neuritic.session import checkpointed
 from neuritic.sources import swc
 from neuritic.streaming import ingest
 
@@ -78,8 +79,8 @@ def test_a_batch_that_runs_again_and_lost_progress(spark, tmp_path, monkeypatch)
     assert ingest.labels(spark, table) is None
     assert ingest.label_batch(nodes, None, table, 0) == 3
     once = rows(ingest.labels(spark, table))
-    before = set(os.listdir(shared_dir(spark)))
-    assert ingest.label_batch(nodes, None, table, 0) == 3 and set(os.listdir(shared_dir(spark))) <= before  # nothing of a batch stays behind
+    monkeypatch.setattr(session, "shared_dir", lambda spark: str(tmp_path / "shared"))
+    assert ingest.label_batch(nodes, None, table, 0) == 3 and os.listdir(tmp_path / "shared") == []  # nothing of a batch stays behind
     assert len(once) == nodes.count()
     assert ingest.label_batch(nodes, None, table, 0) == 3 and rows(ingest.labels(spark, table)) == once
     assert ingest.label_batch(nodes, None, table, 1) == 0 and rows(ingest.labels(spark, table)) == once
