@@ -2,9 +2,9 @@
 
 Words fall into classes by a hash of their last letters. Latent states emit classes, and a class emits its words by
 their smoothed counts in the whole training corpus: P(text) = P(classes | model) * product of P(word | class). The
-first factor is exact, by the scaled forward recursion over the whole text. States are trained by Baum-Welch: after a
-start on a bounded sample (documents of about `start_tokens` tokens in all) every round takes expected counts over all training
-documents, which Spark adds up; what returns to the driver is a table of states x classes.
+first factor is exact, by the scaled forward recursion over the whole text. States are trained by Baum-Welch: one sweep over all
+training documents in `slices` parts, after each of which the states are told anew, then rounds that take expected counts over all
+of them. Spark adds the counts up; what returns to the driver is a table of states x classes. No document counts more than another.
 
 Word counts cover the whole corpus. Tasks number the distinct words of blocks of documents and keep documents as
 such numbers; only the blocks' dictionaries meet in a shuffle by word, and the words' counts, a table of its own, are joined
@@ -38,8 +38,6 @@ BLOCK_BYTES = 12 << 20
 HELD_TOKENS = 1 << 19
 #: Tokens of documents that a task sorts by length at once.
 SORTED_TOKENS = 1 << 22
-#: Longer documents don't take part in the start, but in every round.
-START_LONGEST = 1 << 16
 
 
 @dataclass
@@ -209,38 +207,35 @@ def _portions(batches: Iterator[pd.DataFrame]) -> Iterator[list[np.ndarray]]:
         yield seqs
 
 
-def train(known: DataFrame, rounds: int = 3, start_tokens: int = 400_000, start_rounds: int = 15) -> Model:
+def expected(known: DataFrame, m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lanes.expected() over all documents."""
+    shared = known.sparkSession.sparkContext.broadcast(m)  # states x classes numbers
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m, sums = shared.value, None
+        for _, lanes in (b for seqs in _portions(batches) for b in batched(seqs)):
+            got = np.concatenate([x.ravel() for x in lanes.expected(m)])
+            sums = got if sums is None else sums + got
+        if sums is not None:  # in fixed point, so that sums don't depend on their order
+            yield pd.DataFrame({"cell": np.arange(len(sums)), "n": np.rint(sums * (1 << 20)).astype(np.int64)})
+
+    got = known.select("classes").mapInPandas(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    k, classes = len(m.pi), len(m.e)
+    flat = np.zeros(k + k * k + k * classes)
+    flat[got["cell"]] = got["n"] / (1 << 20)
+    return flat[:k], flat[k : k + k * k].reshape(k, k), flat[k + k * k :].reshape(classes, k)
+
+
+def train(known: DataFrame, rounds: int = 3, slices: int = 16) -> Model:
     """Baum-Welch over documents given as doc_id, n_tokens and packed classes."""
-    spark = known.sparkSession
-    n = known.agg(F.sum("n_tokens")).first()[0]
-    if not n:
-        return Model.random()
-    share = int((1 << 30) * min(1.0, start_tokens / n))
-    drawn = known.filter((F.col("n_tokens") <= START_LONGEST) & (F.pmod(F.xxhash64("doc_id", "classes"), F.lit(1 << 30)) < share))
-    seqs = [_unpack(r[0], "<u2") for r in drawn.select("classes").toLocalIterator()]
-    m = Model.random()
-    for _ in range(start_rounds if seqs else 0):
-        sums = None
-        for _, lanes in batched(seqs):
-            got = lanes.expected(m)
-            sums = got if sums is None else [a + b for a, b in zip(sums, got, strict=True)]
-        m = Model.from_counts(*sums)
-    for _ in range(rounds):
-        shared = spark.sparkContext.broadcast(m)  # states x classes numbers
-
-        def count(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            m, sums = shared.value, None
-            for _, lanes in (b for seqs in _portions(batches) for b in batched(seqs)):
-                got = np.concatenate([x.ravel() for x in lanes.expected(m)])
-                sums = got if sums is None else sums + got
-            if sums is not None:  # in fixed point, so that sums don't depend on their order
-                yield pd.DataFrame({"cell": np.arange(len(sums)), "n": np.rint(sums * (1 << 20)).astype(np.int64)})
-
-        got = known.select("classes").mapInPandas(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-        k, classes = len(m.pi), len(m.e)
-        flat = np.zeros(k + k * k + k * classes)
-        flat[got["cell"]] = got["n"] / (1 << 20)
-        m = Model.from_counts(flat[:k], flat[k : k + k * k].reshape(k, k), flat[k + k * k :].reshape(classes, k))
+    m, sums = Model.random(), None
+    for k in range(slices):
+        got = expected(known.filter(F.pmod(F.xxhash64("doc_id", "classes"), F.lit(slices)) == k), m)
+        if got[0].any():  # what earlier states expected fades
+            sums = got if sums is None else tuple(a / 2 + b for a, b in zip(sums, got, strict=True))
+            m = Model.from_counts(*sums)
+    for _ in range(rounds if sums else 0):
+        m = Model.from_counts(*expected(known, m))
     return m
 
 
