@@ -308,3 +308,11 @@ def test_subtrees_of_other_roots(spark):
     t = forest.topology(cell(spark, [*rows, (6, 1, 2, 1, 3)]))
     s = features.cell_subtrees(t).first()
     assert (s["max_subtree_size"], s["min_subtree_size"]) == (1, 1) and features.cell_counts(t).first()["n_primary_subtrees"] == 1
+
+
+def test_lines_are_split_once(spark):
+    """A line's tokens are taken by seven columns and a filter; each used to split the line again."""
+    line = F.concat(F.lit(" 1.0 3 0 1e1 2.5 2 "), F.col("id"))
+    got = swc.parse_lines(spark.range(3).select(F.lit("c").alias("cell_id"), F.col("id").alias("seq"), line.alias("line")))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert sorted(tuple(r) for r in got.select("id", "type", "y", "z", "parent").collect()) == [(1, 3, 10.0, 2.5, k) for k in range(3)]
