@@ -115,3 +115,31 @@ def test_scaler(spark):
     mean, std = graph.scaler(df, ["a", "b", "c"])
     assert mean.tolist() == [2, 5, 0] and std.tolist() == [1, 1, 1]
     assert [r.x for r in df.select(graph.scaled(["a", "b", "c"], mean, std).alias("x")).collect()] == [[-1, 0, 0], [1, 0, 0]]
+
+
+def test_small_cells_go_there_and_back_inside_tasks(spark, monkeypatch):
+    """Vertices of small cells aren't exchanged or held between layers; both ways give the same gradients, dropout included."""
+    rows, edges = made_up(cells=5, n=8)
+    rows += [(c, i, [v + 0.5 for v in x], y, c % 2 != 0, 1) for c, i, x, y, _, _ in rows]
+    shape = graph.Shape(3, 4, 2)
+    weights = {r: shape.random(r) * 1.5 for r in (0, 1)}
+    v, e = frames(spark, rows, edges)
+    with monkeypatch.context() as m:
+        m.setattr(graph.small, "SMALL", 0)
+        spread = graph.gradients(v, e, shape, weights, 0.3, 2)
+    with monkeypatch.context() as m:
+        m.setattr(graph, "HELD", 20)  # cells of 16 rows stay whole, each in a batch of its own or two
+        m.setattr(graph, "_layer", None)
+        inside = graph.gradients(v, e, shape, weights, 0.3, 2)
+    for a, b in zip(spread, inside, strict=True):
+        assert all(np.allclose(a[r], b[r], atol=1e-9) for r in weights)
+
+
+def test_cells_of_both_sizes_add_up(spark, monkeypatch):
+    rows, edges = made_up(cells=4, n=6, hub=30)
+    shape = graph.Shape(3, 4, 2)
+    v, e = frames(spark, rows, edges)
+    whole = graph.gradients(v, e, shape, {0: shape.random(1)})
+    monkeypatch.setattr(graph, "HELD", 10)  # the cell with the hub is spread
+    both = graph.gradients(v, e, shape, {0: shape.random(1)})
+    assert all(np.allclose(a[0], b[0], atol=1e-9) for a, b in zip(whole, both, strict=True))
