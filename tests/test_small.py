@@ -47,3 +47,12 @@ def test_a_topology_of_small_cells_takes_one_wide_exchange(spark):
     plan = forest.topology(nodes)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
     assert forest.topology(nodes).filter(F.col("reached")).count() > 0
+
+
+def test_stack_order_of_small_cells_takes_no_rounds_across_the_cluster(spark, monkeypatch):
+    rows = [(c, i, i, 3, float(i), 0.0, 0.0, 1.0, i - 1 if i % 3 else max(0, i - 2) if i > 1 else -1) for c in range(3) for i in range(1, 9)]
+    nodes = spark.createDataFrame(rows, "cell_id long, id long, seq long, type int, x double, y double, z double, radius double, parent long")
+    topo = forest.topology(nodes).cache()
+    monkeypatch.setattr(forest, "checkpointed_count", None)
+    got = forest.stack_order(topo)
+    assert got.count() == 24 and {r[0] for r in got.filter("id = 1").select("place").collect()} == {0}
