@@ -77,36 +77,41 @@ class Lanes:
         for lane, i in enumerate(self.order):
             self.obs[self.at[: len(seqs[i])] + lane] = seqs[i]
 
-    def forward(self, m: Model, alphas: np.ndarray | None = None, scales: np.ndarray | None = None) -> np.ndarray:
-        """Natural logarithm of the probability of each sequence, in the order given."""
-        log = np.zeros(len(self.order))
-        alpha = None
-        for t, n in enumerate(self.size):
-            lo, hi = self.at[t], self.at[t + 1]
-            alpha = (m.pi if alpha is None else alpha[:n] @ m.a) * m.e[self.obs[lo:hi]]
-            c = alpha.sum(axis=1)
+    def _alphas(self, m: Model, emits: np.ndarray, alphas: np.ndarray | None = None) -> np.ndarray:
+        """The scale of each observation, and its forward variables where alphas is given. emits: m.e of each observation."""
+        scales, alpha, at, a = np.empty(len(self.obs)), m.pi, self.at.tolist(), m.a
+        for t, n in enumerate(self.size.tolist()):
+            lo, hi = at[t], at[t + 1]
+            alpha = (alpha[:n] @ a if t else alpha) * emits[lo:hi]
+            c = np.add.reduce(alpha, axis=1, out=scales[lo:hi])
             alpha /= c[:, None]
-            log[:n] += np.log(c)
             if alphas is not None:
                 alphas[lo:hi] = alpha
-                scales[lo:hi] = c
-        out = np.empty(len(log))
-        out[self.order] = log
+        return scales
+
+    def forward(self, m: Model) -> np.ndarray:
+        """Natural logarithm of the probability of each sequence, in the order given."""
+        lane = np.arange(len(self.obs)) - np.repeat(self.at[:-1], self.size)
+        out = np.empty(len(self.order))
+        out[self.order] = np.bincount(lane, np.log(self._alphas(m, m.e[self.obs])), len(out))
         return out
 
     def expected(self, m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Expected counts of first states, of steps between states, and of classes by state."""
         k = len(m.pi)
-        gamma, scale = np.empty((len(self.obs), k), dtype=np.float32), np.empty(len(self.obs))
-        self.forward(m, gamma, scale)
+        gamma, emits = np.empty((len(self.obs), k), dtype=np.float32), m.e[self.obs]
+        scale, at, back = self._alphas(m, emits, gamma)[:, None], self.at.tolist(), m.a.T
         step, behind = np.zeros((k, k)), np.zeros((0, k))
         for t in range(len(self.size) - 1, -1, -1):
-            lo, hi, n = self.at[t], self.at[t + 1], self.size[t]
-            beta = np.ones((n, k))
-            if len(behind):
-                beta[: len(behind)] = behind @ m.a.T
-                step += gamma[lo : lo + len(behind)].T @ behind
-            behind = m.e[self.obs[lo:hi]] * beta / scale[lo:hi, None]
+            lo, hi, more = at[t], at[t + 1], len(behind)
+            beta = behind @ back
+            if more < hi - lo:  # lanes that end here
+                beta = np.concatenate((beta, np.ones((hi - lo - more, k))))
+            if more:
+                step += gamma[lo : lo + more].T @ behind
+            behind = emits[lo:hi]  # of no use after this step
+            behind *= beta
+            behind /= scale[lo:hi]
             gamma[lo:hi] *= beta
         emit = np.stack([np.bincount(self.obs, gamma[:, s], len(m.e)) for s in range(k)], axis=1)
         first = gamma[: self.size[0]].sum(axis=0, dtype=float) if len(self.size) else np.zeros(k)
@@ -211,26 +216,34 @@ def expected(known: DataFrame, m: Model) -> tuple[np.ndarray, np.ndarray, np.nda
     """Lanes.expected() over all documents."""
     shared = known.sparkSession.sparkContext.broadcast(m)  # states x classes numbers
 
+    k, classes = len(m.pi), len(m.e)
+    states = [f"s{s}" for s in range(k)]
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m, sums = shared.value, None
         for _, lanes in (b for seqs in _portions(batches) for b in batched(seqs)):
-            got = np.concatenate([x.ravel() for x in lanes.expected(m)])
+            first, step, emit = lanes.expected(m)
+            got = np.concatenate([first[None], step, emit])
             sums = got if sums is None else sums + got
         if sums is not None:  # in fixed point, so that sums don't depend on their order
-            yield pd.DataFrame({"cell": np.arange(len(sums)), "n": np.rint(sums * (1 << 20)).astype(np.int64)})
+            units = np.rint(sums * (1 << 20)).astype(np.int64)
+            some = np.flatnonzero(units.any(axis=1))
+            yield pd.DataFrame(units[some], columns=states).assign(cell=some)
 
-    got = known.select("classes").mapInPandas(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    k, classes = len(m.pi), len(m.e)
-    flat = np.zeros(k + k * k + k * classes)
-    flat[got["cell"]] = got["n"] / (1 << 20)
-    return flat[:k], flat[k : k + k * k].reshape(k, k), flat[k + k * k :].reshape(classes, k)
+    # a row for each class, not for each class and state
+    got = known.select("classes").mapInPandas(count, ", ".join(f"{s} long" for s in states) + ", cell long").groupBy("cell").agg(*(F.sum(s).alias(s) for s in states)).toPandas()
+    sums = np.zeros((1 + k + classes, k))
+    sums[got["cell"]] = got[states] / (1 << 20)
+    return sums[0], sums[1 : 1 + k], sums[1 + k :]
 
 
 def train(known: DataFrame, rounds: int = 3, slices: int = 16) -> Model:
     """Baum-Welch over documents given as doc_id, n_tokens and packed classes."""
     m, sums = Model.random(), None
+    # a slice goes to a quarter of the tasks, as lanes side by side take a step for each token of the longest document
+    tasks = -(-known.rdd.getNumPartitions() // 4)
     for k in range(slices):
-        got = expected(known.filter(F.pmod(F.xxhash64("doc_id", "classes"), F.lit(slices)) == k), m)
+        got = expected(known.filter(F.pmod(F.xxhash64("doc_id", "classes"), F.lit(slices)) == k).coalesce(tasks), m)
         if got[0].any():  # what earlier states expected fades
             sums = got if sums is None else tuple(a / 2 + b for a, b in zip(sums, got, strict=True))
             m = Model.from_counts(*sums)
