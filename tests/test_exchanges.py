@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from neuritic.operators import features, forest
 
 SCHEMA = "cell_id long, cell_type string, seq int, id long, type int, x double, y double, z double, radius double, parent long, pred int, conf double"
@@ -20,3 +22,25 @@ def test_branches_of_a_baseline_sum_subtrees_once(spark, monkeypatch):
     monkeypatch.setattr(features, "subtree_stats", lambda topo: asked.append(1) or forest.subtree_stats(topo))
     assert features.neurom_branches(forest.topology(cells(spark))).count() > 0
     assert len(asked) == 1
+
+
+def exchanged(df):
+    """The columns of each exchange of a plan whose joins are not broadcast."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_branch_rows_go_by_branch_alone(spark, no_broadcast):
+    t = forest.topology(cells(spark)).localCheckpoint()
+    assert len(exchanged(features.branch_geometry(t))) == 2  # nodes, and first nodes of branches
+    assert len(exchanged(forest.branches(t, more=("type", "seq")))) == 2
+    got = {(r.cell_id, r.id): r.radius for r in forest.branches(t, more=("radius",)).collect()}
+    assert got == {(r.cell_id, r.id): r.radius for r in t.filter("head IS NOT NULL AND primary_root IS NOT NULL").collect()}
