@@ -3,8 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from neuritic.operators import features, forest
+from neuritic.operators import features, forest, prep
+from neuritic.plans import labelling
 
 SCHEMA = "cell_id long, cell_type string, seq int, id long, type int, x double, y double, z double, radius double, parent long, pred int, conf double"
 
@@ -38,6 +40,23 @@ def no_broadcast(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_parts_are_told_without_an_exchange_of_nodes(spark, no_broadcast):
+    t = forest.topology(cells(spark)).localCheckpoint()
+    for share in (0.3, 1e-9):  # with 1e-9 a type's first cell alone is for tests
+        learn, test = labelling.in_parts(t, share)
+        want = {r.cell_id: r.is_test for r in prep.split(t.select("cell_id", "cell_type").distinct().withColumn("file_name", F.col("cell_id").cast("string")), share).collect()}
+        assert not exchanged(learn) and not exchanged(test)
+        assert {r.cell_id for r in test.collect()} == {c for c, is_test in want.items() if is_test}
+        assert {r.cell_id for r in learn.collect()} == {c for c, is_test in want.items() if not is_test}
+        assert learn.count() + test.count() == t.count()
+
+
+def test_cells_without_a_type_are_in_no_part(spark):
+    t = forest.topology(cells(spark, kinds=("pyramidal", None, "interneuron")))
+    learn, test = labelling.in_parts(t, 0.3)
+    assert learn.count() + test.count() == t.filter("cell_type IS NOT NULL").count() < t.count()
+
+
 def test_branch_rows_go_by_branch_alone(spark, no_broadcast):
     t = forest.topology(cells(spark)).localCheckpoint()
     assert len(exchanged(features.branch_geometry(t))) == 2  # nodes, and first nodes of branches
