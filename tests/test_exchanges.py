@@ -5,8 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from neuritic.operators import features, forest, prep
+from neuritic.operators import features, forest, prep, rules
 from neuritic.plans import labelling
+from neuritic.session import checkpointed
 
 SCHEMA = "cell_id long, cell_type string, seq int, id long, type int, x double, y double, z double, radius double, parent long, pred int, conf double"
 
@@ -63,3 +64,11 @@ def test_branch_rows_go_by_branch_alone(spark, no_broadcast):
     assert len(exchanged(forest.branches(t, more=("type", "seq")))) == 2
     got = {(r.cell_id, r.id): r.radius for r in forest.branches(t, more=("radius",)).collect()}
     assert got == {(r.cell_id, r.id): r.radius for r in t.filter("head IS NOT NULL AND primary_root IS NOT NULL").collect()}
+
+
+def test_flips_keep_narrow_rows(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(rules, "checkpointed", lambda df, *more: written.append(df.columns) or checkpointed(df, *more))
+    t = forest.topology(cells(spark)).withColumn("note", F.lit("x"))
+    assert rules.flip_islands(t).columns == t.columns
+    assert not any("note" in c for c in written)
