@@ -45,3 +45,27 @@ def test_all_methods_in_one_table(spark):
 def test_no_cells(spark):
     topo = cells(spark).limit(0)
     assert baselines.run(topo, {"plug": baselines.per_cell(lambda cell: cell["id"])}).count() == 0
+
+
+def test_a_cell_of_any_size_is_labelled(spark):
+    n = 200_001
+    topo = spark.range(n).selectExpr("'big' AS cell_id", "id AS seq", "id + 1 AS id", "CAST(NULLIF(id, 0) AS INT) AS parent", "id / 2 AS x")
+    said = baselines.per_cell(lambda cell: cell["id"] % 3 + 2)(topo)
+    assert said.selectExpr("count(*)", "count(error)", "count_if(pred = id % 3 + 2)", "count(DISTINCT id)").first()[:] == (n, 0, n, n)
+
+
+def test_large_cells_come_as_small_ones_do(spark, monkeypatch):
+    from neuritic.operators import small
+
+    def plug_in(cell):
+        if cell["cell_id"].iloc[0] == "c3":
+            raise KeyError(f"{len(cell)}")
+        if cell["cell_id"].iloc[0] == "c4":
+            return [2] * (len(cell) - 1)
+        return [(sum(map(len, cell.dtypes.astype(str))) + int(k) + int(x) + (0 if p != p else int(p))) % 1000 for k, x, p in zip(cell["seq"], cell["x"], cell["primary_root"])]
+
+    topo = cells(spark)
+    ask = lambda: sorted(map(tuple, baselines.per_cell(plug_in)(topo).collect()), key=str)
+    want = ask()
+    monkeypatch.setattr(small, "SMALL", 5)
+    assert ask() == want and len(want) == 40 + 3 * 12 + 2
