@@ -1,6 +1,11 @@
 """Votes that don't depend on the order in which they are added up."""
 
-from neuritic.operators import rules
+import math
+import random
+
+from pyspark.sql import functions as F
+
+from neuritic.operators import forest, rules
 
 SCHEMA = "cell_id string, cell_type string, seq int, id int, proxy int, primary_root int, pred int, conf double"
 
@@ -31,3 +36,20 @@ def test_a_margin_that_is_just_met(spark):
     # 2.58 of 4.3; the doubles add up to a little less than 0.6 of all
     votes = [(2, 0.86), (3, 0.93), (3, 0.79), (2, 0.99), (2, 0.73), (3, 0.5)]
     assert labels(rules.soft_majority(spark.createDataFrame(voters(*votes), SCHEMA).coalesce(1)))[-1] == 2
+
+
+def test_votes_are_the_doubles_next_to_exact_sums(spark):
+    draw = random.Random(7)
+    rows = [(c, draw.choice((2, 3, 4)), draw.choice((draw.uniform(0.001, 1), draw.randrange(1, 100) / 100))) for c in range(400) for _ in range(draw.randrange(1, 12))]
+    rows += [(400, 2, 0.1)] * 5000 + [(400, 3, 1.0), (400, 3, 2.0**-53), (400, 3, 2.0**-62), (400, 4, None), (400, 4, float("nan"))]
+    got = {r.cell: (r.v2, r.v3, r.v4) for r in rules._votes(spark.createDataFrame(rows, "cell int, pred int, conf double").repartition(7), ["cell"], F.col("conf")).collect()}
+    for c in range(401):
+        assert got[c] == tuple(math.fsum(w for cell, p, w in rows if cell == c and p == k and w and w == w) for k in (2, 3, 4))
+
+
+def test_an_apical_subtree_by_doubles(spark):
+    # 1.43 of all for basal and apical; in doubles 0.91 + 0.52 is more than 0.82 + 0.61, in either order
+    schema = "cell_id string, cell_type string, seq int, id int, type int, x double, y double, z double, radius double, parent int, pred int, conf double"
+    of = [(1, -1, 0, 1, 1.0), (2, 1, -10, 4, 0.52), (3, 2, -12, 4, 0.91), (4, 3, -14, 3, 0.61), (5, 4, -16, 3, 0.82)] + [(k, 1 if k == 6 else k - 1, 20 + k, 4, 0.9) for k in range(6, 12)]
+    topo = forest.topology(spark.createDataFrame([("c", "pyramidal", k, i, p, float(x), 0.0, 0.0, 5.0 if i == 1 else 1.0, up, p, c) for k, (i, up, x, p, c) in enumerate(of)], schema))
+    assert labels(rules.single_apical(topo)) == [1, 3, 3, 3, 3] + [4] * 6
