@@ -53,3 +53,8 @@ def test_an_apical_subtree_by_doubles(spark):
     of = [(1, -1, 0, 1, 1.0), (2, 1, -10, 4, 0.52), (3, 2, -12, 4, 0.91), (4, 3, -14, 3, 0.61), (5, 4, -16, 3, 0.82)] + [(k, 1 if k == 6 else k - 1, 20 + k, 4, 0.9) for k in range(6, 12)]
     topo = forest.topology(spark.createDataFrame([("c", "pyramidal", k, i, p, float(x), 0.0, 0.0, 5.0 if i == 1 else 1.0, up, p, c) for k, (i, up, x, p, c) in enumerate(of)], schema))
     assert labels(rules.single_apical(topo)) == [1, 3, 3, 3, 3] + [4] * 6
+
+
+def test_a_subtree_s_label_by_doubles(spark):
+    rows = spark.createDataFrame(voters((2, 0.82), (3, 0.52), (2, 0.61), (3, 0.91)), SCHEMA)
+    assert labels(rules.subtree_vote(rows)) == [1, 3, 3, 3, 3]
