@@ -58,3 +58,9 @@ def test_an_apical_subtree_by_doubles(spark):
 def test_a_subtree_s_label_by_doubles(spark):
     rows = spark.createDataFrame(voters((2, 0.82), (3, 0.52), (2, 0.61), (3, 0.91)), SCHEMA)
     assert labels(rules.subtree_vote(rows)) == [1, 3, 3, 3, 3]
+
+
+def test_one_subtree_of_a_class_by_doubles(spark):
+    one = voters((2, 0.82), (2, 0.61))
+    two = [("c", "pyramidal", k + 10, k + 10, 1, 11, 2, c) for k, c in enumerate((0.52, 0.91), 1)]
+    assert labels(rules.single_class(spark.createDataFrame(one + two, SCHEMA), 2, 3)) == [1, 3, 3, 2, 2]
